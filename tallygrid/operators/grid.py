@@ -67,7 +67,7 @@ class Grid:
         """WIN-24: exactly n slots per entity, newest in the last one, empty ones on the left."""
         rows = self.last_n(df.withColumn(slot, (F.lit(n + 1) - self.rank_newest()).cast("bigint")), n)
         slots = df.select(*self.keys).distinct().select(
-            *self.keys, F.explode(F.sequence(F.lit(1), F.lit(n))).cast("bigint").alias(slot))
+            *self.keys, F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(n).cast("bigint"))).alias(slot))
         return slots.join(rows, [*self.keys, slot], "left")
 
     def densify(self, df: DataFrame) -> DataFrame:
