@@ -23,7 +23,10 @@ def currency_symbol(code) -> Column:
 
 
 def fixed(v, decimals: int, commas: bool = False) -> Column:
-    return F.format_string(f"%{',' if commas else ''}.{decimals}f", F.bround(_c(v).cast("double"), decimals))
+    x = _c(v).cast("double")
+    r = F.bround(x, decimals)
+    sign = F.when((x < 0) & (r == 0), "-").otherwise("")          # a tiny negative prints as -0.0
+    return F.when(x.isNotNull(), F.concat(sign, F.format_string(f"%{',' if commas else ''}.{decimals}f", r)))
 
 
 def money(v, decimals: int = 0, symbol="$", missing: str = "n/a") -> Column:

@@ -247,12 +247,19 @@ def report_cumulative(form) -> Column:
 
 # --- SCL-18: payload check --------------------------------------------------------------
 
+def _ddl_fields(schema: str) -> str:
+    from pyspark.sql import types as T
+    return ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in T.StructType.fromDDL(schema).fields)
+
+
 def payload_check(raw, schema: str, required: list[str], enums: dict[str, list[str]] | None = None):
     """SCL-18: parse JSON text and name the first problem.
 
     Returns (struct column, error column); error is null for a valid payload."""
-    body = F.from_json(_c(raw), schema, {"mode": "PERMISSIVE"})
-    err = F.when(F.try_parse_json(_c(raw)).isNull(), F.lit("not json"))
+    # read as the only element of an array, so that text after the object is noticed
+    arr = F.from_json(F.concat(F.lit("["), _c(raw), F.lit("]")), f"array<struct<{_ddl_fields(schema)}>>", {"mode": "PERMISSIVE"})
+    body = F.get(arr, F.lit(0))
+    err = F.when(F.coalesce(F.size(arr), F.lit(0)) != 1, F.lit("not json"))
     for path in required:
         v = body.getField(path) if "." not in path else reduce(lambda c, p: c.getField(p), path.split("."), body)
         err = err.when(v.isNull() | (F.trim(v.cast("string")) == ""), F.lit(f"missing {path}"))

@@ -55,7 +55,7 @@ def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
 
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan (no job is run)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()))
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def small_side(df: DataFrame, limit: int = SMALL_SIDE_BYTES) -> DataFrame:
