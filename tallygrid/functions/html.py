@@ -31,15 +31,30 @@ def decode_entities(doc: pd.Series) -> pd.Series:
     return doc.map(lambda s: None if s is None else _html.unescape(s))
 
 
+# Entities decoded by column expressions; '&amp;' must come last.
+COMMON_ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "#39": "'", "nbsp": " ", "copy": "\u00a9",
+                   "middot": "\u00b7", "mdash": "\u2014", "ndash": "\u2013", "amp": "&"}
+_RARE_ENTITY = r"&(?!(?:" + "|".join(COMMON_ENTITIES) + r");)[#A-Za-z]"
+
+
+def unescape(text) -> Column:
+    """Entity decoding: by column expressions when a text holds common entities only; other texts
+    (and no others) are passed to the Arrow UDF."""
+    x = _c(text)
+    plain = x
+    for name, char in COMMON_ENTITIES.items():
+        plain = F.replace(plain, F.lit(f"&{name};"), F.lit(char))
+    return F.coalesce(decode_entities(F.when(x.rlike(_RARE_ENTITY), x)), plain)
+
+
 def html_to_text(doc, max_chars: int | None = None) -> Column:
-    """TXT-01. The row UDF is only invoked for documents that contain a table row, the entity
-    UDF only where an ampersand is left."""
+    """TXT-01. The UDFs receive null, not the text, for documents that do not need them."""
     x = F.regexp_replace(_c(doc), r"(?is)<(script|style)[^>]*>.*?</\1>", " ")
-    x = F.when(F.lower(x).contains("<tr"), table_rows(x)).otherwise(x)
+    x = F.coalesce(table_rows(F.when(F.lower(x).contains("<tr"), x)), x)
     x = F.regexp_replace(x, r"(?i)<br\s*/?>|</p>|</div>|</li>|</h\d>", "\n")
     x = F.regexp_replace(x, r"<[^>]+>", " ")
-    x = F.when(x.contains("&"), decode_entities(x)).otherwise(x)
-    x = F.regexp_replace(F.regexp_replace(x, " ", " "), "​", "")
+    x = unescape(x)
+    x = F.regexp_replace(F.regexp_replace(x, "\\u00a0", " "), "\\u200b", "")
     x = F.regexp_replace(x, r"[ \t]+", " ")
     x = F.regexp_replace(x, r"( ?\| ?)+", " | ")
     x = F.regexp_replace(x, r"(?m)^[\s|]+|[\s|]+$", "")

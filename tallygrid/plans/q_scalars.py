@@ -87,13 +87,13 @@ def _money_sql(v, dec, sym):
 
 @query("scl09_money_formats", f"""WITH x AS (SELECT c_custkey, case when c_nationkey = 3 then null else c_acctbal * case c_nationkey % 5 when 0 then 1 when 1 then 1000 when 2 then 1000000 when 3 then 1e9::double else 0.01::double end end AS v FROM customer)
   SELECT c_custkey, {_money_sql('v', 1, '$')} AS money1,
-   case when v is null then 'n/a' else printf('%.1f', round_even(v/1e6*100, 1)) || '%' end AS pct,
-   case when v is null then '—' else printf('%.1f', round_even(v/1e3, 1)) || 'x' end AS mult FROM x""")
+   case when v is null then 'n/a' else printf('%.1f', round_even(v/7e6*100, 1)) || '%' end AS pct,
+   case when v is null then '—' else printf('%.1f', round_even(v/7e3, 1)) || 'x' end AS mult FROM x""")
 def scl09(spark, d):
     n = F.col("c_nationkey") % 5
     scale = F.when(n == 0, 1.0).when(n == 1, 1000.0).when(n == 2, 1e6).when(n == 3, 1e9).otherwise(0.01)
     x = table(spark, d, "customer").select("c_custkey", F.when(F.col("c_nationkey") == 3, None).otherwise(F.col("c_acctbal") * scale).alias("v"))
-    return x.select("c_custkey", FM.money("v", 1).alias("money1"), FM.percent(F.col("v") / 1e6, 1).alias("pct"), FM.ratio_x(F.col("v") / 1e3, 1).alias("mult"))
+    return x.select("c_custkey", FM.money("v", 1).alias("money1"), FM.percent(F.col("v") / 7e6, 1).alias("pct"), FM.ratio_x(F.col("v") / 7e3, 1).alias("mult"))
 
 
 @query("scl10_currency_symbol", """SELECT n_nationkey, case n_nationkey % 7 when 0 then '$' when 1 then '¥' when 2 then 'HK$' when 3 then '€' when 4 then '£' when 5 then '¥' else '' end AS symbol FROM nation""")
