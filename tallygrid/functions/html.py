@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tallygrid.functions.scalars import _c
 
@@ -20,13 +21,13 @@ def _cells(match: re.Match) -> str:
     return "\n" + " | ".join(parts) + "\n"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def table_rows(doc: pd.Series) -> pd.Series:
     """Each table row on one line, its cells joined by ' | '."""
     return doc.map(lambda s: None if s is None else _ROW.sub(_cells, s))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode_entities(doc: pd.Series) -> pd.Series:
     return doc.map(lambda s: None if s is None else _html.unescape(s))
 

@@ -105,8 +105,10 @@ def mentions(docs: DataFrame, key: str, text: str, tickers: DataFrame, names: Da
     Names are matched as word n-grams by an equi-join, never as substrings of every pair. All three
     candidate kinds are equi-joined with the dictionary and only then ranked."""
     t = F.col(text)
-    tag = F.transform(F.regexp_extract_all(t, F.lit(r"[$#]([A-Za-z]{1,6}(?:\.[A-Za-z])?)\b"), F.lit(1)), F.upper)
-    tok = F.filter(F.regexp_extract_all(t, F.lit(r"\b([A-Z]{2,6}(?:\.[A-Z])?)\b"), F.lit(1)), lambda x: ~x.isin(stop))
+    # word edges in any script, so that an accented neighbour is part of the word
+    before, after = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+    tag = F.transform(F.regexp_extract_all(t, F.lit(r"[$#]([A-Za-z]{1,6}(?:\.[A-Za-z])?)" + after), F.lit(1)), F.upper)
+    tok = F.filter(F.regexp_extract_all(t, F.lit(before + r"([A-Z]{2,6}(?:\.[A-Z])?)" + after), F.lit(1)), lambda x: ~x.isin(stop))
     pos = lambda arr, c: F.posexplode(arr).alias("pos", c)
     a = docs.select(key, F.lit(0).alias("cls"), pos(tag, "ticker"))
     b = docs.select(key, F.lit(1).alias("cls"), pos(tok, "ticker"))

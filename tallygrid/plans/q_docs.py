@@ -190,8 +190,9 @@ def agg36(spark, d):
 @query("jn21_mentions", """WITH dict AS (SELECT DISTINCT trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS norm, 'B' || item_id AS ticker FROM (SELECT item_id, regexp_extract(text, '[A-Za-z]+ [A-Za-z]+') AS text FROM benchmark)),
   nm AS (SELECT norm, ticker FROM dict WHERE length(norm) >= 5),
   tk AS (SELECT DISTINCT upper(w) AS ticker FROM (SELECT regexp_extract(text, '[A-Za-z]{2,6}') AS w FROM benchmark)),
-  tok AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\b([A-Z]{2,6}(?:\\.[A-Z])?)\\b', 1)) AS ticker, generate_subscripts(regexp_extract_all(text, '\\b([A-Z]{2,6}(?:\\.[A-Z])?)\\b', 1), 1) - 1 AS pos FROM documents),
-  tag AS (SELECT doc_id, upper(unnest(regexp_extract_all(text, '[$#]([A-Za-z]{1,6}(?:\\.[A-Za-z])?)\\b', 1))) AS ticker, generate_subscripts(regexp_extract_all(text, '[$#]([A-Za-z]{1,6}(?:\\.[A-Za-z])?)\\b', 1), 1) - 1 AS pos FROM documents),
+  ad AS (SELECT doc_id, regexp_replace(text, '[^\x00-\x7F]', 'x', 'g') AS atx FROM documents),
+  tok AS (SELECT doc_id, unnest(regexp_extract_all(atx, '\\b([A-Z]{2,6}(?:\\.[A-Z])?)\\b', 1)) AS ticker, generate_subscripts(regexp_extract_all(atx, '\\b([A-Z]{2,6}(?:\\.[A-Z])?)\\b', 1), 1) - 1 AS pos FROM ad),
+  tag AS (SELECT doc_id, upper(unnest(regexp_extract_all(atx, '[$#]([A-Za-z]{1,6}(?:\\.[A-Za-z])?)\\b', 1))) AS ticker, generate_subscripts(regexp_extract_all(atx, '[$#]([A-Za-z]{1,6}(?:\\.[A-Za-z])?)\\b', 1), 1) - 1 AS pos FROM ad),
   u AS (SELECT doc_id, 0 AS cls, pos, ticker FROM tag SEMI JOIN tk USING (ticker) UNION ALL SELECT doc_id, 1, pos, ticker FROM tok SEMI JOIN tk USING (ticker) WHERE ticker NOT IN ('THE', 'AND')
     UNION ALL SELECT doc_id, 2, -length(norm), ticker FROM documents, nm WHERE contains(' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ', ' ' || norm || ' ')),
   f AS (SELECT doc_id, ticker, min({'c': cls, 'p': pos}) AS f FROM u GROUP BY 1, 2) SELECT doc_id, ticker, row_number() over (partition by doc_id order by f, ticker) AS rn FROM f QUALIFY rn <= 4""")

@@ -25,12 +25,13 @@ def empty(spark: SparkSession, schema) -> DataFrame:
     return spark.createDataFrame([], _schema(schema))
 
 
-def read_json_array(spark: SparkSession, path: str, schema) -> DataFrame:
-    """SRC-01: rows of JSON-array files; a missing, unreadable or non-array file gives no rows."""
+def read_json_array(spark: SparkSession, path: str, schema, array_per_line: bool = False) -> DataFrame:
+    """SRC-01: rows of JSON-array files; a missing, unreadable or non-array file gives no rows. A file
+    with one array per line is split by lines instead of being read as a whole."""
     s = _schema(schema)
     if not exists(spark, path):
         return empty(spark, s)
-    raw = spark.read.text(path, wholetext=True).where(F.ltrim("value").startswith("["))
+    raw = spark.read.text(path, wholetext=not array_per_line).where(F.ltrim("value").startswith("["))
     return raw.select(F.explode(F.from_json("value", T.ArrayType(s))).alias("r")).where(F.col("r").isNotNull()).select("r.*")
 
 

@@ -14,8 +14,9 @@ from tallygrid.operators.keyed import newest_per_key, pending
 from tallygrid.session import scratch
 
 
-def file_stream(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.readStream.schema(schema).parquet(path)
+def file_stream(spark: SparkSession, path: str, schema, max_files: int = 1000) -> DataFrame:
+    """Stream over a parquet table, whether it is one file or a folder of files."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(f"{path}*")
 
 
 def append_new_files(stream: DataFrame, out: str, checkpoint: str) -> None:
