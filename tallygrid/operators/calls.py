@@ -114,10 +114,11 @@ def mentions(docs: DataFrame, key: str, text: str, tickers: DataFrame, names: Da
     b = docs.select(key, F.lit(1).alias("cls"), pos(tok, "ticker"))
     ab = a.unionByName(b).join(small_side(tickers.select("ticker").distinct()), "ticker")
     words = F.split(F.trim(F.regexp_replace(F.lower(t), "[^a-z0-9]+", " ")), " ")
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(max_words)), lambda n: F.when(
-        F.size("_w") >= n, F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i: F.array_join(F.slice("_w", i, n), " ")))
-        .otherwise(F.array().cast("array<string>"))))
-    n = docs.select(key, words.alias("_w")).select(key, F.explode(F.array_distinct(grams)).alias("norm")) \
+    at = lambda i, k: F.get(F.col("_w"), i + k)
+    gram = lambda n: F.when(F.size("_w") >= n, F.transform(
+        F.sequence(F.lit(0), F.size("_w") - n), lambda i: F.concat_ws(" ", *[at(i, k) for k in range(n)])))
+    grams = F.concat(*[F.coalesce(gram(n), F.array().cast("array<string>")) for n in range(1, max_words + 1)])
+    n = docs.select(key, words.alias("_w")).select(key, F.explode(grams).alias("norm")) \
         .join(small_side(names.where(F.length("norm") >= 5)), "norm")
     c = n.select(key, F.lit(2).alias("cls"), (-F.length("norm")).alias("pos"), "ticker")
     u = ab.select(key, "cls", "pos", "ticker").unionByName(c)

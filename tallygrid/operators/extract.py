@@ -8,7 +8,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallygrid.functions import scalars as S
-from tallygrid.operators import blend
 from tallygrid.session import small_side
 from tallygrid.sources import mappings as M
 
@@ -139,39 +138,44 @@ def merge_units(values: DataFrame, keys: list[str]) -> DataFrame:
 
 def filing_metrics(facts: DataFrame, grid: str = "annual") -> DataFrame:
     """KPI-15: every metric of one grid from filed facts: entity, metric, period, val, ccy,
-    concept, partial. The concept dimension is broadcast; composites go through AGG-15/16."""
+    concept, partial. The concept dimension is broadcast.
+
+    Plain metrics and composites run through one chain: best record per unit (combined before the
+    shuffle), one unit per period, one concept per component group, total or sum. After the
+    first step the rows are exchanged once by (entity, metric, period), which serves all
+    later steps."""
     dim = M.concept_dimension(facts.sparkSession)
     x = facts.join(small_side(dim), "concept")
-    money = is_money_unit()
     unit_ok = (F.when(F.col("kind") == "shares", F.col("unit") == "shares")
-               .when(F.col("kind") == "per_share", F.col("unit").endswith("/shares")).otherwise(money))
-    x = x.where(unit_ok).withColumn("unit", F.regexp_replace("unit", "/shares$", ""))
-    period = "fiscal" if grid == "annual" else "end"
-    k, kk = ["entity", "metric", "unit"], ["entity", "metric", "grp", "concept", "unit"]
-    plain, comp = x.where(~F.col("composite")), x.where("composite")
+               .when(F.col("kind") == "per_share", F.col("unit").endswith("/shares")).otherwise(is_money_unit()))
+    x = x.where(unit_ok).withColumn("unit", F.regexp_replace("unit", "/shares$", "")) \
+        .withColumn("part", F.when(F.col("composite"), F.col("concept")).otherwise(""))
+    stock = F.col("kind") == "stock"
+    k = ["entity", "metric", "grp", "part", "unit", "period"]
+    cols = [*k, "val", "concept", "rank", "composite"]
     if grid == "annual":
-        stock = plain.where(F.col("kind") == "stock")
-        flow = plain.where(F.col("kind") != "stock")
-        vals = annual_values(flow, k).unionByName(annual_values(stock, k, instants=True))
-        parts = annual_values(comp, kk, instants=True)
+        keep = F.when(stock, is_instant()).otherwise(is_annual()) & form_in(ANNUAL_FORMS)
+        best = pick_filed(x.where(keep).withColumn("period", S.fiscal_year("end")), k).select(*cols)
     else:
-        cols = ["entity", "metric", "unit", "end", "val", "concept"]
-        vals = (quarterly_values(plain.where(F.col("kind").isin("flow", "shares", "per_share")), k).select(*cols)
-                .unionByName(quarters_from_ytd(plain.where(F.col("kind") == "cash_flow"), k).select(*cols))
-                .unionByName(instant_values(plain.where(F.col("kind") == "stock"), k).select(*cols)))
-        parts = instant_values(comp, kk)
-    vals = merge_units(vals.select(*k, period, "val", "concept"), ["entity", "metric", period])
-    per_concept = merge_units(parts.select(*kk, period, "val", "rank"), ["entity", "metric", "grp", "concept", period])
-    total = blend.group_pick(per_concept.where("grp = 0").withColumn("val2", F.col("val")), ["entity", "metric", period])
-    picks = blend.group_pick(per_concept.where("grp > 0"), ["entity", "metric", "grp", period])
-    summed = blend.composite(picks, total, ["entity", "metric", period])
-    ccy = per_concept.groupBy("entity", "metric", period).agg(F.min("ccy").alias("ccy"))
-    summed = summed.join(ccy, ["entity", "metric", period], "left")
-    authoritative = [m for m, s in M.COMPOSITES.items() if s.get("authoritative")]
-    out = vals.withColumn("partial", F.col("metric").isin(M.PARTIAL_METRICS)).unionByName(
-        summed.withColumn("partial", ~F.col("metric").isin(authoritative)).select(
-            "entity", "metric", period, "val", "concept", "ccy", "partial"))
-    return rescale_counts(out.withColumnRenamed(period, "period"))
+        keep = F.when(stock, is_instant()).otherwise(is_quarter()) & form_in(QUARTERLY_FORMS)
+        flow = F.col("kind") == "cash_flow"
+        best = pick_filed(x.where(keep & ~flow).withColumn("period", F.col("end")), k).select(*cols)
+        ytd = quarters_from_ytd(x.where(flow), k[:-1]).withColumnRenamed("end", "period")
+        best = best.unionByName(ytd.select(*k, "val", "concept", F.lit(0).alias("rank"), F.lit(False).alias("composite")))
+    best = best.repartition("entity", "metric", "period")
+    one = merge_units(best, ["entity", "metric", "period", "grp", "part"])
+    grp = one.groupBy("entity", "metric", "period", "grp").agg(
+        F.min_by(F.struct("concept", "val", "composite"), F.struct((F.col("composite") & (F.col("val") == 0)).alias("z"), "rank")).alias("b"),
+        F.min("ccy").alias("ccy")).select("entity", "metric", "period", "grp", "b.*", "ccy")
+    tot = F.col("grp") == 0
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("grp", "concept"))), lambda g: g["concept"])      # one per component group
+    m = grp.groupBy("entity", "metric", "period").agg(
+        F.coalesce(F.max(F.when(tot, F.col("val"))), F.sum("val")).alias("val"),
+        F.coalesce(F.max(F.when(tot, F.col("concept"))), F.concat(F.lit("sum("), F.array_join(parts, "+"), F.lit(")"))).alias("concept"),
+        F.min("ccy").alias("ccy"), F.bool_or("composite").alias("composite"))
+    authoritative = [n for n, spec in M.COMPOSITES.items() if spec.get("authoritative")]
+    partial = F.when(F.col("composite"), ~F.col("metric").isin(authoritative)).otherwise(F.col("metric").isin(M.PARTIAL_METRICS))
+    return rescale_counts(m.withColumn("partial", partial).drop("composite"))
 
 
 def rescale_counts(values: DataFrame) -> DataFrame:

@@ -1,8 +1,7 @@
 """Snapshot ratios and table columns (KPI-01..04, AGG-01, 02, 08; FLT-24).
 
-Input is one wide row per entity and period. The snapshot is one grouped pass: the newest
-four periods are cut by a group limit before the shuffle, everything else is a conditional
-aggregate."""
+Input is one wide row per entity and period, so an entity has at most one row per quarter of
+the calendar. The snapshot is one pass: rank the periods, then conditional aggregates."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
@@ -55,17 +54,14 @@ def snapshot(quarters: DataFrame, years: DataFrame, prices: DataFrame, base: Dat
     ``quarters``: entity, period and metric columns; ``years``: entity, period, net_income;
     ``prices``: entity, month, close; ``base``: entity, base_shares (AGG-05)."""
     from tallygrid.operators.shares import latest_close
-    recent = newest_four(quarters, entity)
     summed = SUMMED + (["ebitda"] if ebitda else [])
-    flows = recent.groupBy(entity).agg(*[strict_sum(m).alias(f"ttm_{m}") for m in summed],
-                                       F.sum(F.abs("dividends")).alias("_div"))
-    points = quarters.groupBy(entity).agg(
-        newest_value("equity").alias("_bv"),
-        F.coalesce(*[newest_value(F.coalesce(*cash_keys))]).alias("_cash"),
-        newest_value(F.coalesce("total_debt", "lt_debt")).alias("_debt"),
-        newest_value("assets").alias("_assets"))
+    flows = ranked(quarters, entity).groupBy(entity).agg(
+        *[strict_sum(m).alias(f"ttm_{m}") for m in summed],
+        F.sum(F.when(F.col("_rn") <= 4, F.abs("dividends"))).alias("_div"),
+        newest_value("equity").alias("_bv"), newest_value(F.coalesce(*cash_keys)).alias("_cash"),
+        newest_value(F.coalesce("total_debt", "lt_debt")).alias("_debt"), newest_value("assets").alias("_assets"))
     ann = years.groupBy(entity).agg(newest_value("net_income").alias("_ni_y"))
-    x = (flows.join(points, entity).join(ann, entity, "left").join(base, entity, "left")
+    x = (flows.join(ann, entity, "left").join(base, entity, "left")
          .join(latest_close(prices, entity), entity, "left"))
     c = F.col
     x = x.withColumn("market_cap", c("price") * c("base_shares"))

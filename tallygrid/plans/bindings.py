@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallygrid.functions import scalars as S
 from tallygrid.plans.registry import table
 
-cents = lambda c: F.round(F.col(c) * 100).cast("bigint")
+cents = lambda c: F.rint(F.col(c) * 100).cast("bigint")      # the inputs have two decimals: exact, without BigDecimal
 flag = lambda cond, v: F.sum(F.when(cond, v))
 
 
@@ -66,14 +66,36 @@ def order_sums(spark: SparkSession, d: str) -> DataFrame:
     return li.groupBy("l_orderkey").agg(*_agg_spark())
 
 
-def statements(spark: SparkSession, d: str, grain: str = "quarter") -> DataFrame:
-    """One wide row per customer and quarter (or year) of the order date; entity, period (end date)."""
+def quarter_sums(spark: SparkSession, d: str) -> DataFrame:
+    """Integer sums per customer and quarter end of the order date."""
     o = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("entity"), "o_orderdate")
-    period = S.quarter_end("o_orderdate") if grain == "quarter" else F.make_date(F.year("o_orderdate"), F.lit(12), F.lit(31))
     x = order_sums(spark, d).join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-    g = x.groupBy("entity", period.alias("period")).agg(*[F.sum(n).alias(n) for n in SUMS])
-    return g.select("entity", "period", *[(F.col(t) / F.lit(10000.0)).alias(c) for c, t in COLUMNS.items()],
-                    F.col("shares_t").cast("double").alias("shares"))
+    return x.groupBy("entity", S.quarter_end("o_orderdate").alias("period")).agg(*[F.sum(n).alias(n) for n in SUMS])
+
+
+def as_statements(sums: DataFrame) -> DataFrame:
+    return sums.select("entity", "period", *[(F.col(t) / F.lit(10000.0)).alias(c) for c, t in COLUMNS.items()],
+                       F.col("shares_t").cast("double").alias("shares"))
+
+
+def year_sums(sums: DataFrame) -> DataFrame:
+    """Years rolled up from the quarters; the lines are not read again."""
+    year = F.make_date(F.year("period"), F.lit(12), F.lit(31)).alias("period")
+    return sums.groupBy("entity", year).agg(*[F.sum(n).alias(n) for n in SUMS])
+
+
+def statements(spark: SparkSession, d: str, grain: str = "quarter") -> DataFrame:
+    """One wide row per customer and quarter (or year): entity, period (end date) and metrics."""
+    q = quarter_sums(spark, d)
+    return as_statements(q if grain == "quarter" else year_sums(q))
+
+
+def statement_pair(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(quarters, years) for jobs that read both several times: the quarter sums are written once
+    to the shared folder, so the lines are scanned and shuffled once."""
+    from tallygrid.session import materialise
+    q = materialise(quarter_sums(spark, d), "quarters")
+    return as_statements(q), as_statements(year_sums(q))
 
 
 def derived(df: DataFrame) -> DataFrame:

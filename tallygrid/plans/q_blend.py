@@ -14,7 +14,7 @@ from tallygrid.sources import mappings as M
 from tallygrid.sources import payloads as P
 
 iso = lambda c: F.col(c).cast("string").alias(c)
-qsum = lambda c="o_totalprice": F.sum(F.round(F.col(c) * 100).cast("bigint")) / F.lit(100.0)
+qsum = lambda c="o_totalprice": F.sum(F.rint(F.col(c) * 100).cast("bigint")) / F.lit(100.0)
 QS = "cast(sum(cast(round({0}*100) as bigint)) as bigint)/100.0::double"
 
 # --- filed facts: orders as filed records of a region ------------------------------------------------------
@@ -231,7 +231,7 @@ def merge_sides(spark, d):
     a = o.where("o_orderstatus <> 'O'").groupBy(F.col("o_custkey").alias("entity"), F.trunc("o_orderdate", "month").alias("period")).agg(
         qsum().alias("val"), F.bool_or(F.col("o_orderstatus") == "P").alias("partial"))
     li = table(spark, d, "lineitem").groupBy("l_orderkey", F.trunc("l_shipdate", "month").alias("period")).agg(
-        F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")).alias("c"), F.max("l_linenumber").alias("ln"))
+        F.sum(F.rint(F.col("l_extendedprice") * 100).cast("bigint")).alias("c"), F.max("l_linenumber").alias("ln"))
     b = li.join(o.select("o_orderkey", F.col("o_custkey").alias("entity")), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("entity", "period").agg(
         (F.sum("c") / F.lit(100.0)).alias("val"), F.when(F.max("ln") > 6, "6k").alias("source"))
     return a, b

@@ -294,7 +294,7 @@ def agg08(spark, d):
   SELECT entity, cast(month as varchar) AS month, round(cap/nullif(ni, 0), 6) AS static_pe, round(cap/nullif(rev, 0), 6) AS static_ps, round(cap/nullif(bv, 0), 6) AS pb
   FROM g WHERE coalesce(cap/nullif(ni, 0), cap/nullif(rev, 0), cap/nullif(bv, 0)) is not null""")
 def win16(spark, d):
-    st, y = B.statements(spark, d), B.statements(spark, d, "year")
+    st, y = B.statement_pair(spark, d)
     v = A.valuation_history(B.prices(spark, d), st, y, _base(spark, d, st))
     return v.select("entity", iso("month"), r6("static_pe"), r6("static_ps"), r6("pb"))
 
@@ -335,12 +335,12 @@ def _snap_cols(ev):
   round(ttm_net_income/nullif(av,0), 6) AS roa, round(case when nullif(base_shares,0) is not null then coalesce(dv,0)/base_shares end, 6) AS dividend_rate"""
 
 
-def snapshot_frame(spark, d, ebitda=False):
-    st = B.derived(B.statements(spark, d))
+def snapshot_frame(spark, d, ebitda=False, pair=None):
+    q, y = pair or B.statement_pair(spark, d)
+    st = B.derived(q)
     if ebitda:
         st = st.withColumn("ebitda", F.col("net_income") + F.coalesce("rd", F.lit(0.0)))
-    return R.snapshot(st, B.statements(spark, d, "year"), B.prices(spark, d), _base(spark, d, st), ebitda=ebitda,
-                      cash_keys=("cash", "cash_all") if ebitda else ("cash_all", "cash"))
+    return R.snapshot(st, y, B.prices(spark, d), _base(spark, d, st), ebitda=ebitda, cash_keys=("cash", "cash_all") if ebitda else ("cash_all", "cash"))
 
 
 @query("kpi01_snapshot", f"{SNAP_SQL} SELECT {_snap_cols('ev')} FROM s")
@@ -360,7 +360,8 @@ def kpi03(spark, d):
   FROM customer LEFT JOIN s ON s.entity = c_custkey LEFT JOIN lq ON lq.entity = c_custkey""")
 def kpi02(spark, d):
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("entity"), F.col("c_acctbal").alias("market_cap"))
-    x = R.snapshot_served(c, snapshot_frame(spark, d), B.derived(B.statements(spark, d)))
+    pair = B.statement_pair(spark, d)
+    x = R.snapshot_served(c, snapshot_frame(spark, d, pair=pair), B.derived(pair[0]))
     return x.select("entity", "market_cap", r6("ttm_pe"), "latest_q_ni", "latest_q_ocf")
 
 
@@ -373,8 +374,9 @@ def kpi02(spark, d):
   ga/nullif(revenue,0) AS ga_r, sga/nullif(revenue,0) AS sga_r, (gross_profit - op_income - coalesce(rd,0) - coalesce(sga, sm + ga))/nullif(revenue,0) AS other_r,
   (cash+sti)/nullif(st_debt,0) AS current_ratio, shares*close/nullif(ni_y,0) AS static_pe, shares*close/nullif(rev_y,0) AS static_ps, shares*close/nullif(equity,0) AS pb FROM j""")
 def kpi04(spark, d):
-    st = B.derived(B.statements(spark, d)).withColumn("cur_assets", F.col("cash") + F.col("sti")).withColumn("cur_liab", F.col("st_debt"))
-    x = R.table_columns(st, B.prices(spark, d), B.statements(spark, d, "year"))
+    q, y = B.statement_pair(spark, d)
+    st = B.derived(q).withColumn("cur_assets", F.col("cash") + F.col("sti")).withColumn("cur_liab", F.col("st_debt"))
+    x = R.table_columns(st, B.prices(spark, d), y)
     return x.select("entity", iso("period"), *[c for c in x.columns if c not in ("entity", "period")])
 
 
@@ -386,7 +388,7 @@ GRID_SQL = f"""{BOTH}, {BASE_SQL}, gr AS (SELECT s.*, p.close AS price, p.close
 
 
 def metric_grid(spark, d):
-    st = B.derived(B.statements(spark, d))
+    st = B.derived(B.statement_pair(spark, d)[0])
     return M.base_grid(st, B.prices(spark, d), _base(spark, d, st))
 
 

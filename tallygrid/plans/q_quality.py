@@ -23,9 +23,13 @@ INPUT_SQL = f"""{B.LINES_SQL}, {B.statements_sql()}, {B.statements_sql('year', '
   co AS (SELECT c_custkey AS entity, c_acctbal * 10 AS market_cap, price, price_date FROM customer LEFT JOIN (SELECT entity, arg_max(close, month) AS price, max(month) AS price_date FROM px GROUP BY 1) z ON z.entity = c_custkey)"""
 
 
-def inputs(spark, d):
+def inputs(spark, d, shared=False):
+    """Rule inputs; ``shared`` writes them once for jobs that run several rules."""
     from pyspark.sql import Window as W
-    sty, st = B.statements(spark, d, "year"), B.statements(spark, d)
+
+    from tallygrid.session import materialise
+    st, sty = B.statement_pair(spark, d) if shared else (B.statements(spark, d), B.statements(spark, d, "year"))
+    keep = materialise if shared else (lambda df, label: df)
     c = F.col
     y = sty.select("entity", F.year("period").alias("fy"), F.make_date(F.year("period"), F.lit(1), F.lit(1)).alias("start"), c("period").alias("end"), c("ocf").alias("revenue"), (c("cogs") * 8).alias("cogs"),
                    "gross_profit", c("rd").alias("op_income"), "net_income", (c("shares") - 100).alias("shares"), c("cash").alias("assets"), c("lt_debt").alias("equity"))
@@ -39,7 +43,7 @@ def inputs(spark, d):
         "entity", F.to_date(F.trunc("period", "quarter")).alias("start"), c("period").alias("end"), (c("ocf") * F.when(F.year("period") % 2 == 0, 1.1).otherwise(1.0)).alias("revenue"), c("sga").alias("net_income"))
     px = B.prices(spark, d).groupBy("entity").agg(F.max_by("close", "month").alias("price"), F.max("month").alias("price_date"))
     co = table(spark, d, "customer").select(c("c_custkey").alias("entity"), (c("c_acctbal") * 10).alias("market_cap")).join(px, "entity", "left")
-    return Q.Inputs(co, y, q, F.lit(TODAY).cast("date"), LIMITS)
+    return Q.Inputs(keep(co, "companies"), keep(y, "years"), q, F.lit(TODAY).cast("date"), LIMITS)
 
 
 PRES_SQL = """pres AS (SELECT entity, unnest(list_filter([case when nr = 0 then {'s': 'error', 'r': 'missing_annual_revenue'} end, case when rv < 0 then {'s': 'warn', 'r': 'negative_annual_revenue'} end, case when rv = 0 then {'s': 'info', 'r': 'zero_annual_revenue'} end,
@@ -81,7 +85,7 @@ ALL_SQL = f"WITH {INPUT_SQL}, {PRES_SQL}, issues AS (" + " UNION ALL ".join(
 
 def all_issues(spark, d):
     filers = table(spark, d, "customer").where("c_mktsegment <> 'FURNITURE'").select(F.col("c_custkey").alias("entity"))
-    return Q.run_rules(inputs(spark, d), filed_only=filers)
+    return Q.run_rules(inputs(spark, d, shared=True), filed_only=filers)
 
 
 @query("dq16_udx05_all_rules", f"{ALL_SQL} SELECT rule, severity, count(*) AS n, count(DISTINCT entity) AS entities FROM issues GROUP BY 1, 2")
@@ -207,8 +211,8 @@ def _cells_sql(m):
 def _cells(spark, d, m):
     def one(df, grid):
         return df.select("entity", F.lit(grid).alias("grid"), "period", *[F.col(v).alias(k) for k, v in m.items()])
-    st = B.statements(spark, d).where(F.quarter("period") != 2)
-    return P.melt(one(st, "quarterly").unionByName(one(B.statements(spark, d, "year"), "annual")), ["entity", "grid", "period"], list(m), "item", "val")
+    st, sty = B.statement_pair(spark, d)
+    return P.melt(one(st.where(F.quarter("period") != 2), "quarterly").unionByName(one(sty, "annual")), ["entity", "grid", "period"], list(m), "item", "val")
 
 
 @query("top01_asset_classes", f"""WITH {B.LINES_SQL}, {B.statements_sql()}, {B.statements_sql('year', 'sty')}, {_cells_sql(_LINES)}, dim(item, cat, ord) AS (VALUES ('Goodwill','goodwill',0), ('Net PPE','ppe',3), ('Gross PPE','ppe',6), ('Inventory','inventory',7), ('Receivables','receivables',8)),

@@ -40,7 +40,7 @@ def scl03(spark, d):
   SELECT o_orderkey, round(s, 8) AS spread, case when s <= 0.001::double then 'ok' when s <= 0.01::double then 'info' when s <= 0.05::double then 'warn' else 'error' end AS severity FROM y""")
 def scl05(spark, d):
     from tallygrid.operators.reconcile import spread_of
-    li = table(spark, d, "lineitem").groupBy("l_orderkey").agg((F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")) / F.lit(100.0)).alias("b"))
+    li = table(spark, d, "lineitem").groupBy("l_orderkey").agg((F.sum(F.rint(F.col("l_extendedprice") * 100).cast("bigint")) / F.lit(100.0)).alias("b"))
     x = table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("a")).join(li, F.col("l_orderkey") == F.col("o_orderkey"))
     s = spread_of(F.least("a", "b"), F.greatest("a", "b"), F.greatest(F.abs("a"), F.abs("b")))
     return x.select("o_orderkey", F.round(s, 8).alias("spread"), S.spread_severity(s).alias("severity"))

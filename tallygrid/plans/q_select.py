@@ -122,7 +122,7 @@ def _segments(spark, d):
     return o.groupBy(F.col("o_custkey").alias("entity"), F.make_date(F.year("o_orderdate"), F.lit(12), F.lit(31)).cast("string").alias("period"),
                      F.when(s == "P", "合计").otherwise(F.concat(F.lit(" "), "o_orderpriority")).alias("item"),
                      F.when(s == "F", "D").when(s == "O", "I").otherwise("P").alias("code")).agg(
-        (F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint")) / F.lit(100.0)).alias("revenue"),
+        (F.sum(F.rint(F.col("o_totalprice") * 100).cast("bigint")) / F.lit(100.0)).alias("revenue"),
         F.sum(F.round("o_totalprice").cast("bigint") * (F.col("o_orderkey") % 7 - 2)).cast("double").alias("profit"))
 
 
@@ -306,7 +306,7 @@ def win15c(spark, d):
 
 @query("win29_budget_work_list", """SELECT user_id, event_id, value FROM (SELECT *, sum(cast(round(value*100) as bigint)) over (partition by user_id order by event_id rows unbounded preceding) AS run FROM events) WHERE run - cast(round(value*100) as bigint) < 50000""")
 def win29(spark, d):
-    e = table(spark, d, "events").select("user_id", "event_id", "value", F.round(F.col("value") * 100).cast("bigint").alias("cost"))
+    e = table(spark, d, "events").select("user_id", "event_id", "value", F.rint(F.col("value") * 100).cast("bigint").alias("cost"))
     return K.running_total(e, ["user_id"], "event_id", "cost", "run", block=1024).where(F.col("run") - F.col("cost") < 50000).select("user_id", "event_id", "value")
 
 
