@@ -70,8 +70,8 @@ def valuation_history(prices: DataFrame, quarters: DataFrame, years: DataFrame,
     y = years.select(entity, "period", F.col("net_income").alias("ni_y"), F.col("revenue").alias("rev_y"),
                      F.col("shares").alias("sh_y"), F.col("equity").alias("bv_y"))
     q = quarters.select(entity, "period", F.col("shares").alias("sh_q"), F.col("equity").alias("bv_q"))
-    x = asof(prices, y, [entity], "month", "period", ["ni_y", "rev_y", "sh_y", "bv_y"], probes_unique=True)
-    x = asof(x, q, [entity], "month", "period", ["sh_q", "bv_q"], probes_unique=True)
+    facts = y.unionByName(q, allowMissingColumns=True)             # one as-of pass for all six values
+    x = asof(prices, facts, [entity], "month", "period", ["ni_y", "rev_y", "sh_y", "bv_y", "sh_q", "bv_q"], probes_unique=True)
     x = x.join(baseline, entity, "left")
     nz = lambda c: F.nullif(F.col(c), F.lit(0.0))
     own = F.coalesce(nz("sh_q"), F.col("sh_y"))

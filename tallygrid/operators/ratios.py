@@ -109,10 +109,11 @@ def table_columns(periods: DataFrame, prices: DataFrame, years: DataFrame, entit
     x = (periods.withColumn("capex", F.abs("capex")).withColumn("cash_any", F.coalesce("cash_all", "cash"))
          .withColumn("debt_any", F.coalesce("total_debt", "lt_debt")).withColumn("eps", S.safe_div("net_income", "shares")))
     x = prune_empty(x, HEADLINE)
-    hist = periods.select(entity, "period", c("shares").alias("_sh"), c("equity").alias("_bv"))
-    ann = years.select(entity, "period", c("net_income").alias("_ni_y"), c("revenue").alias("_rev_y"))
-    x = asof(x, hist, [entity], "period", "period", ["_sh", "_bv"], probes_unique=True)
-    x = asof(x, ann, [entity], "period", "period", ["_ni_y", "_rev_y"], probes_unique=True)
+    # one as-of pass over narrow keys serves all four looked-up values
+    facts = periods.select(entity, "period", c("shares").alias("_sh"), c("equity").alias("_bv")).unionByName(
+        years.select(entity, "period", c("net_income").alias("_ni_y"), c("revenue").alias("_rev_y")), allowMissingColumns=True)
+    looked = asof(periods.select(entity, "period"), facts, [entity], "period", "period", ["_sh", "_bv", "_ni_y", "_rev_y"], probes_unique=True)
+    x = x.join(looked, [entity, "period"])
     month = newest_in_bucket(prices, [entity], "month", ["close"], "month")
     x = x.withColumn("_b", F.trunc("period", "month")).join(month, [entity, "_b"], "left").drop("_b")
     sh, bv = F.coalesce("shares", "_sh"), F.coalesce("equity", "_bv")
