@@ -58,7 +58,7 @@ def html_to_text(doc, max_chars: int | None = None) -> Column:
     x = F.regexp_replace(F.regexp_replace(x, "\\u00a0", " "), "\\u200b", "")
     x = F.regexp_replace(x, r"[ \t]+", " ")
     x = F.regexp_replace(x, r"( ?\| ?)+", " | ")
-    x = F.regexp_replace(x, r"(?m)^[\s|]+|[\s|]+$", "")
+    x = F.regexp_replace(x, r"(?m)^[ \t\r\f|]+|[ \t\r\f|]+$", "")
     x = F.regexp_replace(x, r"\n+", "\n")
     x = F.btrim(x, F.lit("\n "))
     if max_chars:

@@ -83,9 +83,10 @@ def read_fx(spark: SparkSession, path: str) -> DataFrame:
 def read_quarantined(spark: SparkSession, path: str, schema) -> tuple[DataFrame, DataFrame]:
     """SRC-07: (good rows, unreadable documents) of a store folder."""
     s = T.StructType([*_schema(schema).fields, T.StructField("_corrupt_record", T.StringType())])
-    x = spark.read.schema(s).option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-    return x.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record"), \
-        x.where(F.col("_corrupt_record").isNotNull()).select("_corrupt_record")
+    x = spark.read.text(path).where(F.trim("value") != "").select(
+        F.from_json("value", s, {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"), F.input_file_name().alias("file"))
+    bad = F.col("r._corrupt_record")
+    return x.where(bad.isNull()).select("r.*").drop("_corrupt_record"), x.where(bad.isNotNull()).select("file", bad.alias("document"))
 
 
 def read_html_corpus(spark: SparkSession, path: str) -> DataFrame:
