@@ -21,11 +21,13 @@ NOTES_START = r"(?i)NOTES TO (THE )?CONSOLIDATED FINANCIAL STATEMENTS"
 
 
 def lines(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """One row per line: keys, line (0-based), text, n_lines, next_text."""
+    """One row per line: keys, line (0-based), text, n_lines, next_text.
+
+    Each line is zipped with its successor before the explode, so that an output row carries two
+    lines and not the whole text."""
     arr = F.split(F.col(text), "\n")
-    x = docs.select(*keys, arr.alias("_l"))
-    return x.select(*keys, F.size("_l").alias("n_lines"), "_l", F.posexplode("_l").alias("line", "text")) \
-        .withColumn("next_text", F.get("_l", F.col("line") + 1)).drop("_l")
+    x = docs.select(*keys, F.size(arr).alias("n_lines"), F.arrays_zip(arr.alias("text"), F.slice(arr, 2, F.size(arr)).alias("next_text")).alias("_z"))
+    return x.select(*keys, "n_lines", F.posexplode("_z").alias("line", "_p")).select(*keys, "n_lines", "line", "_p.text", "_p.next_text")
 
 
 def markdown_headings(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -44,9 +46,10 @@ def markdown_headings(docs: DataFrame, keys: list[str], text: str = "text") -> D
 def section_ends(heads: DataFrame, keys: list[str]) -> DataFrame:
     """WIN-20: a section runs to the next heading of its own or a shallower level.
 
-    One window per level: the next line at level <= L is the least of the following lines at
-    each level up to L. Windows share one sort of the heading rows of a document."""
-    w = W.partitionBy(*keys).orderBy("line").rowsBetween(1, W.unboundedFollowing)
+    Walking the headings of a document backwards, the nearest later heading at level <= L is a
+    running minimum, one per level. The windows share one sort of the heading rows (the text is
+    not carried along), and a document's headings came from a single row."""
+    w = W.partitionBy(*keys).orderBy(F.col("line").desc()).rowsBetween(W.unboundedPreceding, -1)
     top = len(HEADING_MARKERS) + 1
     nxt = [F.min(F.when(F.col("level") <= k, F.col("line"))).over(w) for k in range(1, top + 1)]
     x = heads
@@ -136,10 +139,10 @@ def search_lines(docs: DataFrame, keys: list[str], keyword: str, text: str = "te
     arr = F.split(F.col(text), "\n")
     x = docs.where(F.contains(F.lower(F.col(text)), F.lit(kw))).select(*keys, arr.alias("_l"))
     hits = F.slice(F.filter(F.sequence(F.lit(0), F.size("_l") - 1), lambda i: F.contains(F.lower(F.get("_l", i)), F.lit(kw))), 1, limit)
-    x = x.select(*keys, "_l", F.explode(hits).alias("line"))
-    lo = F.greatest(F.col("line") - context, F.lit(0))
-    snippet = F.array_join(F.slice("_l", lo + 1, F.col("line") + context - lo + 1), "\n")
-    return x.select(*keys, F.col("line").cast("bigint").alias("line"), F.substring(snippet, 1, width).alias("snippet"))
+    lo = lambda i: F.greatest(i - context, F.lit(0))
+    cut = lambda i: F.substring(F.array_join(F.slice("_l", lo(i) + 1, i + context - lo(i) + 1), "\n"), 1, width)
+    found = F.transform(hits, lambda i: F.struct(i.cast("bigint").alias("line"), cut(i).alias("snippet")))
+    return x.select(*keys, F.inline(found))
 
 
 def toc_budget(toc: DataFrame, keys: list[str], budget: int = 70) -> DataFrame:

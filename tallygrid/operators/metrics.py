@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallygrid.functions import scalars as S
 from tallygrid.operators.grid import Grid
+from tallygrid.session import small_side
 from tallygrid.sources.mappings import ALIAS_KINDS
 
 
@@ -138,7 +139,7 @@ def applicable(needs: DataFrame, have: DataFrame, entity: str = "entity") -> Dat
     relational division by counting the matches. ``needs``: metric, series; ``have``: entity, series."""
     req = needs.distinct()
     n = req.groupBy("metric").agg(F.count(F.lit(1)).alias("_need"))
-    got = have.select(entity, "series").distinct().join(F.broadcast(req), "series") \
+    got = have.select(entity, "series").distinct().join(small_side(req), "series") \
         .groupBy("metric", entity).agg(F.count(F.lit(1)).alias("_have"))
     return got.join(n, "metric").where(F.col("_have") == F.col("_need")).select("metric", entity)
 

@@ -18,24 +18,26 @@ from tallygrid.sources import sinks as SK
 from tallygrid.streaming import incremental as I
 
 iso = lambda c: F.col(c).cast("string").alias(c)
-LINE_ROW = "l_linenumber AS n, l_partkey AS part, cast(round(l_extendedprice*100) as bigint)/100.0::double AS price"
+LINES2_SQL = """l2 AS (SELECT l_orderkey, l_linenumber AS n, l_partkey AS part, l_extendedprice AS price, l_returnflag AS flag, cast(cast(l_shipdate as date) as varchar) AS ship FROM lineitem
+  UNION ALL SELECT l_orderkey, 100 + l_linenumber, l_suppkey, l_quantity, l_linestatus, cast(cast(l_shipdate as date) as varchar) FROM lineitem)"""
 
 
-def order_lines(spark, d):
-    """One row per order with its lines as an array: an order is a natural small group of lines."""
-    li = table(spark, d, "lineitem").select("l_orderkey", F.struct(
-        F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("part"), F.col("l_extendedprice").alias("price"), F.col("l_returnflag").alias("flag"),
-        F.to_date("l_shipdate").cast("string").alias("ship")).alias("r"))
-    return li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("r")).alias("rows"))
+def line_docs(spark, d):
+    """One document per line with an array of two records, built inside the row: nested payloads
+    whose size does not depend on how many lines an order has."""
+    c = F.col
+    rec = lambda n, part, price, flag: F.struct(n.cast("int").alias("n"), part.alias("part"), price.alias("price"), flag.alias("flag"), F.to_date("l_shipdate").cast("string").alias("ship"))
+    rows = F.array(rec(c("l_linenumber"), c("l_partkey"), c("l_extendedprice"), c("l_returnflag")), rec(c("l_linenumber") + 100, c("l_suppkey"), c("l_quantity"), c("l_linestatus")))
+    return table(spark, d, "lineitem").select("l_orderkey", rows.alias("rows"))
 
 
 # --- sources ---------------------------------------------------------------------------------------------------
 
-@query("src01_json_array", "SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS part, l_extendedprice AS price FROM lineitem")
+@query("src01_json_array", f"WITH {LINES2_SQL} SELECT l_orderkey AS k, n, part, price FROM l2")
 def src01(spark, d):
     path = scratch(spark, "src01")
     rows = F.transform("rows", lambda r: F.struct(F.col("l_orderkey").alias("k"), r["n"].alias("n"), r["part"].alias("part"), r["price"].alias("price")))
-    x = order_lines(spark, d)
+    x = line_docs(spark, d)
     x.select(F.to_json(rows).alias("value")).write.text(path)
     x.limit(3).select(F.lit("{broken").alias("value")).write.mode("append").text(path)
     return FI.read_json_array(spark, path, "k bigint, n int, part bigint, price double", array_per_line=True)
@@ -82,10 +84,10 @@ def src06(spark, d):
     return FI.keyed_rows(o, "entity", "o_orderkey")
 
 
-@query("src07_08_store_documents", "SELECT 'T' || l_orderkey AS ticker, l_linenumber AS n, l_extendedprice AS price FROM lineitem")
+@query("src07_08_store_documents", f"WITH {LINES2_SQL} SELECT 'T' || l_orderkey AS ticker, n, price FROM l2")
 def src07(spark, d):
     path = scratch(spark, "src07")
-    x = order_lines(spark, d)
+    x = line_docs(spark, d)
     doc = F.to_json(F.struct(F.concat(F.lit("t"), F.col("l_orderkey").cast("string")).alias("ticker"), F.col("rows").alias("filings")))
     x.select(doc.alias("value")).write.text(path)
     x.limit(2).select(F.lit('{"ticker": "t1", "filings": [').alias("value")).write.mode("append").text(path)
@@ -103,10 +105,10 @@ def src09(spark, d):
     return x.select("o_orderkey", "entity", "concept", "unit", iso("start"), iso("end"), "val", "form", iso("filed"))
 
 
-@query("src11_column_payload", "SELECT l_orderkey, cast(l_linenumber as varchar) AS n, cast(l_partkey as varchar) AS part FROM lineitem")
+@query("src11_column_payload", f"WITH {LINES2_SQL} SELECT l_orderkey, cast(n as varchar) AS n, cast(part as varchar) AS part FROM l2")
 def src11(spark, d):
     items = F.transform("rows", lambda r: F.array(r["n"].cast("string"), r["part"].cast("string")))
-    payload = order_lines(spark, d).select("l_orderkey", F.to_json(F.struct(F.array(F.lit("n"), F.lit("part")).alias("fields"), items.alias("items"))).alias("p"))
+    payload = line_docs(spark, d).select("l_orderkey", F.to_json(F.struct(F.array(F.lit("n"), F.lit("part")).alias("fields"), items.alias("items"))).alias("p"))
     x = payload.select("l_orderkey", F.from_json("p", "fields array<string>, items array<array<string>>").alias("p")).select("l_orderkey", "p.*")
     y = P.column_payload(x, ["l_orderkey"], "fields", "items")
     return y.select("l_orderkey", F.col("row")["n"].alias("n"), F.col("row")["part"].alias("part"))
@@ -127,10 +129,10 @@ def src13(spark, d):
     return P.profiles(x, "s", "l", "o").select("p_partkey", "name")
 
 
-@query("src14_price_rows", "SELECT l_orderkey, l_extendedprice AS close, case when l_returnflag <> 'A' then cast(l_linenumber as bigint) end AS volume FROM lineitem WHERE l_returnflag <> 'R'")
+@query("src14_price_rows", f"WITH {LINES2_SQL} SELECT l_orderkey, price AS close, case when flag <> 'A' then cast(n as bigint) end AS volume FROM l2 WHERE flag <> 'R'")
 def src14(spark, d):
     data = F.transform("rows", lambda r: F.struct(r["ship"].alias("date"), F.when(r["flag"] != "R", r["price"]).alias("close"), F.when(r["flag"] == "A", float("nan")).otherwise(r["n"].cast("double")).alias("volume")))
-    return P.price_rows(order_lines(spark, d).select("l_orderkey", data.alias("data")), ["l_orderkey"], "data").select("l_orderkey", "close", "volume")
+    return P.price_rows(line_docs(spark, d).select("l_orderkey", data.alias("data")), ["l_orderkey"], "data").select("l_orderkey", "close", "volume")
 
 
 @query("src15_fx_file", "SELECT 'C' || n_nationkey AS ccy, n_nationkey * 1.5::double AS per_usd, '2001-08-01' AS as_of FROM nation")
@@ -143,9 +145,9 @@ def src15(spark, d):
     return FI.read_fx(spark, path)
 
 
-@query("src16_filings", "SELECT l_orderkey, l_returnflag AS form, cast(cast(l_shipdate as date) as varchar) AS filed FROM lineitem WHERE l_returnflag in ('A', 'R') and l_shipdate >= date '1997-01-01'")
+@query("src16_filings", f"WITH {LINES2_SQL} SELECT l_orderkey, flag AS form, ship AS filed FROM l2 WHERE flag in ('A', 'R') and ship >= '1997-01-01'")
 def src16(spark, d):
-    x = order_lines(spark, d).select("l_orderkey", F.transform("rows", lambda r: r["flag"]).alias("form"), F.transform("rows", lambda r: r["ship"]).alias("filed"))
+    x = line_docs(spark, d).select("l_orderkey", F.transform("rows", lambda r: r["flag"]).alias("form"), F.transform("rows", lambda r: r["ship"]).alias("filed"))
     even = x.where(F.col("l_orderkey") % 2 == 0)
     return P.filings([even, x.where(F.col("l_orderkey") % 2 != 0)], ["l_orderkey"], ["form", "filed"], ["A", "R"], "1997-01-01")
 
@@ -163,9 +165,9 @@ def src20(spark, d):
     return P.first_by_end(o, ["entity", "period"], "o_orderkey")
 
 
-@query("src21_bundle_children", "SELECT l_orderkey, 'prices' AS child, l_linenumber AS n, l_extendedprice AS v FROM lineitem UNION ALL SELECT l_orderkey, 'parts', l_linenumber, cast(l_partkey as double) FROM lineitem WHERE l_returnflag = 'A'")
+@query("src21_bundle_children", f"WITH {LINES2_SQL} SELECT l_orderkey, 'prices' AS child, n, price AS v FROM l2 UNION ALL SELECT l_orderkey, 'parts', n, cast(part as double) FROM l2 WHERE flag = 'A'")
 def src21(spark, d):
-    x = order_lines(spark, d)
+    x = line_docs(spark, d)
     parts = F.transform(F.filter("rows", lambda r: r["flag"] == "A"), lambda r: F.struct(r["n"].alias("n"), r["part"].cast("double").alias("v")))
     b = x.select("l_orderkey", F.transform("rows", lambda r: F.struct(r["n"].alias("n"), r["price"].alias("v"))).alias("prices"), parts.alias("parts"))
     one = lambda c: P.child_table(b, ["l_orderkey"], c).select("l_orderkey", F.lit(c).alias("child"), "n", "v")
@@ -257,12 +259,14 @@ def snk09(spark, d):
     return SK.add_points(old, new, ["user_id"])
 
 
-@query("snk11_log_update", """WITH l AS (SELECT l_orderkey AS date, list(DISTINCT cast(l_suppkey as varchar)) AS t FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1), u AS (SELECT l_orderkey AS date, list(DISTINCT cast(l_suppkey as varchar)) AS t FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1)
+@query("snk11_log_update", """WITH l AS (SELECT o_orderkey AS date, [cast(o_custkey as varchar), cast(o_orderkey % 100 as varchar)] AS t FROM orders WHERE o_orderstatus in ('F', 'O')), u AS (SELECT o_orderkey AS date, [cast(o_custkey as varchar), o_orderpriority] AS t FROM orders WHERE o_orderstatus in ('P', 'O'))
   SELECT coalesce(l.date, u.date) AS date, array_to_string(list_sort(list_distinct(list_concat(coalesce(l.t, []), coalesce(u.t, [])))), ',') AS tickers, cast(len(list_distinct(list_concat(coalesce(l.t, []), coalesce(u.t, [])))) as bigint) AS n, case when u.date is not null then 'new' else 'old' end AS summary FROM l FULL JOIN u ON l.date = u.date""")
 def snk11(spark, d):
-    li = table(spark, d, "lineitem")
-    side = lambda f, s: li.where(F.col("l_returnflag") == f).groupBy(F.col("l_orderkey").alias("date")).agg(F.collect_set(F.col("l_suppkey").cast("string")).alias("tickers")).withColumn("summary", F.lit(s))
-    return SK.update_log(side("A", "old"), side("N", "new")).withColumn("tickers", F.array_join("tickers", ","))
+    o = table(spark, d, "orders")
+    txt = lambda c: c.cast("string")
+    old = o.where("o_orderstatus in ('F', 'O')").select(F.col("o_orderkey").alias("date"), F.array(txt(F.col("o_custkey")), txt(F.col("o_orderkey") % 100)).alias("tickers"), F.lit("old").alias("summary"))
+    new = o.where("o_orderstatus in ('P', 'O')").select(F.col("o_orderkey").alias("date"), F.array(txt(F.col("o_custkey")), F.col("o_orderpriority")).alias("tickers"), F.lit("new").alias("summary"))
+    return SK.update_log(old, new).withColumn("tickers", F.array_join("tickers", ","))
 
 
 # --- read models -----------------------------------------------------------------------------------------------
@@ -318,59 +322,52 @@ def rm10(spark, d):
 
 
 def batch_log(spark, d):
-    """Batches: one per order, its tickers are the parts of its lines."""
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("batch"), F.to_date("o_orderdate").alias("date"), "o_orderstatus")
-    x = order_lines(spark, d).select(F.col("l_orderkey").alias("batch"), F.transform("rows", lambda r: r["part"]).alias("tickers"))
-    return o.join(x, "batch", "left")
-
-
-def part_rows(spark, d):
-    return table(spark, d, "part").where("p_size > 10").select(F.col("p_partkey").alias("part"), F.col("p_brand").alias("industry"))
+    """Batches: one per order with three tickers derived from the order row."""
+    k = F.col("o_custkey")
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("batch"), F.to_date("o_orderdate").alias("date"), "o_orderstatus", F.array(k * 2, k, k + 7).alias("tickers"))
 
 
-def part_status(spark, d):
-    return table(spark, d, "labels").where("quality = 0").select(F.col("doc_id").alias("part"), F.lit("warn").alias("status"))
+def live_rows(spark, d):
+    return table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("entity"), F.col("c_mktsegment").alias("industry"))
 
 
-ROWNO = "cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_extendedprice, l_returnflag, l_shipdate) - 1 as integer)"
+BATCH_SQL = "bx AS (SELECT o_orderkey AS batch, cast(unnest([0, 1, 2]) as integer) AS pos, unnest([o_custkey * 2, o_custkey, o_custkey + 7]) AS entity FROM orders), live AS (SELECT c_custkey AS entity, c_mktsegment AS industry FROM customer WHERE c_acctbal > 0)"
 
 
-@query("jn16_rm08_batch_members", f"""WITH x AS (SELECT l_orderkey AS batch, l_partkey AS part, {ROWNO} AS pos FROM lineitem) SELECT batch, pos, part, p_brand AS industry, case when l.doc_id is not null then 'warn' else 'ok' end AS status FROM x JOIN part ON p_partkey = part and p_size > 10 LEFT JOIN labels l ON l.doc_id = part and quality = 0""")
+@query("jn16_rm08_batch_members", f"WITH {BATCH_SQL}, {STATUS_SQL} SELECT batch, pos, entity, industry, coalesce(status, 'ok') AS status FROM bx JOIN live USING (entity) LEFT JOIN sta USING (entity)")
 def jn16(spark, d):
-    return RM.batch_members(batch_log(spark, d), part_rows(spark, d), part_status(spark, d), "part", ["batch"]).select("batch", "pos", "part", "industry", "status")
+    return RM.batch_members(batch_log(spark, d), live_rows(spark, d), status(spark, d), "entity", ["batch"]).select("batch", "pos", "entity", "industry", "status")
 
 
 TOPLOG_SQL = "top10 AS (SELECT o_orderkey AS batch, cast(o_orderdate as date) AS date, o_orderstatus FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 10)"
 
 
-@query("agg29_rm06_recent_batches", f"WITH {TOPLOG_SQL} SELECT batch, cast(date as varchar) AS date, count(p_partkey) AS live, any_value(case when o_orderstatus = 'F' then 'digest ' || batch end) AS summary FROM top10 LEFT JOIN lineitem ON l_orderkey = batch LEFT JOIN part ON p_partkey = l_partkey and p_size > 10 GROUP BY 1, 2")
+@query("agg29_rm06_recent_batches", f"WITH {BATCH_SQL}, {TOPLOG_SQL} SELECT batch, cast(date as varchar) AS date, count(live.entity) AS live, any_value(case when o_orderstatus = 'F' then 'digest ' || batch end) AS summary FROM top10 JOIN bx USING (batch) LEFT JOIN live ON live.entity = bx.entity GROUP BY 1, 2")
 def agg29(spark, d):
     log = batch_log(spark, d)
     dig = log.where("o_orderstatus = 'F'").select("date", "batch", F.concat(F.lit("digest "), F.col("batch").cast("string")).alias("summary"))
-    return RM.recent_batches(log, part_rows(spark, d), dig, "part", 10, ["date", "batch"]).select("batch", iso("date"), "live", "summary")
+    return RM.recent_batches(log, live_rows(spark, d), dig, "entity", 10, ["date", "batch"]).select("batch", iso("date"), "live", "summary")
 
 
-@query("agg30_rm07_latest_batch", f"WITH b AS (SELECT o_orderkey AS batch FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1), x AS (SELECT l_orderkey AS batch, l_partkey AS part, {ROWNO} AS pos FROM lineitem) SELECT batch, pos, part, p_brand AS industry FROM x JOIN b USING (batch) JOIN part ON p_partkey = part and p_size > 10")
+@query("agg30_rm07_latest_batch", f"WITH {BATCH_SQL}, b AS (SELECT o_orderkey AS batch FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1) SELECT batch, pos, entity, industry FROM bx JOIN b USING (batch) JOIN live USING (entity)")
 def agg30(spark, d):
     e = RM.entry_of(batch_log(spark, d), order=["date", "batch"])
-    return RM.batch_members(e, part_rows(spark, d), part_status(spark, d), "part", ["batch"]).select("batch", "pos", "part", "industry")
+    return RM.batch_members(e, live_rows(spark, d), status(spark, d), "entity", ["batch"]).select("batch", "pos", "entity", "industry")
 
 
-@query("agg45_entry_of_date", "SELECT o_orderkey AS batch, count(l_orderkey) AS tickers FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderdate = date '1998-05-05' GROUP BY 1")
+@query("agg45_entry_of_date", "SELECT o_orderkey AS batch, cast(3 as bigint) AS tickers FROM orders WHERE o_orderdate = date '1998-05-05'")
 def agg45(spark, d):
     x = RM.entry_of(batch_log(spark, d), F.lit("1998-05-05").cast("date"))
-    return x.select("batch", F.coalesce(F.size("tickers"), F.lit(0)).cast("bigint").alias("tickers"))
+    return x.select("batch", F.size("tickers").cast("bigint").alias("tickers"))
 
 
-@query("jn17_newest_entry", """WITH l AS (SELECT p_brand AS industry, cast(o_orderdate as date) AS date, o_orderkey, 'entry ' || o_orderkey AS s FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey), m AS (SELECT industry, max(date) AS date, arg_max(s, {'d': date, 'k': o_orderkey}) AS s FROM l GROUP BY 1),
-  g AS (SELECT p_brand AS industry, max(date '2001-07-01' + cast(p_size as integer)) AS d FROM part GROUP BY 1) SELECT industry, cast(date as varchar) AS date, case when g.d >= date then 'digest' else s END AS summary FROM m LEFT JOIN g USING (industry)""")
+@query("jn17_newest_entry", """WITH l AS (SELECT unnest([c_mktsegment, o_orderpriority]) AS industry, cast(o_orderdate as date) AS date, o_orderkey, 'entry ' || o_orderkey AS s FROM orders JOIN customer ON c_custkey = o_custkey), m AS (SELECT industry, max(date) AS date, arg_max(s, {'d': date, 'k': o_orderkey}) AS s FROM l GROUP BY 1),
+  g AS (SELECT c_mktsegment AS industry, max(date '2001-07-01' + cast(c_nationkey * 3 - length(c_mktsegment) as integer)) AS d FROM customer GROUP BY 1) SELECT industry, cast(date as varchar) AS date, case when g.d >= date then 'digest' else s END AS summary FROM m LEFT JOIN g USING (industry)""")
 def jn17(spark, d):
-    # industries of a log entry: brands of the parts in the order
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey").join(p, "l_partkey").groupBy("l_orderkey").agg(F.collect_set("p_brand").alias("industries"))
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("ordinal"), F.to_date("o_orderdate").alias("date"), F.concat(F.lit("entry "), F.col("o_orderkey").cast("string")).alias("summary"))
-    log = li.join(o, F.col("l_orderkey") == F.col("ordinal"))
-    dig = table(spark, d, "part").select(F.col("p_brand").alias("industry"), F.date_add(F.lit("2001-07-01").cast("date"), F.col("p_size")).alias("date"), F.lit("digest").alias("summary"))
+    c = table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
+    log = table(spark, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey")).select(
+        F.to_date("o_orderdate").alias("date"), F.col("o_orderkey").alias("ordinal"), F.concat(F.lit("entry "), F.col("o_orderkey").cast("string")).alias("summary"), F.array("c_mktsegment", "o_orderpriority").alias("industries"))
+    dig = c.select(F.col("c_mktsegment").alias("industry"), F.date_add(F.lit("2001-07-01").cast("date"), (F.col("c_nationkey") * 3 - F.length("c_mktsegment")).cast("int")).alias("date"), F.lit("digest").alias("summary"))
     return RM.newest_entry_per_industry(log, dig).select("industry", iso("date"), "summary")
 
 
