@@ -235,5 +235,5 @@ def opex_layout(facts: DataFrame, entity: str = "entity", sm: str = "sm", ga: st
     return facts.groupBy(entity).agg(((F.count(sm) >= 2) & (F.count(ga) >= 2)).alias("split_opex"))
 
 
-def period_rank(df: DataFrame, keys: list[str], period: str = "period") -> Column:
-    return F.dense_rank().over(W.partitionBy(*keys).orderBy(F.col(period).desc()))
+def period_rank_rows(keys: list[str], period: str = "period") -> Column:
+    return F.row_number().over(W.partitionBy(*keys).orderBy(F.col(period).desc()))

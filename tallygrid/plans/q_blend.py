@@ -208,10 +208,8 @@ def agg15(spark, d):
 @query("agg35_concept_search", f"""WITH {FILED_SQL} SELECT entity, concept, unit, count(*) AS records, arg_max(val, {{'e': "end", 'f': filed, 'v': val}}) AS latest FROM filed WHERE contains(lower(concept), 'debt') GROUP BY 1, 2, 3
   QUALIFY row_number() over (partition by entity order by records desc, concept, unit) <= 40""")
 def agg35(spark, d):
-    from tallygrid.operators.keyed import top_per_key
-    g = filed(spark, d).where(F.lower("concept").contains("debt")).groupBy("entity", "concept", "unit").agg(
-        F.count(F.lit(1)).alias("records"), F.max_by("val", F.struct("end", "filed", "val")).alias("latest"))
-    return top_per_key(g, ["entity"], [F.desc("records"), "concept", "unit"], 40).drop("rn")
+    from tallygrid.operators.inventory import concept_search
+    return concept_search(filed(spark, d), "debt")
 
 
 @query("top09_concept_facts", f"""WITH {FILED_SQL} SELECT entity, unit, cast("end" as varchar) AS "end", val, row_number() over z AS rn FROM filed WHERE concept = 'Assets' WINDOW z AS (PARTITION BY entity, unit ORDER BY "end" DESC, filed DESC, val DESC) QUALIFY rn <= 5""")
@@ -456,6 +454,62 @@ def kpi14(spark, d):
     return X.release_metrics(x).select("o_orderkey", "entity", "period_end", "metric", "val", "source")
 
 
+# --- whole jobs ----------------------------------------------------------------------------------------------
+
+LONG_SQL = f"""{B.LINES_SQL}, {B.statements_sql()}, {B.statements_sql('year', 'sty')}, p1 AS (UNPIVOT (SELECT entity, period, revenue, cogs, cash, ocf FROM st) ON revenue, cogs, cash, ocf INTO NAME metric VALUE val),
+  s1 AS (SELECT o_custkey AS entity, case o_orderpriority when '1-URGENT' then 'revenue' when '2-HIGH' then 'cogs' when '3-MEDIUM' then 'cash' else 'sti' end AS metric, cast(o_orderdate as date) AS period, max(o_totalprice) AS val, max(case when o_orderstatus = 'F' then '6k' else 'yfinance' end) AS source FROM orders GROUP BY 1, 2, 3)"""
+
+
+@query("kpi05_jn06_blended_quarters", f"""WITH {LONG_SQL}, pd AS (SELECT DISTINCT entity, period FROM p1), sd AS (SELECT DISTINCT entity, period FROM s1),
+  n AS (SELECT s.entity, s.period AS sp, p.period AS pp, abs(p.period - s.period) AS dd FROM sd s JOIN pd p ON p.entity = s.entity and abs(p.period - s.period) <= 25 QUALIFY row_number() over (partition by s.entity, s.period order by abs(p.period - s.period), p.period) = 1),
+  c AS (SELECT * FROM n WHERE dd > 0 QUALIFY row_number() over (partition by entity, pp order by dd, sp) = 1),
+  al AS (SELECT s1.entity, metric, coalesce(pp, s1.period) AS ap, s1.period, val, source FROM s1 LEFT JOIN c ON c.entity = s1.entity and sp = s1.period), s2 AS (SELECT * FROM al QUALIFY row_number() over (partition by entity, metric, ap order by ap <> period, period) = 1)
+  SELECT coalesce(p.entity, s.entity) AS entity, coalesce(p.metric, s.metric) AS metric, cast(coalesce(p.period, s.ap) as varchar) AS period, case when p.entity is not null and not (p.metric = 'cash' and coalesce(s.val > p.val, false)) then p.val else s.val end AS val,
+   case when p.entity is not null and not (p.metric = 'cash' and coalesce(s.val > p.val, false)) then 'sec' else s.source end AS source FROM p1 p FULL JOIN s2 s ON p.entity = s.entity and p.metric = s.metric and p.period = s.ap""")
+def kpi05b(spark, d):
+    from tallygrid.plans.company import blended_quarters
+    p = P.melt(B.statements(spark, d).select("entity", "period", "revenue", "cogs", "cash", "ocf"), ["entity", "period"], ["revenue", "cogs", "cash", "ocf"], "metric", "val") \
+        .withColumn("partial", F.col("metric") == "cash")
+    pr = F.col("o_orderpriority")
+    s = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("entity"), F.when(pr == "1-URGENT", "revenue").when(pr == "2-HIGH", "cogs").when(pr == "3-MEDIUM", "cash").otherwise("sti").alias("metric"),
+                                          F.to_date("o_orderdate").alias("period")).agg(F.max("o_totalprice").alias("val"), F.max(F.when(F.col("o_orderstatus") == "F", "6k").otherwise("yfinance")).alias("source"))
+    return blended_quarters(p, s).select("entity", "metric", iso("period"), "val", "source")
+
+
+ASH_SQL = """ar AS (SELECT o_custkey AS entity, case o_orderpriority when '4-NOT SPECIFIED' then 'balance' when '5-LOW' then 'cashflow' when '3-MEDIUM' then 'income_q' else 'income' end AS stmt, last_day(make_date(year(o_orderdate)::bigint, (quarter(o_orderdate)*3)::bigint, 1)) AS e,
+   o_orderkey AS ann, case o_orderpriority when '4-NOT SPECIFIED' then ['money_cap', 'total_assets'][o_orderkey % 2 + 1] when '5-LOW' then ['n_cashflow_act', 'c_pay_acq_const_fiolta'][o_orderkey % 2 + 1] else ['total_revenue', 'revenue', 'oper_cost'][o_orderkey % 3 + 1] end AS field, cast(round(o_totalprice) as double) AS val FROM orders),
+  ac AS (SELECT entity, stmt, e, field, arg_max(val, ann) AS val FROM ar GROUP BY 1, 2, 3, 4), d(kind, metric, field, rank, sign) AS (VALUES ('income', 'revenue', 'total_revenue', 0, 1.0::double), ('income', 'revenue', 'revenue', 1, 1.0::double), ('income', 'cost_of_revenue', 'oper_cost', 0, 1.0::double),
+   ('balance', 'cash', 'money_cap', 0, 1.0::double), ('balance', 'total_assets', 'total_assets', 0, 1.0::double), ('cashflow', 'operating_cf', 'n_cashflow_act', 0, 1.0::double), ('cashflow', 'capex', 'c_pay_acq_const_fiolta', 0, -1.0::double)),
+  x AS (SELECT entity, d.kind, stmt, e, metric, arg_min(val * sign, rank) AS val FROM ac JOIN d ON d.field = ac.field and d.kind = replace(stmt, '_q', '') GROUP BY 1, 2, 3, 4, 5),
+  an AS (SELECT entity, 'annual' AS grid, metric, cast(year(e) as varchar) AS period, val FROM x WHERE not ends_with(stmt, '_q') and month(e) = 12),
+  fl AS (SELECT a.entity, a.kind, a.metric, a.e, case when quarter(a.e) = 1 then a.val else a.val - b.val end AS val FROM x a LEFT JOIN x b ON b.entity = a.entity and b.metric = a.metric and b.stmt = a.stmt and year(b.e) = year(a.e) and quarter(b.e) = quarter(a.e) - 1 WHERE a.stmt in ('income', 'cashflow')),
+  sg AS (SELECT entity, kind, metric, e, val FROM x WHERE stmt = 'income_q'),
+  qu AS (SELECT entity, 'quarterly' AS grid, metric, cast(e as varchar) AS period, val FROM sg UNION ALL SELECT entity, 'quarterly', metric, cast(e as varchar), val FROM fl WHERE val is not null and NOT EXISTS (SELECT 1 FROM sg WHERE sg.entity = fl.entity and sg.metric = fl.metric and sg.e = fl.e)
+    UNION ALL SELECT entity, 'quarterly', metric, cast(e as varchar), val FROM x WHERE kind = 'balance'),
+  fa AS (SELECT * FROM an UNION ALL SELECT * FROM qu)"""
+
+
+@query("kpi11_source_facts", f"""WITH {ASH_SQL} SELECT *, 'ashare' AS source FROM fa UNION ALL SELECT a.entity, a.grid, 'gross_profit', a.period, a.val - b.val, 'ashare' FROM fa a JOIN fa b ON a.entity = b.entity and a.grid = b.grid and a.period = b.period WHERE a.metric = 'revenue' and b.metric = 'cost_of_revenue'""")
+def kpi11b(spark, d):
+    from tallygrid.plans.company import source_facts
+    p, k = F.col("o_orderpriority"), F.col("o_orderkey")
+    pick = lambda *names: F.get(F.array(*[F.lit(n) for n in names]), (k % len(names)).cast("int"))
+    raw = table(spark, d, "orders").select(
+        F.col("o_custkey").alias("entity"), F.when(p == "4-NOT SPECIFIED", "balance").when(p == "5-LOW", "cashflow").when(p == "3-MEDIUM", "income_q").otherwise("income").alias("stmt"), S.quarter_end("o_orderdate").alias("end"), k.alias("ann"),
+        F.when(p == "4-NOT SPECIFIED", pick("money_cap", "total_assets")).when(p == "5-LOW", pick("n_cashflow_act", "c_pay_acq_const_fiolta")).otherwise(pick("total_revenue", "revenue", "oper_cost")).alias("field"), F.round("o_totalprice").alias("val"))
+    return source_facts(raw, M.ASHARE_FIELDS, "ashare")
+
+
+@query("kpi14_agg18_release_facts", f"""WITH {LABELS_SQL}, l AS (SELECT *, regexp_replace(lower(label), '[^a-z ]+', ' ', 'g') AS s FROM lines), sd AS (SELECT o_orderkey AS entity, 'cash' AS metric, o_totalprice AS val FROM orders WHERE o_orderstatus = 'F'),
+  bd AS (SELECT entity, min(case when contains(s, 'total current assets') then pos end) AS cur, min(case when not contains(s, 'total current assets') and (contains(s, 'total assets') or contains(s, 'liabilit') or (contains(s, 'equity') and not contains(s, 'invest'))) then pos end) AS stop FROM l GROUP BY 1),
+  dr AS (SELECT l.entity, 'cash' AS metric, sum(value) AS val FROM l JOIN bd USING (entity) WHERE pos < coalesce(stop, 99) and not coalesce(pos > cur, false) and contains(s, 'cash and cash equivalents') GROUP BY 1)
+  SELECT * FROM sd UNION ALL SELECT * FROM dr WHERE entity NOT IN (SELECT entity FROM sd)""")
+def kpi14b(spark, d):
+    from tallygrid.plans.company import release_facts
+    sd = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("entity"), F.lit("cash").alias("metric"), F.col("o_totalprice").alias("val"))
+    return release_facts(sd, balance_lines(spark, d), ["entity"]).where("metric = 'cash'")
+
+
 # --- currency ------------------------------------------------------------------------------------------------
 
 FXV = [("CNY", 7.1, "2001-08-01"), ("EUR", 0.9, "2001-08-01"), ("JPY", 150.0, "2001-08-01")]
@@ -495,6 +549,17 @@ def jn25(spark, d):
     return FX.series_to_usd(e, rates(spark)).select("event_id", "value")
 
 
+@query("kpi02_served_facts", f"""WITH {FX_SQL}, x AS (SELECT o_custkey AS entity, case when o_orderkey % 4 = 0 then 'diluted_shares' else 'revenue' end AS metric, year(o_orderdate) AS period, o_totalprice AS val, {SRC_SQL} AS source, case when o_orderkey % 3 = 0 then 'JPY' end AS ccy, {CCY_SQL.format('o_custkey')} AS source_ccy FROM orders),
+  b AS (SELECT entity, metric, period, source, val FROM x QUALIFY row_number() over (partition by entity, metric, period order by case source when 'sec' then 0 when 'ashare' then 1 when '6k' then 2 when 'yfinance' then 3 else 4 end, val desc) = 1),
+  t AS (SELECT entity, metric, period, source, upper(coalesce(max(ccy), max(source_ccy))) AS c FROM x GROUP BY 1, 2, 3, 4) SELECT b.entity, b.metric, cast(b.period as bigint) AS period, b.source, case when b.metric = 'diluted_shares' then val else val / {RATE.format('c')} end AS val FROM b JOIN t USING (entity, metric, period, source) LEFT JOIN fx ON fx.ccy = c""")
+def kpi02b(spark, d):
+    from tallygrid.plans.company import served_facts
+    k = F.col("o_orderkey")
+    x = table(spark, d, "orders").select(F.col("o_custkey").alias("entity"), F.when(k % 4 == 0, "diluted_shares").otherwise("revenue").alias("metric"), F.year("o_orderdate").cast("bigint").alias("period"), F.col("o_totalprice").alias("val"),
+                                         _source_tag().alias("source"), F.when(k % 3 == 0, "JPY").alias("ccy"), _ccy("o_custkey").alias("source_ccy"))
+    return served_facts(x, rates(spark)).select("entity", "metric", "period", "source", "val")
+
+
 @query("agg38_currencies_in_use", f"SELECT DISTINCT upper(c) AS ccy FROM (SELECT {CCY_SQL.format('o_custkey')} AS c FROM orders UNION ALL SELECT case when c_nationkey > 20 then 'jpy' end FROM customer) WHERE c is not null and upper(c) <> 'USD'")
 def agg38(spark, d):
     a = table(spark, d, "orders").select(_ccy("o_custkey").alias("c"))

@@ -114,9 +114,9 @@ def txt06(spark, d):
 
 @query("txt10_release_text", """SELECT o_custkey AS entity, cast(cast(max(o_orderdate) as date) as varchar) AS period_end, arg_max(o_orderkey, {'d': o_orderdate, 'k': o_orderkey}) AS release FROM orders WHERE o_orderstatus = 'F' GROUP BY 1""")
 def txt10(spark, d):
-    from tallygrid.operators.keyed import newest_per_key
+    from tallygrid.operators.inventory import release_of
     o = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("entity"), F.to_date("o_orderdate").cast("string").alias("period_end"), F.col("o_orderkey").alias("release"))
-    return newest_per_key(o, ["entity"], ["period_end", "release"])
+    return release_of(o)
 
 
 @query("txt11_section_budget", """WITH r AS (SELECT conv_id, turn, text, sum(length(text)) over (partition by conv_id order by turn rows unbounded preceding) AS run FROM conversations) SELECT conv_id, substr(string_agg(text, chr(10) || chr(10) ORDER BY turn), 1, 900) AS text FROM r WHERE run - length(text) < 900 GROUP BY 1""")
@@ -217,9 +217,9 @@ def agg41(spark, d):
 
 @query("agg33_source_inventory", "SELECT source, lang, count(*) AS n, string_agg(DISTINCT cast(n_chars // 5000 as varchar), ',' ORDER BY cast(n_chars // 5000 as varchar)) AS periods FROM documents GROUP BY 1, 2")
 def agg33(spark, d):
-    x = table(spark, d, "documents").groupBy("source", "lang", F.floor(F.col("n_chars") / 5000).cast("string").alias("p")).agg(F.count(F.lit(1)).alias("c"))
-    # distinct periods are aggregated first, so the list holds one entry per period
-    return x.groupBy("source", "lang").agg(F.sum("c").alias("n"), F.array_join(F.sort_array(F.collect_list("p")), ",").alias("periods"))
+    from tallygrid.operators.inventory import source_inventory
+    x = table(spark, d, "documents").withColumn("p", F.floor(F.col("n_chars") / 5000).cast("string"))
+    return source_inventory(x, ["source", "lang"], "p").withColumn("periods", F.array_join("periods", ","))
 
 
 @query("src19_transcript_store", "SELECT conv_id, role AS quarter, turn - min(turn) over (partition by conv_id, role) >= 0 AS ok, turn, trim(text) AS content FROM conversations WHERE trim(text) <> ''")

@@ -495,7 +495,7 @@ def flt26(spark, d):
   SELECT entity, min(close) AS lo, max(close) AS hi, arg_max(close, month) AS latest, count(case when rn <= 12 then 1 end) AS shown,
   round(sum(case when rn <= 12 then close end), 4) AS last12 FROM r GROUP BY 1""")
 def agg31(spark, d):
-    x = R.ranked(B.prices(spark, d), "entity", "month")
-    return x.groupBy("entity").agg(
-        F.min("close").alias("lo"), F.max("close").alias("hi"), F.max_by("close", "month").alias("latest"),
-        F.count_if(F.col("_rn") <= 12).alias("shown"), F.round(F.sum(F.when(F.col("_rn") <= 12, F.col("close"))), 4).alias("last12"))
+    from tallygrid.operators.inventory import price_range
+    x = price_range(B.prices(spark, d))
+    return x.select("entity", "lo", "hi", "latest", F.size("recent").cast("bigint").alias("shown"),
+                    F.round(F.aggregate("recent", F.lit(0.0), lambda a, v: a + v), 4).alias("last12"))

@@ -262,10 +262,10 @@ def agg27(spark, d):
 @query("agg32_token_costs", """WITH p(role, price) AS (VALUES ('user', 0.5::double), ('assistant', 2.0::double)) SELECT conv_id, cast(sum(length(text)) as bigint) AS chars, round(sum(case when price is null then null else length(text) * price / 1e6 end), 9) AS cost,
   count(case when price is null then 1 end) AS unpriced FROM conversations LEFT JOIN p USING (role) GROUP BY 1""")
 def agg32(spark, d):
-    from tallygrid.session import small_side
+    from tallygrid.operators.inventory import usage_costs
     p = spark.createDataFrame([("user", 0.5), ("assistant", 2.0)], "role string, price double")
-    c = table(spark, d, "conversations").select("conv_id", "role", F.length("text").alias("n")).join(small_side(p), "role", "left")
-    return c.groupBy("conv_id").agg(F.sum("n").alias("chars"), F.round(F.sum(F.col("n") * F.col("price") / 1e6), 9).alias("cost"), F.count_if(F.col("price").isNull()).alias("unpriced"))
+    u = table(spark, d, "conversations").select("conv_id", "role", F.length("text").alias("n"))
+    return usage_costs(u, p, ["conv_id"], "role", "n").withColumnRenamed("tokens", "chars")
 
 
 # --- rotation ----------------------------------------------------------------------------------------------
@@ -312,11 +312,12 @@ def win29(spark, d):
 
 @query("set02_batch_union", """SELECT o_custkey AS entity FROM orders WHERE o_orderdate >= date '2001-07-01' UNION SELECT user_id FROM events WHERE user_id IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')""")
 def set02(spark, d):
+    from tallygrid.operators.inventory import batch_union
     o = table(spark, d, "orders")
     batch = o.where(F.col("o_orderdate") >= "2001-07-01").select(F.col("o_custkey").alias("entity")).distinct()
     watch = table(spark, d, "events").select(F.col("user_id").alias("entity")).distinct()
     analyzed = o.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("entity"))
-    return batch.unionByName(watch.join(analyzed, "entity", "left_semi").join(batch, "entity", "left_anti"))
+    return batch_union(batch, watch, analyzed)
 
 
 @query("set03_pending", "SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")

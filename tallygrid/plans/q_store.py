@@ -297,17 +297,18 @@ def rm02(spark, d):
 
 @query("rm04_ticker_detail", f"{QG.SNAP_SQL}, {STATUS_SQL}, n AS (SELECT entity, count(*) AS quarters FROM st GROUP BY 1), ny AS (SELECT entity, count(*) AS years FROM sty GROUP BY 1) SELECT c_custkey AS entity, c_name AS name, coalesce(status, 'ok') AS status, case when c_nationkey % 3 = 0 then 'CNY' else 'USD' end AS currency, cap AS market_cap, round(cap/nullif(ttm_net_income,0), 6) AS ttm_pe, coalesce(quarters, 0) AS quarters, coalesce(years, 0) AS years FROM customer LEFT JOIN sta ON sta.entity = c_custkey LEFT JOIN s ON s.entity = c_custkey LEFT JOIN n ON n.entity = c_custkey LEFT JOIN ny ON ny.entity = c_custkey")
 def rm04(spark, d):
-    pair = B.statement_pair(spark, d)
-    cnt = lambda g, n: pair[g == "year"].groupBy("entity").agg(F.count(F.lit(1)).alias(n))
-    ccy = table(spark, d, "customer").select(F.col("c_custkey").alias("entity"), F.when(F.col("c_nationkey") % 3 == 0, "CNY").otherwise("USD").alias("currency"))
-    x = RM.ticker_rows(analyzed(spark, d), status(spark, d), QG.snapshot_frame(spark, d, pair=pair)).join(ccy, "entity").join(cnt("quarter", "quarters"), "entity", "left").join(cnt("year", "years"), "entity", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
-    return x.select("entity", "name", "status", "currency", "market_cap", F.round("ttm_pe", 6).alias("ttm_pe"), zero("quarters"), zero("years"))
+    from tallygrid.plans.company import company_detail
+    q, y = B.statement_pair(spark, d)
+    rows = RM.ticker_rows(analyzed(spark, d), status(spark, d), QG.snapshot_frame(spark, d, pair=(q, y)))
+    nat = table(spark, d, "customer").select(F.col("c_custkey").alias("entity"), "c_nationkey")
+    x = company_detail(rows.join(nat, "entity"), q, y, F.when(F.col("c_nationkey") % 3 == 0, "CNY").otherwise("USD"))
+    return x.select("entity", "name", "status", "currency", "market_cap", F.round("ttm_pe", 6).alias("ttm_pe"), "quarters", "years")
 
 
 @query("rm09_index_rows", f"{QG.SNAP_SQL} SELECT c_mktsegment AS industry, c_custkey AS entity, cap AS market_cap, round(cap/nullif(ttm_fcf,0), 6) AS p_fcf, round(ttm_net_income/nullif(av,0), 6) AS roa FROM customer JOIN s ON s.entity = c_custkey")
 def rm09(spark, d):
-    x = analyzed(spark, d).join(QG.snapshot_frame(spark, d), "entity")
+    from tallygrid.plans.company import index_rows
+    x = index_rows(analyzed(spark, d), QG.snapshot_frame(spark, d), ["market_cap", "p_fcf", "roa"])
     return x.select("industry", "entity", "market_cap", F.round("p_fcf", 6).alias("p_fcf"), F.round("roa", 6).alias("roa"))
 
 
