@@ -23,7 +23,7 @@ def main(sf, prefixes):
     import __spark_entry__ as E
     from tallygrid.session import local_session
     spark = local_session("8")
-    d = f"/root/testdata/sf{sf}"
+    d = sf if sf.startswith("/") else f"/root/testdata/sf{sf}"
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"create view {t} as select * from '{d}/{t}.parquet'")
