@@ -332,7 +332,7 @@ def agg18(spark, d):
 
 ADS_SQL = f"""{B.LINES_SQL}, {B.statements_sql('year')}, sp AS (SELECT entity, year(period) AS fy, shares * (c_nationkey % 7) + case when c_nationkey % 3 = 0 then shares * 0.1 else 0 end AS a, shares AS b FROM st JOIN customer ON c_custkey = entity),
   ar AS (SELECT entity, list(a/b order by a/b) AS r FROM sp WHERE a > 0 and b > 0 GROUP BY 1), cand AS (SELECT unnest(list_concat(list_transform(range(2, 101), lambda k: k::double), list_transform(range(2, 21), lambda k: 1.0::double/k))) AS c),
-  ads AS (SELECT entity, c AS t FROM (SELECT entity, r, c, r[len(r)//2 + 1] AS med FROM ar, cand QUALIFY row_number() over (partition by entity order by abs(r[len(r)//2+1] - c)/c, c) = 1) WHERE abs(med - c)/c <= 0.15 and len(list_filter(r, lambda v: abs(v - c)/c > 0.25)) = 0)"""
+  ads AS (SELECT entity, c AS t FROM (SELECT entity, r, c, r[len(r)//2 + 1] AS med FROM ar, cand QUALIFY row_number() over (partition by entity order by abs(r[len(r)//2+1] - c)/c, case when c >= 2 then c else 100 + 1/c end) = 1) WHERE abs(med - c)/c <= 0.15 and len(list_filter(r, lambda v: abs(v - c)/c > 0.25)) = 0)"""
 
 
 def ads_sides(spark, d):

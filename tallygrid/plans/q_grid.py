@@ -499,3 +499,27 @@ def agg31(spark, d):
     x = price_range(B.prices(spark, d))
     return x.select("entity", "lo", "hi", "latest", F.size("recent").cast("bigint").alias("shown"),
                     F.round(F.aggregate("recent", F.lit(0.0), lambda a, v: a + v), 4).alias("last12"))
+
+
+@query("udx01_sql_functions", f"""{ST} SELECT entity, cast(period as varchar) AS period, ocf/nullif(capex,0) AS cover, case when ocf is not null and capex is not null then greatest(ocf, capex) end AS larger,
+  case when ocf is not null and capex is not null then cast((ocf > 50000 and capex > 2000)::int as double) end AS strong, cast(case when month(period) >= 6 then year(period) else year(period) - 1 end as integer) AS fy FROM st""")
+def udx01(spark, d):
+    from tallygrid.functions.sql import register_sql_functions
+    register_sql_functions(spark)
+    m = [M.Metric("cover", "safe_div(ocf, capex)"), M.Metric("larger", "max_of(ocf, capex)", position=1),
+         M.Metric("strong", "both_true(double(int(ocf > 50000)), double(int(capex > 2000)))", position=2)]
+    x = M.evaluate(B.statements(spark, d), m, ["entity", "period"])
+    return x.select("entity", iso("period"), "cover", "larger", "strong", F.expr("fy_of(period)").alias("fy"))
+
+
+@query("udx04_flow_check", f"""{ST} SELECT entity, count(*) AS periods, case when count(case when rn <= 4 then ocf end) = 4 then round(sum(case when rn <= 4 then ocf end), 4) end AS ttm_ocf, 'a trailing sum does not apply to' AS refused FROM (SELECT *, row_number() over (partition by entity order by period desc) rn FROM st) GROUP BY 1""")
+def udx04(spark, d):
+    """A trailing sum is accepted for a flow and refused for a stock item before any job runs."""
+    g = M.MetricGrid("entity")
+    try:
+        g.ttm_of("equity")
+        said = "accepted"
+    except M.MetricError as e:
+        said = str(e)[:32]
+    x = B.statements(spark, d).select("entity", "period", g.ttm_of("ocf").alias("t"))
+    return x.groupBy("entity").agg(F.count(F.lit(1)).alias("periods"), F.round(F.max_by("t", "period"), 4).alias("ttm_ocf")).withColumn("refused", F.lit(said))

@@ -39,7 +39,7 @@ def src01(spark, d):
     rows = F.transform("rows", lambda r: F.struct(F.col("l_orderkey").alias("k"), r["n"].alias("n"), r["part"].alias("part"), r["price"].alias("price")))
     x = line_docs(spark, d)
     x.select(F.to_json(rows).alias("value")).write.text(path)
-    x.limit(3).select(F.lit("{broken").alias("value")).write.mode("append").text(path)
+    table(spark, d, "region").select(F.concat(F.lit("{broken "), "r_name").alias("value")).write.mode("append").text(path)
     return FI.read_json_array(spark, path, "k bigint, n int, part bigint, price double", array_per_line=True)
 
 
@@ -90,7 +90,7 @@ def src07(spark, d):
     x = line_docs(spark, d)
     doc = F.to_json(F.struct(F.concat(F.lit("t"), F.col("l_orderkey").cast("string")).alias("ticker"), F.col("rows").alias("filings")))
     x.select(doc.alias("value")).write.text(path)
-    x.limit(2).select(F.lit('{"ticker": "t1", "filings": [').alias("value")).write.mode("append").text(path)
+    table(spark, d, "region").select(F.concat(F.lit('{"ticker": "'), "r_name", F.lit('", "filings": [')).alias("value")).write.mode("append").text(path)
     good, _bad = FI.read_quarantined(spark, path, "ticker string, filings array<struct<n:int,price:double>>")
     return good.select(F.upper("ticker").alias("ticker"), F.inline("filings"))
 
@@ -148,8 +148,8 @@ def src15(spark, d):
 @query("src16_filings", f"WITH {LINES2_SQL} SELECT l_orderkey, flag AS form, ship AS filed FROM l2 WHERE flag in ('A', 'R') and ship >= '1997-01-01'")
 def src16(spark, d):
     x = line_docs(spark, d).select("l_orderkey", F.transform("rows", lambda r: r["flag"]).alias("form"), F.transform("rows", lambda r: r["ship"]).alias("filed"))
-    even = x.where(F.col("l_orderkey") % 2 == 0)
-    return P.filings([even, x.where(F.col("l_orderkey") % 2 != 0)], ["l_orderkey"], ["form", "filed"], ["A", "R"], "1997-01-01")
+    first = F.get("form", F.lit(0)) == "A"                # two pages that together hold every row
+    return P.filings([x.where(first), x.where(~first)], ["l_orderkey"], ["form", "filed"], ["A", "R"], "1997-01-01")
 
 
 @query("src18_announcements", f"""WITH x AS (SELECT o_custkey AS entity, o_orderpriority AS category, o_orderkey, o_orderdate, {TITLE_SQL} AS title FROM orders) SELECT entity, category, o_orderkey, row_number() over (partition by entity, category order by o_orderdate desc, o_orderkey desc) AS rn FROM x
@@ -447,10 +447,10 @@ def inc07(spark, d):
 
 
 @query("inc08_version_rerun", """SELECT o_orderkey, case when v < 3 and hit then r else o_totalprice end AS a, case when v < 3 and hit then coalesce(r2, o_orderpriority) else o_orderpriority end AS b, case when v < 3 and hit then 3 else version end AS version FROM (
-  SELECT *, coalesce(version, 1) AS v, o_custkey % 2 = 0 AS hit, o_totalprice * 2 AS r, case when o_custkey % 4 = 0 then 'new' end AS r2 FROM (SELECT *, case o_orderstatus when 'F' then null when 'O' then 2 else 3 end AS version FROM orders))""")
+  SELECT *, coalesce(version, 1) AS v, o_orderpriority <> '1-URGENT' AS hit, o_totalprice * 2 AS r, case when o_custkey % 4 = 0 then 'new' end AS r2 FROM (SELECT *, case o_orderstatus when 'F' then null when 'O' then 2 else 3 end AS version FROM orders))""")
 def inc08(spark, d):
     s = F.col("o_orderstatus")
     rows = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.col("o_totalprice").alias("a"), F.col("o_orderpriority").alias("b"), F.when(s == "F", None).when(s == "O", 2).otherwise(3).alias("version"))
     old = I.outdated(rows, 3)
-    rerun = old.where("o_custkey % 2 = 0").select("o_orderkey", (F.col("a") * 2).alias("a"), F.when(F.col("o_custkey") % 4 == 0, "new").alias("b"))
+    rerun = old.where("b <> '1-URGENT'").select("o_orderkey", (F.col("a") * 2).alias("a"), F.when(F.col("o_custkey") % 4 == 0, "new").alias("b"))
     return I.reapply(rows, rerun, ["o_orderkey"], 3, ["b"]).select("o_orderkey", "a", "b", "version")
