@@ -98,11 +98,11 @@ def conversation_list(messages: DataFrame, key: str, time: str) -> DataFrame:
 
 
 def mentions(docs: DataFrame, key: str, text: str, tickers: DataFrame, names: DataFrame, stop: list[str],
-             max_words: int = 6, limit: int = 4) -> DataFrame:
+             max_words: int | None = None, limit: int = 4) -> DataFrame:
     """JN-21: entities a text mentions, in order of appearance per class: tagged, upper-case token,
     company name. ``tickers``: ticker; ``names``: norm, ticker (normalised name).
 
-    Names are matched as word n-grams by an equi-join, never as substrings of every pair. All three
+    Names are found by an equi-join on their first word, never as substrings of every pair. All three
     candidate kinds are equi-joined with the dictionary and only then ranked."""
     t = F.col(text)
     # word edges in any script, so that an accented neighbour is part of the word
@@ -113,13 +113,18 @@ def mentions(docs: DataFrame, key: str, text: str, tickers: DataFrame, names: Da
     a = docs.select(key, F.lit(0).alias("cls"), pos(tag, "ticker"))
     b = docs.select(key, F.lit(1).alias("cls"), pos(tok, "ticker"))
     ab = a.unionByName(b).join(small_side(tickers.select("ticker").distinct()), "ticker")
+    if max_words is None:                                   # longest name of the dictionary, a one-number job
+        max_words = names.agg(F.max(F.size(F.split("norm", " ")))).first()[0] or 1
+    # every word is zipped with its successors, joined on the first word of a name and then compared
+    # as far as that name reaches
     words = F.split(F.trim(F.regexp_replace(F.lower(t), "[^a-z0-9]+", " ")), " ")
-    at = lambda i, k: F.get(F.col("_w"), i + k)
-    gram = lambda n: F.when(F.size("_w") >= n, F.transform(
-        F.sequence(F.lit(0), F.size("_w") - n), lambda i: F.concat_ws(" ", *[at(i, k) for k in range(n)])))
-    grams = F.concat(*[F.coalesce(gram(n), F.array().cast("array<string>")) for n in range(1, max_words + 1)])
-    n = docs.select(key, words.alias("_w")).select(key, F.explode(grams).alias("norm")) \
-        .join(small_side(names.where(F.length("norm") >= 5)), "norm")
+    w = docs.select(key, words.alias("_w"))
+    z = F.arrays_zip(*[(F.col("_w") if i == 0 else F.slice("_w", i + 1, F.size("_w"))).alias(f"w{i}") for i in range(max_words)])
+    w = w.select(key, F.inline(z))
+    d = names.where(F.length("norm") >= 5).select(
+        "norm", "ticker", F.split("norm", " ")[0].alias("_first"), F.size(F.split("norm", " ")).alias("_k"))
+    phrase = F.concat_ws(" ", *[F.col("w0") if i == 0 else F.when(F.col("_k") > i, F.col(f"w{i}")) for i in range(max_words)])
+    n = w.join(small_side(d), (F.col("w0") == F.col("_first")) & (phrase == F.col("norm")) & (F.col("_k") <= max_words))
     c = n.select(key, F.lit(2).alias("cls"), (-F.length("norm")).alias("pos"), "ticker")
     u = ab.select(key, "cls", "pos", "ticker").unionByName(c)
     first = u.groupBy(key, "ticker").agg(F.min(F.struct("cls", "pos")).alias("f"))

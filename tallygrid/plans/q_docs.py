@@ -201,7 +201,7 @@ def jn21(spark, d):
     two = F.regexp_extract("text", "[A-Za-z]+ [A-Za-z]+", 0)
     names = b.select(F.trim(F.regexp_replace(F.lower(two), "[^a-z0-9]+", " ")).alias("norm"), F.concat(F.lit("B"), F.col("item_id").cast("string")).alias("ticker")).distinct()
     tick = b.select(F.upper(F.regexp_extract("text", "[A-Za-z]{2,6}", 0)).alias("ticker"))
-    return C.mentions(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", tick, names, ["THE", "AND"], max_words=2)
+    return C.mentions(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", tick, names, ["THE", "AND"])
 
 
 @query("agg41_source_dates", """WITH x AS (SELECT page_id, case when page_id % 3 = 0 then '2024-05-0' || (page_id % 9 + 1) || 'T00:00:00' when page_id % 3 = 1 then 'bad' end AS pub, 'http://x/20' || (page_id % 10 + 10) || '/' || (page_id % 12 + 1) || '/' || (page_id % 28 + 1) || '/' AS url FROM pages)

@@ -31,7 +31,8 @@ def write_by_entity(df: DataFrame, path: str, entity: str = "entity", buckets: i
 
 def write_shards(df: DataFrame, path: str, shard: str, sort: str) -> None:
     """SNK-03: only the shards present in ``df`` are replaced; rows sorted inside each shard file.
-    A range exchange on (shard, sort key) cuts a large shard into several sorted files."""
+    A range exchange on (shard, sort key) cuts a large shard into several sorted files with disjoint
+    key ranges; its sampling pass reads the input once more, so pass a table, not a long plan."""
     df.repartitionByRange(shard, sort).sortWithinPartitions(shard, sort).write.mode("overwrite") \
         .option("partitionOverwriteMode", "dynamic").partitionBy(shard).parquet(path)
 

@@ -19,8 +19,20 @@ def file_stream(spark: SparkSession, path: str, schema, max_files: int = 1000) -
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(f"{path}*")
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def disk_state(spark: SparkSession) -> None:
+    """Keyed state on executor disks instead of Spark's in-memory default: the state holds one row per
+    key and may exceed the memory of an executor. A provider the session has chosen stays."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    if spark.conf.get(key).endswith("HDFSBackedStateStoreProvider"):
+        spark.conf.set(key, ROCKSDB)
+
+
 def append_new_files(stream: DataFrame, out: str, checkpoint: str) -> None:
     """INC-01: files that were not processed before are appended; the checkpoint is the resume state."""
+    disk_state(stream.sparkSession)
     stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint) \
         .outputMode("append").trigger(availableNow=True).start().awaitTermination()
 
@@ -40,6 +52,8 @@ def drop_repeats(stream: DataFrame, key: str, time: str | None = None, delay: st
 def keep_state(aggregate: DataFrame, out: str, checkpoint: str) -> None:
     """INC-03 / INC-07: run a streaming keyed aggregate over what is available; the rows that changed
     in a micro-batch are written below its epoch."""
+    disk_state(aggregate.sparkSession)
+
     def write(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
     aggregate.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint) \
