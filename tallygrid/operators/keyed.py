@@ -30,18 +30,24 @@ def top_per_key(df: DataFrame, keys: list[str], order: list, n: int, rank_col: s
 
 
 def running_total(df: DataFrame, keys: list[str], order: str, value: str, out: str,
-                  block: int = 4096, descending: bool = False) -> DataFrame:
-    """Running total (current row included) along a unique integer order column.
+                  block: int = 4096, descending: bool = False, depth: int = 2) -> DataFrame:
+    """Running total (current row included) along a unique integer order column; exact for integers.
 
-    Rows are cut into blocks of ``block`` consecutive order values. Block totals are
-    aggregated (with map-side combine) and accumulated per key; each block then adds
-    its own offset, so the widest window holds one block or one row per block."""
+    Rows are cut into blocks of ``block`` consecutive order values. Block totals are aggregated
+    (with map-side combine) and accumulated per key, themselves in blocks while ``depth`` allows;
+    each block then adds its own offset. With two levels the widest window holds one block, or one
+    row per block squared, of a key."""
     sign = -1 if descending else 1
     blk = F.floor(F.col(order) / F.lit(block)).cast("bigint")
     rows = df.withColumn("_blk", blk)
-    totals = rows.groupBy(*keys, "_blk").agg(F.sum(value).alias("_tot"))
-    wb = W.partitionBy(*keys).orderBy(F.col("_blk") * sign).rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "_blk", F.coalesce(F.sum("_tot").over(wb), F.lit(0)).alias("_off"))
+    totals = rows.groupBy(*keys, F.col("_blk").alias("_ord")).agg(F.sum(value).alias("_tot"))
+    if depth > 1:
+        offset = F.col("_acc") - F.col("_tot")
+        totals = running_total(totals, keys, "_ord", "_tot", "_acc", block, descending, depth - 1)
+    else:
+        wb = W.partitionBy(*keys).orderBy(F.col("_ord") * sign).rowsBetween(W.unboundedPreceding, -1)
+        offset = F.coalesce(F.sum("_tot").over(wb), F.lit(0))
+    offsets = totals.select(*keys, F.col("_ord").alias("_blk"), offset.alias("_off"))
     wi = W.partitionBy(*keys, "_blk").orderBy(F.col(order) * sign).rowsBetween(W.unboundedPreceding, 0)
     inside = rows.withColumn("_in", F.sum(value).over(wi))
     return (inside.join(offsets, [*keys, "_blk"])
