@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallygrid.functions import scalars as S
-from tallygrid.operators.keyed import running_total, top_per_key
+from tallygrid.operators.keyed import running_total, running_totals, top_per_key
 from tallygrid.session import small_side
 
 # Phrases that hand a call over to questions.
@@ -78,8 +78,7 @@ def budgeted_history(messages: DataFrame, keys: list[str], order: str, size: str
                      block: int = 4096) -> DataFrame:
     """WIN-27: newest messages whose running size stays within the budget, but always two."""
     one = messages.withColumn("_one", F.lit(1))
-    x = running_total(one, keys, order, size, "_run", block, descending=True)
-    x = running_total(x, keys, order, "_one", "_pos", block, descending=True)
+    x = running_totals(one, keys, order, {"_run": size, "_pos": "_one"}, block, descending=True)
     return x.where((F.col("_run") <= budget) | (F.col("_pos") <= at_least)).drop("_run", "_pos", "_one")
 
 

@@ -29,29 +29,36 @@ def top_per_key(df: DataFrame, keys: list[str], order: list, n: int, rank_col: s
         .withColumn(rank_col, F.col(rank_col).cast("bigint"))
 
 
-def running_total(df: DataFrame, keys: list[str], order: str, value: str, out: str,
-                  block: int = 4096, descending: bool = False, depth: int = 2) -> DataFrame:
-    """Running total (current row included) along a unique integer order column; exact for integers.
+def running_totals(df: DataFrame, keys: list[str], order: str, sums: dict[str, str],
+                   block: int = 4096, descending: bool = False, depth: int = 2) -> DataFrame:
+    """Running totals (current row included) along a unique integer order column, several in one
+    pass: ``sums`` maps output names to value columns. Exact for integers.
 
     Rows are cut into blocks of ``block`` consecutive order values. Block totals are aggregated
     (with map-side combine) and accumulated per key, themselves in blocks while ``depth`` allows;
     each block then adds its own offset. With two levels the widest window holds one block, or one
     row per block squared, of a key."""
     sign = -1 if descending else 1
-    blk = F.floor(F.col(order) / F.lit(block)).cast("bigint")
-    rows = df.withColumn("_blk", blk)
-    totals = rows.groupBy(*keys, F.col("_blk").alias("_ord")).agg(F.sum(value).alias("_tot"))
+    tot, acc, off = ({o: f"_{p}_{o}" for o in sums} for p in ("tot", "acc", "off"))
+    rows = df.withColumn("_blk", F.floor(F.col(order) / F.lit(block)).cast("bigint"))
+    totals = rows.groupBy(*keys, F.col("_blk").alias("_ord")).agg(*[F.sum(v).alias(tot[o]) for o, v in sums.items()])
     if depth > 1:
-        offset = F.col("_acc") - F.col("_tot")
-        totals = running_total(totals, keys, "_ord", "_tot", "_acc", block, descending, depth - 1)
+        totals = running_totals(totals, keys, "_ord", {acc[o]: tot[o] for o in sums}, block, descending, depth - 1)
+        offset = {o: F.col(acc[o]) - F.col(tot[o]) for o in sums}
     else:
         wb = W.partitionBy(*keys).orderBy(F.col("_ord") * sign).rowsBetween(W.unboundedPreceding, -1)
-        offset = F.coalesce(F.sum("_tot").over(wb), F.lit(0))
-    offsets = totals.select(*keys, F.col("_ord").alias("_blk"), offset.alias("_off"))
+        offset = {o: F.coalesce(F.sum(tot[o]).over(wb), F.lit(0)) for o in sums}
+    offsets = totals.select(*keys, F.col("_ord").alias("_blk"), *[offset[o].alias(off[o]) for o in sums])
     wi = W.partitionBy(*keys, "_blk").orderBy(F.col(order) * sign).rowsBetween(W.unboundedPreceding, 0)
-    inside = rows.withColumn("_in", F.sum(value).over(wi))
-    return (inside.join(offsets, [*keys, "_blk"])
-            .withColumn(out, F.col("_in") + F.col("_off")).drop("_in", "_off", "_blk"))
+    inside = rows.select("*", *[F.sum(v).over(wi).alias(f"_in_{o}") for o, v in sums.items()])
+    x = inside.join(offsets, [*keys, "_blk"])
+    return x.select(*df.columns, *[(F.col(f"_in_{o}") + F.col(off[o])).alias(o) for o in sums])
+
+
+def running_total(df: DataFrame, keys: list[str], order: str, value: str, out: str,
+                  block: int = 4096, descending: bool = False) -> DataFrame:
+    """One running total; see ``running_totals``."""
+    return running_totals(df, keys, order, {out: value}, block, descending)
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
