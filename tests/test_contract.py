@@ -11,8 +11,9 @@ TABLES = check.TABLES
 
 
 def test_names_and_sql():
-    q, s = E.queries(), E.oracle_sql()
-    assert set(s) == set(q) and len(q) > 200
+    from tallygrid.plans import catalog
+    q, s = catalog.QUERIES, catalog.SQL
+    assert set(s) == set(q) and len(q) > 200 and set(q) <= set(E.queries()) and set(s) <= set(E.oracle_sql())
     assert all(re.fullmatch(r"[a-z]{2,3}\d\d[a-z0-9_]*", n) for n in q)
 
 
