@@ -9,11 +9,11 @@ import numpy as np
 class Chunks(dict):
     """chunk -> number; the chunks not seen before wait in ``new`` until ``encode`` has given their ids."""
 
-    def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]], keep: int):
+    def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]], keep: int, dtype=np.int32):
         super().__init__()
         self.encode, self.keep = encode, keep
         self.new: list = []
-        self.ids, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.ids, self.ends = np.zeros(0, dtype), np.zeros(1, np.int64)
 
     def __missing__(self, chunk) -> int:
         n = self[chunk] = len(self)
@@ -27,7 +27,7 @@ class Chunks(dict):
         """Encode what waits: ``encode(chunks) -> (ids one after the other, ids per chunk)``."""
         if self.new:
             ids, lengths = self.encode(self.new)
-            self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
+            self.ids = np.concatenate([self.ids, ids.astype(self.ids.dtype)])
             self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
             self.new = []
 
@@ -37,7 +37,7 @@ class Chunks(dict):
         n = (self.ends[1:][numbers] - a).astype(np.int64)
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(ends) else 0
-        return self.ids[np.repeat(a - (ends - n), n) + np.arange(total)] if total else np.zeros(0, np.int32)
+        return self.ids[np.repeat(a - (ends - n), n) + np.arange(total)] if total else self.ids[:0]
 
     def trim(self) -> None:
         """Between batches: forget the chunks that came after the first ``keep`` (common ones come early)."""

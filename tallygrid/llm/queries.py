@@ -6,7 +6,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallygrid.llm import bpe_index, column_suffix, line_bloom, simhash_pivot, token_windows, wavelet
+from tallygrid.llm import (bpe_index, column_suffix, decontaminate, host_paths, line_bloom, pstable, quality_trees,
+                           simhash_pivot, token_windows, wavelet)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -25,6 +26,11 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+@query("op1_host_path_extraction")
+def op1(spark, d):
+    return host_paths.extract(table(spark, d, "pages"))
+
+
 @query("op2_bpe_pair_index")
 def op2(spark, d):
     return bpe_index.digest(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -35,6 +41,16 @@ def op3(spark, d):
     return simhash_pivot.near_duplicates(table(spark, d, "documents"))
 
 
+@query("op4_simhash_window_decontamination")
+def op4(spark, d):
+    return decontaminate.matches(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+@query("op5_multiprobe_pstable_search")
+def op5(spark, d):
+    return pstable.nearest(table(spark, d, "embeddings"))
+
+
 @query("op6_column_suffix_dedup")
 def op6(spark, d):
     return column_suffix.digest(column_suffix.remove_repeats(table(spark, d, "documents")))
@@ -58,6 +74,11 @@ def op8(spark, d):
     return line_bloom.digest(line_bloom.drop_lines(table(spark, d, "documents")))
 
 
+@query("op9_histogram_trees_quality")
+def op9(spark, d):
+    return quality_trees.classify(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 @query("op10_token_window_dedup", r"""
 with t as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
 p as (select doc_id, w, unnest(range(1, len(w) + 1)) as i from t),
