@@ -23,8 +23,10 @@ def qa_start(speaker="speaker", title="title", content="content", operator="Oper
 def split_call(turns: DataFrame, keys: list[str], cond: Column, turn: str = "turn") -> DataFrame:
     """WIN-22: part = remarks / qa; the cut is the first hand-over after the opening turn."""
     cut = turns.groupBy(*keys).agg(F.min(F.when(cond & (F.col(turn) > 0), F.col(turn))).alias("_cut"))
-    return turns.join(cut, keys).withColumn("part", F.when(F.col(turn) < F.col("_cut"), "remarks")
-                                            .when(F.col("_cut").isNull(), "remarks").otherwise("qa")).drop("_cut")
+    cut = cut.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_cut")
+    x = turns.join(cut, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    part = F.when(F.coalesce(F.col(turn) >= F.col("_cut"), F.lit(False)), "qa").otherwise("remarks")
+    return x.select(*turns.columns, part.alias("part"))
 
 
 def call_stats(turns: DataFrame, keys: list[str], speaker="speaker", content="content", operator="Operator") -> DataFrame:
@@ -44,18 +46,20 @@ def first_speakers(turns: DataFrame, keys: list[str], n: int = 8, speaker="speak
 
 
 def render_page(turns: DataFrame, keys: list[str], offset: int, max_chars: int, speaker="speaker", title="title",
-                content="content", turn="turn", block: int = 4096) -> DataFrame:
+                content="content", turn="turn", block: int = 4096, part: str = "all") -> DataFrame:
     """TXT-08: one page of the speaker-labelled text of a call, with the total length and the next
-    offset. Only the turns that overlap the page are collected, so the size of a row is bounded by
+    offset. ``part``: remarks, qa (rows that ``split_call`` marked) or all. Only the turns that overlap the page are collected, so the size of a row is bounded by
     the page, whatever the length of the call."""
     t = F.concat(F.lit("**"), F.coalesce(speaker, F.lit("")), F.lit("** ("), F.coalesce(title, F.lit("")), F.lit("):\n"), F.col(content))
+    turns = turns if part == "all" else turns.where(F.col("part") == part)
     x = turns.select(*keys, F.col(turn).alias("_t"), t.alias("_s")).withColumn("_len", F.length("_s") + 2)
+    total = x.groupBy(*keys).agg((F.sum("_len") - 2).alias("total"))
     x = running_total(x, keys, "_t", "_len", "_end", block).withColumn("_start", F.col("_end") - F.col("_len"))
-    total = x.groupBy(*keys).agg((F.max("_end") - 2).alias("total"))
     page = x.where((F.col("_end") > offset) & (F.col("_start") < offset + max_chars)).groupBy(*keys).agg(
         F.min("_start").alias("_first"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_start", "_s"))), lambda r: r["_s"]), "\n\n").alias("_txt"))
-    y = total.join(page, keys, "left")
+    page = page.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_first", "_txt")
+    y = total.join(page, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], "left")
     rel = F.lit(offset) - F.col("_first") + 1
     return y.select(*keys, F.coalesce(F.substring(F.col("_txt"), rel, F.lit(max_chars)), F.lit("")).alias("chunk"), "total",
                     F.least(F.lit(offset + max_chars).cast("bigint"), "total").alias("next_offset"))
@@ -96,35 +100,36 @@ def conversation_list(messages: DataFrame, key: str, time: str) -> DataFrame:
     return messages.groupBy(key).agg(F.count(F.lit(1)).alias("message_count"), F.max(time).alias("updated_at"))
 
 
-def mentions(docs: DataFrame, key: str, text: str, tickers: DataFrame, names: DataFrame, stop: list[str],
-             max_words: int | None = None, limit: int = 4) -> DataFrame:
+# Upper-case words that are no tickers.
+STOP_TOKENS = ["THE", "AND", "FOR", "CEO", "CFO", "USA", "USD", "GAAP", "EPS", "ETF", "IPO", "AI", "IT", "US"]
+
+
+def mentions(docs: DataFrame, key: str, text: str, tickers: DataFrame, names: DataFrame, stop: list[str] = STOP_TOKENS,
+             limit: int = 4) -> DataFrame:
     """JN-21: entities a text mentions, in order of appearance per class: tagged, upper-case token,
     company name. ``tickers``: ticker; ``names``: norm, ticker (normalised name).
 
-    Names are found by an equi-join on their first word, never as substrings of every pair. All three
-    candidate kinds are equi-joined with the dictionary and only then ranked."""
+    A text's tags, tokens and words leave in one explode and meet the dictionary in one join. The
+    i-th word of a name, found at place q, votes for the name at place q - i; with a vote from each
+    of its words the name is there. No length is left out, and a long name widens no row."""
     t = F.col(text)
     # word edges in any script, so that an accented neighbour is part of the word
     before, after = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
     tag = F.transform(F.regexp_extract_all(t, F.lit(r"[$#]([A-Za-z]{1,6}(?:\.[A-Za-z])?)" + after), F.lit(1)), F.upper)
-    tok = F.filter(F.regexp_extract_all(t, F.lit(before + r"([A-Z]{2,6}(?:\.[A-Z])?)" + after), F.lit(1)), lambda x: ~x.isin(stop))
-    pos = lambda arr, c: F.posexplode(arr).alias("pos", c)
-    a = docs.select(key, F.lit(0).alias("cls"), pos(tag, "ticker"))
-    b = docs.select(key, F.lit(1).alias("cls"), pos(tok, "ticker"))
-    ab = a.unionByName(b).join(small_side(tickers.select("ticker").distinct()), "ticker")
-    if max_words is None:                                   # longest name of the dictionary, a one-number job
-        max_words = names.agg(F.max(F.size(F.split("norm", " ")))).first()[0] or 1
-    # every word is zipped with its successors, joined on the first word of a name and then compared
-    # as far as that name reaches
+    tok = F.regexp_extract_all(t, F.lit(before + r"([A-Z]{2,6}(?:\.[A-Z])?)" + after), F.lit(1))
+    if stop:
+        tok = F.filter(tok, lambda x: ~x.isin(stop))
     words = F.split(F.trim(F.regexp_replace(F.lower(t), "[^a-z0-9]+", " ")), " ")
-    w = docs.select(key, words.alias("_w"))
-    z = F.arrays_zip(*[(F.col("_w") if i == 0 else F.slice("_w", i + 1, F.size("_w"))).alias(f"w{i}") for i in range(max_words)])
-    w = w.select(key, F.inline(z))
-    d = names.where(F.length("norm") >= 5).select(
-        "norm", "ticker", F.split("norm", " ")[0].alias("_first"), F.size(F.split("norm", " ")).alias("_k"))
-    phrase = F.concat_ws(" ", *[F.col("w0") if i == 0 else F.when(F.col("_k") > i, F.col(f"w{i}")) for i in range(max_words)])
-    n = w.join(small_side(d), (F.col("w0") == F.col("_first")) & (phrase == F.col("norm")) & (F.col("_k") <= max_words))
-    c = n.select(key, F.lit(2).alias("cls"), (-F.length("norm")).alias("pos"), "ticker")
-    u = ab.select(key, "cls", "pos", "ticker").unionByName(c)
-    first = u.groupBy(key, "ticker").agg(F.min(F.struct("cls", "pos")).alias("f"))
+    kind = lambda arr, n: F.transform(arr, lambda w, i: F.struct(F.lit(n).alias("cls"), i.alias("pos"), w.alias("w")))
+    x = docs.select(F.col(key), F.inline(F.concat(kind(tag, 0), kind(tok, 1), kind(words, 2))))
+    d = names.where(F.length("norm") >= 5).select("norm", "ticker", F.split("norm", " ").alias("_n"))
+    d = d.select("norm", "ticker", F.posexplode("_n").alias("_i", "w"), F.size("_n").alias("_k"))
+    tick = tickers.select(F.col("ticker").alias("w")).distinct()
+    entry = tick.select("w", F.lit(0).alias("side"), F.lit(None).cast("string").alias("norm"), F.col("w").alias("ticker"), F.lit(0).alias("_i"), F.lit(1).alias("_k")).unionByName(
+        d.distinct().select("w", F.lit(1).alias("side"), "norm", "ticker", "_i", "_k"))
+    hit = x.withColumn("side", (F.col("cls") == 2).cast("int")).join(small_side(entry), ["w", "side"])
+    one = hit.where("side = 0").select(key, "cls", "pos", "ticker")
+    run = hit.where("side = 1").groupBy(key, "norm", "ticker", "_k", (F.col("pos") - F.col("_i")).alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
+    full = run.where(F.col("_c") == F.col("_k")).select(key, F.lit(2).alias("cls"), (-F.length("norm")).alias("pos"), "ticker")
+    first = one.unionByName(full).groupBy(key, "ticker").agg(F.min(F.struct("cls", "pos")).alias("f"))
     return top_per_key(first, [key], [F.col("f"), F.col("ticker")], limit).select(key, "ticker", "rn")

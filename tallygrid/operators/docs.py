@@ -122,12 +122,12 @@ def find_section(toc: DataFrame, keys: list[str], query: str) -> DataFrame:
 
 def section_text(docs: DataFrame, sections: DataFrame, keys: list[str], text: str = "text", offset: int = 0,
                  max_chars: int = 12000) -> DataFrame:
-    """TXT-05: a page of the section: chunk, total characters, next offset."""
-    x = sections.select(*keys, "line", "end").join(docs.select(*keys, text), keys)
+    """TXT-05: a page of the section: title, chunk, total characters, next offset."""
+    x = sections.select(*keys, "line", "end", "title").join(docs.select(*keys, text), keys)
     arr = F.split(F.col(text), "\n")
     body = F.array_join(F.slice(arr, F.col("line") + 1, F.greatest(F.coalesce("end", F.size(arr)) - F.col("line"), F.lit(0))), "\n")
     x = x.withColumn("_b", body)
-    return x.select(*keys, F.substring("_b", offset + 1, max_chars).alias("chunk"), F.length("_b").cast("bigint").alias("total"),
+    return x.select(*keys, "title", F.substring("_b", offset + 1, max_chars).alias("chunk"), F.length("_b").cast("bigint").alias("total"),
                     F.least(F.lit(offset + max_chars), F.length("_b")).cast("bigint").alias("next_offset"))
 
 

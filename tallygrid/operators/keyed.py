@@ -34,7 +34,8 @@ def running_totals(df: DataFrame, keys: list[str], order: str, sums: dict[str, s
     """Running totals (current row included) along a unique integer order column, several in one
     pass: ``sums`` maps output names to value columns. Exact for integers.
 
-    Rows are cut into blocks of ``block`` consecutive order values. Block totals are aggregated
+    Null keys are a key of their own; rows with a null order come after all others. Rows are cut into
+    blocks of ``block`` consecutive order values. Block totals are aggregated
     (with map-side combine) and accumulated per key, themselves in blocks while ``depth`` allows;
     each block then adds its own offset. With two levels the widest window holds one block, or one
     row per block squared, of a key."""
@@ -46,12 +47,14 @@ def running_totals(df: DataFrame, keys: list[str], order: str, sums: dict[str, s
         totals = running_totals(totals, keys, "_ord", {acc[o]: tot[o] for o in sums}, block, descending, depth - 1)
         offset = {o: F.col(acc[o]) - F.col(tot[o]) for o in sums}
     else:
-        wb = W.partitionBy(*keys).orderBy(F.col("_ord") * sign).rowsBetween(W.unboundedPreceding, -1)
+        wb = W.partitionBy(*keys).orderBy((F.col("_ord") * sign).asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)
         offset = {o: F.coalesce(F.sum(tot[o]).over(wb), F.lit(0)) for o in sums}
     offsets = totals.select(*keys, F.col("_ord").alias("_blk"), *[offset[o].alias(off[o]) for o in sums])
-    wi = W.partitionBy(*keys, "_blk").orderBy(F.col(order) * sign).rowsBetween(W.unboundedPreceding, 0)
+    wi = W.partitionBy(*keys, "_blk").orderBy((F.col(order) * sign).asc_nulls_last()).rowsBetween(W.unboundedPreceding, 0)
     inside = rows.select("*", *[F.sum(v).over(wi).alias(f"_in_{o}") for o, v in sums.items()])
-    x = inside.join(offsets, [*keys, "_blk"])
+    same = [*keys, "_blk"]
+    offsets = offsets.select(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(same)], *off.values())
+    x = inside.join(offsets, [F.col(c).eqNullSafe(F.col(f"_o{i}")) for i, c in enumerate(same)])
     return x.select(*df.columns, *[(F.col(f"_in_{o}") + F.col(off[o])).alias(o) for o in sums])
 
 

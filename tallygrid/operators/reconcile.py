@@ -19,17 +19,23 @@ def spread_of(lo, hi, scale) -> Column:
     return F.when(scale == 0, F.lit(0.0)).otherwise((hi - lo) / F.nullif(scale, F.lit(0.0)))
 
 
-def compare(facts: DataFrame, last_n: int | None = 8, entity: str = "entity") -> DataFrame:
+# Newest periods that are compared, by grid.
+WINDOWS = {"annual": 6, "quarterly": 8}
+
+
+def compare(facts: DataFrame, last_n: int | dict[str, int] | None = None, entity: str = "entity") -> DataFrame:
     """AGG-24: one row per grid, period and metric that at least two sources report: spread, sign
     flip, severity and the values by source. Facts: entity, grid, period, metric, source, val.
+    ``last_n``: newest periods, one number or one for each grid; None takes all.
 
     The newest n periods are found on distinct (entity, grid, period) keys; the comparison is one
     aggregate, its map has one entry per source."""
     x = facts
     if last_n:
         w = W.partitionBy(entity, "grid").orderBy(F.col("period").desc())
+        most = F.lit(last_n) if isinstance(last_n, int) else F.coalesce(*[F.when(F.col("grid") == g, F.lit(n)) for g, n in last_n.items()])
         keep = facts.select(entity, "grid", "period").distinct().withColumn("_r", F.row_number().over(w)) \
-            .where(F.col("_r") <= last_n).drop("_r")
+            .where(F.col("_r") <= F.coalesce(most, F.lit(2 ** 31 - 1))).drop("_r")
         x = x.join(keep, [entity, "grid", "period"], "left_semi")
     for src, metrics in INCOMPARABLE.items():
         x = x.where(~((F.col("source") == src) & F.col("metric").isin(metrics)))

@@ -71,17 +71,20 @@ def ads_ratio(primary: DataFrame, secondary: DataFrame, entity: str = "entity")
     s = secondary.where(F.col("shares") > 0).select(entity, "fy", F.col("shares").alias("_b"))
     r = p.join(s, [entity, "fy"]).groupBy(entity).agg(
         F.sort_array(F.collect_list(F.col("_a") / F.col("_b"))).alias("_r"))       # one value per fiscal year
-    x = r.withColumn("_med", F.get("_r", F.floor(F.size("_r") / 2).cast("int")))
+    # the nearest candidate is worked out once per entity, behind the aggregate, from three numbers of the ratios
+    x = r.select(entity, F.get("_r", F.floor(F.size("_r") / 2).cast("int")).alias("_med"), F.array_min("_r").alias("_lo"), F.array_max("_r").alias("_hi"))
     # the relative distance falls up to the median and rises after it, so only the neighbours of
     # the median among the integers and among the unit fractions can be nearest
     med = F.col("_med")
     clip = lambda v, hi: F.greatest(F.lit(2.0), F.least(F.lit(float(hi)), v.cast("double")))
     near = [(clip(f(med), 100), False) for f in (F.floor, F.ceil)] + [(clip(f(1 / med), 20), True) for f in (F.floor, F.ceil)]
     cand = [(F.lit(1.0) / k if inv else k, k + 100 if inv else k) for k, inv in near]
-    x = x.withColumn("_best", F.least(*[F.struct((F.abs(med - c) / c).alias("d"), n.alias("n"), c.alias("c")) for c, n in cand]))
-    t = F.col("_best")["c"]
-    ok = (F.abs(F.col("_med") - t) / t <= 0.15) & F.forall("_r", lambda v: F.abs(v - t) / t <= 0.25)
-    return x.where(ok).select(entity, t.alias("ads_ratio"))
+    best = F.least(*[F.struct((F.abs(med - c) / c).alias("d"), n.alias("n"), c.alias("c")) for c, n in cand])["c"]
+    # an inline of a one-element array keeps Catalyst from copying the expression into the filter
+    x = x.select(entity, "_med", "_lo", "_hi", F.explode(F.array(best)).alias("ads_ratio"))
+    t = F.col("ads_ratio")
+    far = lambda v: F.abs(F.col(v) - t) / t
+    return x.where((far("_med") <= 0.15) & (far("_lo") <= 0.25) & (far("_hi") <= 0.25)).select(entity, "ads_ratio")
 
 
 def ads_normalise(facts: DataFrame, ratios: DataFrame, entity: str = "entity") -> DataFrame:

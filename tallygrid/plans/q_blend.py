@@ -116,11 +116,11 @@ def win07(spark, d):
 
 # year-to-date filings: several filings per nation, year and quarter
 YTD_SQL = f"""yt AS (SELECT c_nationkey AS entity, 'revenue' AS metric, 'USD' AS unit, 0 AS rank, 'Revenues' AS concept, '10-Q' AS form, make_date(year(o_orderdate)::bigint, 1, 1) AS start, {B.QEND.format('o_orderdate')} AS "end",
-   cast(o_orderdate as date) AS filed, max(round(o_totalprice, 0)) AS val FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT' GROUP BY ALL)"""
+   cast(o_orderdate as date) AS filed, max(round(o_totalprice, 0)) AS val FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)"""
 
 
 def ytd_facts(spark, d):
-    o = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").join(table(spark, d, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    o = table(spark, d, "orders").join(table(spark, d, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
     return o.groupBy(F.col("c_nationkey").alias("entity"), F.make_date(F.year("o_orderdate"), F.lit(1), F.lit(1)).alias("start"), S.quarter_end("o_orderdate").alias("end"),
                      F.to_date("o_orderdate").alias("filed")).agg(F.max(F.round("o_totalprice", 0)).alias("val")).select(
         "*", F.lit("revenue").alias("metric"), F.lit("USD").alias("unit"), F.lit(0).alias("rank"), F.lit("Revenues").alias("concept"), F.lit("10-Q").alias("form"))
@@ -220,13 +220,13 @@ def top09(spark, d):
 
 # --- merge ----------------------------------------------------------------------------------------------------
 
-MERGE_SQL = f"""a AS (SELECT o_custkey AS entity, cast(date_trunc('month', o_orderdate) as date) AS period, {QS.format('o_totalprice')} AS val, bool_or(o_orderstatus = 'P') AS partial FROM orders WHERE o_orderstatus <> 'O' GROUP BY 1, 2),
+MERGE_SQL = f"""a AS (SELECT o_custkey AS entity, cast(date_trunc('month', o_orderdate) as date) AS period, {QS.format('o_totalprice')} AS val, bool_or(o_orderstatus = 'P') AS partial FROM orders GROUP BY 1, 2),
   b AS (SELECT o_custkey AS entity, cast(date_trunc('month', l_shipdate) as date) AS period, {QS.format('l_extendedprice')} AS val, case when max(l_linenumber) > 6 then '6k' end AS source FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)"""
 
 
 def merge_sides(spark, d):
     o = table(spark, d, "orders")
-    a = o.where("o_orderstatus <> 'O'").groupBy(F.col("o_custkey").alias("entity"), F.trunc("o_orderdate", "month").alias("period")).agg(
+    a = o.groupBy(F.col("o_custkey").alias("entity"), F.trunc("o_orderdate", "month").alias("period")).agg(
         qsum().alias("val"), F.bool_or(F.col("o_orderstatus") == "P").alias("partial"))
     li = table(spark, d, "lineitem").groupBy("l_orderkey", F.trunc("l_shipdate", "month").alias("period")).agg(
         F.sum(F.rint(F.col("l_extendedprice") * 100).cast("bigint")).alias("c"), F.max("l_linenumber").alias("ln"))
@@ -319,13 +319,16 @@ def balance_lines(spark, d):
     return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("entity"), n.alias("pos"), label.alias("label"), F.round("l_extendedprice").cast("bigint").cast("double").alias("value"))
 
 
-@query("agg18_asset_lines", f"""WITH {LABELS_SQL}, l AS (SELECT *, regexp_replace(lower(label), '[^a-z ]+', ' ', 'g') AS s FROM lines),
+ASSET_SQL = f"""{LABELS_SQL}, l AS (SELECT *, regexp_replace(lower(label), '[^a-z ]+', ' ', 'g') AS s FROM lines),
   bd AS (SELECT entity, min(case when contains(s, 'total current assets') then pos end) AS cur, min(case when not contains(s, 'total current assets') and (contains(s, 'total assets') or contains(s, 'liabilit') or (contains(s, 'equity') and not contains(s, 'invest'))) then pos end) AS stop FROM l GROUP BY 1),
   k AS (SELECT l.entity, value, case when not coalesce(pos > cur, false) and contains(s, 'cash and cash equivalents') and not contains(s, 'restricted') then 'cash' when contains(s, 'restricted cash') then 'restricted_cash'
     when not coalesce(pos > cur, false) and contains(s, 'short') and contains(s, 'invest') then 'short_term_investments' when not coalesce(pos > cur, false) and contains(s, 'receivable') then 'receivables'
     when coalesce(pos > cur, false) and contains(s, 'land use right') then 'intangibles' when contains(s, 'property') and contains(s, 'equipment') then 'ppe_net' when coalesce(pos > cur, false) and contains(s, 'invest') and not contains(s, 'short') then 'long_term_investments' end AS metric
-   FROM l JOIN bd USING (entity) WHERE pos < coalesce(stop, 99) and not contains(s, 'total current assets') and not starts_with(s, 'total'))
-  SELECT entity, metric, sum(value) AS val FROM k WHERE metric is not null GROUP BY 1, 2""")
+   FROM l JOIN bd USING (entity) WHERE pos < coalesce(stop, 99) and not contains(s, 'total current assets') and not starts_with(s, 'total')),
+  al AS (SELECT entity, metric, sum(value) AS val FROM k WHERE metric is not null GROUP BY 1, 2)"""
+
+
+@query("agg18_asset_lines", f"WITH {ASSET_SQL} SELECT * FROM al")
 def agg18(spark, d):
     return L.asset_lines(balance_lines(spark, d), ["entity"])
 
@@ -500,14 +503,12 @@ def kpi11b(spark, d):
     return source_facts(raw, M.ASHARE_FIELDS, "ashare")
 
 
-@query("kpi14_agg18_release_facts", f"""WITH {LABELS_SQL}, l AS (SELECT *, regexp_replace(lower(label), '[^a-z ]+', ' ', 'g') AS s FROM lines), sd AS (SELECT o_orderkey AS entity, 'cash' AS metric, o_totalprice AS val FROM orders WHERE o_orderstatus = 'F'),
-  bd AS (SELECT entity, min(case when contains(s, 'total current assets') then pos end) AS cur, min(case when not contains(s, 'total current assets') and (contains(s, 'total assets') or contains(s, 'liabilit') or (contains(s, 'equity') and not contains(s, 'invest'))) then pos end) AS stop FROM l GROUP BY 1),
-  dr AS (SELECT l.entity, 'cash' AS metric, sum(value) AS val FROM l JOIN bd USING (entity) WHERE pos < coalesce(stop, 99) and not coalesce(pos > cur, false) and contains(s, 'cash and cash equivalents') GROUP BY 1)
-  SELECT * FROM sd UNION ALL SELECT * FROM dr WHERE entity NOT IN (SELECT entity FROM sd)""")
+@query("kpi14_agg18_release_facts", f"""WITH {ASSET_SQL}, sd AS (SELECT o_orderkey AS entity, 'cash' AS metric, o_totalprice AS val FROM orders WHERE o_orderstatus = 'F')
+  SELECT * FROM sd UNION ALL SELECT * FROM al WHERE NOT EXISTS (SELECT 1 FROM sd WHERE sd.entity = al.entity and sd.metric = al.metric)""")
 def kpi14b(spark, d):
     from tallygrid.plans.company import release_facts
     sd = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("entity"), F.lit("cash").alias("metric"), F.col("o_totalprice").alias("val"))
-    return release_facts(sd, balance_lines(spark, d), ["entity"]).where("metric = 'cash'")
+    return release_facts(sd, balance_lines(spark, d), ["entity"])
 
 
 # --- currency ------------------------------------------------------------------------------------------------

@@ -35,9 +35,9 @@ def flt14(spark, d):
 # --- tables of contents: headings are derived from the length of each line -----------------------------------
 
 _MARK = ["# 第一节 ", "## 一、", "### (一) ", "#### 1、", "# "]
-MD_SQL = """md AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda l: case length(l) % 7 when 0 then '# 第一节 ' || substr(l, 1, 30) when 1 then '## 一、' || substr(l, 1, 30) when 2 then '### (一) ' || substr(l, 1, 30)
-   when 3 then '#### 1、' || substr(l, 1, 30) when 4 then '# ' || substr(l, 1, 30) else l end) AS ls FROM documents),
-  hd AS (SELECT doc_id, i - 1 AS line, len(ls) AS n, trim(regexp_replace(regexp_replace(regexp_replace(ls[i], '^[# ]+', ''), '</?(mark|u|b|i)>', '', 'g'), '\\s+', ' ', 'g')) AS title FROM md, (SELECT unnest(range(1, 2000)) AS i) WHERE i <= len(ls) and starts_with(ls[i], '#')),
+MD_SQL = """md AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda l: case length(l) % 7 when 0 then '# 第一节 ' || l when 1 then '## 一、' || l when 2 then '### (一) ' || l
+   when 3 then '#### 1、' || l when 4 then '# ' || l else l end) AS ls FROM documents),
+  hd AS (SELECT doc_id, i - 1 AS line, len(ls) AS n, trim(regexp_replace(regexp_replace(regexp_replace(ls[i], '^[# ]+', ''), '</?(mark|u|b|i)>', '', 'g'), '\\s+', ' ', 'g')) AS title FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM md) WHERE starts_with(ls[i], '#')),
   lv AS (SELECT *, case when regexp_matches(title, '^第[一二三四五六七八九十]+节') then 1 when regexp_matches(title, '^[一二三四五六七八九十]+[、.]') then 2 when regexp_matches(title, '^[（(][一二三四五六七八九十\\d]+[)）]') then 3 when regexp_matches(title, '^\\d+[、.]') then 4 else 5 end AS level FROM hd WHERE title <> '' and length(title) <= 120),
   en AS (SELECT a.doc_id, a.line, a.title, a.level, coalesce((SELECT min(b.line) FROM lv b WHERE b.doc_id = a.doc_id and b.line > a.line and b.level <= a.level), a.n) AS e FROM lv a),
   toc AS (SELECT * FROM en QUALIFY row_number() over (partition by doc_id, title order by e - line desc, line) = 1)"""
@@ -45,11 +45,10 @@ MD_SQL = """md AS (SELECT doc_id, list_transform(string_split(text, chr(10)), la
 
 def markdown_docs(spark, d):
     def mark(line):
-        cut = F.substring(line, 1, 30)
         n = F.length(line) % 7
-        out = F.when(n == 0, F.concat(F.lit(_MARK[0]), cut))
+        out = F.when(n == 0, F.concat(F.lit(_MARK[0]), line))
         for k, m in enumerate(_MARK[1:], 1):
-            out = out.when(n == k, F.concat(F.lit(m), cut))
+            out = out.when(n == k, F.concat(F.lit(m), line))
         return out.otherwise(line)
     return table(spark, d, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n"), mark), "\n").alias("text"))
 
@@ -75,13 +74,12 @@ def txt09(spark, d):
 def txt04(spark, d):
     docs = markdown_docs(spark, d)
     sec = D.find_section(D.markdown_toc(docs, ["doc_id"]), ["doc_id"], "The")
-    page = D.section_text(docs, sec, ["doc_id"], offset=100, max_chars=200)
-    return page.join(sec.select("doc_id", "title"), "doc_id")
+    return D.section_text(docs, sec, ["doc_id"], offset=100, max_chars=200)
 
 
-ITEM_SQL = """it AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda l: case length(l) % 9 when 0 then 'ITEM ' || (length(l) % 4 + 1) || case when length(l) % 2 = 0 then 'A' else '' end || '. | ' || regexp_replace(substr(l, 1, 25), '[^A-Za-z ]', 'x', 'g') when 1 then 'Item ' || (length(l) % 3 + 1) || '.'
-    when 2 then (length(l) % 5 + 1) || '. T' || regexp_replace(substr(l, 1, 25), '[^A-Za-z ]', 'x', 'g') || ' (Continued)' when 3 then 'Notes to Consolidated Financial Statements' else l end) AS ls FROM documents),
-  ln AS (SELECT doc_id, i - 1 AS line, len(ls) AS n, trim(ls[i], ' |') AS s, case when i < len(ls) then trim(ls[i + 1], ' |') end AS nx FROM it, (SELECT unnest(range(1, 2000)) AS i) WHERE i <= len(ls)),
+ITEM_SQL = """it AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda l: case length(l) % 9 when 0 then 'ITEM ' || (length(l) % 4 + 1) || case when length(l) % 2 = 0 then 'A' else '' end || '. | ' || l when 1 then 'Item ' || (length(l) % 3 + 1) || '.'
+    when 2 then (length(l) % 5 + 1) || '. T' || l || ' (Continued)' when 3 then 'Notes to Consolidated Financial Statements' else l end) AS ls FROM documents),
+  ln AS (SELECT doc_id, i - 1 AS line, len(ls) AS n, trim(ls[i], ' |') AS s, case when i < len(ls) then trim(ls[i + 1], ' |') end AS nx FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM it)),
   im AS (SELECT *, regexp_extract(s, '(?i)^ITEM\\s+(\\d{1,2}[A-C]?)\\s*[.:]?\\s*\\|?\\s*(.*)$', 1) AS num, trim(regexp_extract(s, '(?i)^ITEM\\s+(\\d{1,2}[A-C]?)\\s*[.:]?\\s*\\|?\\s*(.*)$', 2), ' .') AS own FROM ln WHERE length(s) <= 140 and regexp_matches(s, '(?i)^ITEM\\s+(\\d{1,2}[A-C]?)\\s*[.:]?\\s*\\|?\\s*(.*)$')),
   ie AS (SELECT doc_id, line, 'item ' || lower(num) AS key, 'Item ' || upper(num) || '. ' || regexp_replace(regexp_replace(case when own <> '' then own when nx is not null and length(nx) <= 140 then trim(nx, ' .') else '' end, '\\s+', ' ', 'g'), '[\\s.|]*\\d+\\s*$', '') AS title, coalesce(lead(line) over (partition by doc_id order by line), n) AS e FROM im),
   ib AS (SELECT * FROM ie QUALIFY row_number() over (partition by doc_id, key order by e - line desc, line) = 1),
@@ -96,17 +94,16 @@ def txt03(spark, d):
     def mark(line):
         n = F.length(line)
         txt = lambda c: c.cast("string")
-        cut = F.regexp_replace(F.substring(line, 1, 25), "[^A-Za-z ]", "x")
-        return (F.when(n % 9 == 0, F.concat(F.lit("ITEM "), txt(n % 4 + 1), F.when(n % 2 == 0, "A").otherwise(""), F.lit(". | "), cut))
+        return (F.when(n % 9 == 0, F.concat(F.lit("ITEM "), txt(n % 4 + 1), F.when(n % 2 == 0, "A").otherwise(""), F.lit(". | "), line))
                 .when(n % 9 == 1, F.concat(F.lit("Item "), txt(n % 3 + 1), F.lit(".")))
-                .when(n % 9 == 2, F.concat(txt(n % 5 + 1), F.lit(". T"), cut, F.lit(" (Continued)")))
+                .when(n % 9 == 2, F.concat(txt(n % 5 + 1), F.lit(". T"), line, F.lit(" (Continued)")))
                 .when(n % 9 == 3, F.lit("Notes to Consolidated Financial Statements")).otherwise(line))
     docs = table(spark, d, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n"), mark), "\n").alias("text"))
     t = D.item_toc(docs, ["doc_id"])
     return t.select("doc_id", "key", "title", F.col("line").cast("bigint").alias("line"), F.col("end").cast("bigint").alias("end"))
 
 
-@query("txt06_line_search", """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), h AS (SELECT doc_id, ls, i - 1 AS line FROM l, (SELECT unnest(range(1, 2000)) AS i) WHERE i <= len(ls) and contains(lower(ls[i]), 'the') QUALIFY row_number() over (partition by doc_id order by i) <= 12)
+@query("txt06_line_search", """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), h AS (SELECT doc_id, ls, i - 1 AS line FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM l) WHERE contains(lower(ls[i]), 'the') QUALIFY row_number() over (partition by doc_id order by i) <= 12)
   SELECT doc_id, line, substr(array_to_string(ls[greatest(line, 1):line + 2], chr(10)), 1, 600) AS snippet FROM h""")
 def txt06(spark, d):
     return D.search_lines(table(spark, d, "documents").select("doc_id", "text"), ["doc_id"], "the")
@@ -187,9 +184,9 @@ def agg36(spark, d):
 
 # --- mentions ---------------------------------------------------------------------------------------------------
 
-@query("jn21_mentions", """WITH dict AS (SELECT DISTINCT trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS norm, 'B' || item_id AS ticker FROM (SELECT item_id, regexp_extract(text, '[A-Za-z]+ [A-Za-z]+') AS text FROM benchmark)),
+@query("jn21_mentions", """WITH dict AS (SELECT DISTINCT trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS norm, 'B' || item_id AS ticker FROM (SELECT item_id, text FROM benchmark UNION ALL SELECT item_id, regexp_extract(text, '[A-Za-z]+ [A-Za-z]+') FROM benchmark)),
   nm AS (SELECT norm, ticker FROM dict WHERE length(norm) >= 5),
-  tk AS (SELECT DISTINCT upper(w) AS ticker FROM (SELECT regexp_extract(text, '[A-Za-z]{2,6}') AS w FROM benchmark)),
+  tk AS (SELECT DISTINCT upper(w) AS ticker FROM (SELECT regexp_extract(text, '[A-Za-z]+') AS w FROM benchmark)),
   ad AS (SELECT doc_id, regexp_replace(text, '[^\x00-\x7F]', 'x', 'g') AS atx FROM documents),
   tok AS (SELECT doc_id, unnest(regexp_extract_all(atx, '\\b([A-Z]{2,6}(?:\\.[A-Z])?)\\b', 1)) AS ticker, generate_subscripts(regexp_extract_all(atx, '\\b([A-Z]{2,6}(?:\\.[A-Z])?)\\b', 1), 1) - 1 AS pos FROM ad),
   tag AS (SELECT doc_id, upper(unnest(regexp_extract_all(atx, '[$#]([A-Za-z]{1,6}(?:\\.[A-Za-z])?)\\b', 1))) AS ticker, generate_subscripts(regexp_extract_all(atx, '[$#]([A-Za-z]{1,6}(?:\\.[A-Za-z])?)\\b', 1), 1) - 1 AS pos FROM ad),
@@ -198,9 +195,9 @@ def agg36(spark, d):
   f AS (SELECT doc_id, ticker, min({'c': cls, 'p': pos}) AS f FROM u GROUP BY 1, 2) SELECT doc_id, ticker, row_number() over (partition by doc_id order by f, ticker) AS rn FROM f QUALIFY rn <= 4""")
 def jn21(spark, d):
     b = table(spark, d, "benchmark")
-    two = F.regexp_extract("text", "[A-Za-z]+ [A-Za-z]+", 0)
-    names = b.select(F.trim(F.regexp_replace(F.lower(two), "[^a-z0-9]+", " ")).alias("norm"), F.concat(F.lit("B"), F.col("item_id").cast("string")).alias("ticker")).distinct()
-    tick = b.select(F.upper(F.regexp_extract("text", "[A-Za-z]{2,6}", 0)).alias("ticker"))
+    name = F.explode(F.array("text", F.regexp_extract("text", "[A-Za-z]+ [A-Za-z]+", 0))).alias("name")       # the whole item, and a short form of it
+    names = b.select("item_id", name).select(F.trim(F.regexp_replace(F.lower("name"), "[^a-z0-9]+", " ")).alias("norm"), F.concat(F.lit("B"), F.col("item_id").cast("string")).alias("ticker")).distinct()
+    tick = b.select(F.upper(F.regexp_extract("text", "[A-Za-z]+", 0)).alias("ticker"))
     return C.mentions(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", tick, names, ["THE", "AND"])
 
 

@@ -128,13 +128,13 @@ def win26(spark, d):
 # --- as-of ---------------------------------------------------------------------------------------------
 
 @query("jn07_asof_latest", """WITH f AS (SELECT user_id, cast(ts as date) AS day, arg_max(value, {'t': ts, 'e': event_id}) AS v
-  FROM events WHERE event_type = 'purchase' GROUP BY 1, 2)
-  SELECT p.event_id, p.user_id, f.v AS last_purchase FROM (SELECT *, cast(ts as date) AS day FROM events WHERE event_type = 'error') p
+  FROM events WHERE event_type in ('purchase', 'click') GROUP BY 1, 2)
+  SELECT p.event_id, p.user_id, f.v AS last_purchase FROM (SELECT *, cast(ts as date) AS day FROM events WHERE event_type not in ('purchase', 'click')) p
   ASOF LEFT JOIN f ON p.user_id = f.user_id and p.day >= f.day""")
 def jn07(spark, d):
     e = table(spark, d, "events").select("event_id", "user_id", "ts", "event_type", "value")
-    buys = e.where("event_type = 'purchase'").select("user_id", "ts", "event_id", F.col("value").alias("last_purchase"))
-    probes = e.where("event_type = 'error'").select("event_id", "user_id", "ts")
+    buys = e.where("event_type in ('purchase', 'click')").select("user_id", "ts", "event_id", F.col("value").alias("last_purchase"))
+    probes = e.where("event_type not in ('purchase', 'click')").select("event_id", "user_id", "ts")
     return A.asof(probes, buys, ["user_id"], "ts", "ts", ["last_purchase"], grain="day", tie=["event_id"]) \
         .select("event_id", "user_id", "last_purchase")
 
@@ -472,14 +472,13 @@ def agg17(spark, d):
     return M.complete_years(p, ["entity"]).select("entity", "fy", F.round("value", 3).alias("value"))
 
 
-@query("flt25_applicable_metrics", """WITH have AS (SELECT DISTINCT user_id AS entity, event_type AS series FROM events WHERE cast(ts as date) = date '2024-01-15'),
-  need(metric, series) AS (VALUES ('m1','view'), ('m1','click'), ('m2','purchase'), ('m3','view'), ('m3','click'), ('m3','purchase'), ('m3','error'))
+@query("flt25_applicable_metrics", """WITH have AS (SELECT DISTINCT user_id AS entity, event_type || day(ts) % 15 AS series FROM events),
+  need(metric, series) AS (VALUES ('m1','view1'), ('m1','click2'), ('m2','purchase3'), ('m3','view1'), ('m3','click4'), ('m3','purchase5'), ('m3','error6'))
   SELECT n.metric, h.entity FROM need n JOIN have h USING (series) GROUP BY 1, 2
   HAVING count(*) = (SELECT count(*) FROM need x WHERE x.metric = n.metric)""")
 def flt25(spark, d):
-    e = table(spark, d, "events").where(F.to_date("ts") == F.lit("2024-01-15").cast("date")) \
-        .select(F.col("user_id").alias("entity"), F.col("event_type").alias("series"))
-    need = spark.createDataFrame([("m1", "view"), ("m1", "click"), ("m2", "purchase"), ("m3", "view"), ("m3", "click"), ("m3", "purchase"), ("m3", "error")],
+    e = table(spark, d, "events").select(F.col("user_id").alias("entity"), F.concat("event_type", (F.dayofmonth("ts") % 15).cast("string")).alias("series"))
+    need = spark.createDataFrame([("m1", "view1"), ("m1", "click2"), ("m2", "purchase3"), ("m3", "view1"), ("m3", "click4"), ("m3", "purchase5"), ("m3", "error6")],
                                  "metric string, series string")
     return M.applicable(need, e)
 

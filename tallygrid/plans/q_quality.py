@@ -19,7 +19,7 @@ TODAY = "2001-09-15"
 INPUT_SQL = f"""{B.LINES_SQL}, {B.statements_sql()}, {B.statements_sql('year', 'sty')}, {B.PRICES_SQL},
   y0 AS (SELECT entity, year(period) AS fy, make_date(year(period)::bigint, 1, 1) AS start, period AS "end", ocf AS revenue, cogs * 8 AS cogs, gross_profit AS gp, rd AS op_income, net_income, shares - 100 AS shares, net_income/nullif(shares - 100, 0) * case when year(period) % 2 = 0 then 1.1::double else 1.0::double end AS eps, cash AS assets, lt_debt AS equity FROM sty),
   y AS (SELECT *, coalesce(revenue <> 0 and p <> 0 and n <> 0 and abs(revenue)/greatest(abs(p),1) > 2 and abs(revenue)/greatest(abs(n),1) > 2, false) AS spike FROM (SELECT *, lag(revenue) over (partition by entity order by fy) p, lead(revenue) over (partition by entity order by fy) n FROM y0)),
-  q AS (SELECT entity, cast(date_trunc('quarter', period) as date) AS start, period AS "end", ocf * case when year(period) % 2 = 0 then 1.1::double else 1.0::double end AS revenue, sga AS net_income FROM st WHERE quarter(period) <> 4 or year(period) % 3 > 0),
+  q AS (SELECT entity, cast(date_trunc('quarter', period) as date) AS start, period AS "end", case when quarter(period) <> 4 or year(period) % 3 > 0 then ocf * case when year(period) % 2 = 0 then 1.1::double else 1.0::double end end AS revenue, sga AS net_income FROM st),
   co AS (SELECT c_custkey AS entity, c_acctbal * 10 AS market_cap, price, price_date FROM customer LEFT JOIN (SELECT entity, arg_max(close, month) AS price, max(month) AS price_date FROM px GROUP BY 1) z ON z.entity = c_custkey)"""
 
 
@@ -39,8 +39,9 @@ def inputs(spark, d, shared=False):
     one = F.lit(1.0)
     y = y.withColumn("_p", p).withColumn("_n", n)
     y = y.withColumn("spike", F.coalesce((r != 0) & (c("_p") != 0) & (c("_n") != 0) & (F.abs(r) / F.greatest(F.abs("_p"), one) > 2) & (F.abs(r) / F.greatest(F.abs("_n"), one) > 2), F.lit(False))).drop("_p", "_n")
-    q = st.where((F.quarter("period") != 4) | (F.year("period") % 3 > 0)).select(
-        "entity", F.to_date(F.trunc("period", "quarter")).alias("start"), c("period").alias("end"), (c("ocf") * F.when(F.year("period") % 2 == 0, 1.1).otherwise(1.0)).alias("revenue"), c("sga").alias("net_income"))
+    filed_ = (F.quarter("period") != 4) | (F.year("period") % 3 > 0)
+    q = st.select(
+        "entity", F.to_date(F.trunc("period", "quarter")).alias("start"), c("period").alias("end"), F.when(filed_, c("ocf") * F.when(F.year("period") % 2 == 0, 1.1).otherwise(1.0)).alias("revenue"), c("sga").alias("net_income"))
     px = B.prices(spark, d).groupBy("entity").agg(F.max_by("close", "month").alias("price"), F.max("month").alias("price_date"))
     co = table(spark, d, "customer").select(c("c_custkey").alias("entity"), (c("c_acctbal") * 10).alias("market_cap")).join(px, "entity", "left")
     return Q.Inputs(keep(co, "companies"), keep(y, "years"), q, F.lit(TODAY).cast("date"), LIMITS)
@@ -123,7 +124,7 @@ def flt27b(spark, d):
 RECON_SQL = """raw AS (SELECT o_custkey AS entity, year(o_orderdate) AS y, quarter(o_orderdate) AS qn, cast(round(o_totalprice) as bigint) AS v, o_orderstatus AS s FROM orders),
   fc AS (SELECT entity, 'annual' AS grid, cast(y as varchar) AS period, case s when 'P' then 'gross_profit' else 'revenue' end AS metric, sum(v) AS t FROM raw GROUP BY ALL UNION ALL SELECT entity, 'quarterly', y || 'Q' || qn, case s when 'P' then 'gross_profit' else 'revenue' end, sum(v) FROM raw GROUP BY ALL),
   facts AS (SELECT entity, grid, period, metric, source, case source when 'tushare' then cast(t as double) when 'eastmoney' then cast(t - t % 2500 as double) when 'yfinance' then case when t % 3 > 0 then cast(t + entity % 7 * 900 as double) end else case when t % 11 = 0 then -cast(t as double) end end AS val FROM fc, (VALUES ('tushare'), ('eastmoney'), ('yfinance'), ('other')) x(source)),
-  k AS (SELECT DISTINCT entity, grid, period FROM facts QUALIFY dense_rank() over (partition by entity, grid order by period desc) <= 6),
+  k AS (SELECT DISTINCT entity, grid, period FROM facts QUALIFY dense_rank() over (partition by entity, grid order by period desc) <= case grid when 'annual' then 6 else 8 end),
   cells AS (SELECT *, case when n_sources < 2 then null when flip then 'error' when spread <= 0.001::double then 'ok' when spread <= 0.01::double then 'info' when spread <= 0.05::double then 'warn' else 'error' end AS severity FROM (
    SELECT entity, grid, period, metric, count(*) AS n_sources, case when max(abs(val)) = 0 then 0 else (max(val) - min(val))/max(abs(val)) end AS spread, max(val) > 0 and min(val) < 0 AS flip FROM facts JOIN k USING (entity, grid, period)
    WHERE val is not null and not (source = 'yfinance' and metric = 'gross_profit') GROUP BY 1, 2, 3, 4) WHERE n_sources >= 2)"""
@@ -143,7 +144,7 @@ def recon_facts(spark, d):
 
 
 def recon_cells(spark, d):
-    return RC.compare(recon_facts(spark, d), last_n=6)
+    return RC.compare(recon_facts(spark, d), RC.WINDOWS)
 
 
 @query("agg24_compare_sources", f"WITH {RECON_SQL} SELECT entity, grid, period, metric, n_sources, round(spread, 8) AS spread, flip AS sign_flip, severity FROM cells")
@@ -208,7 +209,7 @@ _LIABS = {"Long Term Debt": "lt_debt", "Current Debt": "st_debt", "Accounts Paya
 def _cells_sql(m):
     cols = ", ".join(f'{v} AS "{k}"' for k, v in m.items())
     names = ", ".join(f'"{k}"' for k in m)
-    return (f"wide AS (SELECT entity, 'quarterly' AS grid, period, {cols} FROM st WHERE quarter(period) <> 2 UNION ALL SELECT entity, 'annual', period, {cols} FROM sty), "
+    return (f"wide AS (SELECT entity, 'quarterly' AS grid, period, {cols} FROM st UNION ALL SELECT entity, 'annual', period, {cols} FROM sty), "
             f"cells AS (UNPIVOT wide ON {names} INTO NAME item VALUE val)")
 
 
@@ -216,7 +217,7 @@ def _cells(spark, d, m):
     def one(df, grid):
         return df.select("entity", F.lit(grid).alias("grid"), "period", *[F.col(v).alias(k) for k, v in m.items()])
     st, sty = B.statement_pair(spark, d)
-    return P.melt(one(st.where(F.quarter("period") != 2), "quarterly").unionByName(one(sty, "annual")), ["entity", "grid", "period"], list(m), "item", "val")
+    return P.melt(one(st, "quarterly").unionByName(one(sty, "annual")), ["entity", "grid", "period"], list(m), "item", "val")
 
 
 @query("top01_asset_classes", f"""WITH {B.LINES_SQL}, {B.statements_sql()}, {B.statements_sql('year', 'sty')}, {_cells_sql(_LINES)}, dim(item, cat, ord) AS (VALUES ('Goodwill','goodwill',0), ('Net PPE','ppe',3), ('Gross PPE','ppe',6), ('Inventory','inventory',7), ('Receivables','receivables',8)),
@@ -248,12 +249,12 @@ def top04b(spark, d):
 
 
 @query("top05_holders", """WITH o AS (SELECT o_custkey AS entity, year(o_orderdate) AS y, o_orderkey, o_totalprice AS v, o_orderstatus AS s FROM orders), w AS (SELECT entity, max(y) AS want FROM o WHERE s = 'F' GROUP BY 1),
-  p AS (SELECT o.entity, coalesce(max(case when y = want then y end), max(y)) AS pick FROM o LEFT JOIN w USING (entity) WHERE s = 'O' GROUP BY 1)
+  p AS (SELECT o.entity, coalesce(max(case when y = want then y end), max(y)) AS pick FROM o LEFT JOIN w USING (entity) WHERE s <> 'F' GROUP BY 1)
   SELECT o.entity, 'holders' AS list, o_orderkey, row_number() over (partition by o.entity order by v desc, o_orderkey) AS rn FROM o JOIN w ON w.entity = o.entity and y = want WHERE s = 'F' QUALIFY rn <= 10
-  UNION ALL SELECT o.entity, 'float', o_orderkey, row_number() over (partition by o.entity order by v desc, o_orderkey) AS rn FROM o JOIN p ON p.entity = o.entity and y = pick WHERE s = 'O' QUALIFY rn <= 10""")
+  UNION ALL SELECT o.entity, 'float', o_orderkey, row_number() over (partition by o.entity order by v desc, o_orderkey) AS rn FROM o JOIN p ON p.entity = o.entity and y = pick WHERE s <> 'F' QUALIFY rn <= 10""")
 def top05(spark, d):
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("entity"), F.year("o_orderdate").alias("y"), "o_orderkey", F.col("o_totalprice").alias("v"), "o_orderstatus")
-    x = T.holders(o.where("o_orderstatus = 'F'"), o.where("o_orderstatus = 'O'"), "entity", "y", [F.col("v").desc(), F.col("o_orderkey")])
+    x = T.holders(o.where("o_orderstatus = 'F'"), o.where("o_orderstatus <> 'F'"), "entity", "y", [F.col("v").desc(), F.col("o_orderkey")])
     return x.select("entity", "list", "o_orderkey", "rn")
 
 

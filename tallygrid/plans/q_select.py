@@ -152,7 +152,7 @@ def flt17(spark, d):
 @query("flt18_quarters_to_check", """WITH cand AS (SELECT c_custkey AS entity, i, year(q) || 'Q' || quarter(q) AS quarter, last_day(cast(q as date) + interval 2 month) AS qend FROM customer,
    (SELECT i, date_trunc('quarter', date '2001-08-01') - to_months(cast(i * 3 + 3 as integer)) AS q FROM range(0, 8) t(i))),
   calls AS (SELECT DISTINCT o_custkey AS entity, year(o_orderdate) || 'Q' || quarter(o_orderdate) AS quarter FROM orders WHERE o_orderstatus = 'F'),
-  chk AS (SELECT o_custkey AS entity, year(o_orderdate) || 'Q' || quarter(o_orderdate) AS quarter, max(cast(o_orderdate as date)) AS checked FROM orders WHERE o_orderstatus = 'O' GROUP BY 1, 2),
+  chk AS (SELECT o_custkey AS entity, year(o_orderdate) || 'Q' || quarter(o_orderdate) AS quarter, max(cast(o_orderdate as date)) AS checked FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1, 2),
   j AS (SELECT cand.*, checked, exists(SELECT 1 FROM calls k WHERE k.entity = cand.entity) AS has_calls, exists(SELECT 1 FROM chk k WHERE k.entity = cand.entity) AS has_chk FROM cand LEFT JOIN chk USING (entity, quarter)
    WHERE NOT exists(SELECT 1 FROM calls k WHERE k.entity = cand.entity and k.quarter = cand.quarter))
   SELECT entity, quarter FROM j WHERE case when not has_calls and has_chk then i = 0 and (checked is null or date '2001-08-01' - checked >= 30)
@@ -160,7 +160,7 @@ def flt17(spark, d):
 def flt18(spark, d):
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("entity"), S.quarter_key("o_orderdate").alias("quarter"), F.to_date("o_orderdate").alias("dt"), "o_orderstatus")
     calls = o.where("o_orderstatus = 'F'").select("entity", "quarter").distinct()
-    checks = o.where("o_orderstatus = 'O'").groupBy("entity", "quarter").agg(F.max("dt").alias("checked"))
+    checks = o.where("o_orderstatus <> 'F'").groupBy("entity", "quarter").agg(F.max("dt").alias("checked"))
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("entity"))
     return X.quarters_to_check(c, calls, checks, F.lit("2001-08-01").cast("date"))
 
@@ -184,10 +184,10 @@ def flt28(spark, d):
     return X.targets(table(spark, d, "customer").select(F.col("c_mktsegment").alias("segment")), "segment", exclude=["BUILDING"], limit=3)
 
 
-@query("flt28_jn15_unknown_targets", "SELECT DISTINCT user_id AS entity FROM events WHERE user_id NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
+@query("flt28_jn15_unknown_targets", "SELECT DISTINCT user_id * 20 AS entity FROM events WHERE user_id * 20 NOT IN (SELECT o_custkey FROM orders)")
 def flt28b(spark, d):
-    want = table(spark, d, "events").select(F.col("user_id").alias("entity")).distinct()
-    return X.unknown_targets(want, table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("entity")), "entity")
+    want = table(spark, d, "events").select((F.col("user_id") * 20).alias("entity")).distinct()
+    return X.unknown_targets(want, table(spark, d, "orders").select(F.col("o_custkey").alias("entity")), "entity")
 
 
 @query("flt29_daily_window", "SELECT o_orderkey FROM orders WHERE o_orderdate >= greatest(date '1998-03-01', make_date(2001 - 2, 1, 1))")
@@ -280,13 +280,14 @@ def win14(spark, d):
 
 
 def _log(spark, d):
-    e = table(spark, d, "events").where("event_type in ('error', 'click', 'view')")
+    # industries that left the pool stay in the log
+    name = F.when(F.col("event_type").isin("error", "click", "view"), F.col("event_type")).otherwise(F.concat(F.lit("former "), "event_type"))
     day = F.to_date("ts")
-    return e.groupBy(day.alias("date")).agg(F.array_sort(F.collect_set("event_type")).alias("industries"),
+    return table(spark, d, "events").groupBy(day.alias("date")).agg(F.array_sort(F.collect_set(name)).alias("industries"),
                                             F.max(F.when(F.dayofmonth("ts") > 20, 2).otherwise(F.when(F.dayofmonth("ts") > 10, 1))).alias("cycle"))
 
 
-@query("win15_rotation_state", """WITH log AS (SELECT cast(ts as date) AS date, coalesce(max(case when day(ts) > 20 then 2 when day(ts) > 10 then 1 end), 1) AS cycle FROM events WHERE event_type in ('error', 'click', 'view') GROUP BY 1)
+@query("win15_rotation_state", """WITH log AS (SELECT cast(ts as date) AS date, coalesce(max(case when day(ts) > 20 then 2 when day(ts) > 10 then 1 end), 1) AS cycle FROM events GROUP BY 1)
   SELECT cast(cycle as bigint) AS cycle, cast(min(date) as varchar) AS cycle_start FROM log WHERE cycle = (SELECT max(cycle) FROM log) GROUP BY 1""")
 def win15(spark, d):
     return X.cycle_state(_log(spark, d)).withColumn("cycle_start", F.col("cycle_start").cast("string"))

@@ -65,17 +65,37 @@ def src03(spark, d):
 def src04(spark, d):
     path = scratch(spark, "shards")
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("entity"), "o_orderkey", "o_totalprice")
-    SK.write_by_entity(o, path, "entity", buckets=8, split=2)
+    SK.write_by_entity(o, path, "entity")
     return spark.read.parquet(path).groupBy("entity").agg(F.count(F.lit(1)).alias("n"), F.max("o_totalprice").alias("top"))
 
 
+@query("src04_entity_point_read", "SELECT o_custkey AS entity, o_orderkey, o_totalprice FROM orders WHERE o_custkey = 10")
+def src04b(spark, d):
+    path = scratch(spark, "shards")
+    SK.write_by_entity(table(spark, d, "orders").select(F.col("o_custkey").alias("entity"), "o_orderkey", "o_totalprice"), path, "entity")
+    return FI.read_entity(spark, path, 10)
+
+
 @query("src05_shard_folder", "SELECT user_id AS entity, arg_max(value, {'t': ts, 'e': event_id}) AS value FROM events GROUP BY 1")
 def src05(spark, d):
     path = scratch(spark, "src05")
     e = table(spark, d, "events")
     e.select(F.col("user_id").alias("entity"), F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lpad(F.col("event_id").cast("string"), 14, "0")).alias("fetched_at"), "value", "event_type") \
         .write.partitionBy("event_type").json(path)
-    return FI.read_shards(spark, path, "entity bigint, fetched_at string, value double").select("entity", "value")
+    return FI.read_shards(spark, path, "entity bigint, fetched_at string, value double", lines=True).select("entity", "value")
+
+
+@query("src05_07_indented_files", "SELECT n_nationkey AS entity, n_name AS name FROM nation")
+def src05b(spark, d):
+    """Indented one-document files beside a broken one."""
+    path = scratch(spark, "src05")
+    n = table(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("entity"), F.col("n_name").alias("name"), F.lit("2001").alias("fetched_at"))
+    form = F.col("entity") % 2
+    doc = F.struct("entity", "name", "fetched_at")
+    text = F.when(form == 0, F.to_json(doc, {"pretty": "true"})).otherwise(F.to_json(F.array(doc), {"pretty": "true"}))
+    n.select(text.alias("value"), F.col("entity").alias("f")).repartition("f").write.partitionBy("f").text(path)
+    table(spark, d, "region").limit(1).select(F.lit("{ broken").alias("value"), F.lit(-1).alias("f")).write.mode("append").partitionBy("f").text(path)
+    return FI.read_shards(spark, path, "entity int, name string, fetched_at string").select("entity", "name")
 
 
 @query("src06_keyed_rows", "SELECT case when o_orderstatus <> 'P' then o_custkey end AS entity, max(o_orderkey) AS o_orderkey, arg_max(o_totalprice, o_orderkey) AS v FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1")
@@ -91,7 +111,7 @@ def src07(spark, d):
     doc = F.to_json(F.struct(F.concat(F.lit("t"), F.col("l_orderkey").cast("string")).alias("ticker"), F.col("rows").alias("filings")))
     x.select(doc.alias("value")).write.text(path)
     table(spark, d, "region").select(F.concat(F.lit('{"ticker": "'), "r_name", F.lit('", "filings": [')).alias("value")).write.mode("append").text(path)
-    good, _bad = FI.read_quarantined(spark, path, "ticker string, filings array<struct<n:int,price:double>>")
+    good, _bad = FI.read_quarantined(spark, path, "ticker string, filings array<struct<n:int,price:double>>", lines=True)
     return good.select(F.upper("ticker").alias("ticker"), F.inline("filings"))
 
 
@@ -176,12 +196,12 @@ def src21(spark, d):
 
 # --- sinks -----------------------------------------------------------------------------------------------------
 
-@query("snk01_overwrite", "SELECT user_id, value FROM events WHERE event_type = 'click'")
+@query("snk01_overwrite", "SELECT user_id, value FROM events WHERE event_type in ('click', 'purchase')")
 def snk01(spark, d):
     path = scratch(spark, "snk01")
     e = table(spark, d, "events").select("user_id", "value", "event_type")
-    SK.overwrite(e.where("event_type = 'view'").drop("event_type"), path)
-    SK.overwrite(e.where("event_type = 'click'").drop("event_type"), path)
+    SK.overwrite(e.where("event_type not in ('click', 'purchase')").drop("event_type"), path)
+    SK.overwrite(e.where("event_type in ('click', 'purchase')").drop("event_type"), path)
     return spark.read.parquet(path)
 
 
@@ -194,7 +214,7 @@ def snk03(spark, d):
     return spark.read.parquet(path)
 
 
-OLDNEW_SQL = """o AS (SELECT o_custkey AS entity, max(o_totalprice) AS a, max(o_orderpriority) AS b FROM orders WHERE o_orderdate < date '1999-01-01' GROUP BY 1), n AS (SELECT o_custkey AS entity, max(case when o_orderstatus = 'F' then o_totalprice end) AS a, max(case when o_orderstatus = 'O' then o_orderpriority end) AS b FROM orders WHERE o_orderdate >= date '2001-01-01' GROUP BY 1)"""
+OLDNEW_SQL = """o AS (SELECT o_custkey AS entity, max(o_totalprice) AS a, max(o_orderpriority) AS b FROM orders WHERE o_orderdate < date '1999-01-01' GROUP BY 1), n AS (SELECT o_custkey AS entity, max(case when o_orderstatus = 'F' then o_totalprice end) AS a, max(case when o_orderstatus = 'O' then o_orderpriority end) AS b FROM orders WHERE o_orderdate >= date '1999-01-01' GROUP BY 1)"""
 
 
 def _old_new(spark, d):
@@ -202,7 +222,7 @@ def _old_new(spark, d):
     key = F.col("o_custkey").alias("entity")
     old = o.where(F.col("o_orderdate") < "1999-01-01").groupBy(key).agg(F.max("o_totalprice").alias("a"), F.max("o_orderpriority").alias("b"))
     s = F.col("o_orderstatus")
-    new = o.where(F.col("o_orderdate") >= "2001-01-01").groupBy(key).agg(F.max(F.when(s == "F", F.col("o_totalprice"))).alias("a"), F.max(F.when(s == "O", F.col("o_orderpriority"))).alias("b"))
+    new = o.where(F.col("o_orderdate") >= "1999-01-01").groupBy(key).agg(F.max(F.when(s == "F", F.col("o_totalprice"))).alias("a"), F.max(F.when(s == "O", F.col("o_orderpriority"))).alias("b"))
     return old, new
 
 
@@ -238,24 +258,24 @@ def snk06(spark, d):
     return SK.snapshot_path(spark, path).select("key", F.from_json("payload", "name string, industry string").alias("j")).select("key", "j.*")
 
 
-@query("snk08_save_series", """WITH o AS (SELECT user_id % 10 AS user_id, user_id AS entity, 'n' || (user_id % 3) AS name, max(value) AS v, 'hint' AS source_hint FROM events WHERE event_type = 'view' GROUP BY ALL), n AS (SELECT user_id % 10 AS user_id, user_id AS entity, 'n' || (user_id % 4) AS name, max(value) AS v, cast(null as varchar) AS source_hint FROM events WHERE event_type = 'click' GROUP BY ALL),
+@query("snk08_save_series", """WITH o AS (SELECT user_id % 10 AS user_id, user_id AS entity, 'n' || (user_id % 3) AS name, max(value) AS v, 'hint' AS source_hint FROM events WHERE event_id % 2 = 0 GROUP BY ALL), n AS (SELECT user_id % 10 AS user_id, user_id AS entity, 'n' || (user_id % 4) AS name, max(value) AS v, cast(null as varchar) AS source_hint FROM events WHERE event_id % 2 = 1 GROUP BY ALL),
   x AS (SELECT coalesce(o.user_id, n.user_id) AS user_id, coalesce(o.entity, n.entity) AS entity, coalesce(o.name, n.name) AS name, case when n.name is not null then n.v else o.v end AS v, coalesce(n.source_hint, o.source_hint) AS source_hint, o.name is not null AS had FROM o FULL JOIN n ON o.user_id = n.user_id and o.entity = n.entity and o.name = n.name),
   h AS (SELECT user_id, count(*) AS c FROM x WHERE had GROUP BY 1) SELECT user_id, entity, name, v, source_hint FROM (SELECT x.*, coalesce(c, 0) AS c, row_number() over (partition by x.user_id, had order by entity, name) AS rn FROM x LEFT JOIN h USING (user_id)) WHERE had or rn + c <= 60""")
 def snk08(spark, d):
     e = table(spark, d, "events")
-    def side(kind, mod, hint):
-        return e.where(F.col("event_type") == kind).groupBy((F.col("user_id") % 10).alias("user_id"), F.col("user_id").alias("entity"), F.concat(F.lit("n"), (F.col("user_id") % mod).cast("string")).alias("name")) \
+    def side(half, mod, hint):
+        return e.where(F.col("event_id") % 2 == half).groupBy((F.col("user_id") % 10).alias("user_id"), F.col("user_id").alias("entity"), F.concat(F.lit("n"), (F.col("user_id") % mod).cast("string")).alias("name")) \
             .agg(F.max("value").alias("v")).withColumn("source_hint", F.lit(hint).cast("string"))
-    return SK.save_series(side("view", 3, "hint"), side("click", 4, None))
+    return SK.save_series(side(0, 3, "hint"), side(1, 4, None))
 
 
-@query("snk09_add_points", """WITH o AS (SELECT user_id, cast(cast(ts as date) as varchar) AS period, max(value) AS value FROM events WHERE event_type = 'view' GROUP BY 1, 2), n AS (SELECT user_id, cast(cast(ts as date) as varchar) AS period, min(value) AS value FROM events WHERE event_type = 'click' GROUP BY 1, 2)
+@query("snk09_add_points", """WITH o AS (SELECT user_id, cast(cast(ts as date) as varchar) AS period, max(value) AS value FROM events WHERE event_id % 2 = 0 GROUP BY 1, 2), n AS (SELECT user_id, cast(cast(ts as date) as varchar) AS period, min(value) AS value FROM events WHERE event_id % 2 = 1 GROUP BY 1, 2)
   SELECT * FROM n UNION ALL SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.user_id = o.user_id and n.period = o.period)""")
 def snk09(spark, d):
     e = table(spark, d, "events")
     day = F.to_date("ts").cast("string").alias("period")
-    old = e.where("event_type = 'view'").groupBy("user_id", day).agg(F.max("value").alias("value"))
-    new = e.where("event_type = 'click'").groupBy("user_id", day).agg(F.min("value").alias("value"))
+    old = e.where("event_id % 2 = 0").groupBy("user_id", day).agg(F.max("value").alias("value"))
+    new = e.where("event_id % 2 = 1").groupBy("user_id", day).agg(F.min("value").alias("value"))
     return SK.add_points(old, new, ["user_id"])
 
 
@@ -312,14 +332,22 @@ def rm09(spark, d):
     return x.select("industry", "entity", "market_cap", F.round("p_fcf", 6).alias("p_fcf"), F.round("roa", 6).alias("roa"))
 
 
-YEARS = [1998, 1999, 2000, 2001]
+_SHEET = ["revenue", "cogs", "net_income", "sga", "div_", "shares"]
+_SHEET_SQL = ", ".join(_SHEET).replace("div_", "dividends AS div_")
+
 
+def _slots_sql(n, p):
+    return ", ".join(f"max(case when g = '{p}' and rn = {i} then val end) AS {p}{i}" for i in range(1, n + 1))
 
-@query("rm10_fact_sheet", f"WITH {B.LINES_SQL}, {B.statements_sql('year')}, l AS (SELECT entity, year(period) AS fy, metric, val FROM (UNPIVOT (SELECT entity, period, revenue, cogs, net_income, sga, div_ FROM (SELECT *, dividends AS div_ FROM st)) ON revenue, cogs, net_income, sga, div_ INTO NAME metric VALUE val)) SELECT entity, replace(metric, 'div_', 'dividends') AS metric, " + ", ".join(f"max(case when fy = {y} then val end) AS y{y}" for y in YEARS) + f" FROM l WHERE fy in ({', '.join(map(str, YEARS))}) GROUP BY 1, 2")
+
+@query("rm10_fact_sheet", f"""WITH {B.LINES_SQL}, {B.statements_sql()}, {B.statements_sql('year', 'sty')},
+  u AS (SELECT entity, 'q' AS g, row_number() over (partition by entity order by period desc) AS rn, {_SHEET_SQL} FROM st QUALIFY rn <= 8 UNION ALL SELECT entity, 'y', row_number() over (partition by entity order by period desc) AS rn, {_SHEET_SQL} FROM sty QUALIFY rn <= 10),
+  l AS (SELECT entity, g, rn, metric, case when metric <> 'shares' and c_nationkey % 3 = 0 then val * 7.1::double else val end AS val FROM (UNPIVOT u ON {", ".join(_SHEET)} INTO NAME metric VALUE val) JOIN customer ON c_custkey = entity)
+  SELECT entity, replace(metric, 'div_', 'dividends') AS metric, {_slots_sql(10, 'y')}, {_slots_sql(8, 'q')} FROM l GROUP BY 1, 2""")
 def rm10(spark, d):
-    st = B.statements(spark, d, "year").withColumn("fy", F.year("period")).select("entity", "fy", "revenue", "cogs", "net_income", "sga", "dividends")
-    x = RM.fact_sheet(st, "entity", ["revenue", "cogs", "net_income", "sga", "dividends"], YEARS)
-    return x.select("entity", "metric", *[F.col(str(y)).alias(f"y{y}") for y in YEARS])
+    q, y = B.statement_pair(spark, d)
+    factor = table(spark, d, "customer").select(F.col("c_custkey").alias("entity"), F.when(F.col("c_nationkey") % 3 == 0, 7.1).alias("factor"))
+    return RM.fact_sheet(y, q, "entity", ["revenue", "cogs", "net_income", "sga", "dividends", "shares"], factor=factor, counts=["shares"])
 
 
 def batch_log(spark, d):
@@ -382,13 +410,13 @@ def jn26(spark, d):
 
 # --- incremental -------------------------------------------------------------------------------------------------
 
-@query("inc01_append_stream", "SELECT event_id, user_id, value FROM events WHERE value > 10")
+@query("inc01_append_stream", "SELECT event_id, user_id, value FROM events")
 def inc01(spark, d):
     src = f"{d}/events.parquet"
     out, cp = scratch(spark, "inc01"), scratch(spark, "inc01-cp")
     s = I.file_stream(spark, src, table(spark, d, "events").schema)
-    I.append_new_files(s.where("value > 10").select("event_id", "user_id", "value"), out, cp)
-    I.append_new_files(s.where("value > 10").select("event_id", "user_id", "value"), out, cp)      # nothing new: no repeats
+    I.append_new_files(s.select("event_id", "user_id", "value"), out, cp)
+    I.append_new_files(s.select("event_id", "user_id", "value"), out, cp)      # nothing new: no repeats
     return spark.read.parquet(out)
 
 
@@ -402,7 +430,7 @@ def inc02(spark, d):
 def inc02b(spark, d):
     out, cp = scratch(spark, "inc02"), scratch(spark, "inc02-cp")
     s = I.file_stream(spark, f"{d}/events.parquet", table(spark, d, "events").schema)
-    I.append_new_files(I.drop_repeats(s.select("user_id"), "user_id"), out, cp)
+    I.append_new_files(I.drop_repeats(s.select("user_id", F.col("ts").cast("timestamp").alias("ts")), "user_id", "ts", "60 days").select("user_id"), out, cp)      # repeats come within two months
     return spark.read.parquet(out)
 
 
@@ -415,17 +443,17 @@ def inc03(spark, d):
         part.write.mode("append").parquet(path)
     out, cp = scratch(spark, "inc03"), scratch(spark, "inc03-cp")
     s = spark.readStream.schema(f.schema).option("maxFilesPerTrigger", 8).parquet(path)
-    I.keep_state(annual_values(s), out, cp)
+    I.keep_state(annual_values(s), out, cp, ["entity", "metric", "unit", "fiscal"])
     x = I.read_state(spark, out, ["entity", "metric", "unit", "fiscal"])
     return x.select("entity", "metric", "unit", "fiscal", "val", "concept")
 
 
-@query("inc04_series_cursor", """WITH s AS (SELECT user_id AS entity, max(cast(cast(ts as date) as varchar)) AS last_source FROM events WHERE event_type = 'view' GROUP BY 1), f AS (SELECT user_id AS entity, cast(cast(ts as date) as varchar) AS filed, event_id FROM events WHERE event_type = 'purchase')
+@query("inc04_series_cursor", """WITH s AS (SELECT user_id AS entity, max(cast(cast(ts as date) as varchar)) AS last_source FROM events WHERE event_type not in ('purchase', 'click') GROUP BY 1), f AS (SELECT user_id AS entity, cast(cast(ts as date) as varchar) AS filed, event_id FROM events WHERE event_type in ('purchase', 'click'))
   SELECT s.entity, greatest(last_source, max(filed)) AS last_source, count(event_id) AS used FROM s LEFT JOIN f ON f.entity = s.entity and filed > last_source GROUP BY s.entity, last_source""")
 def inc04(spark, d):
     e = table(spark, d, "events").select(F.col("user_id").alias("entity"), F.to_date("ts").cast("string").alias("day"), "event_id", "event_type")
-    s = e.where("event_type = 'view'").groupBy("entity").agg(F.max("day").alias("last_source")).withColumn("name", F.lit("gmv"))
-    f = e.where("event_type = 'purchase'").select("entity", F.col("day").alias("filed"), "event_id")
+    s = e.where("event_type not in ('purchase', 'click')").groupBy("entity").agg(F.max("day").alias("last_source")).withColumn("name", F.lit("gmv"))
+    f = e.where("event_type in ('purchase', 'click')").select("entity", F.col("day").alias("filed"), "event_id")
     used = I.extend_series(s, f, ["entity"])
     n = used.groupBy("entity").agg(F.count("event_id").alias("used"))
     return I.advance(s, used, ["entity"]).join(n, "entity", "left").select("entity", "last_source", F.coalesce("used", F.lit(0)).cast("bigint").alias("used"))

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallygrid.functions import scalars as S
+from tallygrid.operators.keyed import top_per_key
 from tallygrid.operators.select import industry_of
 from tallygrid.session import small_side
 
@@ -59,8 +60,18 @@ def industry_detail(rows: DataFrame, summaries: DataFrame, slug: str) -> DataFra
     return x.join(small_side(summaries.select("industry", "summary")), "industry", "left")
 
 
-def fact_sheet(facts: DataFrame, entity: str, metrics: list[str], years: list[int]) -> DataFrame:
-    """RM-10: metric x year pivot; metrics without any value in those years are dropped."""
-    long = facts.unpivot([entity, "fy"], metrics, "metric", "val").where(F.col("val").isNotNull() & F.col("fy").isin(years))
-    x = long.groupBy(entity, "metric").pivot("fy", years).agg(F.first("val"))
-    return x.where(F.coalesce(*[F.col(str(y)) for y in years]).isNotNull())
+def fact_sheet(annual: DataFrame, quarterly: DataFrame, entity: str, metrics: list[str], years: int = 10, quarters: int = 8,
+               period: str = "period", factor: DataFrame | None = None, counts: list[str] = ()) -> DataFrame:
+    """RM-10: metric x period pivot of each entity's newest fiscal years (y1, the newest, to yN) and quarters (q1 ..).
+    Metrics without any value there are dropped. ``factor`` (entity, factor) brings money into the entity's
+    own currency; ``counts`` are no money."""
+    rows = []
+    for df, n, g in ((annual, years, "y"), (quarterly, quarters, "q")):
+        x = top_per_key(df.select(entity, period, *metrics), [entity], [F.col(period).desc()], n)
+        rows.append(x.withColumn("_slot", F.concat(F.lit(g), F.col("rn").cast("string"))).drop("rn", period))
+    long = rows[0].unionByName(rows[1]).unpivot([entity, "_slot"], metrics, "metric", "val").where(F.col("val").isNotNull())
+    if factor is not None:
+        rate = F.when(F.col("metric").isin(*counts), 1.0).otherwise(F.coalesce("factor", F.lit(1.0)))
+        long = long.join(factor.select(entity, "factor"), entity, "left").withColumn("val", F.col("val") * rate).drop("factor")
+    slots = [f"y{i}" for i in range(1, years + 1)] + [f"q{i}" for i in range(1, quarters + 1)]
+    return long.groupBy(entity, "metric").agg(*[F.max(F.when(F.col("_slot") == c, F.col("val"))).alias(c) for c in slots])

@@ -47,12 +47,40 @@ def field_values(spark: SparkSession, path: str, field: str) -> DataFrame:
     return x.where(F.col(field).isNotNull()).distinct()
 
 
-def read_shards(spark: SparkSession, path: str, schema, key: str = "entity", stamp: str = "fetched_at") -> DataFrame:
-    """SRC-05: folder of shard files; per key the newest fetch wins, on a tie the later file name."""
+def json_documents(spark: SparkSession, path: str, schema, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rows, unreadable documents) of JSON files: an array or a document per file, indented or not, or one per
+    line. Rows carry ``_file``; unreadable documents are (file, document).
+
+    A file is read as a whole to tell its form, unless ``lines`` declares one document or array per line:
+    then large files are split."""
+    s = _schema(schema)
+    marked = T.StructType([*s.fields, T.StructField("_corrupt_record", T.StringType())])
+    file = F.input_file_name().alias("_file")
+    trim = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    if lines:
+        docs = spark.read.text(path).select(trim("value").alias("v"), file)
+    else:
+        whole = spark.read.text(path, wholetext=True).select(trim("value").alias("v"), file)
+        first = trim(F.split("v", "\n", 2)[0])
+        # a complete document on the first line: one per line
+        by_line = first.startswith("{") & first.endswith("}") | first.startswith("[") & first.endswith("]")
+        docs = whole.select(F.explode(F.when(by_line, F.split("v", "\n")).otherwise(F.array("v"))).alias("v"), "_file").withColumn("v", trim("v"))
+    array = F.col("v").startswith("[")
+    x = docs.where("v <> ''").select("_file", "v", F.when(array, F.from_json("v", T.ArrayType(s))).alias("a"),
+                                     F.when(~array, F.from_json("v", marked, {"columnNameOfCorruptRecord": "_corrupt_record"})).alias("o"))
+    bad = F.col("a").isNull() & (array | F.col("o._corrupt_record").isNotNull())
+    one = F.array(F.struct(*[F.col("o").getField(f).alias(f) for f in s.fieldNames()]))
+    good = x.where(~bad).select("_file", F.explode(F.coalesce("a", one)).alias("r")).where(F.col("r").isNotNull()).select("r.*", "_file")
+    return good, x.where(bad).select(F.col("_file").alias("file"), F.col("v").alias("document"))
+
+
+def read_shards(spark: SparkSession, path: str, schema, key: str = "entity", stamp: str = "fetched_at", lines: bool = False) -> DataFrame:
+    """SRC-05: folder of shard files; per key the newest fetch wins, on a tie the later file name.
+    Unreadable shards are the second part of ``json_documents``."""
     s = _schema(schema)
     if not exists(spark, path):
         return empty(spark, s)
-    x = spark.read.schema(s).json(path).withColumn("_file", F.input_file_name()).where(F.col(key).isNotNull())
+    x = json_documents(spark, path, s, lines)[0].where(F.col(key).isNotNull())
     return newest_per_key(x, [key], [F.coalesce(stamp, F.lit("")), "_file"], [f for f in s.fieldNames() if f != key])
 
 
@@ -62,13 +90,11 @@ def keyed_rows(df: DataFrame, key: str, ordinal: str) -> DataFrame:
 
 
 def read_entity(spark: SparkSession, path: str, entity, column: str = "entity") -> DataFrame:
-    """SRC-04: point read of a table written by ``sinks.write_by_entity``: the bucket is a partition
-    column, so only one folder is listed and its row groups are skipped by the sorted key."""
+    """SRC-04: point read of a table written by ``sinks.write_by_entity``: the number of buckets and the
+    bucket are partition columns, so one folder is read and its row groups are skipped by the sorted key."""
     from tallygrid.sources.sinks import entity_bucket
     x = spark.read.parquet(path)
-    n = int(spark.read.text(f"{path}_buckets").first()[0])
-    b = spark.range(1).select(entity_bucket(F.lit(entity), n)).first()[0]
-    return x.where((F.col("bucket") == b) & (F.col(column) == entity))
+    return x.where((F.col("bucket") == entity_bucket(F.lit(entity), F.col("buckets"))) & (F.col(column) == entity)).drop("bucket", "buckets")
 
 
 def read_fx(spark: SparkSession, path: str) -> DataFrame:
@@ -80,13 +106,10 @@ def read_fx(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.explode(m).alias("ccy", "r")).select("ccy", "r.per_usd", "r.as_of")
 
 
-def read_quarantined(spark: SparkSession, path: str, schema) -> tuple[DataFrame, DataFrame]:
-    """SRC-07: (good rows, unreadable documents) of a store folder."""
-    s = T.StructType([*_schema(schema).fields, T.StructField("_corrupt_record", T.StringType())])
-    x = spark.read.text(path).where(F.trim("value") != "").select(
-        F.from_json("value", s, {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"), F.input_file_name().alias("file"))
-    bad = F.col("r._corrupt_record")
-    return x.where(bad.isNull()).select("r.*").drop("_corrupt_record"), x.where(bad.isNotNull()).select("file", bad.alias("document"))
+def read_quarantined(spark: SparkSession, path: str, schema, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """SRC-07: (good rows, unreadable documents) of a store folder, see ``json_documents``."""
+    good, bad = json_documents(spark, path, schema, lines)
+    return good.drop("_file"), bad
 
 
 def read_html_corpus(spark: SparkSession, path: str) -> DataFrame:

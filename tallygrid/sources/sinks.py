@@ -13,20 +13,25 @@ def overwrite(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def entity_bucket(entity, n: int) -> Column:
+def entity_bucket(entity, n) -> Column:
     return F.pmod(F.xxhash64(_c(entity).cast("string")), F.lit(n)).cast("int")
 
 
-def write_by_entity(df: DataFrame, path: str, entity: str = "entity", buckets: int = 64, split: int = 8) -> None:
+# Input bytes that one bucket folder stands for.
+BUCKET_BYTES = 256 * 1024 * 1024
+
+
+def write_by_entity(df: DataFrame, path: str, entity: str = "entity", buckets: int | None = None) -> None:
     """SNK-02: per-entity shards. One folder per entity would mean millions of folders, so entities
-    share ``buckets`` folders and are sorted inside their files. The exchange adds a second salt
-    column, so that an entity holding a third of the rows is written by several tasks."""
-    spark = df.sparkSession
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(split)).cast("int")
-    x = df.withColumn("bucket", entity_bucket(entity, buckets)).withColumn("_salt", salt)
-    x.repartition("bucket", "_salt").drop("_salt").sortWithinPartitions("bucket", entity) \
-        .write.mode("overwrite").partitionBy("bucket").parquet(path)
-    spark.createDataFrame([(str(buckets),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}_buckets")
+    share bucket folders, as many as the input's size asks for, and are sorted inside their files. The
+    exchange is a rebalance: AQE splits a bucket that outgrows its advisory size, so an entity that
+    holds a third of the rows is written by several tasks."""
+    from tallygrid.session import estimated_bytes
+    if buckets is None:
+        size = estimated_bytes(df)
+        buckets = 64 if size >= 1 << 58 else max(8, -(-size // BUCKET_BYTES))       # larger: Catalyst does not know
+    x = df.withColumn("buckets", F.lit(buckets)).withColumn("bucket", entity_bucket(entity, buckets))
+    x.hint("rebalance", "bucket").sortWithinPartitions("bucket", entity).write.mode("overwrite").partitionBy("buckets", "bucket").parquet(path)
 
 
 def write_shards(df: DataFrame, path: str, shard: str, sort: str) -> None:

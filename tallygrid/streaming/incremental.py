@@ -6,6 +6,7 @@ that changed below its epoch (an overwritten epoch folder makes a repeated batch
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,26 +16,34 @@ from tallygrid.session import scratch
 
 
 def file_stream(spark: SparkSession, path: str, schema, max_files: int = 1000) -> DataFrame:
-    """Stream over a parquet table, whether it is one file or a folder of files."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(f"{path}*")
+    """Stream over a parquet table, whether it is one file or a folder of files. A glob that only this
+    path matches lets the source take a single file."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def disk_state(spark: SparkSession) -> None:
-    """Keyed state on executor disks instead of Spark's in-memory default: the state holds one row per
-    key and may exceed the memory of an executor. A provider the session has chosen stays."""
+@contextmanager
+def disk_state(spark: SparkSession):
+    """While a stream starts and runs: keyed state on executor disks instead of Spark's in-memory default, since
+    it holds one row per key and may exceed the memory of an executor. A provider the session has chosen
+    stays, and so does the session's setting afterwards."""
     key = "spark.sql.streaming.stateStore.providerClass"
-    if spark.conf.get(key).endswith("HDFSBackedStateStoreProvider"):
+    old = spark.conf.get(key)
+    if old.endswith("HDFSBackedStateStoreProvider"):
         spark.conf.set(key, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
 
 
 def append_new_files(stream: DataFrame, out: str, checkpoint: str) -> None:
     """INC-01: files that were not processed before are appended; the checkpoint is the resume state."""
-    disk_state(stream.sparkSession)
-    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint) \
-        .outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    with disk_state(stream.sparkSession):
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint) \
+            .outputMode("append").trigger(availableNow=True).start().awaitTermination()
 
 
 def new_keys_only(batch: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
@@ -49,15 +58,34 @@ def drop_repeats(stream: DataFrame, key: str, time: str | None = None, delay: st
     return stream.dropDuplicates([key])
 
 
-def keep_state(aggregate: DataFrame, out: str, checkpoint: str) -> None:
-    """INC-03 / INC-07: run a streaming keyed aggregate over what is available; the rows that changed
-    in a micro-batch are written below its epoch."""
-    disk_state(aggregate.sparkSession)
+# Epochs after which the rows of all are written as one.
+COMPACT_EVERY = 16
+
 
+def keep_state(aggregate: DataFrame, out: str, checkpoint: str, keys: list[str], every: int = COMPACT_EVERY) -> None:
+    """INC-03 / INC-07: run a streaming keyed aggregate over what is available; the rows that changed
+    in a micro-batch are written below its epoch. Every few epochs the newest row of each key is written as
+    that epoch, and the earlier ones go. An epoch that runs again overwrites its folder; once its folder
+    is complete, only the removal of earlier ones is repeated."""
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
-    aggregate.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint) \
-        .trigger(availableNow=True).start().awaitTermination()
+        spark, here = batch.sparkSession, f"{out}/epoch={epoch}"
+        if epoch == 0 or epoch % every:
+            batch.write.mode("overwrite").parquet(here)
+            return
+        fs_path = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+        fs = fs_path(out).getFileSystem(spark._jsc.hadoopConfiguration())
+        older = [x.getPath().toString() for x in fs.listStatus(fs_path(out)) if "epoch=" in x.getPath().getName() and int(x.getPath().getName().split("=")[1]) < epoch]
+        if not fs.exists(fs_path(f"{here}/_SUCCESS")):
+            rows = batch.withColumn("epoch", F.lit(epoch))
+            if older:
+                rows = rows.unionByName(spark.read.option("basePath", out).parquet(*older))
+            newest_per_key(rows, keys, ["epoch"], batch.drop(*keys).columns).select(*batch.columns).write.mode("overwrite").parquet(here)
+        for p in older:
+            fs.delete(fs_path(p), True)
+
+    with disk_state(aggregate.sparkSession):
+        aggregate.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint) \
+            .trigger(availableNow=True).start().awaitTermination()
 
 
 def read_state(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
@@ -70,7 +98,7 @@ def stream_latest(stream: DataFrame, keys: list[str], order: list[str], payload:
     """INC-07 end to end: keep-latest state of a stream, returned as a table."""
     spark = stream.sparkSession
     out, cp = scratch(spark, label), scratch(spark, f"{label}-cp")
-    keep_state(newest_per_key(stream, keys, order, payload), out, cp)
+    keep_state(newest_per_key(stream, keys, order, payload), out, cp, keys)
     return read_state(spark, out, keys)
 
 

@@ -22,7 +22,7 @@ def norm(v):
 def main(sf, prefixes):
     import __spark_entry__ as E
     from tallygrid.session import local_session
-    spark = local_session("8")
+    spark = local_session(__import__("os").environ.get("CHECK_CPUS", "8"))
     d = sf if sf.startswith("/") else f"/root/testdata/sf{sf}"
     con = duckdb.connect()
     for t in TABLES:

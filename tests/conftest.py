@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 @pytest.fixture(scope="session")
 def spark():
     from tallygrid.session import local_session
-    return local_session("4", 4)
+    return local_session("2", 4)
 
 
 @pytest.fixture

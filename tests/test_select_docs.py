@@ -104,3 +104,22 @@ def test_templates_and_budgeted_sections(spark):
     assert spark.range(1).select(DO.render("{{a}}-{{b}}-{{a}}", {"a": F.lit("x"), "b": F.lit(None).cast("string")})).first()[0] == "x--x"
     p = spark.createDataFrame([("k", i, "x" * 40) for i in range(5)], "k string, i int, body string")
     assert len(DO.join_sections(p, ["k"], "i", "body", 100).first().text) == 100 and len(DO.join_sections(p, ["k"], "i", "body", 1000).first().text) == 208
+
+
+def test_running_totals_and_call_split_keep_null_keys(spark, rows):
+    from tallygrid.operators import keyed as K
+    df = spark.createDataFrame([("a", 1, 5), (None, 1, 7), (None, 9, 2), ("a", None, 3)], "k string, t int, v int")
+    for block in (2, 4096):
+        assert rows(K.running_total(df, ["k"], "t", "v", "run", block)) == [(None, 1, 7, 7), (None, 9, 2, 9), ("a", None, 3, 8), ("a", 1, 5, 5)]
+    t = spark.createDataFrame([(None, 0, "intro"), (None, 1, "questions"), ("c", 0, "hi"), ("c", None, "x")], "k string, turn int, content string")
+    got = C.split_call(t, ["k"], F.col("content") == "questions")
+    assert rows(got, "k", "turn", "part") == [(None, 0, "remarks"), (None, 1, "qa"), ("c", None, "remarks"), ("c", 0, "remarks")]
+    page = C.render_page(got.withColumn("s", F.lit("S")), ["k"], 0, 100, "s", "s", "content", "turn", part="qa")
+    assert rows(page, "k", "chunk") == [(None, "**S** (S):\nquestions")]
+
+
+def test_mentions_of_long_names(spark, rows):
+    docs = spark.createDataFrame([(1, "About Very Long Company Name Of Seven Words today, and $abc and XYZ."), (2, "very long company name of six words; Short Co"), (3, "the short short co"), (4, None)], "d int, t string")
+    names = spark.createDataFrame([("very long company name of seven words", "LONG"), ("short co", "SHRT"), ("short short", "TWO")], "norm string, ticker string")
+    tick = spark.createDataFrame([("ABC",), ("XYZ",), ("LONG",)], "ticker string")
+    assert rows(C.mentions(docs, "d", "t", tick, names), "d", "ticker") == [(1, "ABC"), (1, "LONG"), (1, "XYZ"), (2, "SHRT"), (3, "SHRT"), (3, "TWO")]

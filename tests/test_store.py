@@ -1,3 +1,5 @@
+import pytest
+import os
 import json
 from datetime import date
 
@@ -44,7 +46,7 @@ def test_readers(spark, tmp_path, rows):
 def test_entity_shards_point_read(spark, tmp_path):
     df = spark.createDataFrame([(f"e{i % 7}", i) for i in range(100)], "entity string, v int")
     p = str(tmp_path / "t")
-    SK.write_by_entity(df, p, buckets=4, split=3)
+    SK.write_by_entity(df, p, buckets=4)
     one = FI.read_entity(spark, p, "e3")
     assert sorted(r.v for r in one.collect()) == list(range(3, 100, 7))
     plan = one._jdf.queryExecution().executedPlan().toString()
@@ -89,7 +91,7 @@ def test_stream_equals_batch_in_any_arrival_order(spark, tmp_path, rows):
         for i in order:
             spark.createDataFrame([data[i]], fact).coalesce(1).write.mode("append").parquet(src)
         s = spark.readStream.schema(spark.read.parquet(src).schema).option("maxFilesPerTrigger", 1).parquet(src)
-        I.keep_state(X.annual_values(s), str(tmp_path / f"out{n}"), str(tmp_path / f"cp{n}"))
+        I.keep_state(X.annual_values(s), str(tmp_path / f"out{n}"), str(tmp_path / f"cp{n}"), ["entity", "metric", "unit", "fiscal"])
         got = I.read_state(spark, str(tmp_path / f"out{n}"), ["entity", "metric", "unit", "fiscal"])
         assert rows(got, "entity", "fiscal", "val") == want == [("a", 2024, 2.0)]
 
@@ -120,8 +122,11 @@ def test_read_models(spark, rows):
     log = spark.createDataFrame([(D("2025-01-01"), 1, "s1", ["A", "B"]), (D("2025-01-02"), 2, "s2", ["A"])], "date date, ordinal int, summary string, industries array<string>")
     dig = spark.createDataFrame([("A", D("2025-01-01"), "old"), ("B", D("2025-01-01"), "same day")], "industry string, date date, summary string")
     assert rows(RM.newest_entry_per_industry(log, dig), "industry", "summary") == [("A", "s2"), ("B", "same day")]
-    f = spark.createDataFrame([("a", 2024, 1.0, None), ("a", 2025, 2.0, None), ("a", 2020, 3.0, 4.0)], "entity string, fy int, rev double, ebitda double")
-    assert rows(RM.fact_sheet(f, "entity", ["rev", "ebitda"], [2024, 2025])) == [("a", "rev", 1.0, 2.0)]
+    y = spark.createDataFrame([("a", D("2024-12-31"), 1.0, None, 5.0), ("a", D("2025-12-31"), 2.0, None, 6.0), ("a", D("2020-12-31"), 3.0, 4.0, 7.0)], "entity string, period date, rev double, ebitda double, shares double")
+    q = spark.createDataFrame([("a", D("2025-09-30"), 0.5, None, 6.0), ("b", D("2025-09-30"), 1.5, None, None)], "entity string, period date, rev double, ebitda double, shares double")
+    fx = spark.createDataFrame([("a", 2.0)], "entity string, factor double")
+    sheet = RM.fact_sheet(y, q, "entity", ["rev", "ebitda", "shares"], 2, 1, factor=fx, counts=["shares"])
+    assert rows(sheet) == [("a", "rev", 4.0, 2.0, 1.0), ("a", "shares", 6.0, 5.0, 6.0), ("b", "rev", None, None, 1.5)]
 
 
 def test_broadcast_only_when_small(spark):
@@ -129,3 +134,58 @@ def test_broadcast_only_when_small(spark):
     assert estimated_bytes(small) < estimated_bytes(big)
     has = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
     assert has(small_side(small)) and not has(small_side(big))
+
+
+def test_readers_accept_arrays_documents_and_lines(spark, rows, tmp_path):
+    (tmp_path / "a.json").write_text('[\n  {\n    "entity": "x",\n    "v": 1\n  },\n  {"entity": "y", "v": 2}\n]\n')
+    (tmp_path / "b.json").write_text('{\n  "entity": "z",\n  "v": 3\n}\n')
+    (tmp_path / "c.json").write_text('{"entity": "p", "v": 4}\n\n{"entity": "q", "v": 5}\n{"entity": bad\n')
+    (tmp_path / "d.json").write_text('[{"entity": "broken"')
+    (tmp_path / "e.json").write_text("")
+    good, bad = FI.read_quarantined(spark, str(tmp_path), "entity string, v int")
+    assert rows(good) == [("p", 4), ("q", 5), ("x", 1), ("y", 2), ("z", 3)]
+    assert sorted(r.document for r in bad.collect()) == ['[{"entity": "broken"', '{"entity": bad']
+    assert rows(FI.read_shards(spark, str(tmp_path), "entity string, v int, fetched_at string"), "entity", "v") == [("p", 4), ("q", 5), ("x", 1), ("y", 2), ("z", 3)]
+    (tmp_path / "lines").mkdir()
+    (tmp_path / "lines" / "f.json").write_text('{"entity": "p", "v": 4}\n[{"entity": "q", "v": 5}]\nnope\n')
+    good, bad = FI.read_quarantined(spark, str(tmp_path / "lines"), "entity string, v int", lines=True)
+    assert rows(good) == [("p", 4), ("q", 5)] and bad.count() == 1
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    from tallygrid import session
+
+    class Conf:
+        def __init__(self, master): self.values = {"spark.master": master}
+        def get(self, k, default=None): return self.values.get(k, default)
+        def set(self, k, v): self.values[k] = v
+
+    class Fake:
+        def __init__(self, master):
+            self.conf = Conf(master)
+            self.sparkContext = type("C", (), {"getConf": lambda s: Conf(master)})()
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            session.shared_dir(Fake(master))
+    assert os.path.isdir(session.shared_dir(Fake("local[2]")))
+    path = session.scratch(spark, "x")
+    spark.range(3).write.parquet(path)
+    monkeypatch.setattr(session, "_PATHS", [path])
+    session.drop_scratch(spark)
+    assert not os.path.exists(path) and session._PATHS == []
+
+
+def test_epochs_are_compacted(spark, rows, tmp_path):
+    from tallygrid.operators.keyed import newest_per_key
+    from tallygrid.streaming import incremental as I
+    src, out, cp = (str(tmp_path / n) for n in ("src", "out", "cp"))
+    for i in range(11):
+        spark.createDataFrame([(i % 4, i, f"v{i}"), (100 + i, i, "own")], "k int, t int, v string").coalesce(1).write.mode("append").parquet(src)
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    s = spark.readStream.schema("k int, t int, v string").option("maxFilesPerTrigger", 1).parquet(src)
+    I.keep_state(newest_per_key(s, ["k"], ["t"], ["v"]), out, cp, ["k"], every=5)
+    assert spark.conf.get(key) == before
+    assert sorted(p for p in os.listdir(out) if p.startswith("epoch")) == ["epoch=10"]
+    state = rows(I.read_state(spark, out, ["k"]), "k", "v")
+    assert len(state) == 15 and {(0, "v8"), (1, "v9"), (2, "v10"), (3, "v7")} <= set(state)
