@@ -209,7 +209,8 @@ def statement_quarters(single: DataFrame, ytd: DataFrame, keys: list[str], year:
 
 def release_metrics(releases: DataFrame) -> DataFrame:
     """KPI-14: quarterly metrics of results releases: entity, period_type, period_end,
-    cash_flow_period_type, metric, val; cash-flow lines only with a three-month column."""
+    cash_flow_period_type, metric, val; standard fields only, cash-flow lines only with a three-month column."""
+    releases = releases.where(F.col("metric").isin(M.RELEASE_FIELDS))
     keep = (F.col("period_type") == "quarter") & F.col("period_end").isNotNull() & F.col("val").isNotNull()
     cash = ~F.col("metric").isin(M.RELEASE_CASH_FLOW) | (F.col("cash_flow_period_type") == "quarter")
     name = F.col("metric")

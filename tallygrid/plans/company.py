@@ -100,3 +100,27 @@ def company_detail(rows: DataFrame, quarters: DataFrame, years: DataFrame, curre
     x = rows.join(n(quarters, "quarters"), key, "left").join(n(years, "years"), key, "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
     return x.withColumn("currency", currency).withColumn("quarters", zero("quarters")).withColumn("years", zero("years"))
+
+
+# Statement column -> metric of the label table.
+STATEMENT_METRICS = {
+    "revenue": "revenue", "cogs": "cost_of_revenue", "gross_profit": "gross_profit", "op_income": "operating_income", "net_income": "net_income",
+    "rd": "rd_expense", "sm": "selling_marketing_expense", "ga": "general_admin_expense", "sga": "sga_expense", "ocf": "operating_cf", "capex": "capex",
+    "dividends": "cash_dividends_paid", "cash": "cash", "sti": "short_term_investments", "assets": "total_assets", "equity": "stockholders_equity",
+    "lt_debt": "long_term_debt", "st_debt": "short_term_debt", "shares": "diluted_shares"}
+
+
+def labelled(df: DataFrame, grid: str, key: str = "entity") -> DataFrame:
+    """FLT-23: long statement rows under the display labels: key, grid, period, item, val."""
+    cols = [c for c in STATEMENT_METRICS if c in df.columns]
+    named = df.select(key, "period", *[F.col(c).alias(M.METRIC_LABELS[STATEMENT_METRICS[c]]) for c in cols])
+    return named.unpivot([key, "period"], named.columns[2:], "item", "val").where(F.col("val").isNotNull()).select(key, F.lit(grid).alias("grid"), "period", "item", "val")
+
+
+def company_page(rows: DataFrame, quarters: DataFrame, years: DataFrame, issues: DataFrame, quotes: DataFrame, key: str = "entity") -> DataFrame:
+    """RM-04: one row per company: identity and ratios, statements (annual and quarterly, newest first), validation
+    issues, quote currency with its rate. The arrays are bounded by the calendar and the rules."""
+    long = labelled(years, "annual", key).unionByName(labelled(quarters, "quarterly", key))
+    s = long.groupBy(key).agg(F.reverse(F.sort_array(F.collect_list(F.struct("grid", "period", "item", "val")))).alias("statements"))
+    i = issues.groupBy(key, "severity", "rule").agg(F.count(F.lit(1)).alias("n")).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("severity", "rule", "n"))).alias("issues"))
+    return rows.join(s, key, "left").join(i, key, "left").join(quotes, key, "left")

@@ -447,13 +447,13 @@ def flt22(spark, d):
 
 
 @query("kpi14_release_metrics", """WITH x AS (SELECT o_custkey AS entity, case when o_orderstatus = 'P' then 'year' else 'quarter' end AS pt, case when o_orderpriority <> '5-LOW' then cast(cast(o_orderdate as date) as varchar) end AS pe, case when o_orderstatus = 'F' then 'quarter' else 'six months' end AS cf, o_orderkey, o_totalprice AS v,
-  ['revenue', 'operating_cf', 'diluted_ads'][o_orderkey % 3 + 1] AS m FROM orders) SELECT o_orderkey, entity, pe AS period_end, case when m = 'diluted_ads' then 'diluted_shares' else m end AS metric, v AS val, '6k' AS source FROM x WHERE pt = 'quarter' and pe is not null and (m <> 'operating_cf' or cf = 'quarter')""")
+  ['revenue', 'operating_cf', 'diluted_ads', 'order_backlog'][o_orderkey % 4 + 1] AS m FROM orders) SELECT o_orderkey, entity, pe AS period_end, case when m = 'diluted_ads' then 'diluted_shares' else m end AS metric, v AS val, '6k' AS source FROM x WHERE pt = 'quarter' and m <> 'order_backlog' and pe is not null and (m <> 'operating_cf' or cf = 'quarter')""")
 def kpi14(spark, d):
     s = F.col("o_orderstatus")
     x = table(spark, d, "orders").select(
         "o_orderkey", F.col("o_custkey").alias("entity"), F.when(s == "P", "year").otherwise("quarter").alias("period_type"),
         F.when(F.col("o_orderpriority") != "5-LOW", F.to_date("o_orderdate").cast("string")).alias("period_end"), F.when(s == "F", "quarter").otherwise("six months").alias("cash_flow_period_type"),
-        F.get(F.array(F.lit("revenue"), F.lit("operating_cf"), F.lit("diluted_ads")), (F.col("o_orderkey") % 3).cast("int")).alias("metric"), F.col("o_totalprice").alias("val"))
+        F.get(F.array(F.lit("revenue"), F.lit("operating_cf"), F.lit("diluted_ads"), F.lit("order_backlog")), (F.col("o_orderkey") % 4).cast("int")).alias("metric"), F.col("o_totalprice").alias("val"))
     return X.release_metrics(x).select("o_orderkey", "entity", "period_end", "metric", "val", "source")
 
 
@@ -503,6 +503,28 @@ def kpi11b(spark, d):
     return source_facts(raw, M.ASHARE_FIELDS, "ashare")
 
 
+def _second_sql() -> str:
+    """The same binding for the second source: its fields, and the first row of a report date counts."""
+    dim = ", ".join(f"('{stmt}', '{m}', '{f}', {r}, {-1.0 if m in M.NEGATED else 1.0}::double)" for stmt, tab in M.SECOND_FIELDS.items() for m, fs in tab.items() for r, f in enumerate(fs))
+    head, rest = ASH_SQL.split("d(kind, metric, field, rank, sign) AS (VALUES ", 1)
+    rest = rest[rest.index("),\n  x AS"):]
+    for a, b in (("'money_cap', 'total_assets'", "'MONETARYFUNDS', 'TOTAL_ASSETS'"), ("'n_cashflow_act', 'c_pay_acq_const_fiolta'", "'NETCASH_OPERATE', 'CONSTRUCT_LONG_ASSET'"),
+                 ("'total_revenue', 'revenue', 'oper_cost'", "'TOTAL_OPERATE_INCOME', 'BASIC_EPS', 'OPERATE_COST'"), ("arg_max(val, ann)", "arg_min(val, ann)")):
+        head = head.replace(a, b)
+    return f"{head}d(kind, metric, field, rank, sign) AS (VALUES {dim}{rest}"
+
+
+@query("kpi12_second_source_facts", f"""WITH {_second_sql()} SELECT *, 'eastmoney' AS source FROM fa UNION ALL SELECT a.entity, a.grid, 'gross_profit', a.period, a.val - b.val, 'eastmoney' FROM fa a JOIN fa b ON a.entity = b.entity and a.grid = b.grid and a.period = b.period WHERE a.metric = 'revenue' and b.metric = 'cost_of_revenue'""")
+def kpi12b(spark, d):
+    from tallygrid.plans.company import source_facts
+    p, k = F.col("o_orderpriority"), F.col("o_orderkey")
+    pick = lambda *names: F.get(F.array(*[F.lit(n) for n in names]), (k % len(names)).cast("int"))
+    raw = table(spark, d, "orders").select(
+        F.col("o_custkey").alias("entity"), F.when(p == "4-NOT SPECIFIED", "balance").when(p == "5-LOW", "cashflow").when(p == "3-MEDIUM", "income_q").otherwise("income").alias("stmt"), S.quarter_end("o_orderdate").alias("end"), k.alias("ann"),
+        F.when(p == "4-NOT SPECIFIED", pick("MONETARYFUNDS", "TOTAL_ASSETS")).when(p == "5-LOW", pick("NETCASH_OPERATE", "CONSTRUCT_LONG_ASSET")).otherwise(pick("TOTAL_OPERATE_INCOME", "BASIC_EPS", "OPERATE_COST")).alias("field"), F.round("o_totalprice").alias("val"))
+    return source_facts(raw, M.SECOND_FIELDS, "eastmoney", by_restatement=False)
+
+
 @query("kpi14_agg18_release_facts", f"""WITH {ASSET_SQL}, sd AS (SELECT o_orderkey AS entity, 'cash' AS metric, o_totalprice AS val FROM orders WHERE o_orderstatus = 'F')
   SELECT * FROM sd UNION ALL SELECT * FROM al WHERE NOT EXISTS (SELECT 1 FROM sd WHERE sd.entity = al.entity and sd.metric = al.metric)""")
 def kpi14b(spark, d):

@@ -158,6 +158,13 @@ def txt08(spark, d):
     return C.render_page(t, ["conv_id"], 300, 500, "role", "title", "text", "turn")
 
 
+@query("txt08_transcript_parts", f"""WITH {CUT_SQL}, p AS (SELECT conv_id, turn, role, text FROM conversations JOIN cut USING (conv_id) WHERE turn >= c), x AS (SELECT conv_id, string_agg('**' || role || '** (turn):' || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS t FROM p GROUP BY 1)
+  SELECT conv_id, substr(t, 1, 900) AS chunk, cast(length(t) as bigint) AS total, least(900, length(t))::bigint AS next_offset FROM x""")
+def txt08b(spark, d):
+    t = split_turns(spark, d).withColumn("title", F.lit("turn"))
+    return C.render_page(t, ["conv_id"], 0, 900, "role", "title", "text", "turn", part="qa")
+
+
 @query("txt07_turn_search", """WITH h AS (SELECT conv_id, turn, role, text, strpos(lower(text), 'en') AS p FROM conversations WHERE contains(lower(text), 'en') QUALIFY row_number() over (partition by conv_id order by turn desc) <= 3)
   SELECT conv_id, turn, case when greatest(p - 1 - 250, 0) > 0 then '…' else '' end || substr(text, greatest(p - 1 - 250, 0) + 1, least(length(text), p - 1 + 2 + 350) - greatest(p - 1 - 250, 0)) || case when p - 1 + 2 + 350 < length(text) then '…' else '' end AS snippet FROM h""")
 def txt07(spark, d):

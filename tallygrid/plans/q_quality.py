@@ -98,6 +98,12 @@ def dq16(spark, d):
     return all_issues(spark, d).groupBy("rule", "severity").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("entity").alias("entities"))
 
 
+@query("rm04_company_issues", f"{ALL_SQL} SELECT entity, severity, rule, count(*) AS n FROM issues WHERE entity IN (SELECT c_custkey FROM customer) GROUP BY 1, 2, 3")
+def rm04_issues(spark, d):
+    from tallygrid.plans.q_store import _company_pages
+    return _company_pages(spark, d).select("entity", F.inline("issues"))
+
+
 WORST_SQL = "w AS (SELECT c_custkey AS entity, coalesce(max(case severity when 'error' then 3 when 'warn' then 2 when 'info' then 1 end), 0) AS r FROM customer LEFT JOIN issues ON entity = c_custkey GROUP BY 1), wst AS (SELECT entity, ['ok', 'info', 'warn', 'error'][r + 1] AS status FROM w)"
 
 

@@ -325,6 +325,32 @@ def rm04(spark, d):
     return x.select("entity", "name", "status", "currency", "market_cap", F.round("ttm_pe", 6).alias("ttm_pe"), "quarters", "years")
 
 
+def _label_cases() -> str:
+    from tallygrid.plans.company import STATEMENT_METRICS
+    from tallygrid.sources.mappings import METRIC_LABELS
+    return ", ".join(f"{c} AS \"{METRIC_LABELS[m]}\"" for c, m in STATEMENT_METRICS.items())
+
+
+QUOTE_SQL = "qt AS (SELECT c_custkey AS entity, case when c_nationkey % 3 = 0 then 'CNY' else 'USD' end AS quote_ccy, case when c_nationkey % 3 = 0 then 7.1::double else 1.0::double end AS quote_fx FROM customer)"
+
+
+def _company_pages(spark, d):
+    from tallygrid.plans.company import company_page
+    from tallygrid.plans.q_quality import all_issues
+    q, y = B.statement_pair(spark, d)
+    rows = RM.ticker_rows(analyzed(spark, d), status(spark, d), QG.snapshot_frame(spark, d, pair=(q, y))).select("entity", "name", "status", "market_cap")
+    cny = F.col("c_nationkey") % 3 == 0
+    quotes = table(spark, d, "customer").select(F.col("c_custkey").alias("entity"), F.when(cny, "CNY").otherwise("USD").alias("quote_ccy"), F.when(cny, 7.1).otherwise(1.0).alias("quote_fx"))
+    return company_page(rows, q, y, all_issues(spark, d), quotes)
+
+
+@query("rm04_company_statements", f"""WITH {B.LINES_SQL}, {B.statements_sql()}, {B.statements_sql('year', 'sty')}, {QUOTE_SQL}, w AS (SELECT entity, 'annual' AS grid, period, {_label_cases()} FROM sty UNION ALL SELECT entity, 'quarterly', period, {_label_cases()} FROM st)
+  SELECT c_name AS name, entity, quote_ccy, quote_fx, grid, cast(period as varchar) AS period, item, val FROM (UNPIVOT w ON COLUMNS(* EXCLUDE (entity, grid, period)) INTO NAME item VALUE val) JOIN customer ON c_custkey = entity JOIN qt USING (entity)""")
+def rm04b(spark, d):
+    x = _company_pages(spark, d).select("name", "entity", "quote_ccy", "quote_fx", F.inline("statements"))
+    return x.select("name", "entity", "quote_ccy", "quote_fx", "grid", F.col("period").cast("string").alias("period"), "item", "val")
+
+
 @query("rm09_index_rows", f"{QG.SNAP_SQL} SELECT c_mktsegment AS industry, c_custkey AS entity, cap AS market_cap, round(cap/nullif(ttm_fcf,0), 6) AS p_fcf, round(ttm_net_income/nullif(av,0), 6) AS roa FROM customer JOIN s ON s.entity = c_custkey")
 def rm09(spark, d):
     from tallygrid.plans.company import index_rows
@@ -350,6 +376,13 @@ def rm10(spark, d):
     return RM.fact_sheet(y, q, "entity", ["revenue", "cogs", "net_income", "sga", "dividends", "shares"], factor=factor, counts=["shares"])
 
 
+@query("rm13_last_six_periods", f"""WITH {B.LINES_SQL}, {B.statements_sql()}, u AS (SELECT entity, 'q' AS g, row_number() over (partition by entity order by period desc) AS rn, revenue, cash, ocf FROM st QUALIFY rn <= 6)
+  SELECT entity, metric, {_slots_sql(6, 'q')} FROM (UNPIVOT u ON revenue, cash, ocf INTO NAME metric VALUE val) GROUP BY 1, 2""")
+def rm13(spark, d):
+    q = B.statements(spark, d)
+    return RM.fact_sheet(q, q, "entity", ["revenue", "cash", "ocf"], years=0, quarters=6)
+
+
 def batch_log(spark, d):
     """Batches: one per order with three tickers derived from the order row."""
     k = F.col("o_custkey")
