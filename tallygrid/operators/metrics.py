@@ -53,6 +53,20 @@ def base_grid(facts: DataFrame, prices: DataFrame, base: DataFrame, entity: str
     return x.withColumn("mcap", F.col("price") * used).drop("base_shares")
 
 
+def alias_grid(items: DataFrame, entity: str, period: str) -> DataFrame:
+    """KPI-06: statement items (entity, period, item, val) as the columns that user metrics name. Every alias is there,
+    null where nothing is on file; cash_all, total_debt and fcf come from their parts where they are not reported."""
+    from tallygrid.sources.mappings import ALIAS_METRICS, METRIC_LABELS
+    label = {a: METRIC_LABELS[m] for a, m in ALIAS_METRICS.items()}
+    wide = items.groupBy(entity, period).agg(*[F.max(F.when(F.col("item") == t, F.col("val"))).alias(a) for a, t in label.items()])
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    some = F.col("lt_debt").isNotNull() | F.col("current_debt").isNotNull()
+    return wide.withColumns({
+        "cash_all": F.coalesce("cash_all", F.col("cash") + zero("sti") + zero("restricted_cash")),
+        "total_debt": F.when(some, zero("lt_debt") + zero("current_debt")),
+        "fcf": F.col("ocf") - F.abs(zero("capex"))})
+
+
 @dataclass(frozen=True)
 class Metric:
     """UDX-01: one saved metric."""

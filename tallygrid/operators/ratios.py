@@ -95,6 +95,11 @@ HEADLINE = ["revenue", "gross_profit", "op_income", "net_income", "eps", "shares
             "debt_any", "assets"]
 
 
+# Further statement items that the table shows as they are, where the periods have them.
+TABLE_ITEMS = ["ebitda", "pretax_income", "income_tax", "interest_expense", "total_liabilities", "cur_assets", "cur_liab", "retained_earnings",
+               "goodwill", "inventory", "receivables"]
+
+
 def prune_empty(df: DataFrame, cols: list[str]) -> DataFrame:
     """FLT-24: keep a row only if one of the headline metrics is present."""
     return df.where(F.coalesce(*[F.col(c).cast("string") for c in cols]).isNotNull())
@@ -102,7 +107,8 @@ def prune_empty(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def table_columns(periods: DataFrame, prices: DataFrame, years: DataFrame, entity: str = "entity") -> DataFrame:
     """KPI-04: the table's column set: raw metrics, per-share values, margins, cost ratios,
-    current ratio and static multiples. Prices need the exact month; share count, book value
+    current ratio and static multiples, further items and the source tag (<item>_src) of each cell that
+    has one. Prices need the exact month; share count, book value
     and the annual denominators are as-of. One row per entity and period."""
     from tallygrid.operators.asof import asof, newest_in_bucket
     c = F.col
@@ -127,4 +133,5 @@ def table_columns(periods: DataFrame, prices: DataFrame, years: DataFrame, entit
         d("sm", "revenue").alias("sm_r"), d("ga", "revenue").alias("ga_r"), d("sga", "revenue").alias("sga_r"),
         d(S.other_opex("gross_profit", "op_income", "rd", "sm", "ga", "sga"), c("revenue")).alias("other_r"),
         d("cur_assets", "cur_liab").alias("current_ratio"), d(cap, c("_ni_y")).alias("static_pe"),
-        d(cap, c("_rev_y")).alias("static_ps"), d(cap, bv).alias("pb"))
+        d(cap, c("_rev_y")).alias("static_ps"), d(cap, bv).alias("pb"), d(cap + c("debt_any") - c("cash_any"), "ebitda").alias("ev_ebitda") if "ebitda" in x.columns else F.lit(None).cast("double").alias("ev_ebitda"),
+        *[n for n in TABLE_ITEMS if n in periods.columns], *[n for n in periods.columns if n.endswith("_src")])

@@ -372,10 +372,16 @@ def kpi02(spark, d):
   coalesce(total_debt, lt_debt) AS debt_any, assets, equity, revenue/nullif(shares,0) AS sps, equity/nullif(shares,0) AS bvps, gross_profit/nullif(revenue,0) AS gm,
   op_income/nullif(revenue,0) AS om, net_income/nullif(revenue,0) AS nm, rd/nullif(revenue,0) AS rd_r, sm/nullif(revenue,0) AS sm_r,
   ga/nullif(revenue,0) AS ga_r, sga/nullif(revenue,0) AS sga_r, (gross_profit - op_income - coalesce(rd,0) - coalesce(sga, sm + ga))/nullif(revenue,0) AS other_r,
-  (cash+sti)/nullif(st_debt,0) AS current_ratio, shares*close/nullif(ni_y,0) AS static_pe, shares*close/nullif(rev_y,0) AS static_ps, shares*close/nullif(equity,0) AS pb FROM j""")
+  (cash+sti)/nullif(st_debt,0) AS current_ratio, shares*close/nullif(ni_y,0) AS static_pe, shares*close/nullif(rev_y,0) AS static_ps, shares*close/nullif(equity,0) AS pb,
+  (shares*close + coalesce(total_debt, lt_debt) - coalesce(cash_all, cash))/nullif(op_income + rd,0) AS ev_ebitda, op_income + rd AS ebitda, op_income - ga AS pretax_income, op_income - ga - net_income AS income_tax, ga AS interest_expense, assets - equity AS total_liabilities,
+  cash + sti AS cur_assets, st_debt AS cur_liab, equity - cash AS retained_earnings, case when quarter(period) = 2 then '6k' else 'sec' end AS revenue_src, case when cash is not null then case when lt_debt is null then 'yfinance' else 'sec' end end AS cash_src FROM j""")
 def kpi04(spark, d):
     q, y = B.statement_pair(spark, d)
     st = B.derived(q).withColumn("cur_assets", F.col("cash") + F.col("sti")).withColumn("cur_liab", F.col("st_debt"))
+    c = F.col
+    st = st.select("*", (c("op_income") + c("rd")).alias("ebitda"), (c("op_income") - c("ga")).alias("pretax_income"), (c("op_income") - c("ga") - c("net_income")).alias("income_tax"), c("ga").alias("interest_expense"),
+                   (c("assets") - c("equity")).alias("total_liabilities"), (c("equity") - c("cash")).alias("retained_earnings"), F.when(F.quarter("period") == 2, "6k").otherwise("sec").alias("revenue_src"),
+                   F.when(c("cash").isNotNull(), F.when(c("lt_debt").isNull(), "yfinance").otherwise("sec")).alias("cash_src"))
     x = R.table_columns(st, B.prices(spark, d), y)
     return x.select("entity", iso("period"), *[c for c in x.columns if c not in ("entity", "period")])
 
@@ -397,6 +403,20 @@ def kpi06(spark, d):
     return metric_grid(spark, d).select("entity", iso("period"), "revenue", "equity", "fcf", "shares", "price", "mcap")
 
 
+@query("kpi06_alias_grid", f"""{ST} SELECT entity, cast(period as varchar) AS period, revenue, cogs, gross_profit, op_income, net_income, net_income - sga AS eps, sga, sm AS s_and_m, ga AS g_and_a, ocf, capex, ocf - abs(coalesce(capex, 0)) AS fcf, shares, cash, sti,
+  {', '.join(f'cast(null as double) AS {a}' for a in ('restricted_cash', 'receivables', 'inventory', 'ppe', 'goodwill', 'intangibles', 'lt_investments', 'leases', 'ap', 'accrued', 'deferred_revenue'))},
+  cash + coalesce(sti, 0) AS cash_all, assets AS total_assets, assets - equity AS total_liabilities, equity, case when lt_debt is not null or st_debt is not null then coalesce(lt_debt, 0) + coalesce(st_debt, 0) end AS total_debt, st_debt AS current_debt, lt_debt FROM st
+  WHERE coalesce(revenue, cogs, gross_profit, op_income, net_income, sga, sm, ga, ocf, capex, shares, cash, sti, assets, equity, lt_debt, st_debt) is not null""")
+def kpi06b(spark, d):
+    from tallygrid.plans.company import labelled
+    from tallygrid.sources.mappings import METRIC_LABELS as L
+    st = B.statements(spark, d)
+    more = st.select("entity", "period", (F.col("net_income") - F.col("sga")).alias(L["diluted_eps"]), (F.col("assets") - F.col("equity")).alias(L["total_liabilities"]))
+    more = more.unpivot(["entity", "period"], more.columns[2:], "item", "val").where("val is not null")
+    x = M.alias_grid(labelled(st, "quarterly").drop("grid").unionByName(more), "entity", "period")
+    return x.select("entity", iso("period"), *[c for c in x.columns if c not in ("entity", "period")])
+
+
 def _w4(m):
     return f"case when count({m}) over {W4} = 4 then sum({m}) over {W4} end"
 

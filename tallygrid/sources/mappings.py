@@ -214,6 +214,20 @@ ALIAS_KINDS = {
 }
 
 
+# Statement metric behind each alias; fcf and total_debt are derived, price and mcap come from the market.
+ALIAS_METRICS = {
+    "revenue": "revenue", "cogs": "cost_of_revenue", "gross_profit": "gross_profit", "op_income": "operating_income",
+    "net_income": "net_income", "eps": "diluted_eps", "sga": "sga_expense", "s_and_m": "selling_marketing_expense",
+    "g_and_a": "general_admin_expense", "ocf": "operating_cf", "capex": "capex", "shares": "diluted_shares",
+    "cash": "cash", "sti": "short_term_investments", "restricted_cash": "restricted_cash",
+    "cash_all": "cash_and_st_investments", "receivables": "receivables", "inventory": "inventory", "ppe": "ppe_net",
+    "goodwill": "goodwill", "intangibles": "intangibles", "lt_investments": "long_term_investments",
+    "total_assets": "total_assets", "total_liabilities": "total_liabilities", "equity": "stockholders_equity",
+    "current_debt": "short_term_debt", "lt_debt": "long_term_debt", "leases": "lease_liabilities",
+    "ap": "accounts_payable", "accrued": "accrued_liabilities", "deferred_revenue": "deferred_revenue",
+}
+
+
 def concept_dimension(spark: SparkSession) -> DataFrame:
     """KPI-16: (metric, concept, rank, kind, grp) rows; grp is 0 for plain priorities and for
     composite totals, 1.. for component groups."""
