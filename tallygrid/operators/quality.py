@@ -41,86 +41,137 @@ def _issues(df: DataFrame, severity, rule, detail) -> DataFrame:
     return df.select("entity", lit(severity).alias("severity"), lit(rule).alias("rule"), lit(detail).alias("detail"))
 
 
+PRESENCE = ["revenue", "op_income", "net_income", "shares", "assets", "equity", "gross_profit", "cogs"]
+
+
+def _year_counts() -> list[Column]:
+    return [F.count(c).alias(f"n_{c}") for c in PRESENCE] + [
+        F.max_by(F.struct("fy", "revenue"), F.when(F.col("revenue").isNotNull(), F.col("fy"))).alias("last")]
+
+
+def _presence(_inp: Inputs) -> list:
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)) == 0
+    fy, rev = F.col("last.fy").cast("string"), F.col("last.revenue")
+    return [
+        (zero("n_revenue"), "error", "missing_annual_revenue", "no annual revenue"),
+        (rev < 0, "warn", "negative_annual_revenue", F.concat(F.lit("FY"), fy, F.lit(" revenue is negative"))),
+        (rev == 0, "info", "zero_annual_revenue", F.concat(F.lit("FY"), fy, F.lit(" revenue is zero"))),
+        (zero("n_net_income"), "error", "missing_annual_net_income", "no annual net income"),
+        (zero("nq_ni"), "warn", "missing_quarterly_net_income", "no quarterly net income"),
+        (zero("n_op_income"), "error", "missing_operating_income", "no annual operating income"),
+        (zero("n_shares"), "error", "missing_diluted_shares", "no share count"),
+        (zero("n_assets"), "error", "missing_total_assets", "no total assets"),
+        (zero("n_equity"), "error", "missing_stockholders_equity", "no equity"),
+        (zero("n_gross_profit") & zero("n_cogs"), "warn", "no_gross_profit_source", "neither gross profit nor cost")]
+
+
+def _explode(df: DataFrame, findings: list) -> DataFrame:
+    """One issue for each finding whose condition holds on a row."""
+    lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+    item = lambda cond, sev, rule, text: F.when(cond, F.struct(lit(sev).alias("severity"), lit(rule).alias("rule"), lit(text).alias("detail")))
+    found = F.array(*[item(*f) for f in findings])
+    return df.select("entity", F.explode(F.filter(found, lambda i: i.isNotNull())).alias("i")).select("entity", "i.*")
+
+
 def presence(inp: Inputs) -> DataFrame:
     """DQ-01..06 in one pass over the years: counts per metric, then one exploded row per finding."""
-    cols = ["revenue", "op_income", "net_income", "shares", "assets", "equity", "gross_profit", "cogs"]
-    y = inp.years.groupBy("entity").agg(
-        *[F.count(c).alias(f"n_{c}") for c in cols],
-        F.max_by(F.struct("fy", "revenue"), F.when(F.col("revenue").isNotNull(), F.col("fy"))).alias("last"))
+    y = inp.years.groupBy("entity").agg(*_year_counts())
     q = inp.quarters.groupBy("entity").agg(F.count("net_income").alias("nq_ni"))
-    x = inp.companies.select("entity").join(y, "entity", "left").join(q, "entity", "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)) == 0
-    fy, rev = F.col("last.fy").cast("string"), F.col("last.revenue")
-    item = lambda cond, sev, rule, text: F.when(cond, F.struct(
-        F.lit(sev).alias("severity"), F.lit(rule).alias("rule"), (text if isinstance(text, Column) else F.lit(text)).alias("detail")))
-    found = F.array(
-        item(zero("n_revenue"), "error", "missing_annual_revenue", "no annual revenue"),
-        item(rev < 0, "warn", "negative_annual_revenue", F.concat(F.lit("FY"), fy, F.lit(" revenue is negative"))),
-        item(rev == 0, "info", "zero_annual_revenue", F.concat(F.lit("FY"), fy, F.lit(" revenue is zero"))),
-        item(zero("n_net_income"), "error", "missing_annual_net_income", "no annual net income"),
-        item(zero("nq_ni"), "warn", "missing_quarterly_net_income", "no quarterly net income"),
-        item(zero("n_op_income"), "error", "missing_operating_income", "no annual operating income"),
-        item(zero("n_shares"), "error", "missing_diluted_shares", "no share count"),
-        item(zero("n_assets"), "error", "missing_total_assets", "no total assets"),
-        item(zero("n_equity"), "error", "missing_stockholders_equity", "no equity"),
-        item(zero("n_gross_profit") & zero("n_cogs"), "warn", "no_gross_profit_source", "neither gross profit nor cost"))
-    return x.select("entity", F.explode(F.filter(found, lambda i: i.isNotNull())).alias("i")).select("entity", "i.*")
+    return _explode(inp.companies.select("entity").join(y, "entity", "left").join(q, "entity", "left"), _presence(inp))
 
 
-def price_history(inp: Inputs) -> DataFrame:
-    """DQ-07."""
+def _price_history(inp: Inputs):
     age = F.datediff(inp.today, F.col("price_date"))
     none = F.col("price_date").isNull()
-    x = inp.companies.where(none | (age > STALE_PRICE_DAYS))
-    return _issues(x, F.when(none, "error").otherwise("warn"), F.when(none, "no_price_history").otherwise("stale_price"),
-                   F.when(none, "no dated prices").otherwise(F.concat(F.lit("latest close is "), age.cast("string"), F.lit(" days old"))))
+    return (none | (age > STALE_PRICE_DAYS), F.when(none, "error").otherwise("warn"), F.when(none, "no_price_history").otherwise("stale_price"),
+            F.when(none, "no dated prices").otherwise(F.concat(F.lit("latest close is "), age.cast("string"), F.lit(" days old"))))
+
+
+def price_history(inp: Inputs) -> DataFrame:
+    """DQ-07."""
+    return _rows(inp.companies, _price_history(inp))
 
 
 def _fy(text: str) -> Column:
     return F.concat(F.lit("FY"), F.col("fy").cast("string"), F.lit(f" {text}"))
 
 
-def gross_margin(inp: Inputs) -> DataFrame:
-    """DQ-08."""
+# A finding on a row: condition, severity, rule, detail. Rules are stated once and run alone or together.
+
+def _rows(df: DataFrame, finding) -> DataFrame:
+    cond, severity, rule, detail = finding
+    return _issues(df.where(cond), severity, rule, detail)
+
+
+def _gross_margin(inp: Inputs):
     gp = F.coalesce(F.col("gross_profit"), F.col("revenue") - F.col("cogs"))
     gm = S.safe_div(gp, F.col("revenue"))
-    x = inp.years.where((F.abs("revenue") >= inp.t("min_revenue", MIN_REVENUE)) & ((gm < MARGIN_RANGE[0]) | (gm > MARGIN_RANGE[1])))
-    return _issues(x, "warn", "gross_margin_out_of_range", _fy("gross margin outside its range"))
+    return ((F.abs("revenue") >= inp.t("min_revenue", MIN_REVENUE)) & ((gm < MARGIN_RANGE[0]) | (gm > MARGIN_RANGE[1])),
+            "warn", "gross_margin_out_of_range", _fy("gross margin outside its range"))
+
+
+def _income_size(inp: Inputs):
+    return ((F.abs("revenue") >= inp.t("min_revenue_income", MIN_REVENUE_INCOME)) & (F.abs("net_income") > F.abs("revenue") * inp.t("income_factor", INCOME_FACTOR)),
+            "warn", "ni_exceeds_revenue", _fy("net income exceeds revenue"))
+
+
+def _share_range(inp: Inputs):
+    return ((F.col("shares") <= 0) | (F.col("shares") > inp.t("max_shares", MAX_SHARES)), "warn", "shares_out_of_range", _fy("share count out of range"))
+
+
+def _eps_match(_inp: Inputs):
+    gap = S.safe_div(S.safe_div("net_income", "shares") - F.col("eps"), F.abs("eps"))
+    return (F.abs("eps") >= MIN_EPS) & (F.abs(gap) > EPS_GAP), "info", "eps_mismatch", _fy("EPS differs from income per share")
+
+
+def gross_margin(inp: Inputs) -> DataFrame:
+    """DQ-08."""
+    return _rows(inp.years, _gross_margin(inp))
 
 
 def income_size(inp: Inputs) -> DataFrame:
     """DQ-09."""
-    x = inp.years.where((F.abs("revenue") >= inp.t("min_revenue_income", MIN_REVENUE_INCOME))
-                        & (F.abs("net_income") > F.abs("revenue") * inp.t("income_factor", INCOME_FACTOR)))
-    return _issues(x, "warn", "ni_exceeds_revenue", _fy("net income exceeds revenue"))
+    return _rows(inp.years, _income_size(inp))
 
 
 def share_range(inp: Inputs) -> DataFrame:
     """DQ-10."""
-    x = inp.years.where((F.col("shares") <= 0) | (F.col("shares") > inp.t("max_shares", MAX_SHARES)))
-    return _issues(x, "warn", "shares_out_of_range", _fy("share count out of range"))
+    return _rows(inp.years, _share_range(inp))
+
+
+def _newest_quarter() -> Column:
+    return F.max(F.when(F.col("revenue").isNotNull(), F.col("end"))).alias("q_end")
+
+
+def _filing_age(inp: Inputs):
+    age = F.datediff(inp.today, F.col("q_end"))
+    return age > STALE_FILING_DAYS, "warn", "stale_filings", F.concat(F.lit("latest quarter is "), age.cast("string"), F.lit(" days old"))
 
 
 def filing_age(inp: Inputs) -> DataFrame:
     """DQ-11."""
-    q = inp.quarters.where(F.col("revenue").isNotNull()).groupBy("entity").agg(F.max("end").alias("end"))
-    age = F.datediff(inp.today, F.col("end"))
-    return _issues(q.where(age > STALE_FILING_DAYS), "warn", "stale_filings",
-                   F.concat(F.lit("latest quarter is "), age.cast("string"), F.lit(" days old")))
+    return _rows(inp.quarters.groupBy("entity").agg(_newest_quarter()), _filing_age(inp))
 
 
-def revenue_jump(inp: Inputs) -> DataFrame:
-    """DQ-12 / WIN-23: adjacent years on file; the window holds one row per fiscal year."""
-    w = W.partitionBy("entity").orderBy("fy")
-    x = inp.years.where(F.col("revenue").isNotNull()).select(
-        "entity", "fy", "revenue", "spike", F.lag("revenue").over(w).alias("_p"), F.lag("fy").over(w).alias("_py"),
-        F.lag("spike").over(w).alias("_ps"))
+def with_previous(years: DataFrame) -> DataFrame:
+    """Adds the previous year on file with revenue: _p (revenue), _py (year), _ps (spike). The window holds one row per
+    fiscal year."""
+    w = W.partitionBy("entity").orderBy("fy").rowsBetween(W.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("revenue").isNotNull(), F.struct("revenue", "fy", "spike")), True).over(w)
+    return years.withColumn("_l", last).select("*", F.col("_l.revenue").alias("_p"), F.col("_l.fy").alias("_py"), F.col("_l.spike").alias("_ps")).drop("_l")
+
+
+def _revenue_jump(inp: Inputs):
     floor = inp.t("min_revenue", MIN_REVENUE)
     r = S.safe_div("revenue", "_p")
     hit = ((F.abs("revenue") >= floor) & (F.abs("_p") >= floor) & ~F.col("spike") & ~F.col("_ps")
            & (F.col("revenue") != 0) & ((r > JUMP) | (r < 1 / JUMP)))
-    return _issues(x.where(hit), "warn", "yoy_revenue_jump", F.concat(
-        F.lit("FY"), F.col("_py").cast("string"), F.lit(" to FY"), F.col("fy").cast("string")))
+    return hit, "warn", "yoy_revenue_jump", F.concat(F.lit("FY"), F.col("_py").cast("string"), F.lit(" to FY"), F.col("fy").cast("string"))
+
+
+def revenue_jump(inp: Inputs) -> DataFrame:
+    """DQ-12 / WIN-23: adjacent years on file."""
+    return _rows(with_previous(inp.years), _revenue_jump(inp))
 
 
 def contained_quarters(years: DataFrame, quarters: DataFrame) -> DataFrame:
@@ -133,28 +184,39 @@ def contained_quarters(years: DataFrame, quarters: DataFrame) -> DataFrame:
         .groupBy("entity", "fy", "annual").agg(F.count("_qv").alias("n"), F.sum("_qv").alias("q_sum"))
 
 
+def _quarter_sum(_inp: Inputs):
+    gap = S.safe_div(F.col("q_sum") - F.col("revenue"), F.col("revenue"))
+    return (F.col("n_q") == 4) & (F.col("revenue") != 0) & (F.abs(gap) > SUM_GAP), "warn", "q_sum_vs_annual", _fy("quarters do not add up")
+
+
+def with_quarter_sums(years: DataFrame, quarters: DataFrame) -> DataFrame:
+    """Adds the number and sum of the quarters inside each fiscal year: n_q, q_sum."""
+    sums = contained_quarters(years.where(F.col("revenue") != 0), quarters).select("entity", "fy", F.col("n").alias("n_q"), "q_sum")
+    return years.join(sums, ["entity", "fy"], "left")
+
+
 def quarter_sum(inp: Inputs) -> DataFrame:
     """DQ-13."""
-    x = contained_quarters(inp.years.where(F.col("revenue") != 0), inp.quarters).where(F.col("n") == 4)
-    gap = S.safe_div(F.col("q_sum") - F.col("annual"), F.col("annual"))
-    return _issues(x.where(F.abs(gap) > SUM_GAP), "warn", "q_sum_vs_annual", _fy("quarters do not add up"))
+    return _rows(with_quarter_sums(inp.years, inp.quarters), _quarter_sum(inp))
 
 
 def eps_match(inp: Inputs) -> DataFrame:
     """DQ-14."""
-    calc = S.safe_div("net_income", "shares")
-    gap = S.safe_div(calc - F.col("eps"), F.abs("eps"))
-    x = inp.years.where((F.abs("eps") >= MIN_EPS) & (F.abs(gap) > EPS_GAP))
-    return _issues(x, "info", "eps_mismatch", _fy("EPS differs from income per share"))
+    return _rows(inp.years, _eps_match(inp))
+
+
+def _cap_match(_inp: Inputs):
+    gap = S.safe_div(F.col("price") * F.col("_sh") - F.col("market_cap"), F.col("market_cap"))
+    return (F.col("_sh") != 0) & (F.abs(gap) > CAP_GAP), "info", "mcap_reconciliation", F.lit("stored cap differs")
+
+
+def _newest_shares() -> Column:
+    return F.max_by("shares", F.when(F.col("shares").isNotNull(), F.col("fy"))).alias("_sh")
 
 
 def cap_match(inp: Inputs) -> DataFrame:
     """DQ-15: stored cap against newest close x share count of the newest year on file."""
-    y = inp.years.where(F.col("has_shares") if "has_shares" in inp.years.columns else F.col("shares").isNotNull()) \
-        .groupBy("entity").agg(F.max_by("shares", "fy").alias("_sh"))
-    x = inp.companies.join(y, "entity")
-    gap = S.safe_div(F.col("price") * F.col("_sh") - F.col("market_cap"), F.col("market_cap"))
-    return _issues(x.where((F.col("_sh") != 0) & (F.abs(gap) > CAP_GAP)), "info", "mcap_reconciliation", "stored cap differs")
+    return _rows(inp.companies.join(inp.years.groupBy("entity").agg(_newest_shares()), "entity"), _cap_match(inp))
 
 
 # UDX-05 / DQ-16: the registry; the second item says that the rule needs filed statements.
@@ -163,11 +225,30 @@ RULES: list[tuple[Callable[[Inputs], DataFrame], bool]] = [
     (filing_age, True), (revenue_jump, True), (quarter_sum, True), (eps_match, True), (cap_match, True)]
 
 
+def all_rules(inp: Inputs, filed_only: DataFrame | None = None) -> DataFrame:
+    """DQ-16: the registry's rules in two passes. Each company row, joined with the counts of its years and quarters,
+    and each year row, with the year before and its quarters, carries an array of findings."""
+    y = inp.years.groupBy("entity").agg(*_year_counts(), _newest_shares())
+    q = inp.quarters.groupBy("entity").agg(F.count("net_income").alias("nq_ni"), _newest_quarter())
+    company = inp.companies.join(y, "entity", "left").join(q, "entity", "left")
+    year = with_quarter_sums(with_previous(inp.years), inp.quarters)
+    filed = [*_presence(inp), _filing_age(inp), _cap_match(inp)]
+    if filed_only is not None:
+        mark = filed_only.select("entity").distinct().withColumn("_filed", F.lit(True))
+        company = company.join(mark, "entity", "left")
+        year = year.join(mark.select("entity"), "entity", "left_semi")
+        filed = [(F.coalesce("_filed", F.lit(False)) & cond, *rest) for cond, *rest in filed]
+    on_year = [f(inp) for f in (_gross_margin, _income_size, _share_range, _revenue_jump, _quarter_sum, _eps_match)]
+    return _explode(company, [*filed, _price_history(inp)]).unionByName(_explode(year, on_year))
+
+
 def run_rules(inp: Inputs, rules=None, filed_only: DataFrame | None = None) -> DataFrame:
-    """DQ-16: union of all rules. ``filed_only`` (entity) restricts rules that need filed statements
-    to entities that file; the others see everyone."""
+    """DQ-16: the registry, or a union of the given rules. ``filed_only`` (entity) restricts rules that need filed
+    statements to entities that file; the others see everyone."""
+    if rules is None:
+        return all_rules(inp, filed_only)
     out = []
-    for rule, needs_filing in rules or RULES:
+    for rule, needs_filing in rules:
         df = rule(inp)
         if needs_filing and filed_only is not None:
             df = df.join(filed_only.select("entity"), "entity", "left_semi")

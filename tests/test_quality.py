@@ -82,3 +82,18 @@ def test_asset_and_liability_ranking(spark, rows):
     df = spark.createDataFrame(cells, "entity string, grid string, period string, item string, val double")
     assert rows(T.top_assets(df, T.line_dimension(spark)), "item", "rn") == [("Inventory", 1), ("Net PPE", 2)]
     assert rows(T.top_liabilities(df, T.line_dimension(spark, [(k, k) for k in T.LIABILITY_LINES])), "entity", "item", "rn") == [("b", "Current Debt", 2), ("b", "Long Term Debt", 1)]
+
+
+def test_rules_together_equal_rules_alone(spark, rows):
+    from datetime import date
+    d = date.fromisoformat
+    years = spark.createDataFrame([("a", y, d(f"{y}-01-01"), d(f"{y}-12-31"), rev, None, gp, 1.0, ni, sh, eps, 1.0, None, False) for y, rev, gp, ni, sh, eps in (
+        (2020, 2e7, 1e7, 4e7, 10.0, 9.0), (2021, None, None, 1.0, -1.0, None), (2022, 9e7, -9e7, 1e6, 2e11, 1.0), (2023, 0.0, None, None, None, None))] + [("b", 2023, d("2023-01-01"), d("2023-12-31"), -5e7, 1e7, None, None, None, None, None, None, 1.0, False)],
+        "entity string, fy int, start date, end date, revenue double, cogs double, gross_profit double, op_income double, net_income double, shares double, eps double, assets double, equity double, spike boolean")
+    quarters = spark.createDataFrame([("a", d(f"2022-0{m}-01"), d(f"2022-0{m}-28"), 1e7, None) for m in (1, 4, 7, 9)] + [("b", d("2023-01-01"), d("2023-03-31"), None, 2.0)], "entity string, start date, end date, revenue double, net_income double")
+    companies = spark.createDataFrame([("a", 1e9, 5.0, d("2024-01-05")), ("b", 1.0, None, None), ("c", None, 1.0, d("2020-01-01"))], "entity string, market_cap double, price double, price_date date")
+    inp = Q.Inputs(companies, years, quarters, F.lit("2024-01-10").cast("date"))
+    for filed in (None, spark.createDataFrame([("a",), ("c",), ("c",)], "entity string")):
+        alone = Q.run_rules(inp, Q.RULES, filed.distinct() if filed is not None else None)
+        assert rows(Q.run_rules(inp, filed_only=filed)) == rows(alone)
+    assert {r.rule for r in alone.collect()} >= {"yoy_revenue_jump", "q_sum_vs_annual", "eps_mismatch", "shares_out_of_range", "stale_filings", "no_price_history"} - {"no_price_history"}
