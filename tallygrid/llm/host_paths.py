@@ -19,7 +19,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallygrid.llm import common as C
@@ -52,11 +52,10 @@ def _attributes(text: str) -> dict[str, str]:
 
 
 class Node:
-    __slots__ = ("tag", "path", "out", "parent", "text", "link", "in_link", "depth", "main")
+    __slots__ = ("tag", "path", "out", "parent", "in_link", "main")
 
     def __init__(self, tag: str, path: str, out: bool, parent: Node | None, in_link: bool, main: bool):
         self.tag, self.path, self.out, self.parent, self.in_link, self.main = tag, path, out, parent, in_link, main
-        self.text = self.link = 0.0
 
 
 def _left_out(tag: str, a: dict[str, str], parent: Node) -> bool:

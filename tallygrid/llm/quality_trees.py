@@ -20,8 +20,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallygrid.llm import common as C
-
 SAMPLE, BINS, TREES, DEPTH, RATE, LEAST, RIDGE = 20_000, 64, 80, 4, 0.15, 10.0, 1.0
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 4, 2

@@ -51,7 +51,16 @@ def op5(spark, d):
     return pstable.nearest(table(spark, d, "embeddings"))
 
 
-@query("op6_column_suffix_dedup")
+@query("op6_column_suffix_dedup", """
+with h as (select doc_id, hex(encode(coalesce(text, ''))) as x from documents),
+p as (select doc_id, x, unnest(range(0, length(x) // 2)) as i from h),
+s as (select doc_id, i, substr(x, 2 * i + 1, 2) as b, case when i + 100 <= length(x) // 2 then sha256(substr(x, 2 * i + 1, 200)) end as g from p),
+c as (select doc_id, i, b, g is not null and row_number() over (partition by g order by doc_id, i) > 1 as again from s),
+m as (select *, max(again::int) over (partition by doc_id order by i rows between 99 preceding and current row) = 1 as gone from c),
+t as (select *, gone and not coalesce(lag(gone) over (partition by doc_id order by i), false) as head from m),
+k as (select doc_id, count(*) as n_bytes, count(*) filter (where gone) as n_removed, count(*) filter (where head) as n_spans, coalesce(string_agg(b, '' order by i) filter (where not gone), '') as kept from t group by doc_id)
+select documents.doc_id, coalesce(n_bytes, 0) as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kept, ''))) as kept_sha256
+from documents left join k using (doc_id)""")
 def op6(spark, d):
     return column_suffix.digest(column_suffix.remove_repeats(table(spark, d, "documents")))
 

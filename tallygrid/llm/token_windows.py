@@ -10,7 +10,6 @@ text are one document and no repeat of each other; an empty table gives an empty
 """
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +22,6 @@ from tallygrid.llm import anchors as A
 from tallygrid.llm import common as C
 
 WIDTH, GRAM = 35, 17
-SPACE = re.compile(rb"[\x20\x09-\x0D]+")
 #: Words whose hashes a worker remembers.
 CACHE = 200_000
 
