@@ -4,10 +4,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallygrid.functions import html as H
-from tallygrid.functions import scalars as S
 from tallygrid.operators import calls as C
 from tallygrid.operators import docs as D
-from tallygrid.operators.keyed import top_per_key
 from tallygrid.plans.registry import query, table
 from tallygrid.sources import payloads as P
 

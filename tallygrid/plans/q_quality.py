@@ -3,13 +3,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallygrid.operators import grid as G
 from tallygrid.operators import quality as Q
 from tallygrid.operators import rank as T
 from tallygrid.operators import reconcile as RC
-from tallygrid.operators import shares as H
 from tallygrid.plans import bindings as B
-from tallygrid.plans.q_blend import filed
 from tallygrid.plans.registry import query, table
 from tallygrid.sources import payloads as P
 

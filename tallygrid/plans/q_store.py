@@ -3,7 +3,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallygrid.functions import scalars as S
 from tallygrid.operators import keyed as K
 from tallygrid.plans import bindings as B
 from tallygrid.plans import q_grid as QG
