@@ -34,7 +34,9 @@ CHUNKS = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 NONE = np.iinfo(np.int32).max
 KEEP = 300_000
 #: Chunks gathered into one output batch.
-BLOCK = 400_000
+BLOCK = 200_000
+#: Texts whose new chunks are merged together.
+ROWS = 4_000
 
 
 def byte_alphabet() -> list[str]:
@@ -187,29 +189,39 @@ def cut(text: str, v: Vocabulary) -> list:
     return out
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` without the text, with its token ids as an array of int."""
-    rest = [c for c in docs.columns if c not in (text, ids)]
-    schema = docs.select(*[F.col(f"`{c}`") for c in rest]).withColumn(ids, F.array(F.lit(0))).schema
+def text_of(ids: list[int], table: dict[int, bytes]) -> str:
+    return b"".join(map(table.__getitem__, ids)).decode("utf-8", "replace")
+
+
+def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """``docs`` without the text, with its token ids as an array of int. ``decoded``: a column for the text of these ids,
+    made in the same pass (one worker then holds the vocabulary, and the ids cross to Spark once)."""
+    rest = [c for c in docs.columns if c not in (text, ids, decoded)]
+    names = [*rest, ids, *([decoded] if decoded else [])]
+    schema = docs.select(*[F.col(f"`{c}`") for c in rest]).withColumn(ids, F.array(F.lit(0)))
+    schema = (schema.withColumn(decoded, F.lit("")) if decoded else schema).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, known = vocabulary(path), memory(path)
-        for batch in batches:
-            known.trim()
-            column = batch.column(batch.num_columns - 1)
-            numbers = [known.numbers(cut(t.as_py() or "", v)) for t in column]
-            known.learn()
-            at = 0
-            while at < len(numbers):
-                end, size = at, 0
-                while end < len(numbers) and (end == at or size + len(numbers[end]) <= BLOCK):
-                    size += len(numbers[end])
-                    end += 1
-                parts = [known.gather(x) for x in numbers[at:end]]
-                offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-                out = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts)))
-                yield pa.RecordBatch.from_arrays([*(c.slice(at, end - at) for c in batch.columns[:-1]), out], names=[*rest, ids])
-                at = end
+        for whole in batches:
+            for first in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(first, ROWS)
+                known.trim()
+                numbers = [known.numbers(cut(t.as_py() or "", v)) for t in batch.column(batch.num_columns - 1)]
+                known.learn()
+                at = 0
+                while at < len(numbers):
+                    end, size = at, 0
+                    while end < len(numbers) and (end == at or size + len(numbers[end]) <= BLOCK):
+                        size += len(numbers[end])
+                        end += 1
+                    parts = [known.gather(x) for x in numbers[at:end]]
+                    offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+                    out = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts)))]
+                    if decoded:
+                        out.append(pa.array([text_of(p.tolist(), v.bytes) for p in parts], pa.string()))
+                    yield pa.RecordBatch.from_arrays([*(c.slice(at, end - at) for c in batch.columns[:-1]), *out], names=names)
+                    at = end
 
     return docs.select(*[F.col(f"`{c}`") for c in rest], F.col(text)).mapInArrow(run, schema)
 
@@ -225,8 +237,7 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
         for batch in batches:
             out = []
             for x in batch.column(batch.num_columns - 1):
-                values = x.values.to_numpy(zero_copy_only=False).tolist() if x.is_valid else []
-                out.append(b"".join(map(table.__getitem__, values)).decode("utf-8", "replace"))
+                out.append(text_of(x.values.to_numpy(zero_copy_only=False).tolist() if x.is_valid else [], table))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*names, text])
 
     return docs.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, schema)
@@ -234,6 +245,6 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
 
 def digest(docs: DataFrame, path: str) -> DataFrame:
     """Encode, then decode: doc_id, n_tokens and the digests of ids and text."""
-    both = decode(encode(docs.select("doc_id", "text"), path), path)
+    both = encode(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), path, decoded="decoded")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -150,6 +150,7 @@ def test_bpe_keeps_other_columns(odd):
     docs, rows = odd
     e = bpe_index.encode(docs, BYTE)
     assert e.columns == [*[c for c in docs.columns if c != "text"], "ids"]
+    assert got(bpe_index.encode(docs, BYTE, decoded="back"), "doc_id", "back") == sorted((i, x or "") for i, x in rows)
     back = bpe_index.decode(e, BYTE)
     assert got(back, "doc_id", "decoded", "payload") == sorted((i, x or "", f"k{n}") for n, (i, x) in enumerate(rows))
 
