@@ -201,7 +201,7 @@ def nearest(table: DataFrame, k: int = 10, every: int = 100, key: str = "vec_id"
 
     both = index.unionByName(asks).repartition(buckets, "cell", "part").sortWithinPartitions("cell", "part", "kind")
     found = both.mapInArrow(search, "q long, rep long, score double").distinct()
-    found = _expand(found, members, k)
+    found = materialise(_expand(found, members, k), "near")
     few = asked.join(found.groupBy("q").agg(F.countDistinct("id").alias("n")), "q", "left").where(F.coalesce("n", F.lit(0)) < k + 1).select("q", "v")
     few = materialise(few, "few")
     missing = few.count()
