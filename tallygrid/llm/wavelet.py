@@ -19,6 +19,7 @@ import json
 import os
 import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -30,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallygrid.llm import common as C
+from tallygrid.llm.bpe_index import byte_alphabet
 from tallygrid.llm.chunks import Chunks
 from tallygrid.session import materialise, scratch
 
@@ -37,8 +39,6 @@ END_ID = 2
 MAGIC = b"WVM1"
 BLOCK_BITS = 512
 KEEP = 600_000
-BATCH_CHUNKS = 400_000
-SEPARATE = re.compile(rb"([a-z])([,.]) ")
 
 
 # ---- one shard -----------------------------------------------------------------------------------------------------
@@ -57,7 +57,7 @@ def build(ids: np.ndarray, doc_ids: np.ndarray, valid: np.ndarray, ends: np.ndar
     bits = max(1, int(ids.max()).bit_length()) if len(ids) else 1
     parts, zeros = [doc_ids.astype("<i8"), valid.astype("u1"), ends.astype("<u8")], []
     for b in range(bits - 1, -1, -1):
-        one = (x >> b & 1).astype(bool)
+        one = (x & x.dtype.type(1 << b)) != 0
         packed = np.packbits(one, bitorder="little")
         parts += [packed, _counts(packed)]
         low = x[~one]
@@ -145,47 +145,82 @@ class Shard:
 
     def tokens(self) -> np.ndarray:
         """All ids: the partitions undone from the last plane up."""
-        x = np.zeros(self.n, np.uint32)
+        x = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
         for p in range(self.bits - 1, -1, -1):
             one = np.unpackbits(self.planes[p], count=self.n, bitorder="little").view(bool)
             y = np.empty_like(x)
             y[~one] = x[:self.zeros[p]]
-            y[one] = x[self.zeros[p]:] | np.uint32(1 << (self.bits - 1 - p))
+            y[one] = x[self.zeros[p]:] | x.dtype.type(1 << (self.bits - 1 - p))
             x = y
         return x
 
 
 # ---- the corpus ----------------------------------------------------------------------------------------------------
 
-@functools.lru_cache(4)
-def memory(path: str) -> Chunks:
+#: Latin scripts end before U+0250. Their letters have one lower-case letter each, but for a few that the length gives away.
+NOT_LATIN = re.compile(r"[^\x00-\u024f]")
+_LETTERS, _NUMBERS = (re.escape("".join(chr(i) for i in range(0x250) if unicodedata.category(chr(i))[0] == k)) for k in "LN")
+#: What the vocabulary's splitter comes to for printable Latin text, after lower-casing.
+PIECES = re.compile(rf"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{_NUMBERS}]|[^ \n{_LETTERS}{_NUMBERS}]+")
+
+
+def tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
     t.no_truncation()
     t.no_padding()
+    return t
 
-    def encode(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        flat, n = [], np.empty(len(chunks), np.int64)
-        for at in range(0, len(chunks), 20_000):
-            for i, e in enumerate(t.encode_batch_fast([c.decode() for c in chunks[at:at + 20_000]], add_special_tokens=False)):
-                ids = e.ids
-                flat += ids
-                n[at + i] = len(ids)
+
+@functools.lru_cache(4)
+def memory(path: str) -> Chunks:
+    """Ids of what ``cut`` gives: pieces (str) go straight to the library's model, chunks (bytes) the library's whole way."""
+    whole, alphabet = tokenizer(path), byte_alphabet()
+    model = whole.model
+
+    def of_pieces(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        flat: list[int] = []
+        n = np.empty(len(pieces), np.int64)
+        for i, c in enumerate(pieces):
+            tokens = model.tokenize(c if c.isascii() else "".join([alphabet[b] for b in c.encode()]))
+            n[i] = len(tokens)
+            flat += [x.id for x in tokens]
         return np.array(flat, np.int32), n
 
+    def of_chunks(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in whole.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)]
+        return np.array([i for x in ids for i in x], np.int32), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def encode(chunks: list) -> tuple[np.ndarray, np.ndarray]:
+        plain = np.array([type(c) is str for c in chunks])
+        if plain.all():
+            return of_pieces(chunks)
+        # the two kinds apart, then each chunk's ids at its place
+        sizes, ids = np.empty(len(chunks), np.int64), []
+        for kind, run in ((True, of_pieces), (False, of_chunks)):
+            at = np.flatnonzero(plain == kind)
+            flat, n = run([chunks[i] for i in at])
+            sizes[at] = n
+            ids.append((at, flat, n))
+        ends = np.cumsum(sizes)
+        out = np.empty(int(ends[-1]), np.int32)
+        for at, flat, n in ids:
+            out[np.repeat(ends[at] - n - (np.cumsum(n) - n), n) + np.arange(len(flat))] = flat
+        return out, sizes
+
     return Chunks(encode, KEEP)
 
 
-def cut(raw: bytes) -> list[bytes]:
-    """Chunks that the vocabulary's splitter never joins: it lower-cases and drops white space, and a comma or full
-    stop between a letter and a blank is a piece of its own. Where added tokens may stand, case is left alone."""
-    if b"<|" not in raw:
-        raw = SEPARATE.sub(rb"\1 \2 ", raw.lower().replace(b"\n", b" "))
-    else:
-        raw = raw.replace(b"\n", b" ")
-    return [c for c in raw.split(b" ") if c]
+def cut(raw: bytes) -> list:
+    """What a text's ids are made of, one after the other. A printable Latin text is cut into the vocabulary's pieces here (str);
+    any other text only between blanks and line ends, which the vocabulary drops and no piece reaches over (bytes)."""
+    s = raw.decode()
+    low = s.lower()
+    if len(low) == len(s) and "<|" not in s and s.replace("\n", " ").isprintable() and (s.isascii() or not NOT_LATIN.search(low) and unicodedata.is_normalized("NFC", s)):
+        return PIECES.findall(low)
+    return [c for c in raw.replace(b"\n", b" ").split(b" ") if c]
 
 
 def bounds(docs: DataFrame, key: str, shards: int) -> list[int]:
@@ -198,9 +233,10 @@ def bounds(docs: DataFrame, key: str, shards: int) -> list[int]:
 
 
 def write_shards(docs: DataFrame, path: str, folder: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID) -> DataFrame:
-    """Write the shards below ``folder`` and return their list: shard, path, n_docs, n_tokens."""
+    """Write the shards below ``folder``, a URI that pyarrow.fs opens, and return their list: shard, path, n_docs, n_tokens."""
     shards = C.bucket_count(docs)
     edges = np.array(bounds(docs, key, shards), np.int64)
+    kind = np.dtype("<u2" if max(tokenizer(path).get_vocab_size() - 1, end_id) < 1 << 16 else "<u4")
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     out = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("ids", pa.binary())])
 
@@ -212,7 +248,7 @@ def write_shards(docs: DataFrame, path: str, folder: str, key: str = "doc_id", t
             known.learn()
             ids = batch.column(0)
             shard = np.where(np.asarray(ids.is_valid()), np.searchsorted(edges, np.asarray(ids.fill_null(0)), "right"), 0).astype(np.int32)
-            blobs = [np.append(known.gather(x), end_id).astype("<u4").tobytes() for x in numbers]
+            blobs = [np.append(known.gather(x), end_id).astype(kind).tobytes() for x in numbers]
             yield pa.RecordBatch.from_arrays([pa.array(shard), ids, pa.array(blobs, pa.binary())], schema=out)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,9 +258,9 @@ def write_shards(docs: DataFrame, path: str, folder: str, key: str = "doc_id", t
         def close():
             if not blobs:
                 return
-            sizes = np.array([len(b) // 4 for b in blobs], np.int64)
+            sizes = np.array([len(b) // kind.itemsize for b in blobs], np.int64)
             valid = np.array([d is not None for d in docs_])
-            raw = build(np.frombuffer(b"".join(blobs), "<u4"), np.array([d or 0 for d in docs_], np.int64), valid, np.cumsum(sizes))
+            raw = build(np.frombuffer(b"".join(blobs), kind), np.array([d or 0 for d in docs_], np.int64), valid, np.cumsum(sizes))
             name = f"{root}/shard-{now:08d}.wvm"
             with fs.open_output_stream(part := f"{root}/.{now}-{os.getpid()}-{np.random.default_rng().integers(1 << 62)}") as f:
                 f.write(raw)
@@ -281,5 +317,7 @@ def digest(docs: DataFrame, path: str) -> DataFrame:
     """Encode, write, read back: one row per document, from the files."""
     spark = docs.sparkSession
     folder = scratch(spark, "tokens")
-    uri = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()      # with the scheme of the cluster's file system
+    uri = re.sub(r"^file:/(?!/)", "file:///", uri)
     return read_documents(spark, uri, write_shards(docs, path, uri))
