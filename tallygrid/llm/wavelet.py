@@ -38,7 +38,7 @@ from tallygrid.session import materialise, scratch
 END_ID = 2
 MAGIC = b"WVM1"
 BLOCK_BITS = 512
-KEEP = 600_000
+KEEP = 700_000
 
 
 # ---- one shard -----------------------------------------------------------------------------------------------------
@@ -60,9 +60,9 @@ def build(ids: np.ndarray, doc_ids: np.ndarray, valid: np.ndarray, ends: np.ndar
         one = (x & x.dtype.type(1 << b)) != 0
         packed = np.packbits(one, bitorder="little")
         parts += [packed, _counts(packed)]
-        low = x[~one]
+        low = np.flatnonzero(~one)
         zeros.append(len(low))
-        x = np.concatenate([low, x[one]])
+        x = np.concatenate([x.take(low), x.take(np.flatnonzero(one))])      # by place: much faster than by mask
     blobs = [zstandard.compress(np.ascontiguousarray(p).tobytes(), 1) for p in parts]
     header = json.dumps({"n": len(ids), "docs": len(doc_ids), "bits": bits, "zeros": zeros, "sizes": [len(b) for b in blobs]}).encode()
     return b"".join([MAGIC, struct.pack("<I", len(header)), header, *blobs])
@@ -149,8 +149,8 @@ class Shard:
         for p in range(self.bits - 1, -1, -1):
             one = np.unpackbits(self.planes[p], count=self.n, bitorder="little").view(bool)
             y = np.empty_like(x)
-            y[~one] = x[:self.zeros[p]]
-            y[one] = x[self.zeros[p]:] | x.dtype.type(1 << (self.bits - 1 - p))
+            y[np.flatnonzero(~one)] = x[:self.zeros[p]]
+            y[np.flatnonzero(one)] = x[self.zeros[p]:] | x.dtype.type(1 << (self.bits - 1 - p))
             x = y
         return x
 
