@@ -109,9 +109,10 @@ def mentions(docs: DataFrame, key: str, text: str, tickers: DataFrame, names: Da
     """JN-21: entities a text mentions, in order of appearance per class: tagged, upper-case token,
     company name. ``tickers``: ticker; ``names``: norm, ticker (normalised name).
 
-    A text's tags, tokens and words leave in one explode and meet the dictionary in one join. The
-    i-th word of a name, found at place q, votes for the name at place q - i; with a vote from each
-    of its words the name is there. No length is left out, and a long name widens no row."""
+    A text's tags, tokens, words and word pairs leave in one explode and meet the dictionary in one join.
+    The i-th word pair of a name, found at place q, votes for the name at place q - i; with a vote
+    from each of its pairs (or its only word) the name is there. No length is left out, a long name widens
+    no row, and common words alone match nothing."""
     t = F.col(text)
     # word edges in any script, so that an accented neighbour is part of the word
     before, after = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
@@ -121,15 +122,17 @@ def mentions(docs: DataFrame, key: str, text: str, tickers: DataFrame, names: Da
         tok = F.filter(tok, lambda x: ~x.isin(stop))
     words = F.split(F.trim(F.regexp_replace(F.lower(t), "[^a-z0-9]+", " ")), " ")
     kind = lambda arr, n: F.transform(arr, lambda w, i: F.struct(F.lit(n).alias("cls"), i.alias("pos"), w.alias("w")))
-    x = docs.select(F.col(key), F.inline(F.concat(kind(tag, 0), kind(tok, 1), kind(words, 2))))
+    pairs = lambda a: F.filter(F.zip_with(a, F.slice(a, 2, F.size(a)), lambda v, w: F.concat(v, F.lit(" "), w)), lambda v: v.isNotNull())
+    x = docs.select(F.col(key), F.inline(F.concat(kind(tag, 0), kind(tok, 1), kind(pairs(words), 2), kind(words, 3))))
     d = names.where(F.length("norm") >= 5).select("norm", "ticker", F.split("norm", " ").alias("_n"))
-    d = d.select("norm", "ticker", F.posexplode("_n").alias("_i", "w"), F.size("_n").alias("_k"))
+    n = F.col("_n")
+    d = d.select("norm", "ticker", F.when(F.size(n) > 1, 1).otherwise(2).alias("side"), F.posexplode(F.when(F.size(n) > 1, pairs(n)).otherwise(n)).alias("_i", "w"), F.greatest(F.size(n) - 1, F.lit(1)).alias("_k"))
     tick = tickers.select(F.col("ticker").alias("w")).distinct()
     entry = tick.select("w", F.lit(0).alias("side"), F.lit(None).cast("string").alias("norm"), F.col("w").alias("ticker"), F.lit(0).alias("_i"), F.lit(1).alias("_k")).unionByName(
-        d.distinct().select("w", F.lit(1).alias("side"), "norm", "ticker", "_i", "_k"))
-    hit = x.withColumn("side", (F.col("cls") == 2).cast("int")).join(small_side(entry), ["w", "side"])
+        d.distinct().select("w", "side", "norm", "ticker", "_i", "_k"))
+    hit = x.withColumn("side", F.greatest(F.col("cls") - 1, F.lit(0))).join(small_side(entry), ["w", "side"])
     one = hit.where("side = 0").select(key, "cls", "pos", "ticker")
-    run = hit.where("side = 1").groupBy(key, "norm", "ticker", "_k", (F.col("pos") - F.col("_i")).alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
+    run = hit.where("side > 0").groupBy(key, "norm", "ticker", "_k", (F.col("pos") - F.col("_i")).alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
     full = run.where(F.col("_c") == F.col("_k")).select(key, F.lit(2).alias("cls"), (-F.length("norm")).alias("pos"), "ticker")
     first = one.unionByName(full).groupBy(key, "ticker").agg(F.min(F.struct("cls", "pos")).alias("f"))
     return top_per_key(first, [key], [F.col("f"), F.col("ticker")], limit).select(key, "ticker", "rn")
