@@ -109,7 +109,7 @@ def mentions(docs: DataFrame, key: str, text: str, tickers: DataFrame, names: Da
     """JN-21: entities a text mentions, in order of appearance per class: tagged, upper-case token,
     company name. ``tickers``: ticker; ``names``: norm, ticker (normalised name).
 
-    A text's tags, tokens, words and word pairs leave in one explode and meet the dictionary in one join.
+    A text's tags and tokens, and its words and word pairs, meet the dictionary in one join.
     The i-th word pair of a name, found at place q, votes for the name at place q - i; with a vote
     from each of its pairs (or its only word) the name is there. No length is left out, a long name widens
     no row, and common words alone match nothing."""
@@ -123,7 +123,11 @@ def mentions(docs: DataFrame, key: str, text: str, tickers: DataFrame, names: Da
     words = F.split(F.trim(F.regexp_replace(F.lower(t), "[^a-z0-9]+", " ")), " ")
     kind = lambda arr, n: F.transform(arr, lambda w, i: F.struct(F.lit(n).alias("cls"), i.alias("pos"), w.alias("w")))
     pairs = lambda a: F.filter(F.zip_with(a, F.slice(a, 2, F.size(a)), lambda v, w: F.concat(v, F.lit(" "), w)), lambda v: v.isNotNull())
-    x = docs.select(F.col(key), F.inline(F.concat(kind(tag, 0), kind(tok, 1), kind(pairs(words), 2), kind(words, 3))))
+    few = docs.select(F.col(key), F.inline(F.concat(kind(tag, 0), kind(tok, 1))))
+    # every word with its successor: explodes and zips stay in generated code
+    z = docs.select(F.col(key), words.alias("_w")).select(key, F.posexplode(F.arrays_zip(F.col("_w").alias("w0"), F.slice("_w", 2, F.size("_w")).alias("w1"))).alias("pos", "z"))
+    z = z.select(key, "pos", F.posexplode(F.array(F.concat(F.col("z.w0"), F.lit(" "), F.col("z.w1")), F.col("z.w0"))).alias("cls", "w"))
+    x = few.unionByName(z.select(key, (F.col("cls") + 2).alias("cls"), "pos", "w"))
     d = names.where(F.length("norm") >= 5).select("norm", "ticker", F.split("norm", " ").alias("_n"))
     n = F.col("_n")
     d = d.select("norm", "ticker", F.when(F.size(n) > 1, 1).otherwise(2).alias("side"), F.posexplode(F.when(F.size(n) > 1, pairs(n)).otherwise(n)).alias("_i", "w"), F.greatest(F.size(n) - 1, F.lit(1)).alias("_k"))
