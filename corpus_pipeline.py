@@ -5,7 +5,8 @@ returns token digests). A stage works on all rows that its predecessor kept.
 
 1. quality: documents whose score stays under the threshold go; trees are fitted on the labels of ``sf_dir``.
 2. lines: of a line whose key is found in ten documents or more, only the first occurrence stays; n_chars follows the text.
-3. near copies: one document of each SimHash component stays, that of the smallest doc_id.
+3. near copies: one document of each SimHash component (two bits, as in query 3) stays, that of the smallest doc_id; copies
+   further apart stay too, README has their share.
 4. benchmark: documents that hold a window similar to a benchmark item go.
 5. tokens: byte-level BPE, encoded and decoded; digests of both.
 """
