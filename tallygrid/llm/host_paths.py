@@ -6,7 +6,8 @@ in Spark. Then every page is read again: its text comes from the elements on the
 and scores at least half its own best, else from its own best container.
 
 Menus, headers and footers of the page, sidebars, notices, adverts, forms, comments, scripts and styles are left out
-wherever they stand, by tag, role and class. Character references are decoded, white space becomes one space and blocks
+wherever they stand, by tag, role and class. A form and a class word are only a sign: the element stays when it holds the
+page's article or main, or so much of the unlinked text that it must be a wrapper. Character references are decoded, white space becomes one space and blocks
 are joined by one space. A page without a container that holds text gives what its body holds outside the parts left out.
 
 Null and empty pages give an empty text; a null url is a host of its own, without votes shared between pages; rows are
@@ -40,6 +41,15 @@ OUT_WORDS = frozenset("""ad ads adv advert adverts advertisement advertising ads
 footer masthead topbar toolbar cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login register paywall
 comment comments commentlist discussion disqus reply replies respond responses share sharing social related recommended recommendations widget widgets pagination pager search searchbox form toc skip tags
 disclaimer copyright""".split())
+#: Words of readers' talk and of other pages: no amount of text makes such a part the main text.
+OTHERS_WORDS = frozenset("comment comments commentlist discussion disqus reply replies respond responses related recommended recommendations".split())
+#: What stands after one of these tells what an element has, not what it is.
+MODIFIERS = frozenset("has with no without".split())
+#: A class of these words alone names a wrapper.
+WRAPPER_WORDS = frozenset("content article post entry story body main page text layout container wrap wrapper site".split())
+#: How many times the text of the rest of the page an element must hold to stay in spite of its mark. Talk never does
+#: without an article or main in it.
+OF_WRAPPER, OF_OTHERS, NEVER = 1.0, 10.0, float("inf")
 #: An open element of this kind ends when the next one of the kind, or for p any block, begins.
 CLOSED_BY = {"p": BLOCK - {"br", "button", "select", "option", "label", "input"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -52,24 +62,107 @@ def _attributes(text: str) -> dict[str, str]:
 
 
 class Node:
-    __slots__ = ("tag", "path", "out", "parent", "in_link", "main")
+    __slots__ = ("tag", "path", "out", "parent", "in_link", "main", "mark", "times")
 
-    def __init__(self, tag: str, path: str, out: bool, parent: Node | None, in_link: bool, main: bool):
+    def __init__(self, tag: str, path: str, out: bool, parent: Node | None, in_link: bool, main: bool, times: float = 0.0):
         self.tag, self.path, self.out, self.parent, self.in_link, self.main = tag, path, out, parent, in_link, main
+        self.times = times                                      # above 0: marked, but may stay
+        self.mark: Node | None = self if times else parent.mark if parent else None
 
 
-def _left_out(tag: str, a: dict[str, str], parent: Node) -> bool:
-    if tag in OUT_TAGS or a.get("role", "").lower() in OUT_ROLES or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower():
-        return True
+def _words(name: str) -> list[str]:
+    return [w.lower() for w in WORD.findall(name)]
+
+
+def _marked(tag: str, a: dict[str, str], parent: Node) -> float:
+    """0, or how many times the rest's text an element must hold that a form or a class word marks."""
+    if tag == "form" or a.get("role", "").lower() == "form":
+        return OF_WRAPPER
     if tag in ("html", "body", "main", "article"):
-        return False
-    if tag == "header" and not parent.main:                     # a header within the article is part of it
+        return 0.0
+    names = [_words(x) for x in (*a.get("class", "").split(), a.get("id", "")) if x]
+    signs = set()
+    for words in names:
+        end = next((i for i, w in enumerate(words) if w in MODIFIERS), len(words))
+        signs.update(w for w in words[:end] if w in OUT_WORDS or w == "header" and not parent.main and tag not in ("h1", "h2", "h3"))
+    if not signs:
+        return 0.0
+    if signs & OTHERS_WORDS:
+        return NEVER
+    return OF_WRAPPER if any(words and WRAPPER_WORDS.issuperset(words) for words in names) else OF_OTHERS
+
+
+def _left_out(tag: str, a: dict[str, str], parent: Node) -> bool:
+    if tag in OUT_TAGS and tag != "form" or a.get("role", "").lower() in OUT_ROLES - {"form"} or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower():
         return True
-    for name in (a.get("class", ""), a.get("id", "")):
-        if name:
-            words = [w.lower() for w in WORD.findall(name)]
-            if any(w in OUT_WORDS for w in words) or ("header" in words and not parent.main and tag not in ("h1", "h2", "h3")):
-                return True
+    return tag == "header" and not parent.main                  # a header within the article is part of it
+
+
+def _unmarked(parts: list[tuple[Node, str]]) -> list[tuple[Node, str]]:
+    """The parts without those of marked elements, except the elements that turn out to be wrappers.
+
+    The rest of the page, for an element, is what stands outside of all marked elements but those around it."""
+    if not any(node.mark for node, _ in parts):
+        return parts
+    text: dict[Node | None, int] = {None: 0}
+    leads: dict[Node | None, bool] = {}
+    up: dict[Node, Node | None] = {}
+    for node, piece in parts:
+        mark = node.mark
+        m = mark
+        while m is not None and m not in up:
+            up[m] = m.parent.mark
+            text.setdefault(m, 0)
+            m = up[m]
+        n = len(piece.strip())
+        if n and not node.in_link:
+            leads[mark] = leads.get(mark, False) or node.main and _within_lead(node, mark)
+            block = node
+            while block.tag and block.tag not in BLOCK:
+                block = block.parent
+            if block is not mark or mark.tag == "form" or mark.times == OF_WRAPPER:
+                text[mark] += n
+    stays: dict[Node, Node | None] = {}                         # a wrapper, and the marked element around it
+
+    def around(m: Node) -> list[Node | None]:
+        out: list[Node | None] = []
+        while m is not None:
+            m = up[m]
+            if m not in stays:
+                out.append(m)
+        return out
+
+    found = True
+    while found:
+        found = False
+        for m in sorted((m for m in up if m not in stays), key=lambda m: -text[m]):
+            outer = around(m)
+            rest = sum(text[o] for o in outer)
+            lead = leads.get(m, False) and not any(leads.get(o, False) for o in outer)
+            times = m.times
+            if lead:
+                times = OF_OTHERS if times == NEVER else OF_WRAPPER
+            if times < NEVER and text[m] > times * rest:
+                stays[m] = outer[0]
+                text[outer[0]] += text[m]
+                leads[outer[0]] = leads.get(outer[0], False) or leads.get(m, False)
+                found = True
+                break
+
+    def kept(m: Node | None) -> bool:
+        while m is not None and m in stays:
+            m = up[m]
+        return m is None
+
+    return [(node, piece) for node, piece in parts if kept(node.mark)]
+
+
+def _within_lead(node: Node, mark: Node | None) -> bool:
+    """Is there an article or main around the node, below the mark?"""
+    while node is not mark and node is not None:
+        if node.tag in ("article", "main"):
+            return True
+        node = node.parent
     return False
 
 
@@ -125,13 +218,13 @@ def parse(page: str) -> list[tuple[Node, str]]:
             continue
         a = _attributes(m[3]) if m[3] else {}
         name = tag + "".join("." + DIGITS.sub("#", c) for c in a.get("class", "").split())
-        node = Node(tag, f"{now.path}>{name}" if tag in BLOCK else now.path, now.out or _left_out(tag, a, now), now, now.in_link or tag == "a", now.main or tag in ("article", "main"))
+        node = Node(tag, f"{now.path}>{name}" if tag in BLOCK else now.path, now.out or _left_out(tag, a, now), now, now.in_link or tag == "a", now.main or tag in ("article", "main"), _marked(tag, a, now) if a or tag == "form" else 0.0)
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, position)
             position = end.end() if end else len(page)
             continue
         now = node
-    return out
+    return _unmarked(out)
 
 
 def scores(parts: list[tuple[Node, str]]) -> dict[str, tuple[float, int]]:

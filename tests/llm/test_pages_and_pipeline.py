@@ -48,6 +48,21 @@ def test_boilerplate_goes(before, after):
         assert one(inside) == TEXT
 
 
+@pytest.mark.parametrize("wrap", [
+    "<div class='content has-sidebar'><div class='sidebar'><p>Other story</p></div><article>{}</article></div>",
+    "<div id='page-with-nav'><div id='nav'>Home | News</div><div class='entry'>{}</div></div>",
+    "<form id='aspnetForm'><input type=hidden name=v><div class='ad'>Buy</div><div class='entry'>{}</div><div class='comments'><p>Nice</p></div></form>",
+    "<form><div class='page-with-nav'><div class='social-layout'>{}</div><div class='sidebar'><p>Other story</p></div></div></form>",
+    "<h1 class='site-header'>Site</h1><div class='widget'><main>{}</main></div>",
+])
+def test_wrappers_with_a_mark_stay(wrap):
+    comments = "<section class='comments'>" + "<p>A long reader comment about it all.</p>" * 20 + "</section>"
+    for after in ("", "<footer>All rights</footer>", comments if "<article>" in wrap or "<main>" in wrap else ""):
+        assert one("<html><body>" + wrap.format(BODY) + after + "</body></html>") == TEXT
+    assert one("<body><div class='ad'>Buy now</div><nav>menu</nav></body>") == ""
+    assert one("<body><article>" + BODY + "</article><div class='related'><article>" + BODY * 3 + "</article></div></body>") == TEXT
+
+
 def test_white_space_blocks_and_references():
     assert one("<body><article><h1>A\n  title</h1><p>one<br>two\t three</p><ul><li>x<li>y</ul><table><tr><td>1<td>2</table>&lt;tag&gt; &#233;&#x41;&copy</article>") == "A title one two three x y 1 2 <tag> éA©"
     assert one("<p>under <b>no container</p><p>at all") == "under no container at all"
