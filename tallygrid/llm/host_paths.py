@@ -3,7 +3,8 @@
 Each page's containers are scored by the text of the blocks they hold, less what is linked. A container's path, made of
 tags and classes with digits generalised, gets the page's vote in proportion to its score; votes are added per host and path
 in Spark. Then every page is read again: its text comes from the elements on the host's best path that the page has
-and scores at least half its own best, else from its own best container.
+and scores at least half its own best, else from its own best container; from there it climbs to the article or main around
+them and takes titles, leads and further text beside them along (``text_under``).
 
 Menus, headers and footers of the page, sidebars, notices, adverts, forms, comments, scripts and styles are left out
 wherever they stand, by tag, role and class. A form and a class word are only a sign: the element stays when it holds the
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 import html as _html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -246,32 +247,101 @@ def scores(parts: list[tuple[Node, str]]) -> dict[str, tuple[float, int]]:
     return {p: (s, int(i)) for p, (s, i) in found.items() if s > 0}
 
 
-def text_under(parts: list[tuple[Node, str]], path: str | None) -> str:
-    """Text of the elements on a path (None: of the page), blocks joined by one space."""
-    inside: dict[int, bool] = {}
+def text_under(parts: list[tuple[Node, str]], path: str | None, common: frozenset[str] | None = None) -> str:
+    """Text around the elements on a path (None: of the page), blocks joined by one space.
+
+    An element within an article or main stands for all of it. Then, up to the outermost main or article around it, else up to
+    the page, everything beside it stays that holds more unlinked than linked text: titles, leads, further containers.
+    Beside an article other articles do not belong to it, and further up only a title does where it has none. On the page
+    itself, loose blocks stay, and containers of a fifth of the text if their path is in ``common`` (None: any)."""
+    if path is None:
+        return _joined(text for _, text in parts)
+    whole: dict[Node, bool] = {}                                # elements that stay with all they hold
+    levels: set[Node] = set()                                   # what is around them, no further than the search goes
+    page: set[Node] = set()                                     # the page: body and above
+    beyond: set[Node] = set()                                   # around the outermost article or main
+    seen: set[Node] = set()
+    lead = False
+    for node, _ in parts:
+        while node is not None and node not in seen:
+            seen.add(node)
+            if node.path == path and node.tag in CONTAINERS:
+                up = [node]
+                while up[-1].parent is not None:
+                    up.append(up[-1].parent)
+                leads = [i for i, x in enumerate(up) if x.tag in ("article", "main")]
+                first, last = (leads[0], leads[-1]) if leads else (0, len(up))
+                lead = lead or bool(leads)
+                whole[up[first]] = True
+                for i, x in enumerate(up[first + 1:], first + 1):
+                    (beyond if i > last else page if x.tag in ("body", "html", "") else levels).add(x)
+            node = node.parent
+    top_of: dict[Node, tuple[Node, Node | None]] = {}           # the branch a node is on, and what it branches from
 
-    def within(node: Node | None) -> bool:
-        if node is None:
-            return False
-        known = inside.get(id(node))
+    def branch(node: Node) -> tuple[Node, Node | None]:
+        known = top_of.get(node)
         if known is None:
-            known = inside[id(node)] = (node.path == path and node.tag in CONTAINERS) or within(node.parent)
+            if node in whole or node in levels or node in page or node in beyond or node.parent is None:
+                known = (node, None)
+            else:
+                top, level = branch(node.parent)
+                if level is None and top not in whole:
+                    # inline elements and the loose text around them are one block
+                    known = (node, top) if node.tag in BLOCK else (top, top)
+                else:
+                    known = (top, level)
+            top_of[node] = known
         return known
 
-    pieces = [(text and _html.unescape(text)) or " " for node, text in parts if path is None or within(node)]
-    return " ".join("".join(pieces).split())
-
-
-def best_text(page: str, winners: list[str]) -> str:
+    total: dict[Node, int] = {}
+    boxes: dict[Node, bool] = {}
+    others: dict[Node, bool] = {}
+    titled = False
+    for node, text in parts:
+        n = len(text.strip())
+        if n:
+            top, level = branch(node)
+            total[top] = total.get(top, 0) + (-n if node.in_link else n)
+            while True:
+                boxes[top] = boxes.get(top, False) or node.tag in CONTAINERS
+                others[top] = others.get(top, False) or node.tag in ("article", "main")
+                titled = titled or node.tag == "h1" and (top in whole or level in levels)
+                if node is top or node.parent is None:
+                    break
+                node = node.parent
+    most = max((total.get(w, 0) for w in whole), default=0)
+    keep: dict[Node, bool] = {}
+    for top, n in total.items():
+        level = top if top in levels or top in page or top in beyond else top_of[top][1]
+        if top in whole:
+            keep[top] = True
+        elif level in levels:
+            keep[top] = n > 0 and not (lead and top is not level and others[top])
+        elif level in page and (top is level or not boxes[top]):
+            keep[top] = n > 0
+        elif level in page:
+            keep[top] = 5 * n >= most and (common is None or top.path in common)
+        else:
+            keep[top] = n > 0 and top.tag == "h1" and not titled
+    return _joined(text for node, text in parts if not text or keep.get(branch(node)[0], False))
+
+
+def _joined(pieces: Iterable[str]) -> str:
+    return " ".join("".join([(text and _html.unescape(text)) or " " for text in pieces]).split())
+
+
+def best_text(page: str, winners: list[str], common: list[str] | None = None) -> str:
+    """``common``: the paths with a fifth of the votes of the host's best."""
     parts = parse(page)
     own = scores(parts)
     if not own:
         return text_under(parts, None)
+    also = None if common is None else frozenset(common)
     top = max(s for s, _ in own.values())
     for path in winners:
         if path in own and own[path][0] >= top / 2:
-            return text_under(parts, path)
-    return text_under(parts, min((p for p in own if own[p][0] == top), key=lambda p: own[p][1]))
+            return text_under(parts, path, also)
+    return text_under(parts, min((p for p in own if own[p][0] == top), key=lambda p: own[p][1]), also)
 
 
 def votes(pages: DataFrame) -> DataFrame:
@@ -302,14 +372,14 @@ def extract(pages: DataFrame) -> DataFrame:
     # paths of a host whose votes come to a twentieth of its best, best first: a handful
     top = counted.groupBy("host").agg(F.max("votes").alias("best"))
     good = counted.join(small_side(top, C.BROADCAST_BYTES), "host").where(F.col("votes") >= F.col("best") * LEAST_SHARE)
-    ranked = good.groupBy("host").agg(F.sort_array(F.collect_list(F.struct((-F.col("votes")).alias("v"), "path"))).alias("w")).select("host", F.col("w.path").alias("winners"))
+    ranked = good.groupBy("host").agg(F.sort_array(F.collect_list(F.struct((-F.col("votes")).alias("v"), "path"))).alias("w")).select("host", F.col("w.path").alias("winners"), F.expr("filter(w, x -> 5 * x.v <= w[0].v).path").alias("common"))
     ranked = materialise(ranked, "winners")
-    joined = rows.join(small_side(ranked, C.BROADCAST_BYTES), "host", "left").select("page_id", "url", "html", "winners")
+    joined = rows.join(small_side(ranked, C.BROADCAST_BYTES), "host", "left").select("page_id", "url", "html", "winners", "common")
     out = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = [best_text(p.as_py(), w or []) for p, w in zip(batch.column(2), batch.column(3).to_pylist())]
+            text = [best_text(p.as_py(), w or [], c) for p, w, c in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string())], schema=out)
 
     read = joined.mapInArrow(run, "page_id long, url string, text string")

@@ -53,7 +53,7 @@ def test_boilerplate_goes(before, after):
     "<div id='page-with-nav'><div id='nav'>Home | News</div><div class='entry'>{}</div></div>",
     "<form id='aspnetForm'><input type=hidden name=v><div class='ad'>Buy</div><div class='entry'>{}</div><div class='comments'><p>Nice</p></div></form>",
     "<form><div class='page-with-nav'><div class='social-layout'>{}</div><div class='sidebar'><p>Other story</p></div></div></form>",
-    "<h1 class='site-header'>Site</h1><div class='widget'><main>{}</main></div>",
+    "<header>Site</header><div class='widget'><main>{}</main></div>",
 ])
 def test_wrappers_with_a_mark_stay(wrap):
     comments = "<section class='comments'>" + "<p>A long reader comment about it all.</p>" * 20 + "</section>"
@@ -63,6 +63,29 @@ def test_wrappers_with_a_mark_stay(wrap):
     assert one("<body><article>" + BODY + "</article><div class='related'><article>" + BODY * 3 + "</article></div></body>") == TEXT
 
 
+@pytest.mark.parametrize("page", [
+    "<article><h1>Title</h1><div class='body'>{}</div></article>",
+    "<div class='wrap'><h1>Title</h1><div class='entry'>{}</div></div>",
+    "<div class='wrap'><div class='head'><h1>Title</h1></div><div class='entry'>{}</div><div class='menu-like'><a href='/'>More stories</a></div></div>",
+    "<h1>Title</h1><div class='entry'>{}</div>",
+    "<div class='wrap'><h1>Title</h1><article>{}</article></div>",
+    "<main><div class='head'><h1>Title</h1></div><article>{}</article><section><article>Other story</article></section></main>",
+])
+def test_title_outside_the_body_container(page):
+    for winners in ((), H.scores(H.parse(f"<body>{page.format(BODY)}</body>"))):
+        assert one(f"<html><body>{page.format(BODY)}<div class='ad'>Buy <p>now</p></div><footer>All rights</footer></body></html>", winners) == "Title " + TEXT
+
+
+def test_lead_beside_the_body_container(spark):
+    lead = "<div class='lead'><p>What the story is about, told in a few more words than a title has, to be read first.</p></div>"
+    text = "What the story is about, told in a few more words than a title has, to be read first. " + TEXT
+    pages = [f"<body><div class='wrap'>{lead}<div class='story'>{BODY}</div></div></body>", f"<body>{lead}<div class='story'>{BODY}</div></body>"]
+    assert [one(p) for p in pages] == [text] * 2
+    rows = [(10 * h + i, f"http://h{h}.example/{i}", p) for h, p in enumerate(pages) for i in range(3)]
+    got = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 6 and {(r["text"], r["n_chars"]) for r in got} == {(text, len(text))}
+
+
 def test_white_space_blocks_and_references():
     assert one("<body><article><h1>A\n  title</h1><p>one<br>two\t three</p><ul><li>x<li>y</ul><table><tr><td>1<td>2</table>&lt;tag&gt; &#233;&#x41;&copy</article>") == "A title one two three x y 1 2 <tag> éA©"
     assert one("<p>under <b>no container</p><p>at all") == "under no container at all"
