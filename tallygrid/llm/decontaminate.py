@@ -10,8 +10,8 @@ A window of that similarity has at least 2 s / (1 + s) of its shingles in the be
 such shingles are passed over; nothing is lost by it.
 
 The benchmark is sent to every task in blocks of at most ``BLOCK_BYTES``; larger benchmarks take more passes. A document
-with fewer words than an item is one window. Texts with fewer than five words are one shingle; items without words match
-nothing. Null texts count as empty; equal items each get their rows; repeated documents each get their rows.
+with fewer words than an item is one window. Texts with fewer than five words are one shingle, and so are the windows of
+an item of that size in a longer document; items without words match nothing. Null texts count as empty; equal items each get their rows; repeated documents each get their rows.
 """
 from __future__ import annotations
 
@@ -71,17 +71,16 @@ def batch_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(flat) if flat else np.zeros(0, U), np.append(0, np.cumsum(sizes)).astype(np.int64)
 
 
-def shingles(h: np.ndarray) -> np.ndarray:
-    """A hash for each run of five words; fewer words make one."""
-    n = len(h)
-    if n == 0:
-        return h
-    if n < WORDS:
-        return _mix(np.array([(h * POWERS[:n]).sum() + U(n)], U))
-    s = h[:n - WORDS + 1] * POWERS[0]
-    for i in range(1, WORDS):
-        s = s + h[i:n - WORDS + 1 + i] * POWERS[i]
-    return _mix(s)
+def shingles(h: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """A hash for each run of ``words`` words, five at most; fewer words make one."""
+    words = min(words, len(h))
+    if words == 0:
+        return h[:0]
+    last = len(h) - words + 1
+    s = h[:last] * POWERS[0]
+    for i in range(1, words):
+        s = s + h[i:last + i] * POWERS[i]
+    return _mix(s if words == WORDS else s + U(words))
 
 
 def simhash(rows: np.ndarray) -> np.ndarray:
@@ -139,17 +138,23 @@ class Index:
             out[at] = self.all[i] == s[at]
         return out
 
-    def search(self, s: np.ndarray, n_words: int) -> dict[int, tuple[float, int, int]]:
-        """item number -> (similarity, first word, words) of its most similar window, the first of equals."""
+    def search(self, h: np.ndarray) -> dict[int, tuple[float, int, int]]:
+        """item number -> (similarity, first word, words) of its most similar window among the words hashed in ``h``, the first of equals."""
         best: dict[int, tuple[float, int, int]] = {}
-        hit = self.known(s)
-        if not hit.any():
-            return best
-        before = np.append(0, np.cumsum(hit))
+        runs: dict[int, tuple[np.ndarray, np.ndarray]] = {}     # by their words: shingles, how many before each are known
         for n, (members, fp, near) in self.tables.items():
-            size = min(n, n_words)                              # words of a window
+            size = min(n, len(h))                               # words of a window
             m, k = max(1, size - WORDS + 1), max(1, n - WORDS + 1)
+            words = min(size, WORDS)
+            if words not in runs:
+                s = shingles(h, words)
+                runs[words] = s, np.append(0, np.cumsum(self.known(s)))
+            s, before = runs[words]
+            if not before[-1]:
+                continue
             start = np.flatnonzero(before[m:] - before[:-m] >= needed(m, k, self.similarity))
+            if m == 1:                                          # equal windows of one shingle: the first tells all
+                start = start[np.sort(np.unique(s[start], return_index=True)[1])]
             for lo in range(0, len(start), 2000):
                 part = start[lo:lo + 2000]
                 rows = s[part[:, None] + np.arange(m)[None, :]]
@@ -171,14 +176,15 @@ class Index:
     def search_batch(self, flat: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, dict[int, tuple[float, int, int]]]]:
         """(row, what ``search`` finds) of the texts with a shingle of the benchmark."""
         sizes = np.diff(offsets)
-        at = np.zeros(0, np.int64)
-        if len(flat) >= WORDS:
-            hit = np.concatenate([lo + np.flatnonzero(self.known(shingles(flat[lo:lo + STEP + WORDS - 1]))) for lo in range(0, len(flat) - WORDS + 1, STEP)])
-            doc = np.searchsorted(offsets, hit, "right") - 1
-            at = doc[hit + WORDS <= offsets[doc + 1]]           # a run over the end of a text is none of its shingles
-        for row in np.union1d(at, np.flatnonzero((sizes > 0) & (sizes < WORDS))).tolist():
+        rows = np.flatnonzero((sizes > 0) & (sizes < WORDS))
+        for words in {min(n, WORDS) for n in self.tables}:
+            for lo in range(0, len(flat) - words + 1, STEP):
+                hit = lo + np.flatnonzero(self.known(shingles(flat[lo:lo + STEP + words - 1], words)))
+                doc = np.searchsorted(offsets, hit, "right") - 1
+                rows = np.union1d(rows, doc[hit + words <= offsets[doc + 1]])       # a run over the end of a text is none of its shingles
+        for row in rows.tolist():
             h = flat[offsets[row]:offsets[row + 1]]
-            found = self.search(shingles(h), len(h))
+            found = self.search(h)
             if found:
                 yield row, found
 

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from brute import (earlier_bytes, leaks, lines, near, nearest, repeated_words, sha, shard_rows)
 
@@ -238,6 +239,24 @@ def test_leaks_near_copies_and_odd_rows(spark, odd, monkeypatch):
     assert got(decontaminate.matches(docs, bench.limit(0))) == []
 
 
+def test_leaks_of_short_items_in_long_documents(spark, monkeypatch):
+    rng = random.Random(3)
+    pad = [" ".join(f"w{rng.randrange(900)}" for _ in range(n)) for n in (400, 7, 0)]
+    rows = [(1, f"{pad[0]} Paris, of course! {pad[1]}"), (2, f"{pad[0]} paris of {pad[1]} course"), (3, f"of course {pad[0]} forty-two"), (4, f"{pad[1]} to be or not"), (5, "be or not to"), (6, "to be or"), (7, "paris of"), (8, "course"), (9, f"course {pad[0]} ends with a five word item"), (10, None)]
+    items = [(20, "Paris of course"), (21, "forty two"), (22, "to be or not"), (23, "course"), (24, "a five word item here"), (25, "with a five word item"), (26, f"paris of course and {pad[1]}")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string").repartition(2), spark.createDataFrame(items, "item_id long, text string")
+    want = leaks(rows, items)
+    assert {(1, 20), (3, 21), (4, 22), (9, 23), (9, 25)} <= set(want) and not {(2, 20), (5, 22), (9, 24)} & set(want)
+    assert got(decontaminate.matches(docs, bench), "doc_id", "item_id") == want
+    assert got(decontaminate.drop_contaminated(docs, bench), "doc_id") == sorted({(i,) for i, _ in rows} - {(i,) for i, _ in want})
+    monkeypatch.setattr(decontaminate, "STEP", 16)              # runs over the ends of texts and of steps
+    index = decontaminate.Index(items)
+    local = index.search_batch(*decontaminate.batch_hashes(pa.array([t for _, t in rows], pa.string())))
+    assert sorted((rows[r][0], items[i][0]) for r, f in local for i in f) == want
+    found = {(r[0], r[1]): tuple(r[2:]) for r in decontaminate.matches(docs, bench).collect()}
+    assert found[1, 20] == (1.0, 400, 3) and found[9, 23] == (1.0, 0, 1)
+
+
 def test_quality(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rows = quality_trees.classify(docs, labels)
