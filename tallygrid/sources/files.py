@@ -64,6 +64,11 @@ def json_documents(spark: SparkSession, path: str, schema, lines: bool = False)
         first = trim(F.split("v", "\n", 2)[0])
         # a complete document on the first line: one per line
         by_line = first.startswith("{") & first.endswith("}") | first.startswith("[") & first.endswith("]")
+        # a broken first line: complete documents on further lines, more than lines that go on as in an array, and the whole is no JSON
+        full = F.regexp_count("v", F.lit(r"(?m)^[ \t]*(\{.*\}|\[.*\])[ \t\r]*$"))
+        listed = F.regexp_count("v", F.lit(r"(?m)^[ \t]*\[?[ \t]*(\{.*\}|\[.*\]),[ \t\r]*$"))
+        opened = first.isin("[", "{").cast("int")               # one document below a bracket may be its only element
+        by_line = by_line | (full > listed) & (full > opened) & F.try_parse_json("v").isNull()
         docs = whole.select(F.explode(F.when(by_line, F.split("v", "\n")).otherwise(F.array("v"))).alias("v"), "_file").withColumn("v", trim("v"))
     array = F.col("v").startswith("[")
     x = docs.where("v <> ''").select("_file", "v", F.when(array, F.from_json("v", T.ArrayType(s))).alias("a"),

@@ -189,3 +189,17 @@ def test_epochs_are_compacted(spark, rows, tmp_path):
     assert sorted(p for p in os.listdir(out) if p.startswith("epoch")) == ["epoch=10"]
     state = rows(I.read_state(spark, out, ["k"]), "k", "v")
     assert len(state) == 15 and {(0, "v8"), (1, "v9"), (2, "v10"), (3, "v7")} <= set(state)
+
+
+def test_json_lines_with_a_broken_first_line(spark, rows, tmp_path):
+    forms = {"cut": '{"entity":"a","v\n{"entity":"b","v":2}\n{"entity":"c","v":3}\n', "comma": '{"entity":"a",\r\n[{"entity":"d","v":4}]\r\n',
+             "bracket": '{\n{"entity":"e","v":5}\n\n {"entity":"f","v":6} \n',
+             # no lines files: valid or broken documents over several lines
+             "valid": '[{"entity":"i",\n"v":9},\n{"entity":"j","v":10}\n]', "one": '[\n{"entity":"k","v":11}', "list": '[{"entity":"l","v":12},\n{"entity":"m","v":13},\n{"entity":"n","v":14}', "deep": '{"entity":"o", "v": 15, "x": [\n[1,2]\n]}'}
+    for name, text in forms.items():
+        (tmp_path / f"{name}.json").write_bytes(text.encode())
+    good, bad = FI.read_quarantined(spark, str(tmp_path), "entity string, v int")
+    assert rows(good, "entity", "v") == [("b", 2), ("c", 3), ("d", 4), ("e", 5), ("f", 6), ("i", 9), ("j", 10), ("o", 15)]
+    assert sorted(r[0] for r in rows(bad, "document")) == sorted(['{"entity":"a","v', '{"entity":"a",', "{", forms["one"], forms["list"]])
+    shards = FI.read_shards(spark, str(tmp_path), "entity string, v int, fetched_at string")
+    assert [r[0] for r in rows(shards, "entity")] == ["b", "c", "d", "e", "f", "i", "j", "o"]
