@@ -6,8 +6,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallygrid.llm import (bpe_index, column_suffix, decontaminate, host_paths, line_bloom, pstable, quality_trees,
-                           simhash_pivot, token_windows, wavelet)
+from tallygrid.llm import (bpe_index, column_suffix, decontaminate, hard_negatives, hidden_markov, host_paths, line_bloom,
+                           pstable, quality_trees, simhash_pivot, spelling, token_windows, wavelet)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -99,3 +99,37 @@ select documents.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0)
 from documents left join k using (doc_id)""")
 def op10(spark, d):
     return token_windows.digest(token_windows.remove_repeats(table(spark, d, "documents")))
+
+
+@query("op11_hidden_markov_scores")
+def op11(spark, d):
+    return hidden_markov.scores(table(spark, d, "documents"))
+
+
+@query("op12_partenum_spelling_variants", r"""
+with recursive tab as (select list(c order by n) as k from (select n, list_reduce(list_concat([n], range(0, 8)), lambda a, x: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end) as c from (select unnest(range(0, 256)) as n))),
+runs as (select doc_id, r, count(*) as m from (select doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as r from documents) where length(r) >= 6 group by all),
+x as (select doc_id, r, m, hex(encode(doc_id || ':' || r)) as b from runs),
+h as (select r, m, case when doc_id is null then 1 else xor(list_reduce(list_concat([4294967295::bigint], list_transform(range(0, length(b) // 2), lambda i: ('0x' || substr(b, 2 * i + 1, 2))::bigint)), lambda a, y: xor(a >> 8, k[(xor(a, y) & 255) + 1])), 4294967295) end as h from x, tab),
+w as (select word, sum(m)::bigint as n from (select m, case when h % 199 = 0 then substr(r, 1, (h % length(r))::int) || substr(r, (h % length(r))::int + 2) else r end as word from h) where length(word) >= 6 group by word having sum(m) >= 5),
+p as (select word, n, substr(word, 1, i - 1) || '*' || substr(word, i + 1) as hole, substr(word, 1, i - 1) || substr(word, i + 1) as less from (select word, n, unnest(range(1, length(word) + 1)) as i from w)),
+near as (select a.word, b.word as other from p a join p b on a.hole = b.hole and a.word <> b.word
+         union select p.word, w.word from p join w on p.less = w.word union select w.word, p.word from p join w on p.less = w.word),
+best as (select near.word, count(*) as n_near, min({'m': -w.n, 'o': near.other}) as b from near join w on near.other = w.word group by near.word),
+f as (select w.word, w.n, coalesce(n_near, 0) as n_near, case when -b.m >= 5 * w.n then b.o end as form, case when -b.m >= 5 * w.n then -b.m end as form_n from w left join best using (word)),
+chain as (select word, word as here, 0 as step from f union all select chain.word, f.form, step + 1 from chain join f on chain.here = f.word where f.form is not null)
+select f.word, form, root, n, n_near::bigint as n_near, form_n::bigint as form_n from f join (select word, arg_max(here, step) as root from chain group by word) using (word)""")
+def op12(spark, d):
+    return spelling.variants(table(spark, d, "documents"))
+
+
+@query("op13_threshold_hard_negatives", """
+with r as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as q
+           from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+s as (select a.vec_id as a, b.vec_id as b, a.label = b.label as same, list_inner_product(a.q, b.q)::bigint as score from r a join r b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+p as (select * from s where same qualify row_number() over (partition by a order by score desc, b) <= 5)
+select p.a as anchor_id, p.b as positive_id, row_number() over (partition by p.a, p.b order by s.score desc, s.b)::int as rank, s.b as negative_id, p.score as positive_score, s.score as negative_score
+from p join s on p.a = s.a and not s.same and 80 * p.score <= 100 * s.score and 100 * s.score <= 100 * p.score
+qualify row_number() over (partition by p.a, p.b order by s.score desc, s.b) <= 5""")
+def op13(spark, d):
+    return hard_negatives.mine(table(spark, d, "embeddings"))
