@@ -34,7 +34,7 @@ def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Dat
     """(key, doc_id, text, rest) of all rows with a key that names one text, and the same with one row for each key.
 
     ``rest`` is a struct of the other columns. Where ids are unique and never null, the id is the key. Otherwise rows
-    with the same id and text are one document, and the keys number the distinct (id, text) in order, null ids first."""
+    with the same id and text are one document, and the keys ascend with the distinct (id, text), null ids first; they have gaps."""
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in (key, text)]
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), (F.struct(*rest) if rest else F.struct(F.lit(0).alias("_"))).alias("rest"))
     odd = rows.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1)
@@ -43,10 +43,12 @@ def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Dat
         return rows, rows
     rows = rows.withColumn("h", F.sha2("text", 256))
     order = rows.select("doc_id", "h").distinct().orderBy(F.col("doc_id").asc_nulls_first(), "h")
-    numbers = materialise(order.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])).toDF("d long, g string, key long"), "keys")
+    # ascending over the sorted partitions, with gaps
+    numbers = materialise(order.select(F.col("doc_id").alias("d"), F.col("h").alias("g"), F.monotonically_increasing_id().alias("key")), "keys")
     on = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g"))
-    rows = rows.join(numbers, on).select("key", "doc_id", "text", "rest")
-    return rows, rows.dropDuplicates(["key"])
+    # written, so that sizes are those of files (the estimate of a join multiplies its sides) and one row of each key is the same for all readers
+    rows = materialise(rows.join(numbers, on).select("key", "doc_id", "text", "rest"), "keyed")
+    return rows, materialise(rows.dropDuplicates(["key"]), "unique")
 
 
 def restore(rows: DataFrame, columns: list[str], key: str = "doc_id", text: str = "text", **changed) -> DataFrame:

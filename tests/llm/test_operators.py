@@ -5,9 +5,10 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 from brute import (earlier_bytes, leaks, lines, near, nearest, repeated_words, sha, shard_rows)
+from pyspark.sql import functions as F
 
-from tallygrid.llm import (anchors, bpe_index, column_suffix, decontaminate, graph, line_bloom, pstable, quality_trees,
-                           simhash_pivot, token_windows, wavelet)
+from tallygrid.llm import (anchors, bpe_index, column_suffix, common, decontaminate, graph, line_bloom, pstable,
+                           quality_trees, simhash_pivot, token_windows, wavelet)
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 D = "/root/testdata/sf0.001"
@@ -312,3 +313,23 @@ def test_repeated_rows_and_null_ids(spark):
     s = got(wavelet.digest(docs, WORD))
     assert len(s) == 7 and s[0][0] is None and s[0][1] == 0 and sum(x[2] for x in s[:-1]) == max(x[1] for x in s)
     assert bpe_index.digest(docs, BYTE).count() == 7
+
+
+def test_repeated_rows_of_a_table_keep_the_bucket_count(spark, given, tmp_path):
+    """One repeated row and one null id in a table on disk: the same exchange widths, results equal to brute force."""
+    docs, rows = given
+    more = docs.unionByName(docs.limit(1)).unionByName(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
+    more.write.parquet(str(tmp_path / "d"))
+    more = spark.read.parquet(str(tmp_path / "d"))
+    every, unique = common.keyed(more)
+    assert every.count() == len(rows) + 2 and unique.count() == len(rows) + 1
+    assert common.bucket_count(every) == common.bucket_count(unique) == common.bucket_count(docs)
+    # the null id comes first, so ids shifted by one stand for it in the brute force
+    first = next(t for i, t in rows if i == docs.first()["doc_id"])
+    shifted = [(-1, first), *rows]
+    found = got(column_suffix.digest(column_suffix.remove_repeats(more)))
+    want = sorted(earlier_bytes(shifted))
+    assert {r[1:] for r in found if r[0] is None} == {r[1:] for r in want if r[0] == -1}
+    assert {r for r in found if r[0] is not None} == {r for r in want if r[0] != -1} and len(found) == len(want) + 1
+    found, want = got(token_windows.digest(token_windows.remove_repeats(more))), sorted(repeated_words(shifted))
+    assert {r for r in found if r[0] is not None} == {r for r in want if r[0] != -1} and len(found) == len(want) + 1
