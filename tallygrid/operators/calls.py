@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallygrid.functions import scalars as S
 from tallygrid.operators.keyed import running_total, running_totals, top_per_key
-from tallygrid.session import small_side
+from tallygrid.session import materialise, small_side
 
 # Phrases that hand a call over to questions.
 QA_PATTERN = (r"(?i)question[- ]and[- ]answer|q&a|first question|open (the|up the) (call|line)s? for questions|"
@@ -109,34 +109,66 @@ def mentions(docs: DataFrame, key: str, text: str, tickers: DataFrame, names: Da
     """JN-21: entities a text mentions, in order of appearance per class: tagged, upper-case token,
     company name. ``tickers``: ticker; ``names``: norm, ticker (normalised name).
 
-    A text's tags and tokens, and its words and word pairs, meet the dictionary in one join.
-    The i-th word pair of a name, found at place q, votes for the name at place q - i; with a vote
-    from each of its pairs (or its only word) the name is there. No length is left out, a long name widens
-    no row, and common words alone match nothing."""
+    Names are found by their rarest word pair. The texts' words are read once, each with its successor, as two hashes; only
+    those of the dictionary's pairs (or single-word names) stay. Counting these gives every name its rarest pair, and only the places of
+    that pair are looked at: the whole name has to stand there in the text. So a name made of common words costs as much as
+    its least common pair, no length is left out, and a name with a pair that never occurs costs nothing."""
     t = F.col(text)
     # word edges in any script, so that an accented neighbour is part of the word
     before, after = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
     tag = F.transform(F.regexp_extract_all(t, F.lit(r"[$#]([A-Za-z]{1,6}(?:\.[A-Za-z])?)" + after), F.lit(1)), F.upper)
-    tok = F.regexp_extract_all(t, F.lit(before + r"([A-Z]{2,6}(?:\.[A-Z])?)" + after), F.lit(1))
+    tok = F.regexp_extract_all(t, F.lit("(?=[A-Z]{2})" + before + r"([A-Z]{2,6}(?:\.[A-Z])?)" + after), F.lit(1))
     if stop:
         tok = F.filter(tok, lambda x: ~x.isin(stop))
-    words = F.split(F.trim(F.regexp_replace(F.lower(t), "[^a-z0-9]+", " ")), " ")
-    kind = lambda arr, n: F.transform(arr, lambda w, i: F.struct(F.lit(n).alias("cls"), i.alias("pos"), w.alias("w")))
-    pairs = lambda a: F.filter(F.zip_with(a, F.slice(a, 2, F.size(a)), lambda v, w: F.concat(v, F.lit(" "), w)), lambda v: v.isNotNull())
-    few = docs.select(F.col(key), F.inline(F.concat(kind(tag, 0), kind(tok, 1))))
-    # every word with its successor: explodes and zips stay in generated code
-    z = docs.select(F.col(key), words.alias("_w")).select(key, F.posexplode(F.arrays_zip(F.col("_w").alias("w0"), F.slice("_w", 2, F.size("_w")).alias("w1"))).alias("pos", "z"))
-    z = z.select(key, "pos", F.posexplode(F.array(F.concat(F.col("z.w0"), F.lit(" "), F.col("z.w1")), F.col("z.w0"))).alias("cls", "w"))
-    x = few.unionByName(z.select(key, (F.col("cls") + 2).alias("cls"), "pos", "w"))
-    d = names.where(F.length("norm") >= 5).select("norm", "ticker", F.split("norm", " ").alias("_n"))
-    n = F.col("_n")
-    d = d.select("norm", "ticker", F.when(F.size(n) > 1, 1).otherwise(2).alias("side"), F.posexplode(F.when(F.size(n) > 1, pairs(n)).otherwise(n)).alias("_i", "w"), F.greatest(F.size(n) - 1, F.lit(1)).alias("_k"))
-    tick = tickers.select(F.col("ticker").alias("w")).distinct()
-    entry = tick.select("w", F.lit(0).alias("side"), F.lit(None).cast("string").alias("norm"), F.col("w").alias("ticker"), F.lit(0).alias("_i"), F.lit(1).alias("_k")).unionByName(
-        d.distinct().select("w", "side", "norm", "ticker", "_i", "_k"))
-    hit = x.withColumn("side", F.greatest(F.col("cls") - 1, F.lit(0))).join(small_side(entry), ["w", "side"])
-    one = hit.where("side = 0").select(key, "cls", "pos", "ticker")
-    run = hit.where("side > 0").groupBy(key, "norm", "ticker", "_k", (F.col("pos") - F.col("_i")).alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
-    full = run.where(F.col("_c") == F.col("_k")).select(key, F.lit(2).alias("cls"), (-F.length("norm")).alias("pos"), "ticker")
+    kind = lambda arr, n: F.transform(arr, lambda w, i: F.struct(F.lit(n).alias("cls"), i.alias("pos"), w.alias("ticker")))
+    tick = tickers.select("ticker").distinct()
+    one = docs.select(F.col(key), F.inline(F.concat(kind(tag, 0), kind(tok, 1)))).join(small_side(tick), "ticker").select(key, "cls", "pos", "ticker")
+    grams = materialise(name_grams(names), "grams")
+    hits = materialise(gram_hits(docs, key, text, grams), "hits")
+    found = verified(anchored(hits, grams, key), hits, grams, key)
+    full = found.select(key, F.lit(2).alias("cls"), (-F.length("norm")).alias("pos"), "ticker")
     first = one.unionByName(full).groupBy(key, "ticker").agg(F.min(F.struct("cls", "pos")).alias("f"))
     return top_per_key(first, [key], [F.col("f"), F.col("ticker")], limit).select(key, "ticker", "rn")
+
+
+def text_words(text: str) -> Column:
+    """Lower-cased runs of ASCII letters and digits; the first and last may be empty."""
+    return F.split(F.lower(F.col(text)), "[^a-z0-9]+")
+
+
+def gram(*words) -> list[Column]:
+    """Two independent hashes, 96 bits in all, so that equal grams are equal words."""
+    return [F.xxhash64(*words).alias("h"), F.hash(*words).alias("g")]
+
+
+def name_grams(names: DataFrame) -> DataFrame:
+    """(norm, ticker, k, i, h, g): hashes of the ``k`` word pairs of every name of at least five characters, of the word itself where it is alone; ``i``: place in the name."""
+    d = names.where(F.length("norm") >= 5).select("norm", "ticker", F.split("norm", " ").alias("_n")).distinct()
+    n = F.col("_n")
+    pairs = F.filter(F.zip_with(n, F.slice(n, 2, F.size(n)), lambda v, w: F.when(w.isNotNull(), F.struct(*gram(v, w)))), lambda v: v.isNotNull())
+    grams = F.when(F.size(n) > 1, pairs).otherwise(F.transform(n, lambda w: F.struct(*gram(w))))
+    return d.select("norm", "ticker", F.size(grams).alias("k"), F.posexplode(grams).alias("i", "x")).select("norm", "ticker", "k", "i", "x.*")
+
+
+def gram_hits(docs: DataFrame, key: str, text: str, grams: DataFrame) -> DataFrame:
+    """(key, pos, h, g): places in the texts where a dictionary gram stands. Hashes are made in the explode; no string leaves it."""
+    z = docs.select(F.col(key), text_words(text).alias("_w")).select(key, F.posexplode(F.arrays_zip(F.col("_w").alias("v"), F.slice("_w", 2, F.size("_w")).alias("w"))).alias("pos", "z"))
+    z = z.select(key, "pos", F.explode(F.array(F.struct(*gram("z.v", "z.w")), F.struct(*gram("z.v")))).alias("x"))
+    z = z.select(key, "pos", "x.*")
+    return z.join(small_side(grams.select("h", "g").distinct()), ["h", "g"]).select(key, "pos", "h", "g")
+
+
+def anchored(hits: DataFrame, grams: DataFrame, key: str) -> DataFrame:
+    """(key, norm, ticker, start): places of each name's rarest gram. A gram that never occurs is the rarest, and meets nothing."""
+    counts = hits.groupBy("h", "g").agg(F.count(F.lit(1)).alias("c"))
+    rarest = grams.join(counts, ["h", "g"], "left").groupBy("norm", "ticker").agg(F.min(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "i", "h", "g")).alias("a"))
+    anchor = rarest.where("a.c > 0").select("norm", "ticker", "a.i", "a.h", "a.g")
+    return hits.join(small_side(anchor), ["h", "g"]).where("pos >= i").select(key, "norm", "ticker", (F.col("pos") - F.col("i")).alias("start"))
+
+
+def verified(places: DataFrame, hits: DataFrame, grams: DataFrame, key: str) -> DataFrame:
+    """(key, norm, ticker) of the places where the whole name stands: all its grams, one after the other."""
+    single = places.join(small_side(grams.where("k = 1").select("norm", "ticker")), ["norm", "ticker"], "left_semi").select(key, "norm", "ticker")
+    want = places.join(small_side(grams.where("k > 1")), ["norm", "ticker"]).select(key, "norm", "ticker", "start", "k", (F.col("start") + F.col("i")).alias("pos"), "h", "g")
+    met = want.join(hits, [key, "pos", "h", "g"]).groupBy(key, "norm", "ticker", "start", "k").agg(F.count(F.lit(1)).alias("c"))
+    return met.where("c = k").select(key, "norm", "ticker").unionByName(single)
