@@ -12,8 +12,10 @@ from tallygrid.plans.q_scalars import TITLE_SQL, title_column
 from tallygrid.plans.registry import query, table
 from tallygrid.session import scratch
 from tallygrid.sources import files as FI
+from tallygrid.sources import merge_table as M
 from tallygrid.sources import payloads as P
 from tallygrid.sources import sinks as SK
+from tallygrid.sources.merge_table import MergeTable as MT
 from tallygrid.streaming import incremental as I
 
 iso = lambda c: F.col(c).cast("string").alias(c)
@@ -241,6 +243,41 @@ def snk10(spark, d):
     return K.replace_rows(*_old_new(spark, d), ["entity"])
 
 
+def _merge_table(spark, d, label):
+    """The old rows as a merge-on-read table, and the new rows in two halves."""
+    old, new = _old_new(spark, d)
+    return MT.create(old, scratch(spark, label), ["entity"]), [new.where(F.col("entity") % 2 == i) for i in (0, 1)]
+
+
+@query("snk04_merge_on_read", f"WITH {OLDNEW_SQL} SELECT coalesce(n.entity, o.entity) AS entity, coalesce(n.a, o.a) AS a, coalesce(n.b, o.b) AS b FROM o FULL JOIN n ON o.entity = n.entity")
+def snk04_table(spark, d):
+    t, halves = _merge_table(spark, d, "snk04")
+    for h in halves:
+        t.apply(h, M.UPDATE)
+    return t.read()
+
+
+@query("snk10_merge_on_read", f"WITH {OLDNEW_SQL} SELECT * FROM n UNION ALL SELECT * FROM o WHERE entity NOT IN (SELECT entity FROM n)")
+def snk10_table(spark, d):
+    t, halves = _merge_table(spark, d, "snk10")
+    for h in halves:
+        t.apply(h, M.REPLACE)
+    t.compact(commits=1)
+    return t.read()
+
+
+@query("snk05_merge_on_read", f"""WITH {OLDNEW_SQL} SELECT n.entity, n.a, coalesce(n.b, o.b) AS b FROM n LEFT JOIN o USING (entity) WHERE n.entity % 5 <> 0
+  UNION ALL SELECT * FROM o WHERE entity NOT IN (SELECT entity FROM n) and entity % 5 <> 0""")
+def snk05_table(spark, d):
+    """Replaced rows carry one column over: a replacement whose other field is updated from what was stored; every fifth entity is removed."""
+    t, halves = _merge_table(spark, d, "snk05")
+    stored = t.read(columns=["b"])
+    for h in halves:
+        t.apply(K.carry_over(h, stored, ["entity"], ["b"]), M.REPLACE)
+    t.apply(t.read(columns=["entity"]).where("entity % 5 = 0"), M.REMOVE)
+    return t.read()
+
+
 @query("snk07_changed_documents", f"WITH {OLDNEW_SQL}, m AS (SELECT coalesce(n.entity, o.entity) AS entity, coalesce(n.a, o.a) AS a, coalesce(n.b, o.b) AS b FROM o FULL JOIN n ON o.entity = n.entity) SELECT cast(m.entity as varchar) AS key FROM m LEFT JOIN o ON o.entity = m.entity WHERE o.entity is null or o.a <> m.a or o.b <> m.b")
 def snk07(spark, d):
     old, new = _old_new(spark, d)
