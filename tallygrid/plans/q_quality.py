@@ -3,11 +3,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallygrid.operators import findings as FD
 from tallygrid.operators import quality as Q
 from tallygrid.operators import rank as T
 from tallygrid.operators import reconcile as RC
 from tallygrid.plans import bindings as B
 from tallygrid.plans.registry import query, table
+from tallygrid.session import scratch
 from tallygrid.sources import payloads as P
 
 LIMITS = {"min_revenue": 50000.0, "min_revenue_income": 50000.0, "income_factor": 0.5, "max_shares": 300.0}
@@ -122,6 +124,33 @@ def flt27b(spark, d):
     return Q.strict_entities(c, Q.worst(all_issues(spark, d), c))
 
 
+def kept_findings(spark, d, label):
+    """A findings table of the inputs as they were before the cash flow of every hundredth company was restated, brought up to today's."""
+    from dataclasses import replace
+    filers = table(spark, d, "customer").where("c_mktsegment <> 'FURNITURE'").select(F.col("c_custkey").alias("entity"))
+    now = inputs(spark, d, shared=True)
+    before = replace(now, years=now.years.withColumn("revenue", F.when(F.col("entity") % 100 == 7, F.col("revenue") * 5).otherwise(F.col("revenue"))))
+    t = FD.create(spark, scratch(spark, label))
+    FD.refresh(t, before, filers)
+    return t, FD.refresh(t, now, filers)
+
+
+@query("dq16_kept_findings", f"{ALL_SQL} SELECT rule, severity, count(*) AS n, count(DISTINCT entity) AS entities FROM issues GROUP BY 1, 2")
+def dq16_kept(spark, d):
+    t, _ = kept_findings(spark, d, "dq16")
+    return FD.issues(t).groupBy("rule", "severity").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("entity").alias("entities"))
+
+
+@query("agg26_kept_status", f"{ALL_SQL}, {WORST_SQL} SELECT * FROM wst")
+def agg26_kept(spark, d):
+    return FD.status(kept_findings(spark, d, "agg26")[0])
+
+
+@query("flt27_kept_visible", f"{ALL_SQL}, {WORST_SQL} SELECT entity, count(*) AS n FROM issues JOIN wst USING (entity) WHERE severity <> 'info' and status in ('warn', 'error') GROUP BY 1")
+def flt27_kept(spark, d):
+    return FD.visible(kept_findings(spark, d, "flt27")[0]).groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- reconciliation ------------------------------------------------------------------------------------------------
 
 RECON_SQL = """raw AS (SELECT o_custkey AS entity, year(o_orderdate) AS y, quarter(o_orderdate) AS qn, cast(round(o_totalprice) as bigint) AS v, o_orderstatus AS s FROM orders),
