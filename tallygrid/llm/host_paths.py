@@ -28,7 +28,9 @@ from tallygrid.llm import common as C
 from tallygrid.session import materialise, small_side
 
 # Comments, declarations and tags; quoted attribute values may hold '>'. A tag cut off at the end of the page counts as one.
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|</[^>]*>""", re.S)
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|</[^>]*>|<[a-zA-Z][^>]*>""", re.S)
+#: A tag whose quote never closes ends at the next '>'.
+LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noframes".split())
@@ -62,13 +64,53 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): _html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(text)}
 
 
+class Paths:
+    """Tag-class paths of one page as numbers of (path above, name); their texts are made only where they are voted for."""
+
+    def __init__(self):
+        self.steps: list[tuple[int, str]] = [(-1, "")]
+        self.number: dict[tuple[int, str], int] = {}
+        self.texts: dict[str, int] = {}
+
+    def below(self, path: int, name: str) -> int:
+        n = self.number.setdefault((path, name), len(self.steps))
+        if n == len(self.steps):
+            self.steps.append((path, name))
+        return n
+
+    def text(self, path: int) -> str:
+        names, at = [], path
+        while at > 0:
+            at, name = self.steps[at]
+            names.append(name)
+        text = "".join(f">{n}" for n in reversed(names))
+        self.texts[text] = path
+        return text
+
+    def find(self, text: str) -> int | None:
+        """Number of a path; those that were made into text are known."""
+        if text not in self.texts:
+            return next((p for p in range(1, len(self.steps)) if self.text(p) == text), None)
+        return self.texts[text]
+
+
 class Node:
-    __slots__ = ("tag", "path", "out", "parent", "in_link", "main", "mark", "times")
+    """An element. ``block``, ``box``, ``lead``: the nearest block, container, and article or main, itself included, so that no search has to
+    pass the elements between; ``depth``: elements around it."""
+    __slots__ = ("tag", "paths", "number", "out", "parent", "in_link", "main", "mark", "times", "block", "box", "lead", "depth")
 
-    def __init__(self, tag: str, path: str, out: bool, parent: Node | None, in_link: bool, main: bool, times: float = 0.0):
-        self.tag, self.path, self.out, self.parent, self.in_link, self.main = tag, path, out, parent, in_link, main
+    def __init__(self, tag: str, paths: Paths, number: int, out: bool, parent: Node | None, in_link: bool, main: bool, times: float = 0.0):
+        self.tag, self.paths, self.number, self.out, self.parent, self.in_link, self.main = tag, paths, number, out, parent, in_link, main
         self.times = times                                      # above 0: marked, but may stay
         self.mark: Node | None = self if times else parent.mark if parent else None
+        self.block: Node = self if tag in BLOCK or parent is None else parent.block
+        self.box: Node | None = self if tag in CONTAINERS else parent.box if parent else None
+        self.lead: Node | None = self if tag in ("article", "main") else parent.lead if parent else None
+        self.depth: int = parent.depth + 1 if parent else 0
+
+    @property
+    def path(self) -> str:
+        return self.paths.text(self.number)
 
 
 def _words(name: str) -> list[str]:
@@ -118,10 +160,7 @@ def _unmarked(parts: list[tuple[Node, str]]) -> list[tuple[Node, str]]:
         n = len(piece.strip())
         if n and not node.in_link:
             leads[mark] = leads.get(mark, False) or node.main and _within_lead(node, mark)
-            block = node
-            while block.tag and block.tag not in BLOCK:
-                block = block.parent
-            if block is not mark or mark.tag == "form" or mark.times == OF_WRAPPER:
+            if node.block is not mark or mark.tag == "form" or mark.times == OF_WRAPPER:
                 text[mark] += n
     stays: dict[Node, Node | None] = {}                         # a wrapper, and the marked element around it
 
@@ -159,18 +198,30 @@ def _unmarked(parts: list[tuple[Node, str]]) -> list[tuple[Node, str]]:
 
 
 def _within_lead(node: Node, mark: Node | None) -> bool:
-    """Is there an article or main around the node, below the mark?"""
-    while node is not mark and node is not None:
-        if node.tag in ("article", "main"):
-            return True
-        node = node.parent
-    return False
+    """Is there an article or main around the node, below the mark? Readers' talk comes in articles too, so below its mark only a main counts."""
+    lead = node.lead
+    if mark is None:
+        return lead is not None
+    if mark.times == NEVER:
+        while lead is not None and lead.depth > mark.depth and lead.tag != "main":
+            lead = lead.parent.lead
+    return lead is not None and lead.depth > mark.depth
 
 
 def parse(page: str) -> list[tuple[Node, str]]:
     """(element, text) in page order; the empty text stands for a break between blocks. Parts left out have no text."""
-    root = Node("", "", False, None, False, False)
-    now, out, at = root, [], 0
+    paths = Paths()
+    root = Node("", paths, 0, False, None, False, False)
+    now, out = root, []
+    opened: dict[str, int] = {}                                 # open elements of each tag
+
+    def leave(to: Node) -> Node:
+        """End the open elements below ``to``."""
+        node = now
+        while node is not to:
+            opened[node.tag] -= 1
+            node = node.parent
+        return to
 
     def put(text: str) -> None:
         if text and not now.out:
@@ -186,65 +237,69 @@ def parse(page: str) -> list[tuple[Node, str]]:
             put(page[position:m.start()])
         position = m.end()
         if m[2] is None:
-            continue
+            m = LOOSE.match(page, m.start())
+            if m is None:
+                continue
         tag = m[2].lower()
         if tag in BLOCK:
             out.append((now, ""))
         if m[1]:
-            node = now
+            node = now if opened.get(tag) else root
             while node is not root and node.tag != tag:
                 if node.tag in ("td", "th", "table", "article", "body") and tag not in ("table", "article", "body", "html", "main", "section", "div", "tr", "tbody", "thead"):
                     node = root                                 # a stray end tag inside
                     break
                 node = node.parent
             if node is not root:
-                now = node.parent
+                now = leave(node.parent)
             continue
         while now is not root and tag in CLOSED_BY.get(now.tag, ()):
-            now = now.parent
+            now = leave(now.parent)
         if tag in CLOSED_BY and tag != "p":                     # an open li, td... further up ends too
-            node = now
+            node = now.block
             while node is not root and node.tag not in ("ul", "ol", "dl", "table", "div", "body", "article", "section"):
                 if tag in CLOSED_BY.get(node.tag, ()):
-                    now = node.parent
+                    now = leave(node.parent)
                     break
-                node = node.parent
+                node = node.parent.block
         elif tag in BLOCK and tag != "br":                      # an open p ends under unclosed inline tags as well
-            node = now
-            while node is not root and node.tag not in BLOCK:
-                node = node.parent
+            node = now.block
             if node.tag == "p" and tag in CLOSED_BY["p"]:
-                now = node.parent
+                now = leave(node.parent)
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
             continue
         a = _attributes(m[3]) if m[3] else {}
         name = tag + "".join("." + DIGITS.sub("#", c) for c in a.get("class", "").split())
-        node = Node(tag, f"{now.path}>{name}" if tag in BLOCK else now.path, now.out or _left_out(tag, a, now), now, now.in_link or tag == "a", now.main or tag in ("article", "main"), _marked(tag, a, now) if a or tag == "form" else 0.0)
+        node = Node(tag, paths, paths.below(now.number, name) if tag in BLOCK else now.number, now.out or _left_out(tag, a, now), now, now.in_link or tag == "a", now.main or tag in ("article", "main"), _marked(tag, a, now) if a or tag == "form" else 0.0)
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, position)
             position = end.end() if end else len(page)
             continue
         now = node
+        opened[tag] = opened.get(tag, 0) + 1
     return _unmarked(out)
 
 
 def scores(parts: list[tuple[Node, str]]) -> dict[str, tuple[float, int]]:
-    """Score of each container path of a page, and where it first stands.
+    """Score of each container path of a page, and where it first stands; paths under a twentieth of the best have no say and are left out.
 
-    A block's text counts in full for its nearest container, by half for the next one up, and so on."""
-    found: dict[str, list[float]] = {}
+    A block's text counts in full for its nearest container, by half for the next one up, and so on while that is
+    more than a millionth of a character."""
+    found: dict[int, list[float]] = {}
+    paths = parts[0][0].paths if parts else None
     for i, (node, text) in enumerate(parts):
         n = len(text.strip())
         if not n:
             continue
         weight = -1.0 * n if node.in_link else float(n)
-        while node is not None and node.tag:
-            if node.tag in CONTAINERS:
-                s = found.setdefault(node.path, [0.0, i])
-                s[0] += weight * (1.5 if node.tag in ("article", "main") else 1.0)
-                weight /= 2
-            node = node.parent
-    return {p: (s, int(i)) for p, (s, i) in found.items() if s > 0}
+        box = node.box
+        while box is not None and abs(weight) > 1e-6:
+            s = found.setdefault(box.number, [0.0, i])
+            s[0] += weight * (1.5 if box.tag in ("article", "main") else 1.0)
+            weight /= 2
+            box = box.parent.box
+    top = max((s for s, _ in found.values()), default=0.0)
+    return {paths.text(p): (s, int(i)) for p, (s, i) in found.items() if s > 0 and s >= LEAST_SHARE * top}
 
 
 def text_under(parts: list[tuple[Node, str]], path: str | None, common: frozenset[str] | None = None) -> str:
@@ -262,10 +317,11 @@ def text_under(parts: list[tuple[Node, str]], path: str | None, common: frozense
     beyond: set[Node] = set()                                   # around the outermost article or main
     seen: set[Node] = set()
     lead = False
+    number = parts[0][0].paths.find(path) if parts else None
     for node, _ in parts:
         while node is not None and node not in seen:
             seen.add(node)
-            if node.path == path and node.tag in CONTAINERS:
+            if node.number == number and node.tag in CONTAINERS:
                 up = [node]
                 while up[-1].parent is not None:
                     up.append(up[-1].parent)
@@ -279,30 +335,35 @@ def text_under(parts: list[tuple[Node, str]], path: str | None, common: frozense
     top_of: dict[Node, tuple[Node, Node | None]] = {}           # the branch a node is on, and what it branches from
 
     def branch(node: Node) -> tuple[Node, Node | None]:
-        known = top_of.get(node)
-        if known is None:
+        climbed = []
+        while node not in top_of:
+            climbed.append(node)
             if node in whole or node in levels or node in page or node in beyond or node.parent is None:
-                known = (node, None)
-            else:
-                top, level = branch(node.parent)
+                top_of[node] = (node, None)
+                break
+            node = node.parent
+        known = top_of[node]
+        for node in reversed(climbed):
+            if node not in top_of:
+                top, level = known
                 if level is None and top not in whole:
                     # inline elements and the loose text around them are one block
                     known = (node, top) if node.tag in BLOCK else (top, top)
-                else:
-                    known = (top, level)
-            top_of[node] = known
+                top_of[node] = known
         return known
 
     total: dict[Node, int] = {}
     boxes: dict[Node, bool] = {}
     others: dict[Node, bool] = {}
     titled = False
+    noted: set[Node] = set()
     for node, text in parts:
         n = len(text.strip())
         if n:
             top, level = branch(node)
             total[top] = total.get(top, 0) + (-n if node.in_link else n)
-            while True:
+            while node not in noted:
+                noted.add(node)
                 boxes[top] = boxes.get(top, False) or node.tag in CONTAINERS
                 others[top] = others.get(top, False) or node.tag in ("article", "main")
                 titled = titled or node.tag == "h1" and (top in whole or level in levels)
@@ -369,9 +430,9 @@ def extract(pages: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.when(host != "", host).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
     counted = materialise(votes(rows), "votes")
-    # paths of a host whose votes come to a twentieth of its best, best first: a handful
-    top = counted.groupBy("host").agg(F.max("votes").alias("best"))
-    good = counted.join(small_side(top, C.BROADCAST_BYTES), "host").where(F.col("votes") >= F.col("best") * LEAST_SHARE)
+    # paths with a twentieth of all votes of a host, best first: twenty at most, however many its pages and class names are
+    top = counted.groupBy("host").agg(F.sum("votes").alias("all"))
+    good = counted.join(small_side(top, C.BROADCAST_BYTES), "host").where(F.col("votes") >= F.col("all") * LEAST_SHARE)
     ranked = good.groupBy("host").agg(F.sort_array(F.collect_list(F.struct((-F.col("votes")).alias("v"), "path"))).alias("w")).select("host", F.col("w.path").alias("winners"), F.expr("filter(w, x -> 5 * x.v <= w[0].v).path").alias("common"))
     ranked = materialise(ranked, "winners")
     joined = rows.join(small_side(ranked, C.BROADCAST_BYTES), "host", "left").select("page_id", "url", "html", "winners", "common")

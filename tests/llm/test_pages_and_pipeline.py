@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import duckdb
 import pytest
@@ -104,6 +105,52 @@ def test_host_votes_decide(spark):
     assert H.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+@pytest.mark.parametrize("tag, n", [("<b>", 100_000), ("<div>", 100_000), ("<div class=a{}>", 20_000), ("<ul><li>", 50_000), ("<p><b>", 50_000), ("<article>", 50_000), ("<div class=comment>", 5_000)])
+def test_deep_and_unclosed_markup(tag, n):
+    page = "<body><div>Before. " + "".join(tag.replace("{}", str(i)) for i in range(n)) + "after</div></i></body>"
+    begin = time.process_time()
+    text = H.best_text(page, [])
+    assert "after" in text or "Before." in text
+    assert time.process_time() - begin < 20                     # a slow machine's bound for work in proportion
+
+
+def test_deep_markup_costs_in_proportion():
+    def seconds(n):
+        page = "<article>Before. " + "x<b>" * n + "after" + "</i>" * n
+        begin = time.process_time()
+        assert H.best_text(page, []) == "Before. " + "x" * n + "after"
+        return time.process_time() - begin
+
+    assert seconds(40_000) < 16 * max(seconds(10_000), 0.05)
+
+
+@pytest.mark.parametrize("n", [3, 12, 100])
+def test_comments_are_never_the_story(n):
+    story = "The story of the day has two sentences. This is the second of them, and it is somewhat longer. " * 6
+    talk = "".join(f"<article class=comment-body><p>Reader {i} says a good deal about all of this, at length and more than once. {'Really so. ' * 60}</p></article>" for i in range(n))
+    page = f"<body><div class=entry><p>{story}</p></div><div id=comments>{talk}</div></body>"
+    assert H.best_text(page, []) == story.strip()
+
+
+def test_a_quote_that_never_closes_ends_at_the_tag():
+    assert H.best_text('<body><div><p>One <a title="x>link</a> and two.</p></div></body>', []) == "One link and two."
+
+
+def test_winners_of_a_host_are_bounded(spark, monkeypatch):
+    """Class names that differ on every page: each page has its own path, the host's winners stay few, and the texts are whole."""
+    body = "A plain text of the page that is long enough to be taken for what it is. "
+    name = lambda i: "".join("abcdefghij"[int(c)] for c in f"{i:05d}")
+    rows = [(i, f"http://one.example/{i}", f"<body><div class={name(i)}>{'<div>' * 4}<p>{body}{i}</p>{'</div>' * 5}</body>") for i in range(3000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    kept = []
+    write = H.materialise
+    monkeypatch.setattr(H, "materialise", lambda df, label: kept.append((label, write(df, label))) or kept[-1][1])
+    found = {r["page_id"]: r["text"] for r in H.extract(pages).collect()}
+    assert found == {i: f"{body}{i}" for i, _, _ in rows}
+    winners = dict(kept)["winners"].collect()
+    assert sum(len(r["winners"]) for r in winners) <= 20
+
+
 def test_pipeline_stages(spark, tmp_path):
     docs = spark.read.parquet(f"{D}/documents.parquet")
     steps = []
@@ -143,7 +190,7 @@ def test_pipeline_on_odd_and_empty_tables(spark, tmp_path):
 
 def test_registered_queries():
     q = E.queries()
-    assert {re.match(r"op(\d+)_", n)[1] for n in q if n.startswith("op")} == {str(i) for i in range(1, 11)} and "pipeline" in q
+    assert {re.match(r"op(\d+)_", n)[1] for n in q if n.startswith("op")} == {str(i) for i in range(1, 14)} and "pipeline" in q
 
 
 @pytest.mark.parametrize("name", ["op6_column_suffix_dedup", "op8_bloom_line_dedup", "op10_token_window_dedup"])
