@@ -145,3 +145,26 @@ def leaks(docs, items, similarity=0.8):
                     out.add((i, item))
                     break
     return sorted(out)
+
+
+def similar(docs, least=0.8):
+    """{id: smallest id reachable} over pairs whose sets of five-word shingles have this Jaccard similarity."""
+    sets = []
+    for i, t in docs:
+        w = words((t or "").translate(LOW))
+        sets.append((i, frozenset(tuple(w[j:j + 5]) for j in range(max(1, len(w) - 4))) if w else frozenset()))
+    up = list(range(len(sets)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+    for a, (_, s) in enumerate(sets):
+        for b in range(a):
+            t = sets[b][1]
+            if s == t or min(len(s), len(t)) >= least * max(len(s), len(t)) and len(s & t) / len(s | t) >= least:
+                up[find(a)] = find(b)
+    low = {}
+    for a, (i, _) in enumerate(sets):
+        low[find(a)] = min(i, low.get(find(a), i))
+    return {i: low[find(a)] for a, (i, _) in enumerate(sets)}

@@ -4,7 +4,7 @@ import time
 
 import duckdb
 import pytest
-from brute import leaks, lines, near, sha
+from brute import leaks, lines, sha, similar
 
 import __spark_entry__ as E
 import corpus_pipeline
@@ -166,7 +166,7 @@ def test_pipeline_stages(spark, tmp_path):
     kept = {r[0] for r in quality.select("doc_id").collect()}
     assert len(kept & bad) <= 0.1 * len(bad) and len(kept & good) >= 0.97 * len(good)
     assert sorted((r[0], sha(r[1]), r[2]) for r in line.select("doc_id", "text", "n_chars").collect()) == sorted((r[0], r[3], n) for r, n in zip(lines(b, keep_first=True), [len(t) for _, t in sorted((x[0], x[1]) for x in line.select("doc_id", "text").collect())]))
-    assert sorted(r[0] for r in copies.select("doc_id").collect()) == sorted({r[2] for r in near(c)})
+    assert sorted(r[0] for r in copies.select("doc_id").collect()) == sorted(set(similar(c).values()))
     items = [tuple(r) for r in spark.read.parquet(f"{D}/benchmark.parquet").select("item_id", "text").collect()]
     assert sorted(r[0] for r in clean.select("doc_id").collect()) == sorted({i for i, _ in d} - {i for i, _ in leaks(d, items)})
     assert tokens.count() == len(e) and tokens.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
