@@ -5,8 +5,8 @@ returns token digests). A stage works on all rows that its predecessor kept.
 
 1. quality: documents whose score stays under the threshold go; trees are fitted on the labels of ``sf_dir``.
 2. lines: of a line whose key is found in ten documents or more, only the first occurrence stays; n_chars follows the text.
-3. near copies: one document of each SimHash component (two bits, as in query 3) stays, that of the smallest doc_id; copies
-   further apart stay too, README has their share.
+3. near copies: documents whose five-word shingles have a Jaccard similarity of 0.8 or more are linked, candidates being found by
+   wide SimHash; one document of each component stays, that of the smallest doc_id.
 4. benchmark: documents that hold a window similar to a benchmark item go.
 5. tokens: byte-level BPE, encoded and decoded; digests of both.
 """
@@ -16,7 +16,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrid.llm import bpe_index, common, decontaminate, line_bloom, quality_trees, simhash_pivot
+from tallygrid.llm import bpe_index, common, decontaminate, line_bloom, quality_trees, simhash_similar
 from tallygrid.session import materialise
 
 
@@ -30,7 +30,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash_pivot.keep_one(docs)
+    return simhash_similar.keep_one(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
