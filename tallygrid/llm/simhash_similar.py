@@ -214,11 +214,20 @@ def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = materialise(links(distinct, distinct.count()), "wide-links")
     sure = found.where("sure").select("a", "b")
     joined = materialise(components(sure), "sure")
-    open_ = found.where("not sure")
+    open_ = materialise(across(found.where("not sure").select("a", "b"), joined), "open")
+    # each node's smallest partner first: copies of one text mostly join through it, and the pairs among them need no comparison
+    first = materialise(open_.groupBy("a").agg(F.min("b").alias("b")), "first")
+    edges = materialise(sure.unionByName(confirmed(first, docs)), "confirmed")
+    joined = materialise(components(edges), "joined")
+    rest = materialise(across(open_.join(first, ["a", "b"], "left_anti"), joined), "rest")
+    return distinct, components(edges.unionByName(confirmed(rest, docs))) if rest.head(1) else joined
+
+
+def across(pairs: DataFrame, joined: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends lie in different components of (node, root)."""
     for c in "ab":
-        open_ = open_.join(joined.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left")
-    open_ = materialise(open_.where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b"), "open")
-    return distinct, components(sure.unionByName(confirmed(open_, docs)))
+        pairs = pairs.join(joined.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left")
+    return pairs.where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
