@@ -15,6 +15,7 @@ from tallygrid.sources import files as FI
 from tallygrid.sources import merge_table as M
 from tallygrid.sources import payloads as P
 from tallygrid.sources import sinks as SK
+from tallygrid.sources.json_arrays import read_large_arrays
 from tallygrid.sources.merge_table import MergeTable as MT
 from tallygrid.streaming import incremental as I
 
@@ -44,6 +45,19 @@ def src01(spark, d):
     return FI.read_json_array(spark, path, "k bigint, n int, part bigint, price double", array_per_line=True)
 
 
+@query("src01_split_arrays", f"WITH {LINES2_SQL} SELECT l_orderkey AS k, n, part, price, flag FROM l2")
+def src01b(spark, d):
+    """Indented arrays of many records a file: a file holds 20,000 orders, so there are more files as the table grows."""
+    path = scratch(spark, "arrays")
+    x = line_docs(spark, d).select(F.floor(F.col("l_orderkey") / 20_000).alias("f"), "l_orderkey", F.inline("rows"))
+    doc = F.to_json(F.struct(F.col("l_orderkey").alias("k"), "n", "part", "price", F.concat("flag", F.lit("\\\"},{")).alias("flag")), {"pretty": "true"})
+    body = x.select("f", F.lit(1).alias("o"), F.concat(F.lit(",\n"), doc).alias("value"))
+    frame = x.select("f").distinct().select("f", F.explode(F.map_from_arrays(F.array(F.lit(0), F.lit(2)), F.array(F.lit("[null"), F.lit("]")))).alias("o", "value"))
+    body.union(frame).repartition("f").sortWithinPartitions("f", "o").select("f", "value").write.partitionBy("f").text(path)
+    good, _bad = read_large_arrays(spark, path, "k bigint, n int, part bigint, price double, flag string")
+    return good.select("k", "n", "part", "price", F.expr("substring(flag, 1, length(flag) - 5)").alias("flag"))
+
+
 def _jsonl(spark, d):
     path = scratch(spark, "jsonl")
     body = F.to_json(F.struct(F.col("event_id").alias("id"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("ticker"), "value"))
