@@ -12,7 +12,7 @@ probabilities thus sum to one over the vocabulary and the unseen symbol, as thos
 
 Spark's part: texts are packed into blocks with the block's distinct words and written once; each block sends its distinct words and their
 counts (not its tokens) to the buckets of a word hash, which add up and send the corpus counts back. Broadcast are the tokens of large share with their parameters, at most 1 / SHARE of them and ``CLASSES``.
-The driver holds sums for these symbols only. Start values come from a few rounds on at most about ``WARM`` tokens of whole texts (smallest hashes of their ids); the rounds after that use all training texts.
+The driver holds sums for these symbols only. Start values are the base distribution, tilted at random for each state; every round uses all training texts.
 
 Rows are scored one by one, repeated ids and texts too; a null text is empty and holds the end alone. A null id has no checksum: it is training text. Without any training
 text nothing is known, and every token is the unseen symbol. An empty table gives an empty result. Other columns play no part.
@@ -35,7 +35,7 @@ from tallygrid.llm.spelling import checksums
 from tallygrid.session import materialise
 
 MODULO, HELD = 7, 2
-STATES, ROUNDS, WARM_ROUNDS, WARM, SEED = 8, 3, 20, 200_000, 11
+STATES, ROUNDS, SEED = 8, 6, 11
 SHARE, CLASSES = 1 / 65_536, 1_024
 #: Weight of the base distribution in every state, in tokens; weight of even transitions.
 PRIOR, EVEN = 200.0, 1.0
@@ -190,14 +190,13 @@ def count_words(packed: DataFrame, total: int, buckets: int) -> DataFrame:
     return materialise(dealt.mapInArrow(job, "block long, got binary, word string, class int, c long"), "counts")
 
 
-def code(packed: DataFrame, counted: DataFrame, total: int, distinct: int, own: list[str], class_sums: np.ndarray, warm: float) -> DataFrame:
-    """(docs, symbols, sums, warm): blocks with their tokens as symbols. ``sums``: known tokens, base score and constant part of the score of each text; ``warm``: the
-    symbols of texts for the start values. Symbols: words of large share, then classes, then the unseen one."""
+def code(packed: DataFrame, counted: DataFrame, total: int, distinct: int, own: list[str], class_sums: np.ndarray) -> DataFrame:
+    """(docs, symbols, sums): blocks with their tokens as symbols. ``sums``: known tokens, base score and constant part of the score of each text. Symbols: words of large share, then classes, then the unseen one."""
     m = len(own)
     floor = math.log10(total + distinct + 1)
     back = counted.where("block is not null").groupBy("block").agg(F.collect_list("got").alias("got"))   # as much as the block has asked
     shipped = packed.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(own)})
-    schema = "docs binary, symbols binary, sums binary, warm binary"
+    schema = "docs binary, symbols binary, sums binary"
 
     def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = shipped.value
@@ -214,27 +213,16 @@ def code(packed: DataFrame, counted: DataFrame, total: int, distinct: int, own:
                 base = np.log10(count + 1.0) - floor
                 # a rarer word is drawn within its class by its share of the class
                 extra = np.where((symbol >= m) & (count > 0), np.log10(count + 1.0) - np.log10(class_sums[np.clip(symbol - m, 0, CLASSES - 1)]), 0.0)
-                ids, sizes, null, out = C.unpack(batch.column(0)[i].as_buffer(), "i8", "i8", "?", "?")
+                sizes = C.unpack(batch.column(0)[i].as_buffer(), "i8", "i8", "?", "?")[1]
                 tokens = from_planes(batch.column(1)[i].as_buffer())
                 starts = np.cumsum(sizes) - sizes
                 sums = [np.add.reduceat(x[tokens], starts) for x in ((count > 0).astype(np.int64), base, extra)]
-                symbols = symbol.astype(np.uint32)[tokens]
-                chosen = ~out & (sampled(ids) < warm)
-                some = C.pack(sizes[chosen]), planes(symbols[np.repeat(chosen, sizes)])
-                sample = pa.array([len(some[0]).to_bytes(4, "little") + some[0] + some[1] if chosen.any() else None], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([planes(symbols)]), pa.array([C.pack(*sums)]), sample], names=["docs", "symbols", "sums", "warm"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([planes(symbol.astype(np.uint32)[tokens])]), pa.array([C.pack(*sums)])], names=["docs", "symbols", "sums"])
 
     blocks = packed.where("docs is not null").select("block", "docs", "tokens", "words")
     return materialise(blocks.join(back.hint("merge"), "block").select("docs", "tokens", "words", "got").mapInArrow(turn, schema), "coded")
 
 
-def sampled(ids: np.ndarray) -> np.ndarray:
-    """A number in [0, 1) for each id."""
-    x = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(SEED)
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (x >> np.uint64(11)).astype(np.float64) / (1 << 53)
-
-
 # ---- recursions ----------------------------------------------------------------------------------------------------
 
 class Model:
@@ -373,33 +361,19 @@ def renew(start: np.ndarray, move: np.ndarray, draw: np.ndarray, base: np.ndarra
     return Model(start, move, np.vstack([seen, np.full(k, base[-1])]))
 
 
-def first_model(base: np.ndarray, samples: list[tuple[np.ndarray, np.ndarray]], states: int) -> Model:
-    """Start values: states that tend to stay, draws varied at random, a few rounds on the sample."""
+def first_model(base: np.ndarray, _texts: list, states: int) -> Model:
+    """Start values, the same whatever texts there are: states that tend to stay, draws of the base tilted at random."""
     rng = np.random.default_rng(SEED)
     draw = base[:, None] * rng.gamma(2.0, 0.5, (len(base), states))
     draw[-1] = base[-1]
     draw[:-1] *= (1 - base[-1]) / np.maximum(draw[:-1].sum(0), 1e-300)
-    model = Model(np.full(states, 1 / states), np.full((states, states), 0.2 / states) + 0.8 * np.eye(states), draw)
-    if samples:
-        sizes, symbols = (np.concatenate(x) for x in zip(*samples))
-        for _ in range(WARM_ROUNDS):
-            model = renew(*expect(model, symbols, sizes)[:3], base)
-    return model
+    return Model(np.full(states, 1 / states), np.full((states, states), 0.2 / states) + 0.8 * np.eye(states), draw)
 
 
 def train(coded: DataFrame, base: np.ndarray, total: int, states: int, rounds: int) -> Model:
-    """Baum-Welch over all training texts."""
+    """Baum-Welch, every round over all training texts."""
     spark = coded.sparkSession
-    samples, left = [], WARM
-    if total:
-        for r in coded.where("warm is not null").select("warm").toLocalIterator():            # about WARM tokens in all
-            cut = 4 + int.from_bytes(r[0][:4], "little")
-            sizes, symbols = C.unpack(r[0][4:cut], "i8")[0], from_planes(r[0][cut:])
-            n = int(np.searchsorted(np.cumsum(sizes), left, "right"))
-            if n:
-                samples.append((sizes[:n], symbols[:sizes[:n].sum()]))
-                left -= int(sizes[:n].sum())
-    model = first_model(base, samples, states)
+    model = first_model(base, [], states)
     names = [f"s{j}" for j in range(states)]
     for _ in range(rounds if total else 0):
         shipped = spark.sparkContext.broadcast((model.start, model.move, model.draw))
@@ -441,7 +415,7 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", modulo: int
         np.subtract.at(class_sums, class_of(*C.string_parts(pa.array(own, pa.string()))), own_counts + 1)
     all_ = total + distinct + 1
     base = np.concatenate([own_counts + 1.0, class_sums, [1.0]]) / all_
-    coded = code(packed, counted, total, distinct, own, np.maximum(class_sums, 1), min(1.0, WARM / max(total, 1)))
+    coded = code(packed, counted, total, distinct, own, np.maximum(class_sums, 1))
     model = train(coded, base, total, states, rounds)
     shipped = spark.sparkContext.broadcast((model.start, model.move, model.draw))
 

@@ -130,6 +130,26 @@ def test_training_raises_the_likelihood_and_draws_sum_to_one():
         assert np.allclose(model.draw.sum(0), 1) and np.allclose(model.move.sum(1), 1) and math.isclose(model.start.sum(), 1) and (model.draw[-1] == base[-1]).all()
 
 
+def test_the_model_is_that_of_plain_rounds_over_all_training_texts(spark, monkeypatch):
+    seen, train = {}, hidden_markov.train
+
+    def keep(coded, base, total, states, rounds):
+        seen.update(coded=coded, base=base, states=states, model=train(coded, base, total, states, rounds))
+        return seen["model"]
+
+    monkeypatch.setattr(hidden_markov, "train", keep)
+    hidden_markov.scores(spark.read.parquet(f"{D}/documents.parquet"), rounds=2)
+    sizes, texts = [], []
+    for docs, symbols in seen["coded"].select("docs", "symbols").collect():
+        _, n, _, out = hidden_markov.C.unpack(docs, "i8", "i8", "?", "?")
+        sizes.append(n[~out])
+        texts.append(hidden_markov.from_planes(symbols)[np.repeat(~out, n)])
+    want = hidden_markov.first_model(seen["base"], [], seen["states"])
+    for _ in range(2):
+        want = hidden_markov.renew(*hidden_markov.expect(want, np.concatenate(texts), np.concatenate(sizes))[:3], seen["base"])
+    assert all(np.allclose(getattr(seen["model"], k), getattr(want, k), rtol=1e-4, atol=1e-6) for k in ("start", "move", "draw"))
+
+
 def test_scores_without_training_text_and_of_nothing(spark):
     held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2][:3]
     rows = got(hidden_markov.scores(spark.createDataFrame([(i, "some words") for i in held], "doc_id long, text string")))
