@@ -22,12 +22,12 @@ INPUT_SQL = f"""{B.LINES_SQL}, {B.statements_sql()}, {B.statements_sql('year', '
   co AS (SELECT c_custkey AS entity, c_acctbal * 10 AS market_cap, price, price_date FROM customer LEFT JOIN (SELECT entity, arg_max(close, month) AS price, max(month) AS price_date FROM px GROUP BY 1) z ON z.entity = c_custkey)"""
 
 
-def inputs(spark, d, shared=False):
-    """Rule inputs; ``shared`` writes what several rules read (statements and years) once."""
+def inputs(spark, d, shared=False, pair=None):
+    """Rule inputs; ``shared`` writes what several rules read (statements, years and companies) once, ``pair`` are statements already written."""
     from pyspark.sql import Window as W
 
     from tallygrid.session import materialise
-    st, sty = B.statement_pair(spark, d) if shared else (B.statements(spark, d), B.statements(spark, d, "year"))
+    st, sty = pair or B.statement_pair(spark, d) if shared else (B.statements(spark, d), B.statements(spark, d, "year"))
     c = F.col
     y = sty.select("entity", F.year("period").alias("fy"), F.make_date(F.year("period"), F.lit(1), F.lit(1)).alias("start"), c("period").alias("end"), c("ocf").alias("revenue"), (c("cogs") * 8).alias("cogs"),
                    "gross_profit", c("rd").alias("op_income"), "net_income", (c("shares") - 100).alias("shares"), c("cash").alias("assets"), c("lt_debt").alias("equity"))
@@ -42,7 +42,7 @@ def inputs(spark, d, shared=False):
         "entity", F.to_date(F.trunc("period", "quarter")).alias("start"), c("period").alias("end"), F.when(filed_, c("ocf") * F.when(F.year("period") % 2 == 0, 1.1).otherwise(1.0)).alias("revenue"), c("sga").alias("net_income"))
     px = B.prices(spark, d).groupBy("entity").agg(F.max_by("close", "month").alias("price"), F.max("month").alias("price_date"))
     co = table(spark, d, "customer").select(c("c_custkey").alias("entity"), (c("c_acctbal") * 10).alias("market_cap")).join(px, "entity", "left")
-    return Q.Inputs(co, materialise(y, "years") if shared else y, q, F.lit(TODAY).cast("date"), LIMITS)
+    return Q.Inputs(materialise(co, "companies") if shared else co, materialise(y, "years") if shared else y, q, F.lit(TODAY).cast("date"), LIMITS)
 
 
 PRES_SQL = """pres AS (SELECT entity, unnest(list_filter([case when nr = 0 then {'s': 'error', 'r': 'missing_annual_revenue'} end, case when rv < 0 then {'s': 'warn', 'r': 'negative_annual_revenue'} end, case when rv = 0 then {'s': 'info', 'r': 'zero_annual_revenue'} end,
@@ -82,10 +82,10 @@ ALL_SQL = f"WITH {INPUT_SQL}, {PRES_SQL}, issues AS (" + " UNION ALL ".join(
     f"SELECT * FROM ({s})" + ("" if n == "dq07_price_history" else _FILED_ONLY) for n, s in RULE_SQL.items()) + ")"
 
 
-def all_issues(spark, d, written=False):
+def all_issues(spark, d, written=False, pair=None):
     """Issues of all rules; ``written`` keeps them as a table for jobs that read them twice."""
     filers = table(spark, d, "customer").where("c_mktsegment <> 'FURNITURE'").select(F.col("c_custkey").alias("entity"))
-    out = Q.run_rules(inputs(spark, d, shared=True), filed_only=filers)
+    out = Q.run_rules(inputs(spark, d, shared=True, pair=pair), filed_only=filers)
     if not written:
         return out
     from tallygrid.session import materialise

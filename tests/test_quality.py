@@ -97,3 +97,24 @@ def test_rules_together_equal_rules_alone(spark, rows):
         alone = Q.run_rules(inp, Q.RULES, filed.distinct() if filed is not None else None)
         assert rows(Q.run_rules(inp, filed_only=filed)) == rows(alone)
     assert {r.rule for r in alone.collect()} >= {"yoy_revenue_jump", "q_sum_vs_annual", "eps_mismatch", "shares_out_of_range", "stale_filings", "no_price_history"} - {"no_price_history"}
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_travel_in_partitions_of_bounded_size(spark, monkeypatch):
+    """Statements and prices: the table's size gives the number of partitions; the aggregates after it need no exchange of their own."""
+    from tallygrid.plans import bindings as B
+    d = "/root/testdata/sf0.001"
+    frames = lambda: [B.quarter_sums(spark, d), B.prices(spark, d)]
+    want = [sorted(map(tuple, x.collect())) for x in frames()]
+    monkeypatch.setattr(B, "PARTITION_BYTES", 20_000)
+    for x, w in zip(frames(), want):
+        assert B.partitions(spark, d) > 3 and x.rdd.getNumPartitions() == B.partitions(spark, d)
+        assert sorted(map(tuple, x.collect())) == w
+
+
+def test_companies_of_shared_inputs_are_written_once(spark):
+    from tallygrid.plans import q_quality
+    assert "Join" not in plan(q_quality.inputs(spark, "/root/testdata/sf0.001", shared=True).companies)
