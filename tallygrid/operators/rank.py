@@ -24,17 +24,18 @@ LIABILITY_LINES = ["Long Term Debt", "Current Debt", "Accounts Payable", "Accrue
 
 
 def line_dimension(spark, lines=None) -> DataFrame:
-    rows = [(item, cat, i) for i, (item, cat) in enumerate(lines or ASSET_LINES)]
-    return spark.createDataFrame(rows, "item string, category string, ord int")
+    """Made in the plan: Catalyst knows its size, so that cells are not exchanged by their few items to meet it."""
+    rows = [F.struct(F.lit(item).alias("item"), F.lit(cat).alias("category"), F.lit(i).alias("ord")) for i, (item, cat) in enumerate(lines or ASSET_LINES)]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def _newest_sheet(cells: DataFrame, entity: str, positive: bool) -> DataFrame:
     """Cells of the newest sheet that has a candidate: quarterly before annual, then by period.
     ``cells``: entity, grid ('quarterly' | 'annual'), period, item, val."""
     use = cells.where(F.col("val").isNotNull() & ((F.col("val") > 0) | F.lit(not positive)))
-    rank = F.struct((F.col("grid") == "quarterly").alias("q"), "period")
-    best = use.groupBy(entity).agg(F.max(rank).alias("b")).select(entity, "b.*")
-    return use.withColumn("q", F.col("grid") == "quarterly").join(best, [entity, "q", "period"]).drop("q")
+    w = W.partitionBy(entity).orderBy((F.col("grid") == "quarterly").desc(), F.col("period").desc())
+    # a group limit: each task forwards one sheet of an entity
+    return use.withColumn("_r", F.rank().over(w)).where((F.col("_r") == 1) & F.col("period").isNotNull()).drop("_r")
 
 
 def top_assets(cells: DataFrame, dim: DataFrame, entity: str = "entity", n: int | None = None) -> DataFrame:

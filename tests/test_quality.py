@@ -103,6 +103,16 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_newest_sheet_is_a_group_limit(spark):
+    """TOP-01, 02: cells are neither joined with their own aggregate nor sorted for it; a sheet without a period is no sheet."""
+    rows = [("a", "annual", "2024-12-31", "Net PPE", 7.0), ("a", "quarterly", "2024-03-31", "Net PPE", 5.0), ("a", "quarterly", "2024-06-30", "Net PPE", 6.0),
+            ("a", "quarterly", "2024-06-30", "Inventory", 6.0), ("b", "annual", "2023-12-31", "Inventory", 1.0), ("b", "annual", None, "Inventory", 2.0), ("c", "quarterly", None, "Inventory", 2.0)]
+    df = spark.createDataFrame(rows, "entity string, grid string, period string, item string, val double").repartition(3)
+    x = T.top_assets(df, T.line_dimension(spark))
+    assert sorted((r["entity"], r["item"], r["val"], r["rn"]) for r in x.collect()) == [("a", "Inventory", 6.0, 2), ("a", "Net PPE", 6.0, 1), ("b", "Inventory", 1.0, 1)]
+    assert "WindowGroupLimit" in plan(x) and "SortMergeJoin" not in plan(x)
+
+
 def test_lines_travel_in_partitions_of_bounded_size(spark, monkeypatch):
     """Statements and prices: the table's size gives the number of partitions; the aggregates after it need no exchange of their own."""
     from tallygrid.plans import bindings as B
