@@ -117,10 +117,19 @@ def labelled(df: DataFrame, grid: str, key: str = "entity") -> DataFrame:
     return named.unpivot([key, "period"], named.columns[2:], "item", "val").where(F.col("val").isNotNull()).select(key, F.lit(grid).alias("grid"), "period", "item", "val")
 
 
+def statement_lists(years: DataFrame, quarters: DataFrame, key: str = "entity") -> DataFrame:
+    """The long rows of ``labelled`` in one array per company, newest first: statements are exchanged as wide rows and turned into long ones inside the array."""
+    cols = [c for c in STATEMENT_METRICS if c in years.columns and c in quarters.columns]
+    wide = lambda df, grid: df.select(key, F.struct(F.lit(grid).alias("grid"), "period", *cols).alias("s"))
+    cells = lambda s: F.array(*[F.struct(s["grid"].alias("grid"), s["period"].alias("period"), F.lit(M.METRIC_LABELS[STATEMENT_METRICS[c]]).alias("item"), s[c].alias("val")) for c in cols])
+    x = wide(years, "annual").unionByName(wide(quarters, "quarterly")).groupBy(key).agg(F.collect_list("s").alias("s"))
+    x = x.select(key, F.reverse(F.sort_array(F.flatten(F.transform("s", lambda s: F.filter(cells(s), lambda c: c["val"].isNotNull()))))).alias("statements"))
+    return x.where(F.size("statements") > 0)
+
+
 def company_page(rows: DataFrame, quarters: DataFrame, years: DataFrame, issues: DataFrame, quotes: DataFrame, key: str = "entity") -> DataFrame:
     """RM-04: one row per company: identity and ratios, statements (annual and quarterly, newest first), validation
     issues, quote currency with its rate. The arrays are bounded by the calendar and the rules."""
-    long = labelled(years, "annual", key).unionByName(labelled(quarters, "quarterly", key))
-    s = long.groupBy(key).agg(F.reverse(F.sort_array(F.collect_list(F.struct("grid", "period", "item", "val")))).alias("statements"))
+    s = statement_lists(years, quarters, key)
     i = issues.groupBy(key, "severity", "rule").agg(F.count(F.lit(1)).alias("n")).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("severity", "rule", "n"))).alias("issues"))
     return rows.join(s, key, "left").join(i, key, "left").join(quotes, key, "left")

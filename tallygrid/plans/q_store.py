@@ -27,10 +27,13 @@ LINES2_SQL = """l2 AS (SELECT l_orderkey, l_linenumber AS n, l_partkey AS part,
 def line_docs(spark, d):
     """One document per line with an array of two records, built inside the row: nested payloads
     whose size does not depend on how many lines an order has."""
+    return table(spark, d, "lineitem").select("l_orderkey", line_records().alias("rows"))
+
+
+def line_records():
     c = F.col
     rec = lambda n, part, price, flag: F.struct(n.cast("int").alias("n"), part.alias("part"), price.alias("price"), flag.alias("flag"), F.to_date("l_shipdate").cast("string").alias("ship"))
-    rows = F.array(rec(c("l_linenumber"), c("l_partkey"), c("l_extendedprice"), c("l_returnflag")), rec(c("l_linenumber") + 100, c("l_suppkey"), c("l_quantity"), c("l_linestatus")))
-    return table(spark, d, "lineitem").select("l_orderkey", rows.alias("rows"))
+    return F.array(rec(c("l_linenumber"), c("l_partkey"), c("l_extendedprice"), c("l_returnflag")), rec(c("l_linenumber") + 100, c("l_suppkey"), c("l_quantity"), c("l_linestatus")))
 
 
 # --- sources ---------------------------------------------------------------------------------------------------
@@ -47,13 +50,16 @@ def src01(spark, d):
 
 @query("src01_split_arrays", f"WITH {LINES2_SQL} SELECT l_orderkey AS k, n, part, price, flag FROM l2")
 def src01b(spark, d):
-    """Indented arrays of many records a file: a file holds 20,000 orders, so there are more files as the table grows."""
+    """Indented arrays of many records a file: a file holds 20,000 orders, so there are more files as the table grows.
+    Lines are dealt to files as they are, their text is made where it is written."""
     path = scratch(spark, "arrays")
-    x = line_docs(spark, d).select(F.floor(F.col("l_orderkey") / 20_000).alias("f"), "l_orderkey", F.inline("rows"))
-    doc = F.to_json(F.struct(F.col("l_orderkey").alias("k"), "n", "part", "price", F.concat("flag", F.lit("\\\"},{")).alias("flag")), {"pretty": "true"})
-    body = x.select("f", F.lit(1).alias("o"), F.concat(F.lit(",\n"), doc).alias("value"))
-    frame = x.select("f").distinct().select("f", F.explode(F.map_from_arrays(F.array(F.lit(0), F.lit(2)), F.array(F.lit("[null"), F.lit("]")))).alias("o", "value"))
-    body.union(frame).repartition("f").sortWithinPartitions("f", "o").select("f", "value").write.partitionBy("f").text(path)
+    x = table(spark, d, "lineitem").select(F.floor(F.col("l_orderkey") / 20_000).alias("f"), F.lit(1).alias("o"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_returnflag", "l_linestatus", "l_shipdate")
+    frame = x.select("f").distinct().select("f", F.explode(F.array(F.lit(0), F.lit(2))).alias("o"))
+    x = x.unionByName(frame, allowMissingColumns=True).repartition(B.partitions(spark, d), "f").sortWithinPartitions("f", "o")
+    doc = lambda r: F.concat(F.lit(",\n"), F.to_json(F.struct(F.col("l_orderkey").alias("k"), r["n"].alias("n"), r["part"].alias("part"), r["price"].alias("price"), F.concat(r["flag"], F.lit("\\\"},{")).alias("flag")), {"pretty": "true"}))
+    rec = line_records()
+    value = F.when(F.col("o") == 0, "[null").when(F.col("o") == 2, "]").otherwise(F.concat_ws("\n", doc(rec[0]), doc(rec[1])))
+    x.select("f", value.alias("value")).write.partitionBy("f").text(path)
     good, _bad = read_large_arrays(spark, path, "k bigint, n int, part bigint, price double, flag string")
     return good.select("k", "n", "part", "price", F.expr("substring(flag, 1, length(flag) - 5)").alias("flag"))
 
@@ -391,7 +397,7 @@ def _company_pages(spark, d):
     rows = RM.ticker_rows(analyzed(spark, d), status(spark, d), QG.snapshot_frame(spark, d, pair=(q, y))).select("entity", "name", "status", "market_cap")
     cny = F.col("c_nationkey") % 3 == 0
     quotes = table(spark, d, "customer").select(F.col("c_custkey").alias("entity"), F.when(cny, "CNY").otherwise("USD").alias("quote_ccy"), F.when(cny, 7.1).otherwise(1.0).alias("quote_fx"))
-    return company_page(rows, q, y, all_issues(spark, d), quotes)
+    return company_page(rows, q, y, all_issues(spark, d, pair=(q, y)), quotes)
 
 
 @query("rm04_company_statements", f"""WITH {B.LINES_SQL}, {B.statements_sql()}, {B.statements_sql('year', 'sty')}, {QUOTE_SQL}, w AS (SELECT entity, 'annual' AS grid, period, {_label_cases()} FROM sty UNION ALL SELECT entity, 'quarterly', period, {_label_cases()} FROM st)

@@ -128,3 +128,23 @@ def test_lines_travel_in_partitions_of_bounded_size(spark, monkeypatch):
 def test_companies_of_shared_inputs_are_written_once(spark):
     from tallygrid.plans import q_quality
     assert "Join" not in plan(q_quality.inputs(spark, "/root/testdata/sf0.001", shared=True).companies)
+
+
+def test_company_page_keeps_statements_wide_until_its_arrays(spark, monkeypatch):
+    """RM-04: one pair of statements for page and issues; the arrays hold exactly the labelled rows."""
+    from tallygrid.plans import bindings as B
+    from tallygrid.plans import company, q_store
+    calls, pair = [], B.statement_pair
+    monkeypatch.setattr(B, "statement_pair", lambda *a: calls.append(1) or pair(*a))
+    d = "/root/testdata/sf0.001"
+    page = q_store._company_pages(spark, d)
+    assert len(calls) == 1
+    q, y = pair(spark, d)
+    assert "Expand" not in plan(company.statement_lists(y, q))
+    key = lambda r: (r["entity"], r["grid"], str(r["period"]), r["item"], r["val"])
+    found = page.select("entity", "statements").collect()
+    want = sorted(key(r) for r in company.labelled(y, "annual").unionByName(company.labelled(q, "quarterly")).collect())
+    assert sorted((r["entity"], *key({**s.asDict(), "entity": 0})[1:]) for r in found for s in r["statements"] or []) == want
+    for r in found:
+        newest = [(s["grid"], s["period"], s["item"]) for s in r["statements"] or []]
+        assert newest == sorted(newest, reverse=True) and r["statements"] != []
