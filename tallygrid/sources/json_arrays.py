@@ -167,12 +167,14 @@ def array_elements(spark: SparkSession, path: str) -> DataFrame:
     rows = text.withColumn("at", F.monotonically_increasing_id()).join(small_side(state.select("file", "block", "start", "depth")), ["file", "block"], "left")
     rows = rows.select("file", "block", "value", known("start").alias("start"), known("depth").alias("depth"), "at")
     rows = rows.repartition("file", "block").sortWithinPartitions("file", "block", "at") if "BroadcastHashJoin" not in plan_of(rows) else rows
-    found = materialise(rows.drop("at").mapInArrow(cut, "file string, block long, kind int, document string"), "elements")
-    fragments = found.where(F.col("kind").isin(HEAD, TAIL))
+    found = rows.drop("at").mapInArrow(cut, "file string, block long, kind int, document string")
+    # whole elements stay in the tasks that cut them; what needs other splits is little and written once
+    rest = materialise(found.where(F.col("kind") != ELEMENT), "fragments")
+    fragments = rest.where(F.col("kind").isin(HEAD, TAIL))
     number = F.sum((F.col("kind") == TAIL).cast("long")).over(Window.partitionBy("file").orderBy("block", "kind"))
     whole = fragments.withColumn("number", number).groupBy("file", "number").agg(F.sort_array(F.collect_list(F.struct("block", "kind", "document"))).alias("parts"))
     whole = whole.select("file", F.array_join("parts.document", "").alias("document"))
-    wrong = unclosed.union(found.where(F.col("kind") == BAD).select("file")).distinct()
+    wrong = small_side(materialise(unclosed.union(rest.where(F.col("kind") == BAD).select("file")).distinct(), "wrong"))
     good = found.where(F.col("kind") == ELEMENT).select("file", "document").union(whole)
     return good.join(wrong, "file", "left_anti").union(wrong.select("file", F.lit(None).cast("string")))
 

@@ -203,3 +203,16 @@ def test_json_lines_with_a_broken_first_line(spark, rows, tmp_path):
     assert sorted(r[0] for r in rows(bad, "document")) == sorted(['{"entity":"a","v', '{"entity":"a",', "{", forms["one"], forms["list"]])
     shards = FI.read_shards(spark, str(tmp_path), "entity string, v int, fetched_at string")
     assert [r[0] for r in rows(shards, "entity")] == ["b", "c", "d", "e", "f", "i", "j", "o"]
+
+
+def test_elements_of_large_arrays_are_not_written(spark, tmp_path, monkeypatch):
+    """SRC-01: only what needs other splits is written between passes, and rows are not exchanged to leave broken files out."""
+    from tallygrid.sources import json_arrays as J
+    kept, write = {}, J.materialise
+    monkeypatch.setattr(J, "materialise", lambda df, label: kept.setdefault(label, write(df, label)))
+    (tmp_path / "a.json").write_text("[" + ",\n".join(f'{{"k": {i}}}' for i in range(500)) + "]")
+    (tmp_path / "b.json").write_text('[{"k": 900}')
+    good, bad = J.read_large_arrays(spark, str(tmp_path), "k long")
+    assert sorted(r["k"] for r in good.collect()) == list(range(500)) and bad.count() == 1
+    assert "elements" not in kept and kept["fragments"].count() < 5
+    assert "SortMergeJoin" not in good._jdf.queryExecution().executedPlan().toString()
