@@ -3,8 +3,12 @@
 Spark's text source cuts a file into splits at ``}``, so neither indentation nor line ends matter and a split never
 starts within an escape. A first pass notes for each split how its quotes and brackets change the state, once for a
 start outside a string and once for a start inside; prefix sums over the splits of a file give the state in which each
-one really starts. The second pass cuts elements at the commas of depth one. An element that lies in several splits
-leaves a fragment in each, and fragments are put together by a window over the file's splits.
+one really starts. The last pass cuts elements at the commas of depth one. An element that lies in several splits
+leaves a fragment in each, and fragments are put together by a window over the file's splits. The first pass keeps both
+ends of every split, which hold its fragments; only a split whose ends hold no comma of depth one, or which touches depth zero
+between them, is read once more for them.
+
+What Arrow carries is counted in numbers: a split travels as a hash, and only the marks among its bytes are looked at.
 
 A file is an array when it starts with ``[``, its brackets and quotes close, and only white space surrounds it. Other files
 give no rows and are reported as a whole (a null document); empty and blank files are not reported. An element that cannot be parsed is reported alone, null
@@ -12,19 +16,26 @@ elements give no row, an empty array gives none. An element must fit into one ta
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallygrid.session import materialise, small_side
 
-ELEMENT, HEAD, TAIL, BAD = 0, 1, 2, 3
+ELEMENT, HEAD, TAIL, BAD, UNKNOWN = 0, 1, 2, 3, 4
 BLANK = b" \t\r\n"
-OPEN, CLOSE, COMMA = 0, 1, 2
+QUOTE, OPEN, CLOSE, COMMA, BRACE, UNBRACE = 1, 2, 3, 4, 5, 6
+MARKS = bytes({34: QUOTE, 91: OPEN, 93: CLOSE, 44: COMMA, 123: BRACE, 125: UNBRACE}.get(i, 0) for i in range(256))
+#: Bytes kept of a split's start, and half of those kept of its end.
+END = 1 << 14
+#: Bytes of elements that travel as one row.
+ROW_BYTES = 1 << 20
+FAR = 1 << 60
 
 
 def pieces(spark: SparkSession, path: str) -> DataFrame:
@@ -33,163 +44,301 @@ def pieces(spark: SparkSession, path: str) -> DataFrame:
 
 
 def joined(values: pa.Array) -> bytes:
-    return b"".join(bytes(v.as_buffer()) + b"}" for v in values)
-
-
-def quotes(a: np.ndarray) -> np.ndarray:
-    """Where a quote starts or ends a string: not after an odd run of backslashes."""
-    q = a == 34
-    slash = a == 92
-    if slash.any():
-        edge = np.flatnonzero(np.diff(np.concatenate(([0], slash.view(np.int8), [0]))))
-        first, end = edge[::2], edge[1::2]
+    values = values.cast(pa.large_binary())
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values), pa.scalar(b"}", pa.large_binary()))[0].as_py() + b"}"
+
+
+def symbols(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Places and kinds of quotes, brackets and commas. A quote after an odd run of backslashes is none."""
+    kind = np.frombuffer(bytearray(raw).translate(MARKS), np.uint8)
+    if b"\\" in raw:
+        a = np.frombuffer(raw, np.uint8)
+        slash = np.flatnonzero(a == 92)
+        edge = np.flatnonzero(np.diff(slash) != 1)
+        first, end = slash[np.append(0, edge + 1)], slash[np.append(edge, len(slash) - 1)] + 1
         escaped = end[(end - first) % 2 == 1]
-        q[escaped[escaped < len(a)]] = False
-    return q
+        escaped = escaped[escaped < len(a)]
+        kind[escaped[a[escaped] == 34]] = 0
+    at = np.flatnonzero(kind)
+    return at, kind[at]
 
 
-def steps(a: np.ndarray) -> np.ndarray:
+def steps(kind: np.ndarray) -> np.ndarray:
     """+1 where a bracket opens, -1 where one closes."""
-    return ((a == 91) | (a == 123)).astype(np.int8) - ((a == 93) | (a == 125)).astype(np.int8)
+    return ((kind == OPEN) | (kind == BRACE)).astype(np.int8) - ((kind == CLOSE) | (kind == UNBRACE)).astype(np.int8)
 
 
-def split_runs(batch: pa.RecordBatch) -> Iterator[tuple[str, int, pa.RecordBatch]]:
-    """The rows of each split in a batch (a task may read several splits)."""
-    file, block = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy()
-    first = np.flatnonzero(np.append(True, (file[1:] != file[:-1]) | (block[1:] != block[:-1]))) if batch.num_rows else []
-    for lo, hi in zip(first, [*first[1:], batch.num_rows]):
-        yield file[lo], int(block[lo]), batch.slice(lo, hi - lo)
+def within(kind: np.ndarray, parity: int) -> np.ndarray:
+    """1 inside a string."""
+    return (np.cumsum(kind == QUOTE, dtype=np.uint8) + np.uint8(parity)) & 1
 
 
-def split_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(file, block, parity, outside, inside): number of quotes and depth gained by a split that starts outside or inside a string."""
-    at, parity, gain = None, 0, [0, 0]
+def runs(batch: pa.RecordBatch, columns: int) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """The rows of each split in a batch (a task may read several splits); the first columns tell splits apart."""
+    change = np.zeros(batch.num_rows, bool)
+    change[:1] = True
+    for i in range(columns):
+        x = batch.column(i).to_numpy()
+        change[1:] |= x[1:] != x[:-1]
+    first = np.flatnonzero(change).tolist()
+    for lo, hi in zip(first, [*first[1:], batch.num_rows]):
+        yield tuple(batch.column(i)[lo].as_py() for i in range(columns)), batch.slice(lo, hi - lo)
+
+
+class Totals:
+    """What a split adds to the state, for a start outside and one inside a string, with both its ends."""
+
+    def __init__(self, end: int) -> None:
+        self.end, self.size, self.parity, self.gain = end, 0, 0, (0, 0)
+        self.head, self.tail, self.low = b"", [], (FAR, FAR)
+
+    def feed(self, raw: bytes) -> None:
+        at, kind = symbols(raw)
+        inside, step = within(kind, self.parity), steps(kind)
+        depth = [g + np.cumsum(np.where(inside == side, step, 0), dtype=np.int64) for side, g in enumerate(self.gain)]
+        lowest = lambda lo, hi: tuple(int(x[lo:hi].min(initial=FAR)) for x in depth)
+        # the end of the split so far: from a piece's start on, so that no escape is cut
+        cut = 0 if len(raw) <= 2 * self.end else raw.find(b"}", len(raw) - 2 * self.end) + 1
+        middle, last = np.searchsorted(at, [max(0, self.end - self.size), cut]).tolist()
+        if cut:
+            self.drop(len(self.tail))
+            self.lower(lowest(middle, last))
+        before = (self.parity + int((kind[:last] == QUOTE).sum())) & 1, *(int(x[last - 1]) if last else g for x, g in zip(depth, self.gain))
+        self.tail.append((raw[cut:], before, lowest(max(middle, last), None)))
+        while sum(len(x[0]) for x in self.tail[1:]) >= 2 * self.end:
+            self.drop(1)
+        self.head += raw[:max(0, self.end - self.size)]
+        self.size += len(raw)
+        self.parity = (self.parity + int((kind == QUOTE).sum())) & 1
+        self.gain = tuple(int(x[-1]) if len(x) else g for x, g in zip(depth, self.gain))
+
+    def lower(self, low: tuple[int, int]) -> None:
+        self.low = tuple(map(min, self.low, low))
+
+    def drop(self, n: int) -> None:
+        for x in self.tail[:n]:
+            self.lower(x[2])
+        del self.tail[:n]
+
+    def row(self) -> tuple:
+        """Totals; the start of the split, unless its end holds it whole; the end with the state before it; the least depth between."""
+        tail = b"".join(x[0] for x in self.tail)
+        rest = self.size - len(tail)
+        return self.parity, *self.gain, self.head[:rest] if rest else None, tail, *self.tail[0][1], *self.low
+
+
+TOTALS = "name long, block long, parity long, outside long, inside long, head binary, tail binary, tail_parity long, tail_outside long, tail_inside long, low_outside long, low_inside long"
+
+
+def split_totals(end: int = END) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of ``TOTALS``, one for each split of (name, block, value)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, totals = None, None
+        form = [(x.split()[0], pa.binary() if x.endswith("binary") else pa.int64()) for x in TOTALS.split(", ")]
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([x], t) for x, (_, t) in zip((*at, *totals.row()), form)], names=[n for n, _ in form])
+        for batch in batches:
+            for split, rows in runs(batch, 2):
+                if at != split:
+                    if at:
+                        yield row()
+                    at, totals = split, Totals(end)
+                totals.feed(joined(rows.column(2)))
+        if at:
+            yield row()
+    return run
+
+
+def strings(values: list[bytes]) -> pa.Array:
+    return pa.array([x.decode(errors="replace") for x in values], pa.string())
+
+
+class Cutter:
+    """Cuts a split that starts in a given state: whole elements, fragments at its ends, and text that no array may hold."""
+
+    def __init__(self, parity: int, depth: int, last: int | None = None) -> None:
+        self.parity, self.depth, self.last, self.kept, self.inside, self.marks = parity, depth, last, [], depth > 0, 0
+
+    def feed(self, raw: bytes) -> Iterator[tuple[int, pa.Array]]:
+        at, kind = symbols(raw)
+        bare = within(kind, self.parity) == 0
+        after = self.depth + np.cumsum(np.where(bare, steps(kind), 0), dtype=np.int64)
+        mark = bare & ((after == 1) & ((kind == COMMA) | (kind == OPEN)) | (after == 0) & (kind == CLOSE))
+        where, what = at[mark], kind[mark]
+        other = np.append(np.flatnonzero(what != COMMA), len(what))
+        self.marks += len(what)
+        flat, lo, i = None, 0, 0
+        while i < len(what):
+            self.kept.append(raw[lo:where[i]])
+            text, self.kept, lo, to = b"".join(self.kept), [], int(where[i]) + 1, int(what[i])
+            if to == OPEN:
+                if text.strip(BLANK) not in (b"", b"\xef\xbb\xbf") or self.last is not None or self.inside:
+                    yield BAD, strings([b""])
+            elif self.last in (OPEN, COMMA):
+                if not (self.last == OPEN and to == CLOSE and not text.strip(BLANK)):
+                    yield ELEMENT, strings([text.strip(BLANK)])
+            elif self.last is None and self.inside:
+                yield HEAD, strings([text])
+            else:
+                yield BAD, strings([b""])
+            self.last, i = to, i + 1
+            # commas in a row hold whole elements
+            stop = int(other[np.searchsorted(other, i)])
+            if to != CLOSE and stop > i:
+                if flat is None:
+                    flat = bytearray(raw)
+                    np.frombuffer(flat, np.uint8)[where] = 32
+                yield ELEMENT, between(flat, where[i - 1:stop])
+                self.last, lo, i = COMMA, int(where[stop - 1]) + 1, stop
+        self.kept.append(raw[lo:])
+        self.parity = (self.parity + int((kind == QUOTE).sum())) & 1
+        self.depth = int(after[-1]) if len(after) else self.depth
+
+    def finish(self) -> Iterator[tuple[int, pa.Array]]:
+        """The text after a split's last mark."""
+        text = b"".join(self.kept)
+        if self.last in (OPEN, COMMA):
+            yield TAIL, strings([text])
+        elif self.last is None and self.inside:
+            yield HEAD, strings([text])
+        elif text.strip(BLANK) not in (b"", b"}"):              # pieces carry their separator, the file's last one has none
+            yield BAD, strings([b""])
 
-    def row() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([at[0]]), pa.array([at[1]], pa.int64()), *(pa.array([x], pa.int64()) for x in (parity, *gain))], names=["file", "block", "parity", "outside", "inside"])
 
-    for batch in batches:
-        for file, block, rows in split_runs(batch):
-            if at != (file, block):
-                if at:
-                    yield row()
-                at, parity, gain = (file, block), 0, [0, 0]
-            a = np.frombuffer(joined(rows.column(2)), np.uint8)
-            q = quotes(a)
-            within, step = (np.cumsum(q) + parity) & 1, steps(a)
-            whole, hidden = int(step.sum()), int(step[within == 1].sum())
-            gain = [gain[0] + whole - hidden, gain[1] + hidden]
-            parity = (parity + int(q.sum())) & 1
-    if at:
-        yield row()
+def between(flat: bytearray, marks: np.ndarray) -> pa.Array:
+    """The texts between marks (which are blanks by now), without white space around them."""
+    x = pa.StringArray.from_buffers(len(marks) - 1, pa.py_buffer(marks.astype(np.int32)), pa.py_buffer(flat))
+    try:
+        x.validate(full=True)
+    except pa.ArrowInvalid:
+        x = strings([bytes(flat[a:b]) for a, b in zip(marks.tolist(), marks[1:].tolist())])
+    return pc.ascii_trim(x, BLANK.decode())
 
 
 def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(file, block, kind, document): elements within a split, fragments at its ends, and text that no array may hold."""
-    at, parity, depth, last, kept, inside = None, 0, 0, None, [], False
-    out: list[tuple] = []
-
-    def emit(kind: int, text: bytes) -> None:
-        out.append((*at, kind, text.decode(errors="replace")))
-
-    def finish() -> None:
-        """The text after a split's last mark."""
-        text = b"".join(kept)
-        if last in (OPEN, COMMA):
-            emit(TAIL, text)
-        elif last is None and inside:
-            emit(HEAD, text)
-        elif text.strip(BLANK) not in (b"", b"}"):              # pieces carry their separator, the file's last one has none
-            emit(BAD, b"")
+    """(split, kind, documents) of (split, start, depth, value)."""
+    at, cutter, out = None, None, []
 
     def batch_of() -> pa.RecordBatch:
-        cols = list(zip(*out))
+        keys, kinds, lists = [], [], [0]
+        for split, kind, texts in out:
+            size = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+            part = (np.cumsum(size, dtype=np.int64) - size) // ROW_BYTES
+            ends = [*(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+            keys += [split] * len(ends)
+            kinds += [kind] * len(ends)
+            lists += [lists[-1] + e for e in ends]
+        texts = pa.ListArray.from_arrays(pa.array(lists, pa.int32()), pa.concat_arrays([x for _, _, x in out]))
         out.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int32(), pa.string()))], names=["file", "block", "kind", "document"])
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(kinds, pa.int32()), texts], names=["split", "kind", "documents"])
 
     for batch in batches:
-        for file, block, rows in split_runs(batch):
-            if at != (file, block):
-                if at:
-                    finish()
-                at, kept, last = (file, block), [], None
-                parity, depth = rows.column(3)[0].as_py(), rows.column(4)[0].as_py()
-                inside = depth > 0
-            raw = joined(rows.column(2))
-            a = np.frombuffer(raw, np.uint8)
-            q = quotes(a)
-            bare = ((np.cumsum(q) + parity) & 1) == 0
-            parity = (parity + int(q.sum())) & 1
-            step = np.where(bare, steps(a), 0).astype(np.int64)
-            after = depth + np.cumsum(step)
-            marks = np.flatnonzero(bare & ((a == 44) & (after == 1) | (a == 91) & (after == 1) | (a == 93) & (after == 0)))
-            lo = 0
-            for i in marks.tolist():
-                kept.append(raw[lo:i])
-                text, kept, lo = b"".join(kept), [], i + 1
-                mark = COMMA if a[i] == 44 else OPEN if a[i] == 91 else CLOSE
-                if mark == OPEN:
-                    if text.strip(BLANK) not in (b"", b"\xef\xbb\xbf") or last is not None or inside:
-                        emit(BAD, b"")
-                elif last in (OPEN, COMMA):
-                    if not (last == OPEN and mark == CLOSE and not text.strip(BLANK)):
-                        emit(ELEMENT, text)
-                elif last is None and inside:
-                    emit(HEAD, text)
-                else:
-                    emit(BAD, b"")
-                last = mark
-            kept.append(raw[lo:])
-            depth = int(after[-1])
-            if out:
-                yield batch_of()
-    if at:
-        finish()
+        for (split, start, depth), rows in runs(batch, 3):
+            if at != split:
+                if at is not None:
+                    out += [(at, *x) for x in cutter.finish()]
+                at, cutter = split, Cutter(start, depth)
+            out += [(at, *x) for x in cutter.feed(joined(rows.column(3)))]
+        if out:
+            yield batch_of()
+    if at is not None:
+        out += [(at, *x) for x in cutter.finish()]
     if out:
         yield batch_of()
 
 
-def array_elements(spark: SparkSession, path: str) -> DataFrame:
-    """(file, document): the text of each element of each array file; a null document for a file that is no array."""
+def cut_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(file, block, kind, document) of what is no whole element, from the ends of splits; ``UNKNOWN`` where they do not tell."""
+    for batch in batches:
+        out = []
+        for r in batch.to_pylist():
+            cutter, found = Cutter(r["start"], r["depth"]), []
+            if r["head"] is not None:
+                found += cutter.feed(r["head"])
+                side = "inside" if r["start"] else "outside"
+                clear = cutter.last in (OPEN, COMMA) and cutter.depth > 0 and r["depth"] + r["low_" + side] > 0
+                cutter = Cutter((r["start"] + r["tail_parity"]) & 1, r["depth"] + r["tail_" + side], COMMA)
+            if r["tail"]:
+                found += cutter.feed(r["tail"])
+            found += cutter.finish()
+            if r["head"] is not None and not (clear and cutter.marks):
+                found = [(UNKNOWN, strings([b""]))]
+            out += [(r["file"], r["block"], kind, x.as_py()) for kind, texts in found if kind != ELEMENT for x in texts]
+        cols = list(zip(*out)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int32(), pa.string()))], names=["file", "block", "kind", "document"])
+
+
+def or_fail(column: str, message: str):
+    return F.when(F.col(column).isNotNull(), F.col(column)).otherwise(F.raise_error(F.lit(message)))
+
+
+def file_names(spark: SparkSession, path: str) -> DataFrame:
+    """(name, file): files by the hash that stands for them between passes; no content is read."""
+    x = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"))
+    x = x.groupBy(F.xxhash64("file").alias("name")).agg(F.min("file").alias("file"), F.max("file").alias("other"))
+    return x.select("name", F.when(F.col("file") == F.col("other"), F.col("file")).otherwise(F.raise_error(F.lit("two files with one hash"))).alias("file"))
+
+
+def cut_elements(text: DataFrame, state: DataFrame, every: bool = True) -> DataFrame:
+    """(split, kind, documents) of the pieces whose splits are in ``state`` (split, start, depth, and left where they are not wanted)."""
+    rows = text.select(F.xxhash64("file", "block").alias("split"), "value", F.monotonically_increasing_id().alias("at")).join(small_side(state), "split", "left" if every else "inner")
+    if every:
+        # a split that the first pass has not seen (Spark cut the file otherwise) is an error, never a lost row
+        known = lambda c: or_fail(c, "splits changed between two passes").alias(c)
+        rows = rows.where(F.col("left").isNull()).select("split", known("start"), known("depth"), "value", "at")
+    rows = rows.select("split", "start", "depth", "value", "at")
+    rows = rows.repartition("split").sortWithinPartitions("split", "at") if "BroadcastHashJoin" not in plan_of(rows) else rows
+    return rows.drop("at").mapInArrow(cut, "split long, kind int, documents array<string>")
+
+
+def array_elements(spark: SparkSession, path: str, end: int = END) -> tuple[DataFrame, DataFrame]:
+    """(file, documents): the texts of elements of array files, many a row; (file): files that are no array."""
     text = pieces(spark, path)
     order = Window.partitionBy("file").orderBy("block")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    totals = text.mapInArrow(split_totals, "file string, block long, parity long, outside long, inside long")
-    state = totals.withColumn("start", F.coalesce(F.sum("parity").over(before), F.lit(0)) % 2)
+    totals = materialise(text.select(F.xxhash64("file").alias("name"), "block", "value").mapInArrow(split_totals(end), TOTALS), "totals")
+    state = totals.select("name", "block", "parity", "outside", "inside").join(file_names(spark, path), "name", "left")
+    state = state.withColumn("file", or_fail("file", "files changed between two passes"))
+    state = state.withColumn("start", F.coalesce(F.sum("parity").over(before), F.lit(0)) % 2)
     state = state.withColumn("gain", F.when(F.col("start") == 0, F.col("outside")).otherwise(F.col("inside")))
-    state = materialise(state.withColumn("depth", F.coalesce(F.sum("gain").over(before), F.lit(0))), "splits")
+    state = state.withColumn("depth", F.coalesce(F.sum("gain").over(before), F.lit(0)))
+    state = materialise(state.withColumn("split", F.xxhash64("file", "block")), "splits")
+    if state.groupBy("split").count().where("count > 1").limit(1).count():
+        raise RuntimeError("two splits with one hash")
     # the last piece of a file gets a bracket too many, which closes nothing: from an even array the sum is then -1
     ends = state.groupBy("file").agg((F.sum("parity") % 2).alias("open"), F.sum("gain").alias("rest"))
     unclosed = ends.where((F.col("open") != 0) | (F.col("rest") != -1)).select("file")
 
-    # a split that the first pass has not seen (Spark cut the file otherwise) is an error, never a lost row
-    known = lambda c: F.when(F.col(c).isNotNull(), F.col(c)).otherwise(F.raise_error(F.lit("splits changed between two passes")).cast("long"))
-    rows = text.withColumn("at", F.monotonically_increasing_id()).join(small_side(state.select("file", "block", "start", "depth")), ["file", "block"], "left")
-    rows = rows.select("file", "block", "value", known("start").alias("start"), known("depth").alias("depth"), "at")
-    rows = rows.repartition("file", "block").sortWithinPartitions("file", "block", "at") if "BroadcastHashJoin" not in plan_of(rows) else rows
-    found = rows.drop("at").mapInArrow(cut, "file string, block long, kind int, document string")
-    # whole elements stay in the tasks that cut them; what needs other splits is little and written once
-    rest = materialise(found.where(F.col("kind") != ELEMENT), "fragments")
+    # what needs other splits is little and written once
+    known = totals.drop("parity", "outside", "inside").join(small_side(state.select("name", "block", "file", "start", "depth")), ["name", "block"])
+    rest = materialise(known.mapInArrow(cut_ends, "file string, block long, kind int, document string"), "fragments")
+    unknown = rest.where(F.col("kind") == UNKNOWN)
+    if unknown.limit(1).count():
+        again = materialise(state.join(unknown.select("file", "block"), ["file", "block"], "left_semi").select("file", "block", "split", "start", "depth"), "unknown")
+        found = cut_elements(text, again.select("split", "start", "depth"), every=False).where(F.col("kind") != ELEMENT)
+        found = found.join(small_side(again.select("split", "file", "block")), "split").select("file", "block", "kind", F.explode("documents").alias("document"))
+        rest = rest.where(F.col("kind") != UNKNOWN).union(materialise(found, "fragments"))
     fragments = rest.where(F.col("kind").isin(HEAD, TAIL))
     number = F.sum((F.col("kind") == TAIL).cast("long")).over(Window.partitionBy("file").orderBy("block", "kind"))
     whole = fragments.withColumn("number", number).groupBy("file", "number").agg(F.sort_array(F.collect_list(F.struct("block", "kind", "document"))).alias("parts"))
-    whole = whole.select("file", F.array_join("parts.document", "").alias("document"))
-    wrong = small_side(materialise(unclosed.union(rest.where(F.col("kind") == BAD).select("file")).distinct(), "wrong"))
-    good = found.where(F.col("kind") == ELEMENT).select("file", "document").union(whole)
-    return good.join(wrong, "file", "left_anti").union(wrong.select("file", F.lit(None).cast("string")))
+    whole = whole.select("file", F.array(F.regexp_replace(F.array_join("parts.document", ""), r"^[ \t\r\n]+|[ \t\r\n]+$", "")).alias("documents"))
+    wrong = materialise(unclosed.union(rest.where(F.col("kind") == BAD).select("file")).distinct(), "wrong")
+    state = materialise(state.join(small_side(wrong.withColumn("left", F.lit(True))), "file", "left").select("split", "file", "start", "depth", "left"), "state")
+    good = cut_elements(text, state.drop("file")).where(F.col("kind") == ELEMENT).join(small_side(state.select("split", "file")), "split").select("file", "documents")
+    return good.union(whole.join(small_side(wrong), "file", "left_anti")), wrong
 
 
 def plan_of(df: DataFrame) -> str:
     return df._jdf.queryExecution().sparkPlan().toString()
 
 
-def read_large_arrays(spark: SparkSession, path: str, schema) -> tuple[DataFrame, DataFrame]:
+def read_large_arrays(spark: SparkSession, path: str, schema, end: int = END) -> tuple[DataFrame, DataFrame]:
     """(rows with ``_file``, (file, document) of what is no row): array files of any size and layout, see above."""
     s = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
     marked = T.StructType([*s.fields, T.StructField("_corrupt_record", T.StringType())])
-    trimmed = F.regexp_replace("document", r"^[ \t\r\n]+|[ \t\r\n]+$", "")
-    x = array_elements(spark, path).select("file", trimmed.alias("document"))
-    x = x.withColumn("r", F.from_json("document", marked, {"columnNameOfCorruptRecord": "_corrupt_record"}))
-    broken = F.col("document").isNull() | (F.col("document") != "null") & (~F.col("document").startswith("{") | F.col("r._corrupt_record").isNotNull())
+    elements, wrong = array_elements(spark, path, end)
+    # parsed inside the generator: a projection would be repeated in every filter on it
+    parsed = lambda d: F.struct(d.alias("document"), F.from_json(d, marked, {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"))
+    x = elements.select("file", F.explode(F.transform("documents", parsed)).alias("e")).select("file", "e.document", "e.r")
+    broken = (F.col("document") != "null") & (~F.col("document").startswith("{") | F.col("r._corrupt_record").isNotNull())
     good = x.where(~broken & (F.col("document") != "null")).select(*[F.col("r").getField(f).alias(f) for f in s.fieldNames()], F.col("file").alias("_file"))
-    return good, x.where(broken).select("file", "document")
+    return good, x.where(broken).select("file", "document").union(wrong.select("file", F.lit(None).cast("string")))

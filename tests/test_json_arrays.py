@@ -71,3 +71,39 @@ def test_elements_longer_than_splits(spark, tmp_path, small_splits):
     path = write(tmp_path / "a.json", json.dumps([{"id": 1, "s": "x" * 25000}, {"id": 2, "s": "}" * 9000}]))
     good, _ = read_large_arrays(spark, path, SCHEMA)
     assert good.select("id", F.length("s").alias("n")).orderBy("id").collect() == [(1, 25000), (2, 9000)]
+
+
+@pytest.mark.parametrize("end, again", [(1200, False), (60, True)])
+def test_fragments_from_the_ends_of_splits(spark, tmp_path, small_splits, monkeypatch, end, again):
+    """Splits whose ends hold a comma of depth one are not read a second time for their fragments."""
+    from tallygrid.sources import json_arrays as J
+    calls, run = [], J.cut_elements
+    monkeypatch.setattr(J, "cut_elements", lambda *a, **k: calls.append(k) or run(*a, **k))
+    data = [{"id": i, "s": "a,]}" * (i % 30), "l": [{"x": i}]} for i in range(300)]
+    path = write(tmp_path / "a.json", json.dumps(data, indent=1))
+    good, bad = read_large_arrays(spark, path, SCHEMA, end=end)
+    assert sorted((r.id, r.s, r.l[0].x) for r in good.collect()) == [(d["id"], d["s"], d["id"]) for d in data]
+    assert bad.count() == 0
+    assert [k.get("every", True) for k in calls] == ([False] if again else []) + [True]
+
+
+def test_arrays_that_end_between_the_ends_of_a_split(spark, tmp_path, small_splits):
+    a = json.dumps([{"id": i} for i in range(100)])
+    write(tmp_path / "two.json", a + "\n" + a)
+    write(tmp_path / "one.json", a)
+    good, bad = read_large_arrays(spark, str(tmp_path), SCHEMA, end=40)
+    assert sorted(r.id for r in good.collect()) == list(range(100))
+    assert [(r.file.rsplit("/", 1)[-1], r.document) for r in bad.collect()] == [("two.json", None)]
+
+
+def test_elements_are_parsed_once(spark, tmp_path):
+    path = write(tmp_path / "a.json", json.dumps([{"id": 1}, {"id": 2}]))
+    good, _ = read_large_arrays(spark, path, SCHEMA)
+    plan = good._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_json(") == 1 and plan.count("Scan text") == 1
+
+
+def test_texts_that_are_no_utf8(spark, tmp_path):
+    (tmp_path / "a.json").write_bytes(b'[{"id": 1, "s": "\xff"}, {"id": 2, "s": "\xc3\xa9"},{"id": 3, "s": "\xc3"}]')
+    good, _ = read_large_arrays(spark, str(tmp_path), SCHEMA)
+    assert sorted((r.id, r.s) for r in good.collect()) == [(1, "�"), (2, "é"), (3, "�")]
