@@ -8,7 +8,7 @@ leaves a fragment in each, and fragments are put together by a window over the f
 ends of every split, which hold its fragments; only a split whose ends hold no comma of depth one, or which touches depth zero
 between them, is read once more for them.
 
-What Arrow carries is counted in numbers: a split travels as a hash, and only the marks among its bytes are looked at.
+Pieces are many and short, so what each one costs counts: it goes to Python as one string signed by its split, and only the marks among its bytes are looked at.
 
 A file is an array when it starts with ``[``, its brackets and quotes close, and only white space surrounds it. Other files
 give no rows and are reported as a whole (a null document); empty and blank files are not reported. An element that cannot be parsed is reported alone, null
@@ -16,6 +16,7 @@ elements give no row, an empty array gives none. An element must fit into one ta
 """
 from __future__ import annotations
 
+import bisect
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -43,9 +44,19 @@ def pieces(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("lineSep", "}").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
 
 
-def joined(values: pa.Array) -> bytes:
-    values = values.cast(pa.large_binary())
-    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values), pa.scalar(b"}", pa.large_binary()))[0].as_py() + b"}"
+def signed(sign, value="value"):
+    """A piece behind the sign of its split, which ends with a line: every column more is paid for with each piece that goes to Python."""
+    return F.concat(sign, F.lit("\n"), value).alias("value")
+
+
+def joined(values: pa.Array, skip: int) -> bytes:
+    """Pieces without their first bytes, each followed by its separator."""
+    n = len(values)
+    start = np.frombuffer(values.buffers()[1], np.int32)[values.offset:][:n + 1]
+    parts = np.stack([start[:-1], start[:-1] + skip], 1).ravel()
+    parts = pa.Array.from_buffers(pa.binary(), 2 * n, [None, pa.py_buffer(np.append(parts, start[-1])), values.buffers()[2]])
+    values = parts.take(pa.array(np.arange(1, 2 * n, 2))).cast(pa.large_binary())
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), values), pa.scalar(b"}", pa.large_binary()))[0].as_py() + b"}"
 
 
 def symbols(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -59,7 +70,7 @@ def symbols(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
         escaped = end[(end - first) % 2 == 1]
         escaped = escaped[escaped < len(a)]
         kind[escaped[a[escaped] == 34]] = 0
-    at = np.flatnonzero(kind)
+    at = np.flatnonzero(kind != 0)
     return at, kind[at]
 
 
@@ -73,16 +84,16 @@ def within(kind: np.ndarray, parity: int) -> np.ndarray:
     return (np.cumsum(kind == QUOTE, dtype=np.uint8) + np.uint8(parity)) & 1
 
 
-def runs(batch: pa.RecordBatch, columns: int) -> Iterator[tuple[tuple, pa.RecordBatch]]:
-    """The rows of each split in a batch (a task may read several splits); the first columns tell splits apart."""
-    change = np.zeros(batch.num_rows, bool)
-    change[:1] = True
-    for i in range(columns):
-        x = batch.column(i).to_numpy()
-        change[1:] |= x[1:] != x[:-1]
-    first = np.flatnonzero(change).tolist()
-    for lo, hi in zip(first, [*first[1:], batch.num_rows]):
-        yield tuple(batch.column(i)[lo].as_py() for i in range(columns)), batch.slice(lo, hi - lo)
+def runs(batch: pa.RecordBatch) -> Iterator[tuple[bytes, bytes]]:
+    """The sign and the text of each split in a batch of signed pieces (a task may read several splits, one after the other)."""
+    values = batch.column(0).cast(pa.binary())
+    lo = 0
+    while lo < len(values):
+        sign = values[lo].as_py().split(b"\n", 1)[0] + b"\n"
+        other = lambda i: bytes(memoryview(values[i].as_buffer())[:len(sign)]) != sign
+        hi = bisect.bisect_left(range(len(values)), True, lo + 1, key=other)
+        yield sign[:-1], joined(values.slice(lo, hi - lo), len(sign))
+        lo = hi
 
 
 class Totals:
@@ -131,18 +142,18 @@ TOTALS = "name long, block long, parity long, outside long, inside long, head bi
 
 
 def split_totals(end: int = END) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows of ``TOTALS``, one for each split of (name, block, value)."""
+    """Rows of ``TOTALS``, one for each split of pieces signed by name and block."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, totals = None, None
         form = [(x.split()[0], pa.binary() if x.endswith("binary") else pa.int64()) for x in TOTALS.split(", ")]
-        row = lambda: pa.RecordBatch.from_arrays([pa.array([x], t) for x, (_, t) in zip((*at, *totals.row()), form)], names=[n for n, _ in form])
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([x], t) for x, (_, t) in zip((*map(int, at.split()), *totals.row()), form)], names=[n for n, _ in form])
         for batch in batches:
-            for split, rows in runs(batch, 2):
+            for split, raw in runs(batch):
                 if at != split:
                     if at:
                         yield row()
                     at, totals = split, Totals(end)
-                totals.feed(joined(rows.column(2)))
+                totals.feed(raw)
         if at:
             yield row()
     return run
@@ -215,8 +226,8 @@ def between(flat: bytearray, marks: np.ndarray) -> pa.Array:
 
 
 def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(split, kind, documents) of (split, start, depth, value)."""
-    at, cutter, out = None, None, []
+    """(split, kind, documents) of pieces signed by split, start and depth."""
+    at, split, cutter, out = None, None, None, []
 
     def batch_of() -> pa.RecordBatch:
         keys, kinds, lists = [], [], [0]
@@ -232,16 +243,17 @@ def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(kinds, pa.int32()), texts], names=["split", "kind", "documents"])
 
     for batch in batches:
-        for (split, start, depth), rows in runs(batch, 3):
-            if at != split:
-                if at is not None:
-                    out += [(at, *x) for x in cutter.finish()]
-                at, cutter = split, Cutter(start, depth)
-            out += [(at, *x) for x in cutter.feed(joined(rows.column(3)))]
+        for sign, raw in runs(batch):
+            if at != sign:
+                if at:
+                    out += [(split, *x) for x in cutter.finish()]
+                at, (split, start, depth) = sign, map(int, sign.split())
+                cutter = Cutter(start, depth)
+            out += [(split, *x) for x in cutter.feed(raw)]
         if out:
             yield batch_of()
-    if at is not None:
-        out += [(at, *x) for x in cutter.finish()]
+    if at:
+        out += [(split, *x) for x in cutter.finish()]
     if out:
         yield batch_of()
 
@@ -280,14 +292,14 @@ def file_names(spark: SparkSession, path: str) -> DataFrame:
 
 def cut_elements(text: DataFrame, state: DataFrame, every: bool = True) -> DataFrame:
     """(split, kind, documents) of the pieces whose splits are in ``state`` (split, start, depth, and left where they are not wanted)."""
+    state = state.select("split", F.concat_ws(" ", "split", "start", "depth").alias("sign"), *(["left"] if every else []))
     rows = text.select(F.xxhash64("file", "block").alias("split"), "value", F.monotonically_increasing_id().alias("at")).join(small_side(state), "split", "left" if every else "inner")
     if every:
         # a split that the first pass has not seen (Spark cut the file otherwise) is an error, never a lost row
-        known = lambda c: or_fail(c, "splits changed between two passes").alias(c)
-        rows = rows.where(F.col("left").isNull()).select("split", known("start"), known("depth"), "value", "at")
-    rows = rows.select("split", "start", "depth", "value", "at")
+        rows = rows.where(F.col("left").isNull()).withColumn("sign", or_fail("sign", "splits changed between two passes"))
+    rows = rows.select("split", "at", signed("sign"))
     rows = rows.repartition("split").sortWithinPartitions("split", "at") if "BroadcastHashJoin" not in plan_of(rows) else rows
-    return rows.drop("at").mapInArrow(cut, "split long, kind int, documents array<string>")
+    return rows.select("value").mapInArrow(cut, "split long, kind int, documents array<string>")
 
 
 def array_elements(spark: SparkSession, path: str, end: int = END) -> tuple[DataFrame, DataFrame]:
@@ -295,7 +307,7 @@ def array_elements(spark: SparkSession, path: str, end: int = END) -> tuple[Data
     text = pieces(spark, path)
     order = Window.partitionBy("file").orderBy("block")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    totals = materialise(text.select(F.xxhash64("file").alias("name"), "block", "value").mapInArrow(split_totals(end), TOTALS), "totals")
+    totals = materialise(text.select(signed(F.concat_ws(" ", F.xxhash64("file"), "block"))).mapInArrow(split_totals(end), TOTALS), "totals")
     state = totals.select("name", "block", "parity", "outside", "inside").join(file_names(spark, path), "name", "left")
     state = state.withColumn("file", or_fail("file", "files changed between two passes"))
     state = state.withColumn("start", F.coalesce(F.sum("parity").over(before), F.lit(0)) % 2)
