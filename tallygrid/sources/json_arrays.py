@@ -346,11 +346,20 @@ def plan_of(df: DataFrame) -> str:
 def read_large_arrays(spark: SparkSession, path: str, schema, end: int = END) -> tuple[DataFrame, DataFrame]:
     """(rows with ``_file``, (file, document) of what is no row): array files of any size and layout, see above."""
     s = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
-    marked = T.StructType([*s.fields, T.StructField("_corrupt_record", T.StringType())])
+    corrupt, options = T.StructField("_corrupt_record", T.StringType()), {"columnNameOfCorruptRecord": "_corrupt_record"}
     elements, wrong = array_elements(spark, path, end)
-    # parsed inside the generator: a projection would be repeated in every filter on it
-    parsed = lambda d: F.struct(d.alias("document"), F.from_json(d, marked, {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"))
-    x = elements.select("file", F.explode(F.transform("documents", parsed)).alias("e")).select("file", "e.document", "e.r")
-    broken = (F.col("document") != "null") & (~F.col("document").startswith("{") | F.col("r._corrupt_record").isNotNull())
-    good = x.where(~broken & (F.col("document") != "null")).select(*[F.col("r").getField(f).alias(f) for f in s.fieldNames()], F.col("file").alias("_file"))
-    return good, x.where(broken).select("file", "document").union(wrong.select("file", F.lit(None).cast("string")))
+    # a parser for each element costs as much as its parsing: a row's elements are parsed as one array, and alone if that is not sound.
+    # Generators keep what is parsed; a projection would be repeated in every filter on it
+    array = T.StructType([T.StructField("v", T.ArrayType(s)), corrupt])
+    text = F.concat(F.lit('{"v":['), F.concat_ws(",", "documents"), F.lit("]}"))
+    parsed = F.struct("documents", F.when(F.size("documents") > 1, F.from_json(text, array, options)).alias("all"))
+    x = elements.select("file", F.explode(F.array(parsed)).alias("p")).select("file", "p.documents", "p.all")
+    sound = F.col("all").isNotNull() & F.col("all._corrupt_record").isNull() & (F.size("all.v") == F.size("documents"))
+    alone = F.transform("documents", lambda d: F.struct(d.alias("document"), F.from_json(d, T.StructType([*s.fields, corrupt]), options).alias("r")))
+    right = lambda e: e["document"].startswith("{") & e["r"]["_corrupt_record"].isNull()
+    row = lambda e: F.when(right(e), F.struct(*[e["r"][f].alias(f) for f in s.fieldNames()]))
+    good = x.select("file", F.explode(F.when(sound, F.col("all.v")).otherwise(F.transform(alone, row))).alias("r")).where(F.col("r").isNotNull())
+    good = good.select(*[F.col("r").getField(f).alias(f) for f in s.fieldNames()], F.col("file").alias("_file"))
+    broken = F.filter(alone, lambda e: (e["document"] != "null") & ~right(e))
+    bad = x.select("file", F.explode(F.when(~sound, F.transform(broken, lambda e: e["document"]))).alias("document"))
+    return good, bad.union(wrong.select("file", F.lit(None).cast("string")))
