@@ -32,7 +32,7 @@ ELEMENT, HEAD, TAIL, BAD, UNKNOWN = 0, 1, 2, 3, 4
 BLANK = b" \t\r\n"
 QUOTE, OPEN, CLOSE, COMMA, BRACE, UNBRACE = 1, 2, 3, 4, 5, 6
 MARKS = bytes({34: QUOTE, 91: OPEN, 93: CLOSE, 44: COMMA, 123: BRACE, 125: UNBRACE}.get(i, 0) for i in range(256))
-#: Bytes kept of a split's start, and half of those kept of its end.
+#: Bytes kept of a split's start; of its end two to four times as many.
 END = 1 << 14
 #: Bytes of elements that travel as one row.
 ROW_BYTES = 1 << 20
